@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_BROADCAST_IDS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_vellum_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="vellum-")) / "vellum.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._vellum_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
