@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import mixing, nearcopies, repeats, rules, sql
+from vellum.llm import mixing, nearcopies, packing, repeats, rules, sql
 from vellum.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), k=3, percent=85, bands=24, rows=5)
 
@@ -24,5 +28,5 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_spans, op6_near_copies, op7_quality_rules, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_repeated_spans, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
 ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7}

@@ -8,7 +8,7 @@ WITH RECURSIVE words AS (
   FROM documents
 ), shingle AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
   FROM words
 ), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
 ), pair AS (
@@ -34,7 +34,7 @@ WITH doc AS (
 ), base AS (
   SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{WORD}')) AS lines, coalesce(rep.n, 0) AS n_repeat_words
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM doc LEFT JOIN rep USING (r)
 ), failed AS (
   SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base

@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-#: A memo of words is emptied when it holds so many.
-MEMO = 400_000
+#: Words in one generation of a memo.
+MEMO = 300_000
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,16 +41,20 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 class Memo(dict):
-    """Word -> value, made by `make` at first sight; emptied when full, so that memory stays bounded."""
+    """Word -> value, made by `make` at first sight; at most twice `limit` words, those not seen lately go first."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 
