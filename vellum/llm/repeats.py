@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import MAX_BROADCAST_IDS, stage
+from vellum.llm.common import stage
 from vellum.llm.texts import U64, chunks, flat, mix
 
 SPAN, GRAM = 200, 32
@@ -347,9 +347,8 @@ def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, g
     counted = open_.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_tx", "start", "windows")).alias("one"))
     counted = stage(counted.select("hash", "digest", "n", "one.*"))
     asked = counted.groupBy("_id", "_tx").agg(F.collect_list(F.struct("hash", "digest", "start", "windows")).alias("asked"))
-    few = counted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS // 4
     # Rows with equal id and text give the same contents again: the aggregate below keeps one.
-    contents = keyed.select("_id", "_tx", "text").join(F.broadcast(asked) if few else asked, ["_id", "_tx"])
+    contents = keyed.select("_id", "_tx", "text").join(asked, ["_id", "_tx"])
     contents = contents.select("text", "asked").mapInArrow(lambda b: slices(b, span), "hash long, digest long, content binary")
     contents = contents.groupBy("hash", "digest").agg(F.min("content").alias("content")).join(counted.select("hash", "digest", "n"), ["hash", "digest"])
     contents = stage(contents)
