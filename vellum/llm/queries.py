@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import mixing, nearcopies, packing, repeats, rules, sql
+from vellum.llm import mixing, nearcopies, packing, repeats, rules, sql, toxicity
 from vellum.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -28,5 +32,5 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repeated_spans, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
 ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7}
