@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import mixing, nearcopies, packing, repeats, rules, sql, toxicity
+from vellum.llm import language, mixing, nearcopies, packing, repeats, rules, sql, toxicity
 from vellum.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents")).drop("shares")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -32,5 +36,5 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_language, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
 ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7}

@@ -70,3 +70,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
     return x
+
+
+class Rows:
+    """Words -> rows of numbers, made in batches by `make`; emptied when it holds `limit` words."""
+
+    def __init__(self, make, width: int, limit: int = 250_000, kind=np.float32):
+        self.make, self.limit, self.at = make, limit, {}
+        self.rows = np.zeros((8192, width), kind)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """One row for each word."""
+        got = list(map(self.at.get, words))
+        if None in got:
+            new = list({w for w, i in zip(words, got, strict=True) if i is None})
+            if len(self.at) + len(new) > self.limit:
+                self.at, new = {}, list(set(words))
+            first = len(self.at)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = self.make(new)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            got = list(map(self.at.get, words))
+        return self.rows[np.array(got, np.int64)]
+
+
+class Shared:
+    """A broadcast value with an id by which workers keep what they make of it."""
+
+    made: dict = {}
+
+    def __init__(self, spark, value, key: str):
+        self.broadcast, self.key = spark.sparkContext.broadcast(value), key
+
+    def use(self, make):
+        """make(value), once in each worker."""
+        if self.key not in Shared.made:
+            Shared.made.clear()
+            Shared.made[self.key] = make(self.broadcast.value)
+        return Shared.made[self.key]
