@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import language, mixing, nearcopies, packing, repeats, rules, sql, toxicity
+from vellum.llm import language, mixing, nearcopies, packing, repeats, rules, scoring, sql, toxicity
 from vellum.llm.common import table
 
 
@@ -36,5 +36,9 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_language, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.held_out_score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_language, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix, op10_lm_scores)}
 ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7}
