@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import language, mixing, nearcopies, packing, repeats, rules, scoring, sql, toxicity
+from vellum.llm import language, mixing, nearcopies, neighbours, packing, repeats, rules, scoring, sql, toxicity
 from vellum.llm.common import table
 
 
@@ -36,9 +37,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.held_out_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_language, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix, op10_lm_scores)}
-ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeated_spans, op3_language, op4_packing, op6_near_copies, op7_quality_rules, op8_source_mix, op9_vantage_neighbours, op10_lm_scores)}
+ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7, "op9_vantage_neighbours": sql.OP9}
