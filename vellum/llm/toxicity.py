@@ -11,6 +11,7 @@ threshold falls on `cut`.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm.common import held_out, ship
-from vellum.llm.texts import lower_words
+from vellum.llm.texts import Shared, lower_words
 
 #: Labelled rows that a classifier is fitted on, half of them toxic if there are so many: a bound on the driver's work.
 FIT_ROWS = 6_000
@@ -230,14 +232,16 @@ def calibrate(model: Model, texts: list[list[bytes]], toxic: np.ndarray, langs:
     model.slope, model.shift = max(a, 1e-3), b
     p = 1 / (1 + np.exp(-np.clip(model.slope * x + b, -30, 30)))
     guess = np.array([r[1] for r in read], object)
-    for lang in ["", *counts]:
-        own = np.ones(len(p), bool) if lang == "" else guess == lang
-        model.thresholds[lang] = threshold(p[own], toxic[own], model.thresholds.get("", 0.5))
+    # With few toxic texts, in all or in a language, the cut lies above everything clean.
+    model.thresholds[""] = threshold(p, toxic, float(np.clip(p[toxic == 0].max(initial=0.5) * 1.02, 0.02, 0.98)))
+    for lang in counts:
+        own = guess == lang
+        model.thresholds[lang] = threshold(p[own], toxic[own], model.thresholds[""])
     return model
 
 
-def threshold(p: np.ndarray, y: np.ndarray, default: float, least: int = 3) -> float:
-    """Between two neighbouring values, the cut with the best F1; of equal ones the middle. default without enough positives."""
+def threshold(p: np.ndarray, y: np.ndarray, default: float, least: int = 20) -> float:
+    """Between two neighbouring values, the cut with the best F1; of equal ones the middle. default with too few positives."""
     if y.sum() < least or y.sum() == len(y):
         return default
     order = np.argsort(-p, kind="stable")
@@ -286,30 +290,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, settings: Sett
 _SCORERS: dict[int, Scorer] = {}
 
 
-def scored(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
-    scorer = _SCORERS.get(broadcast.id)
-    if scorer is None:
-        _SCORERS.clear()
-        scorer = _SCORERS[broadcast.id] = Scorer(broadcast.value)
+def scored(batches: Iterator[pa.RecordBatch], shared: Shared, out: str) -> Iterator[pa.RecordBatch]:
+    """The rows with their score as the last column."""
+    scorer = shared.use(Scorer)
     for batch in batches:
         values = [scorer.score(lower_words(t)) for t in batch.column("text").to_pylist()]
-        keep = [batch.column(c) for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(values, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, out])
 
 
-class Shared:
-    """A broadcast value with an id by which workers keep what they make of it."""
-
-    def __init__(self, spark, value):
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = self.broadcast._jbroadcast.id() if self.broadcast._jbroadcast is not None else id(value)
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-    @property
-    def value(self):
-        return self.broadcast.value
+def with_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, rows: int = FIT_ROWS, out: str = "toxicity") -> DataFrame:
+    """docs(doc_id, text, lang, ...) with all its columns and the score in a further one."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
+    ship(docs.sparkSession)
+    model = fit(docs, labels, rows)
+    model.cut = cut
+    shared = Shared(docs.sparkSession, model, uuid.uuid4().hex)  # its size is fixed by the settings
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    return docs.mapInArrow(lambda b: scored(b, shared, out), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, rows: int = FIT_ROWS) -> DataFrame:
@@ -319,13 +317,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, rows: int = F
     Only the text decides a score: equal texts score alike. Rows with a null doc_id are scored too. Extra columns are
     left out; an empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    model = fit(docs, labels, rows)
-    model.cut = cut
-    shared = Shared(docs.sparkSession, model)  # its size is fixed by the settings
-    kind = dict(docs.dtypes)["doc_id"]
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(lambda b: scored(b, shared), f"doc_id {kind}, score double")
-        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
-    )
+    out = with_scores(docs.select("doc_id", "text", "lang"), labels, cut, rows, "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
