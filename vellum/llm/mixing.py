@@ -23,6 +23,8 @@ from vellum.llm.common import WORD
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Blocks that a source is cut into.
 BLOCKS = 256
+#: Words in an output shard, about.
+SHARD_WORDS = 5_000_000
 #: Sources are known by name on the driver; a corpus with more is refused rather than cut short.
 MAX_SOURCES = 100_000
 
@@ -57,13 +59,14 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(drawn, left, rng), split_tree(counts - drawn, shards - left, rng)])
 
 
-def plan(blocks: list[tuple[str | None, int, int, int]], weights=WEIGHTS, cap: float = 3.0, shards: int = 8, seed: int = 7) -> dict:
+def plan(blocks: list[tuple[str | None, int, int, int]], weights=WEIGHTS, cap: float = 3.0, shards: int | None = None, seed: int = 7) -> dict:
     """From (source, block, size, documents): targets by source, passes and order of blocks, and shards of block draws."""
     names = sorted({b[0] for b in blocks}, key=lambda s: (s is None, s or ""))
     at = {s: i for i, s in enumerate(names)}
     size = [0] * len(names)
     for s, _, n, _ in blocks:
         size[at[s]] += n
+    shards = shards or max(1, -(-sum(size) // SHARD_WORDS))
     goal = targets(size, [float(weights[i % len(weights)]) for i in range(len(names))], cap)
     rng = np.random.default_rng(seed)
     units, draws = [], []
@@ -84,10 +87,10 @@ def plan(blocks: list[tuple[str | None, int, int, int]], weights=WEIGHTS, cap: f
     for i, u in enumerate(units):
         shard = np.repeat(np.arange(shards), quotas[:, i])
         draws += [(*x, int(k)) for x, k in zip(u, shard, strict=True)]
-    return {"names": names, "size": size, "target": goal, "draws": draws}
+    return {"names": names, "size": size, "target": goal, "draws": draws, "shards": shards}
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, blocks: int = BLOCKS, shards: int = 8, seed: int = 7, size: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, blocks: int = BLOCKS, shards: int | None = None, seed: int = 7, size: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their block, block draws, targets by source) of a mix of docs(doc_id, text, source, ...).
 
     size: words by default. Null texts and texts without words have size 0 and are drawn with their block at no
@@ -144,10 +147,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is drawn, with `_mix_shard` and `_mix_order`.
-
-    Within a shard, `_mix_order` is a seeded hash of document and pass: sort by it for the local shuffle.
-    """
+    """The mix itself: the columns of docs, each row as often as it is drawn, dealt to shards and shuffled within each."""
     sized, draws, _ = mix(docs, **options)
     seed = options.get("seed", 7)
     key = F.struct("source").alias("_mix_s")
@@ -161,5 +161,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return (
         whole.unionByName(part)
         .withColumn("_mix_order", F.xxhash64("_mix_hash", "_mix_pass", F.lit(seed)))
-        .drop("_mix_s", "_mix_size", "_mix_hash", "_mix_block", "_mix_part")
+        .repartition("_mix_shard")
+        .sortWithinPartitions("_mix_shard", "_mix_order")
+        .select(*docs.columns)
     )

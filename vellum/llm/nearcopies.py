@@ -201,3 +201,19 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 36,
         F.coalesce("root", "rep", "doc_id").alias("component_id"),
         (F.coalesce("root", "rep", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
     )
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with all its columns, of each component of near copies only the row that is kept.
+
+    Rows with a null doc_id stay. Of rows that share a doc_id and a text, one stays.
+    """
+    gone = stage(near_copies(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    again = stage(again)
+    if not again.limit(1).count():
+        return left
+    match = left["doc_id"] == again["_again"]
+    return left.join(again, match, "left_anti").unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -315,8 +315,8 @@ def cut(batches: Iterator[pa.RecordBatch], span: int, extra: list[str], with_tex
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, gathered: int = GATHERED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept_text and the removed byte ranges.
+def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, gathered: int = GATHERED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept_text and the removed byte ranges.
 
     Texts are UTF-8 bytes, null counts as empty, and a text below `span` bytes stays whole. Two rows with the same text
     are copies of each other even where they share a doc_id; both lose all of it. kept_text leaves out characters that
@@ -325,6 +325,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, g
     """
     keyed = docs.select(
         "doc_id",
+        *carry,
         "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"),
         F.hash(F.coalesce("text", F.lit(""))).alias("_tx"),
@@ -367,8 +368,9 @@ def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, g
         marks = marks.unionByName(large_marks)
     parts = open_.join(marks, ["hash", "digest"]).select("_id", "_tx", (F.col("start") + F.col("first")).alias("start"), F.col("number").alias("windows"))
     by_text = whole.unionByName(parts).groupBy("_id", "_tx").agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = dict(docs.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in ("doc_id", *carry)) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += ", kept_text string, removed array<struct<start:long,end:long>>"
-    joined = keyed.join(by_text, ["_id", "_tx"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(lambda b: cut(b, span, ["doc_id"], with_text), schema)
+    joined = keyed.join(by_text, ["_id", "_tx"], "left").select("doc_id", *carry, "text", "marks")
+    return joined.mapInArrow(lambda b: cut(b, span, ["doc_id", *carry], with_text), schema)
