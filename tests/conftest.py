@@ -6,9 +6,8 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).parent)]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -29,15 +28,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import SMALL
 
     c = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return c
-
-
-def same_rows(a, b) -> None:
-    """Two pandas tables hold the same rows, whatever their order."""
-    assert sorted(a.columns) == sorted(b.columns)
-    key = lambda t: sorted(map(repr, t[sorted(t.columns)].astype(object).where(t[sorted(t.columns)].notna(), None).values.tolist()))
-    assert key(a) == key(b)

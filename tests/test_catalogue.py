@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, same_rows
+from support import SMALL, same_rows
 
 from vellum.plans import catalogue
 
