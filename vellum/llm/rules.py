@@ -100,13 +100,13 @@ def default_rules(text: str = "text", **known: str) -> list[Rule]:
     ]
 
 
-def measured(df: DataFrame, rules: list[Rule], sample: float | None = None, rows: int = 500) -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected) of each rule over at most `rows` rows of a sample: the estimate behind the order.
+def measured(df: DataFrame, rules: list[Rule], rows: int = 500) -> list[tuple[str, float, float]]:
+    """(rule, seconds, share rejected) of each rule over a random sample of about `rows` rows: the estimate behind the order.
 
-    The sample decides the order alone. rows is a documented bound on the cost of the estimate.
+    The sample decides the order alone; rows is a documented bound on the cost of the estimate.
     """
-    few = df.sample(fraction=sample, seed=11) if sample else df
-    few = few.limit(rows).cache()
+    share = min(1.0, rows / max(df.count(), 1))
+    few = df.sample(fraction=share, seed=11).cache()
     total = max(few.count(), 1)
     out = []
     for rule in rules:
@@ -136,14 +136,14 @@ def cascade(df: DataFrame, rules: list[Rule], names: list[str], reject_if: Colum
     return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def quality(docs: DataFrame, sample: float | None = None, sample_rows: int = 500) -> DataFrame:
+def quality(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """Base counts and the verdict for each row of docs(doc_id, text); extra columns are left out.
 
     Null text counts as empty and has no words; base fails below 10 words, or where over a fifth of the words lie in
     repeated windows. Equal rows get equal results. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    names = order(measured(docs, default_rules(), sample, sample_rows))
+    names = order(measured(docs, default_rules(), sample_rows))
     t = F.col("text")
     df = docs.withColumn("_words", words(t)).withColumn("_lines", word_lines(t))
     df = df.withColumns(
