@@ -25,7 +25,7 @@ from vellum.llm.common import MAX_BROADCAST_IDS, components, stage
 from vellum.llm.texts import U64, lower_words, mix, word_hashes
 
 #: Shingles in a block of a candidate group; a unit of work holds two blocks.
-BLOCK = 2_000_000
+BLOCK = 500_000
 _FIRST, _SECOND, _THIRD = U64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -96,7 +96,7 @@ def full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 for name, v in zip(out, (root, min(own, other), max(own, other), rep, values), strict=True):
                     out[name].append(v)
                 size += len(values)
-            if size > 16_000_000:
+            if size > 4_000_000:
                 yield _sets_batch(out)
                 out, size = {c: [] for c in out}, 0
         yield _sets_batch(out)
@@ -180,10 +180,12 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 36,
     made = stage(
         docs.mapInArrow(lambda b: sketches(b, k, bands, rows), "doc_id long, n long, digest binary, bands array<long>")
     )
-    reps = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    nodes = stage(made.join(reps, "digest", "left").select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    # Written first: a join whose sides both come straight from a shuffle is one that Spark splits where a set is very frequent.
+    reps = stage(made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+    nodes = stage(made.join(reps, "digest", "left").select("doc_id", "n", own, F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     band = nodes.where("bands is not null").select("rep", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("key", "a")
+    shared = stage(band.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("key", "a"))
     groups = components(band.join(shared, "key").where("rep <> a").select(F.col("rep").alias("a"), F.col("a").alias("b")).distinct())
     sized = groups.withColumnRenamed("node", "rep").join(
         nodes.where("bands is not null").groupBy("rep").agg(F.max("n").alias("n")), "rep"

@@ -15,7 +15,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
-from vellum.llm.texts import Memo
+from vellum.llm.texts import Memo, resident
 
 #: White space beside a space, or a space at either end: such a text isn't cut at its spaces.
 _ODD = re.compile(r"\s | \s|^ | $")
@@ -33,7 +32,6 @@ _ODD = re.compile(r"\s | \s|^ | $")
 MAX_OFFSETS = 2_000_000
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, ranks: str | None = None):
     """text -> bytes of its ids, little-endian, 32 bits each.
 
@@ -67,7 +65,8 @@ def encoder(path: str, ranks: str | None = None):
 
 def pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, with their place among the pieces of the same length in this partition."""
-    encode, part, seen = encoder(path, ranks), TaskContext.get().partitionId(), [0] * (capacity + 1)
+    encode = resident(f"encoder {path} {ranks}", lambda: encoder(path, ranks))
+    part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens", "place")}

@@ -335,7 +335,8 @@ def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, g
             scan, "_id long, _tx int, hash long, digest long, start int, windows int, inner boolean"
         )
     )
-    shared = (
+    # Written first: a join whose sides both come straight from a shuffle is one that Spark splits where a hash is very frequent.
+    shared = stage(
         found.groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("inner").alias("in"))
         .where("n > 1 or in")

@@ -11,7 +11,17 @@ import xxhash
 
 U64 = np.uint64
 #: Words in one generation of a memo.
-MEMO = 300_000
+MEMO = 150_000
+
+_RESIDENT: dict = {}
+
+
+def resident(key: str, make):
+    """What a worker keeps from task to task: one thing at a time, so that operators don't add up in its memory."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +69,7 @@ class Memo(dict):
 
 
 def word_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w))
+    return resident("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rows:
     """Words -> rows of numbers, made in batches by `make`; emptied when it holds `limit` words."""
 
-    def __init__(self, make, width: int, limit: int = 250_000, kind=np.float32):
+    def __init__(self, make, width: int, limit: int = 120_000, kind=np.float32):
         self.make, self.limit, self.at = make, limit, {}
         self.rows = np.zeros((8192, width), kind)
 
@@ -96,16 +106,10 @@ class Rows:
 
 
 class Shared:
-    """A broadcast value with an id by which workers keep what they make of it."""
-
-    made: dict = {}
+    """A broadcast value, and what each worker makes of it once."""
 
     def __init__(self, spark, value, key: str):
         self.broadcast, self.key = spark.sparkContext.broadcast(value), key
 
     def use(self, make):
-        """make(value), once in each worker."""
-        if self.key not in Shared.made:
-            Shared.made.clear()
-            Shared.made[self.key] = make(self.broadcast.value)
-        return Shared.made[self.key]
+        return resident(self.key, lambda: make(self.broadcast.value))

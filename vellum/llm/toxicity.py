@@ -157,7 +157,7 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, settings: Settings) -> Mo
 class Scorer:
     """Scores texts from a table of contributions, one row for each bucket; rows of words seen lately are kept."""
 
-    def __init__(self, model: Model, words: int = 250_000):
+    def __init__(self, model: Model, words: int = 120_000):
         s = model.settings
         self.model, self.limit = model, words
         self.table = (model.embedding @ model.filters.transpose(1, 0, 2).reshape(s.dim, -1)).reshape(s.buckets, -1)
@@ -267,9 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, settings: Sett
         drawn = part if drawn is None else drawn.unionByName(part)
     known = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
     found = sorted(known.select("doc_id", "text", "lang", "toxic").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))
-    texts = []
+    texts, same = [], {}  # one copy of each word
     for r in found:
-        words = lower_words(r[1])
+        words = [same.setdefault(w, w) for w in lower_words(r[1])]
         if len(words) > FIT_WORDS:  # runs of 50 words from all over the text
             parts = FIT_WORDS // 50
             begins = [i * (len(words) - 50) // (parts - 1) for i in range(parts)]
@@ -287,9 +287,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, settings: Sett
     return calibrate(model, [t for t, s in zip(texts, second, strict=True) if s], y[second], [la for la, s in zip(langs, second, strict=True) if s])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def scored(batches: Iterator[pa.RecordBatch], shared: Shared, out: str) -> Iterator[pa.RecordBatch]:
     """The rows with their score as the last column."""
     scorer = shared.use(Scorer)
