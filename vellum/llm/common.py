@@ -2,59 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.plans.staging import ship, stage, table  # noqa: F401
+
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The longest list of ids that is broadcast (8 bytes each); longer ones are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_vellum_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="vellum-")) / "vellum.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(path))
-    context._vellum_shipped = True
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where the session names none, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() if spark.sparkContext.getCheckpointDir() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps start from files, whichever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the split into learned and held-out rows. Null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -64,31 +22,23 @@ def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
     return bucket_of(doc_id, modulus) == remainder
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Columns that tell rows apart: equal only for rows with equal id and text, which all get the same result."""
-    return [
-        F.coalesce(doc_id.cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"),
-        F.xxhash64(F.coalesce(text, F.lit("")), doc_id.isNull()).alias("_tx"),
-    ]
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, jumps: int = 2) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root), root the smallest id that node reaches.
 
-    Each round, every node takes the smallest label among itself and its neighbours, then the label of that label.
-    Labels are aggregated before they are shuffled, so a node with very many links costs no more than the others.
+    Each round, every node is hooked to the smallest of its neighbours and itself, hooks of hooks are followed `jumps`
+    times, and the links are contracted: those within one root are gone for good, equal ones become one. So the links
+    are joined whole once, whatever the number of rounds.
     """
-    links = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = stage(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    links = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = stage(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("root")))
     for _ in range(rounds):
-        near = (
-            links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        )
-        moved = labels.join(near, labels.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = labels.select(F.col("node").alias("up"), F.col("root").alias("upper"))
-        new = stage(moved.join(up, moved.root == up.up, "left").select("node", "old", F.least("root", F.coalesce("upper", "root")).alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
+        if links.isEmpty():
             return labels
-    raise RuntimeError(f"components still change after {rounds} rounds; raise the number of rounds")
+        hook = stage(links.select(F.col("a").alias("v"), F.col("a").alias("to")).union(links.select("b", "a")).groupBy("v").agg(F.min("to").alias("to")))
+        for _ in range(jumps):
+            hook = stage(hook.join(hook.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to")))
+        a, b = (hook.select(F.col("v").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))
+        near, far = F.least("to_a", "to_b"), F.greatest("to_a", "to_b")
+        links = stage(links.join(a, "a").join(b, "b").select(near.alias("a"), far.alias("b")).where("a < b").distinct())
+        labels = stage(labels.join(hook, labels["root"] == hook["v"], "left").select("node", F.coalesce("to", "root").alias("root")))
+    raise RuntimeError(f"links are left after {rounds} rounds; raise the number of rounds")
