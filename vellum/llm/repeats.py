@@ -32,7 +32,7 @@ SPAN, GRAM = 200, 32
 #: Bytes of distinct contents of one hash that one task may gather.
 GATHERED = 16_000_000
 #: Bytes of contents in one index.
-BATCH = 1_000_000
+BATCH = 100_000
 #: Bytes of text that are hashed at once; a longer text is taken whole.
 CHUNK = 1_000_000
 
