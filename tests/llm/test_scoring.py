@@ -65,6 +65,17 @@ def test_a_smaller_trie_still_gives_probabilities(spark):
     assert len(got) == len(rows) and all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("nodes", [0, 40, 300])
+def test_counts_beyond_the_broadcast_ones_still_count(spark, nodes):
+    rows = [r for r in awkward() if len(r[1] or "") < 2000]
+    rows += [(500 + i, t, "en", "a") for i, t in enumerate(["w1q w39 zzxq", "Ünï w12\u4e00 ÀBx", "w399w w7 one twx", "12 34 !? ##$", "brand new words"] * 4)]
+    train = [r[1] for r in rows if learned(r[0], 10, 0)]
+    expected = sorted((str(r[0]), round(s, 3)) for r, s in zip(rows, brute(train, [r[1] for r in rows]), strict=True))
+    got = sorted((str(r.doc_id), round(r.score, 3)) for r in scoring.held_out_score(frame(spark, rows), nodes=nodes).collect())
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert [g[1] for g in got] == pytest.approx([e[1] for e in expected], abs=3e-3)
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     import numpy as np
 
