@@ -69,6 +69,40 @@ def test_parts_of_long_texts_are_joined():
     assert read == pytest.approx(float(np.maximum(best + model.bias, 0) @ model.weights + model.intercept), abs=1e-4)
 
 
+def test_filters_hang_over_the_ends_of_a_text_alone():
+    rng = np.random.default_rng(2)
+    rows, inverse = rng.normal(-1, 1, (50, 6, 4)).astype(np.float32), rng.integers(0, 50, 401).astype(np.int32)
+    whole = toxicity.pooled(rows[inverse], (1, 2, 3), 4)
+    for most in (7, 100, 1000):
+        best, where = toxicity.pooled_whole(rows, inverse, (1, 2, 3), 4, most)
+        assert best.tolist() == whole[0].tolist() and where.tolist() == whole[1].tolist()
+
+
+def test_a_short_toxic_passage_of_a_long_text_is_looked_at(spark, monkeypatch):
+    rng = random.Random(12)
+    ids = [i for i in range(40) if learned(i)]
+    rows, n = [], 24_000  # 400 runs of 50 words, one every 60, used to be looked at
+    runs = [r * (n - 50) // 399 for r in range(400)]
+    at = next(p for p in range(n // 2, n) if all(not k <= p + j < k + 50 for j in range(3) for k in runs))
+    for i in ids:
+        words = rng.choices(WORDS, k=n)
+        words[at : at + 3] = "vile grub foulx".split() if i % 2 else words[:3]
+        rows.append((i, " ".join(words), "en", "a"))
+    seen = []
+    make, fix = toxicity.train, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, *a: seen.extend(zip(texts, y, strict=True)) or make(texts, y, *a))
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, texts, y, *a: seen.extend(zip(texts, y, strict=True)) or fix(m, texts, y, *a))
+    toxicity.fit(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"), settings=toxicity.Settings(epochs=1, steps=0))
+    assert len(seen) == len(ids) and all(len(t) == n and (b"grub" in t) == y for t, y in seen)
+
+
+def test_a_repeated_labelled_row_counts_once(spark):
+    rows = [(i, ("vile " if i % 2 else "good ") + prose(random.Random(i), 9), "en", "a") for i in range(30)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    one, many = (toxicity.fit(frame(spark, r), marks) for r in (rows, rows + rows[:10] * 5))
+    assert (one.weights == many.weights).all() and one.thresholds == many.thresholds
+
+
 def test_scores_meet_the_cut_at_the_threshold():
     assert toxicity.at_cut(0.3, 0.3, 0.7) == 0.7 and toxicity.at_cut(0.0, 0.3, 0.7) == 0 and toxicity.at_cut(1.0, 0.3, 0.7) == pytest.approx(1)
 

@@ -28,8 +28,8 @@ from vellum.llm.texts import Shared, lower_words
 
 #: Labelled rows that a classifier is fitted on, half of them toxic if there are so many: a bound on the driver's work.
 FIT_ROWS = 6_000
-#: Words of a labelled text that training looks at, spread over the whole text; scoring always reads all.
-FIT_WORDS = 20_000
+#: Words of a text that are looked at together; a longer text is read in parts.
+PART_WORDS = 50_000
 STRIP = b".,;:!?*#%&$\"'()[]{}<>|-_/\\"
 
 
@@ -68,23 +68,40 @@ class Model:
     cut: float = 0.7
 
 
-def pooled(rows: np.ndarray, widths: tuple[int, ...], filters: int) -> tuple[np.ndarray, np.ndarray]:
+def pooled(rows: np.ndarray, widths: tuple[int, ...], filters: int, begins: bool = True, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Maxima of each filter over a text, from its words' contributions (words x places x filters), and where they are.
 
-    A filter may hang over either end of the text, where there is nothing to add.
+    A filter may hang over either end of the text, where there is nothing to add; not over the end of a part that the
+    text does not begin or end with.
     """
     n, first, out, where = len(rows), 0, [], []
     for width in widths:
         total = np.zeros((n + width - 1, filters), np.float32)
         for j in range(width):
             total[width - 1 - j : width - 1 - j + n] += rows[:, first + j]
-        at = total.argmax(axis=0)
+        skip = 0 if begins else width - 1
+        at = total[skip : None if ends else n].argmax(axis=0) + skip
         out.append(total[at, np.arange(filters)])
         where.append(at - (width - 1))
         first += width
     return np.concatenate(out), np.concatenate(where)
 
 
+def parts(n: int, widths: tuple[int, ...], most: int = PART_WORDS) -> Iterator[tuple[int, int]]:
+    """Where the parts of a text of n words begin and end; they overlap, so that no place of a filter is lost."""
+    for i in range(0, n, most):
+        yield max(0, i - max(widths) + 1), min(i + most, n)
+
+
+def pooled_whole(rows: np.ndarray, inverse: np.ndarray, widths: tuple[int, ...], filters: int, most: int = PART_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """pooled() of the text rows[inverse], which is never held whole."""
+    best, where = None, None
+    for a, b in parts(len(inverse), widths, most):
+        own, at = pooled(rows[inverse[a:b]], widths, filters, a == 0, b == len(inverse))
+        best, where = (own, at) if best is None else (np.maximum(best, own), np.where(own > best, at + a, where))
+    return best, where
+
+
 def train(texts: list[list[bytes]], toxic: np.ndarray, settings: Settings) -> Model:
     """Adagrad on the logistic loss, classes balanced; the gradient of a maximum goes to the words under it alone.
 
@@ -124,8 +141,8 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, settings: Settings) -> Mo
             if not len(inverse):
                 continue
             vectors = embedding[feats].mean(axis=1)
-            rows = (vectors @ filters.transpose(1, 0, 2).reshape(s.dim, -1)).reshape(-1, places, s.filters)[inverse]
-            maxima, where = pooled(rows, s.widths, s.filters)
+            rows = (vectors @ filters.transpose(1, 0, 2).reshape(s.dim, -1)).reshape(-1, places, s.filters)
+            maxima, where = pooled_whole(rows, inverse, s.widths, s.filters)
             maxima = np.maximum(maxima + bias, 0)
             p = 1 / (1 + np.exp(-np.clip(float(maxima @ weights) + intercept, -30, 30)))
             error = p - float(toxic[i])
@@ -189,12 +206,11 @@ class Scorer:
         """The logit and the language of a text."""
         m, s = self.model, self.model.settings
         places, best, votes = sum(s.widths), np.full(len(m.bias), -np.inf), np.zeros(len(self.langs))
-        most, overlap = 50_000, max(s.widths) - 1
-        for i in range(0, len(words), most):  # the parts of a very long text overlap, so that no place of a filter is lost
-            ids = self.ids(words[max(0, i - overlap) : i + most])
+        for a, b in parts(len(words), s.widths):
+            ids = self.ids(words[a:b])
             rows = self.rows[ids]
             votes += rows[:, self.table.shape[1] :].sum(axis=0)
-            best = np.maximum(best, pooled(rows[:, : self.table.shape[1]].reshape(-1, places, s.filters), s.widths, s.filters)[0])
+            best = np.maximum(best, pooled(rows[:, : self.table.shape[1]].reshape(-1, places, s.filters), s.widths, s.filters, a == 0, b == len(words))[0])
         if not words:
             best = np.zeros(len(m.bias))
         logit = float(np.maximum(best + m.bias, 0) @ m.weights + m.intercept)
@@ -266,15 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, settings: Sett
         part = marked.where(~held_out(F.col("doc_id"))).where(F.col("toxic") == toxic).orderBy(key).limit(n)
         drawn = part if drawn is None else drawn.unionByName(part)
     known = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
-    found = sorted(known.select("doc_id", "text", "lang", "toxic").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))
+    known = known.groupBy("doc_id", "text").agg(F.min("lang").alias("lang"), F.max("toxic").alias("toxic"))  # a repeated row counts once
+    found = sorted(known.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))
     texts, same = [], {}  # one copy of each word
     for r in found:
-        words = [same.setdefault(w, w) for w in lower_words(r[1])]
-        if len(words) > FIT_WORDS:  # runs of 50 words from all over the text
-            parts = FIT_WORDS // 50
-            begins = [i * (len(words) - 50) // (parts - 1) for i in range(parts)]
-            words = [w for k in begins for w in words[k : k + 50]]
-        texts.append(words)
+        texts.append([same.setdefault(w, w) for w in lower_words(r[1])])
     y = np.array([r[3] for r in found], np.int64)
     langs = [r[2] or "" for r in found]
     settings = settings or Settings()
