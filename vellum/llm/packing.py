@@ -11,6 +11,7 @@ patterns by intervals, so that only the histogram and the patterns meet on the d
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -32,24 +33,33 @@ _ODD = re.compile(r"\s | \s|^ | $")
 MAX_OFFSETS = 2_000_000
 
 
-def encoder(path: str, ranks: str | None = None):
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens that a tokenizer file names, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
+def encoder(path: str, ranks: str | None = None, special: dict[str, int] | None = None):
     """text -> bytes of its ids, little-endian, 32 bits each.
 
     Between words a single space always begins a token, so a text can be cut there, and each distinct piece
-    is encoded once; `ranks`, the same vocabulary as ranks, is quicker for that. Texts with other white space beside a
-    space are taken whole, as are those in which a special token is spelt; the latter only the tokenizer file knows.
+    is encoded once. Texts with other white space beside a space are taken whole, as are those in which a special token
+    is spelt. `ranks`, the same vocabulary as ranks, is quicker and smaller: the tokenizer file is not loaded then.
     """
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    special = [t.content for t in model.get_added_tokens_decoder().values()]
-    whole = plain = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    special = special_tokens(path) if special is None else special
     if ranks:
+        import tiktoken
+
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        plain = lambda text: array("I", quick.encode_ordinary(text)).tobytes()
+        model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
+        plain = lambda text: array("I", model.encode_ordinary(text)).tobytes()
+        whole = lambda text: array("I", model.encode(text, allowed_special="all")).tobytes()
+    else:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        whole = plain = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     memo = Memo(plain)
 
     def encode(text: str) -> bytes:
@@ -63,9 +73,9 @@ def encoder(path: str, ranks: str | None = None):
     return encode
 
 
-def pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, special: dict[str, int], capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, with their place among the pieces of the same length in this partition."""
-    encode = resident(f"encoder {path} {ranks}", lambda: encoder(path, ranks))
+    encode = resident(f"encoder {path} {ranks}", lambda: encoder(path, ranks, special))
     part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
@@ -253,9 +263,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or (None if tokenizer else public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    special = special_tokens(path)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, place long, part int" + ", ids array<int>" * keep_ids
-    cut = stage(docs.select("doc_id", "text").mapInArrow(lambda b: pieces(b, path, ranks, capacity, end_id, keep_ids), schema))
+    cut = stage(docs.select("doc_id", "text").mapInArrow(lambda b: pieces(b, path, ranks, special, capacity, end_id, keep_ids), schema))
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     upto = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

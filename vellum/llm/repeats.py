@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
-from vellum.llm.texts import U64, chunks, flat, mix
+from vellum.llm.texts import U64, chunks, flat, mix, resident
 
 SPAN, GRAM = 200, 32
 #: Bytes of distinct contents of one hash that one task may gather.
@@ -34,25 +34,25 @@ GATHERED = 16_000_000
 #: Bytes of contents in one index.
 BATCH = 100_000
 #: Bytes of text that are hashed at once; a longer text is taken whole.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _rng = np.random.default_rng(20240229)
 _LETTERS = [_rng.integers(0, 2**63, 256).astype(U64) * U64(2) + U64(1) for _ in range(2)]
 _BASES = [int(_rng.integers(0, 2**61)) * 4 + 3 for _ in range(2)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(which)
+    made = resident("powers", dict)
+    have = made.get(which)
     if have is None or len(have[0]) < n:
         base = _BASES[which]
-        made = []
+        both = []
         for b in (base, pow(base, -1, 2**64)):
             p = np.full(n + 1, U64(b % 2**64))
             p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = _POWERS[which] = (made[0], made[1])
+            both.append(np.multiply.accumulate(p))
+        have = made[which] = (both[0], both[1])
     return have
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +13,28 @@ import xxhash
 
 U64 = np.uint64
 #: Words in one generation of a memo.
-MEMO = 150_000
+MEMO = 80_000
 
 _RESIDENT: dict = {}
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: workers are reused, and what one task freed would stay with its worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def resident(key: str, make):
     """What a worker keeps from task to task: one thing at a time, so that operators don't add up in its memory."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        give_back()
         _RESIDENT[key] = make()
+        give_back()  # what making it took
     return _RESIDENT[key]
 
 
