@@ -10,9 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at a time, unless the session says otherwise: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each Spark context."""
+    """Give executors this package, once for each Spark context, and keep batches small where the session has the default."""
     context = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     if getattr(context, "_vellum_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
