@@ -6,6 +6,7 @@ import base64
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,83 +136,184 @@ def lzw_encode(data: bytes, early: int = 1) -> bytes:
     return bytes(out)
 
 
+def _samples(rows: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """Rows of bytes as rows of `count` numbers of so many bits each."""
+    if bits == 8:
+        return rows[:, :count].astype(np.uint32)
+    if bits > 8:
+        return rows[:, : count * bits // 8].copy().view(f">u{bits // 8}").astype(np.uint32)
+    each = np.unpackbits(rows, axis=1)[:, : count * bits].reshape(len(rows), count, bits)
+    return each @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint32)
+
+
+def _packed(samples: np.ndarray, bits: int, size: int) -> bytes:
+    if bits == 8:
+        return samples.astype(np.uint8).tobytes()
+    if bits > 8:
+        return samples.astype(f">u{bits // 8}").tobytes()
+    each = (samples[:, :, None] >> np.arange(bits - 1, -1, -1)) & 1
+    out = np.packbits(each.reshape(len(samples), -1).astype(np.uint8), axis=1)
+    return out[:, :size].tobytes()
+
+
+def _row_size(columns: int, colors: int, bits: int) -> int:
+    if columns < 1 or colors < 1 or bits not in (1, 2, 4, 8, 16, 32):
+        raise ValueError("the row's shape is not allowed")
+    return -(-columns * colors * bits // 8)
+
+
 def png_rows(data: bytes, columns: int, colors: int = 1, bits: int = 8) -> bytes:
     """Undo the row filters 0 to 4."""
-    size, step = -(-columns * colors * bits // 8), max(1, colors * bits // 8)
+    size, step = _row_size(columns, colors, bits), max(1, colors * bits // 8)
     if len(data) % (size + 1):
         raise ValueError("a row is cut off")
-    out, above = bytearray(), bytearray(size)
-    for at in range(0, len(data), size + 1):
-        kind, row = data[at], bytearray(data[at + 1 : at + 1 + size])
-        if kind > 4:
-            raise ValueError("unknown row filter")
-        for i in range(size):
-            a = row[i - step] if i >= step else 0
-            b, c = above[i], above[i - step] if i >= step else 0
-            if kind == 4:
-                p = a + b - c
-                add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            else:
-                add = (0, a, b, (a + b) // 2)[kind]
-            row[i] = (row[i] + add) & 255
-        out += row
-        above = row
-    return bytes(out)
+    rows = np.frombuffer(data, np.uint8).reshape(-1, size + 1)
+    if len(rows) and rows[:, 0].max() > 4:
+        raise ValueError("unknown row filter")
+    out, above = np.zeros((len(rows), size), np.uint8), np.zeros(size, np.uint8)
+    for n, (kind, row) in enumerate(zip(rows[:, 0], rows[:, 1:], strict=True)):
+        if kind == 0:
+            out[n] = row
+        elif kind == 1:
+            padded = np.zeros(-(-size // step) * step, np.uint8)
+            padded[:size] = row
+            out[n] = np.add.accumulate(padded.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:size]
+        elif kind == 2:
+            out[n] = row + above
+        else:
+            out[n] = _by_neighbours(int(kind), row.tolist(), above.tolist(), step)
+        above = out[n]
+    return out.tobytes()
+
+
+def _by_neighbours(kind: int, row: list[int], above: list[int], step: int) -> list[int]:
+    """Row filters 3 (mean of left and above) and 4 (the nearest of left, above and above left)."""
+    for i in range(len(row)):
+        a, b, c = (row[i - step], above[i], above[i - step]) if i >= step else (0, above[i], 0)
+        if kind == 4:
+            p = a + b - c
+            add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        else:
+            add = (a + b) // 2
+        row[i] = (row[i] + add) & 255
+    return row
 
 
-def png_plain(data: bytes, columns: int) -> bytes:
+def png_plain(data: bytes, columns: int, colors: int = 1, bits: int = 8) -> bytes:
     """Rows under filter 0; the data must be whole rows."""
-    if len(data) % columns:
+    size = _row_size(columns, colors, bits)
+    if len(data) % size:
         raise ValueError("a row is cut off")
-    return b"".join(b"\0" + data[i : i + columns] for i in range(0, len(data), columns))
+    rows = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1).tobytes()
 
 
-DECODERS = {"ASCIIHexDecode": hex_decode, "ASCII85Decode": a85_decode, "RunLengthDecode": run_length_decode, "FlateDecode": zlib.decompress, "LZWDecode": lzw_decode}
-ENCODERS = {"ASCIIHexDecode": hex_encode, "ASCII85Decode": base64.a85encode, "RunLengthDecode": run_length_encode, "FlateDecode": zlib.compress, "LZWDecode": lzw_encode}
+def tiff_rows(data: bytes, columns: int, colors: int = 1, bits: int = 8, back: bool = True) -> bytes:
+    """Each number of a row is stored as the difference from the one before of the same color; back: undo that, else do it."""
+    size = _row_size(columns, colors, bits)
+    if len(data) % size:
+        raise ValueError("a row is cut off")
+    if not data:
+        return b""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, size)
+    x = _samples(rows, bits, columns * colors).reshape(len(rows), columns, colors)
+    x = np.add.accumulate(x, axis=1, dtype=np.uint32) if back else np.diff(x, axis=1, prepend=np.uint32(0))
+    return _packed((x & np.uint32(2**bits - 1)).reshape(len(rows), -1), bits, size)
 
 
-def decode(data: bytes, chain: list[str], predictor: int = 1, columns: int = 1) -> bytes:
-    """Filters from left to right; the predictor belongs to the last one."""
-    for name in chain:
-        data = DECODERS[name](data)
-    return png_rows(data, columns) if predictor >= 10 else data
+DECODERS = {"ASCIIHexDecode": hex_decode, "ASCII85Decode": a85_decode, "RunLengthDecode": run_length_decode, "FlateDecode": zlib.decompress, "LZWDecode": lzw_decode}
+ENCODERS = {"ASCIIHexDecode": hex_encode, "ASCII85Decode": base64.a85encode, "RunLengthDecode": run_length_encode, "FlateDecode": zlib.compress, "LZWDecode": lzw_encode}
+#: What /DecodeParms may say of a filter, and what holds where it says nothing.
+PARMS = {"Predictor": 1, "Colors": 1, "BitsPerComponent": 8, "Columns": 1, "EarlyChange": 1}
+
+
+def decode(data: bytes, chain: list[str], parms: list[dict[str, int]] | None = None) -> bytes:
+    """Filters from left to right, each with its own parameters."""
+    for name, own in zip(chain, parms or [{}] * len(chain), strict=True):
+        p = PARMS | (own or {})
+        data = lzw_decode(data, p["EarlyChange"]) if name == "LZWDecode" else DECODERS[name](data)
+        shape = p["Columns"], p["Colors"], p["BitsPerComponent"]
+        if p["Predictor"] == 2:
+            data = tiff_rows(data, *shape)
+        elif 10 <= p["Predictor"] <= 15:
+            data = png_rows(data, *shape)
+        elif p["Predictor"] != 1:
+            raise ValueError(f"unknown predictor {p['Predictor']}")
+    return data
 
 
-def encode(data: bytes, chain: list[str], predictor: int = 1, columns: int = 1) -> bytes:
-    data = png_plain(data, columns) if predictor >= 10 else data
-    for name in reversed(chain):
-        data = ENCODERS[name](data)
+def encode(data: bytes, chain: list[str], parms: list[dict[str, int]] | None = None) -> bytes:
+    own = parms or [{}] * len(chain)
+    for name, extra in zip(reversed(chain), reversed(own), strict=True):
+        p = PARMS | (extra or {})
+        shape = p["Columns"], p["Colors"], p["BitsPerComponent"]
+        if p["Predictor"] == 2:
+            data = tiff_rows(data, *shape, back=False)
+        elif p["Predictor"] >= 10:
+            data = png_plain(data, *shape)
+        data = lzw_encode(data, p["EarlyChange"]) if name == "LZWDecode" else ENCODERS[name](data)
     return data
 
 
-def encoded(data: Column, chain: Column, predictor: Column | int = 1, columns: Column | int = 1) -> Column:
+def parameters(entries: dict[str, str], chain: list[str]) -> tuple[list[dict[str, int]], str | None]:
+    """Each filter's parameters from a stream's entries, and what is wrong with them.
+
+    One dictionary belongs to one filter, an array has an item for each; only Flate and LZW take any.
+    """
+    raw = entries.get("DecodeParms", entries.get("DP", "null"))
+    top = "DecodeParms" if "DecodeParms" in entries else "DP"
+    if raw == "null":
+        return [{} for _ in chain], None
+    if raw.startswith("<<"):
+        if len(chain) != 1:
+            return [], "one dictionary of parameters for several filters"
+        places = [f"{top}/"]
+    elif raw.startswith("["):
+        if entries.get(f"{top}/#") != str(len(chain)):
+            return [], "not as many parameters as filters"
+        places = [f"{top}/[{i}]/" for i in range(len(chain))]
+    else:
+        return [], "parameters are no dictionary, array or null"
+    out = []
+    for name, place in zip(chain, places, strict=True):
+        own = {k[len(place) :]: v for k, v in entries.items() if k.startswith(place) and "/" not in k[len(place) :]}
+        known = [k for k in PARMS if k != "EarlyChange" or name == "LZWDecode"]
+        if own and name not in ("FlateDecode", "LZWDecode"):
+            return [], f"parameters for {name}"
+        if bad := sorted(k for k, v in own.items() if k not in known or not re.fullmatch(r"\+?\d{1,9}", v)):
+            return [], f"parameter {bad[0]} is not known or no number"
+        if int(own.get("EarlyChange", 1)) > 1:
+            return [], "EarlyChange is neither 0 nor 1"
+        out.append({k: int(v) for k, v in own.items()})
+    return out, None
+
+
+def encoded(data: Column, chain: Column, parms: Column | None = None) -> Column:
+    """The bytes under a chain of filters; parms: an array of maps, one for each filter."""
+
     @F.pandas_udf("binary")
-    def apply(d: pd.Series, c: pd.Series, p: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([encode(bytes(a), list(b), int(x), int(y)) for a, b, x, y in zip(d, c, p, w, strict=True)])
+    def apply(d: pd.Series, c: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([encode(bytes(a), list(b), None if x is None else [dict(m) for m in x]) for a, b, x in zip(d, c, p, strict=True)])
 
-    return apply(data, chain, _int(predictor), _int(columns))
+    return apply(data, chain, F.lit(None).cast("array<map<string,int>>") if parms is None else parms)
 
 
-def decoded(data: Column, chain: Column, predictor: Column | int = 1, columns: Column | int = 1) -> Column:
-    """Struct of data and error; a chain with an unknown filter, or broken data, gives the error and no data."""
+def decoded(data: Column, chain: Column, parms: Column | None = None, error: Column | None = None) -> Column:
+    """Struct of data and error; a chain with an unknown filter, or broken data, gives the error and no data. error: what is wrong already."""
 
     @F.pandas_udf("data binary, error string")
-    def apply(d: pd.Series, c: pd.Series, p: pd.Series, w: pd.Series) -> pd.DataFrame:
+    def apply(d: pd.Series, c: pd.Series, p: pd.Series, e: pd.Series) -> pd.DataFrame:
         rows = []
-        for a, b, x, y in zip(d, c, p, w, strict=True):
+        for a, b, x, wrong in zip(d, c, p, e, strict=True):
             try:
-                rows.append((decode(bytes(a), list(b), int(x), int(y)), None))
-            except KeyError as e:
-                rows.append((None, f"unsupported filter {e.args[0]}"))
-            except (ValueError, zlib.error) as e:
-                rows.append((None, str(e)))
+                rows.append((None, wrong) if wrong else (decode(bytes(a), list(b), None if x is None else [dict(m) for m in x]), None))
+            except KeyError as k:
+                rows.append((None, f"unsupported filter {k.args[0]}"))
+            except (ValueError, zlib.error) as v:
+                rows.append((None, str(v)))
         return pd.DataFrame(rows, columns=["data", "error"])
 
-    return apply(data, chain, _int(predictor), _int(columns))
-
-
-def _int(x: Column | int) -> Column:
-    return F.lit(x) if isinstance(x, int) else x
+    return apply(data, chain, F.lit(None).cast("array<map<string,int>>") if parms is None else parms, F.lit(None).cast("string") if error is None else error)
 
 
 def filter_chain(value: Column) -> Column:
@@ -221,6 +323,12 @@ def filter_chain(value: Column) -> Column:
     return F.filter(F.transform(names, lambda n: F.coalesce(long[n], n)), lambda n: n != "Identity")
 
 
+def chain_names(raw: str | None) -> list[str]:
+    """As filter_chain, of one value."""
+    names = re.findall(r"/([A-Za-z0-9]+)", raw or "")
+    return [n for n in (LONG_NAMES.get(n, n) for n in names) if n != "Identity"]
+
+
 def capability(chain: Column) -> Column:
     """What can be done with a stream under these filters."""
     within = lambda names: F.forall(chain, lambda n: n.isin(*names))

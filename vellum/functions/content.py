@@ -1,16 +1,15 @@
-"""Strings and text-show operators in content streams: a tokenizer of one pass."""
+"""Strings and text-show operators in content streams: a tokenizer of one pass that keeps the text state."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
-
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)|\r\n|\r", re.S)
 _TOKEN = re.compile(rb"%[^\r\n]*|/[^\s/<>\[\](){}%]*|<<|>>|<[0-9A-Fa-f\s]*>|[\[\](]|[^\s/<>\[\](){}%]+")
 _NEST = re.compile(rb"\\.|[()]", re.S)
+_NUMBER = re.compile(rb"[-+]?(?:\d+\.?\d*|\.\d+)")
 
 
 def decode_literal(body: bytes) -> bytes:
@@ -37,47 +36,112 @@ def literal_end(data: bytes, at: int) -> int:
     return -1
 
 
-def text_shows(data: bytes) -> Iterator[tuple[str, bytes, str, int, int]]:
-    """(operator, decoded bytes, encoding, start and end of the operand) of each text-show, in order.
+class State:
+    """Font, size, place and spacing of text; it lives between BT and ET alone."""
+
+    def __init__(self):
+        self.inside = False
+        self.reset(False)
+
+    def reset(self, inside: bool) -> None:
+        self.inside, self.font, self.size, self.x, self.y, self.leading = inside, None, None, 0.0, 0.0, 0.0
+        self.char_space, self.word_space, self.scale, self.rise, self.mode = 0.0, 0.0, 100.0, 0.0, 0
+
+    def next_line(self) -> None:
+        self.y -= self.leading
+
+    def apply(self, operator: bytes, names: list[bytes], numbers: list[float]) -> None:
+        if operator in (b"BT", b"ET"):
+            self.reset(operator == b"BT")
+        if not self.inside:
+            return
+        last = numbers[-1] if numbers else None
+        if operator == b"Tf" and names and last is not None:
+            self.font, self.size = names[-1][1:].decode("latin-1"), last
+        elif operator in (b"Td", b"TD") and len(numbers) > 1:
+            self.x, self.y = self.x + numbers[-2], self.y + last
+            if operator == b"TD":
+                self.leading = -last
+        elif operator == b"Tm" and len(numbers) > 5:
+            self.x, self.y = numbers[-2], last
+        elif operator == b"T*":
+            self.next_line()
+        elif last is not None and operator in _SETTERS:
+            setattr(self, _SETTERS[operator], int(last) if operator == b"Tr" else last)
+
 
-    A hex string of an odd number of digits, and an array with anything but strings and numbers, are passed over.
+_SETTERS = {b"TL": "leading", b"Tc": "char_space", b"Tw": "word_space", b"Tz": "scale", b"Ts": "rise", b"Tr": "mode"}
+
+
+def _strings_of(operand: list) -> tuple[bytes, bool]:
+    """An operand's bytes, and whether a string of it is in hex."""
+    return b"".join(s[0] for s in operand), any(s[1] == "hex" for s in operand)
+
+
+def text_shows(data: bytes) -> Iterator[tuple[str, bytes, str, int, int, State]]:
+    """(operator, bytes, encoding, start and end of the operand, state) of each text-show, in order; `Do` with the name as bytes.
+
+    Tj and TJ follow their operand at once, `"` two numbers and it. A hex string of an odd number of digits, and an array
+    with anything but strings and numbers, are passed over.
     """
-    at, strings, opened, bad = 0, [], None, False
+    at, state = 0, State()
+    numbers: list[float] = []
+    names: list[bytes] = []
+    operand: tuple | None = None  # bytes, encoding, start, end, numbers before it
+    opened, held, bad, depth = None, [], False, 0
     while m := _TOKEN.search(data, at):
         token, at = m[0], m.end()
+        string = None
         if token == b"(":
             end = literal_end(data, m.start())
             if end < 0:
                 return
-            strings.append((decode_literal(data[m.start() + 1 : end - 1]), "literal", m.start(), end))
+            string = (decode_literal(data[m.start() + 1 : end - 1]), "literal", m.start(), end)
             at = end
         elif token[:1] == b"<" and token != b"<<":
             digits = re.sub(rb"\s+", b"", token[1:-1])
             bad = bad or len(digits) % 2 == 1
-            strings.append((b"" if len(digits) % 2 else bytes.fromhex(digits.decode()), "hex", m.start(), at))
+            string = (b"" if len(digits) % 2 else bytes.fromhex(digits.decode()), "hex", m.start(), at)
+        if string:
+            if depth:
+                continue
+            if opened is not None:
+                held.append(string)
+            else:
+                operand, numbers = (*string, len(numbers)), []
+        elif token == b"<<":
+            depth += 1
+            bad = bad or opened is not None
+        elif token == b">>":
+            depth = max(0, depth - 1)
+        elif depth or token[:1] == b"%":
+            continue
         elif token == b"[":
-            opened, strings, bad = m.start(), [], False
+            opened, held, bad = m.start(), [], False
         elif token == b"]":
             if opened is not None:
-                strings = [(b"".join(s[0] for s in strings), "tj-array", opened, at)]
-        elif token in (b"Tj", b"TJ", b"'", b'"'):
-            if strings and not bad:
-                text, encoding, start, end = strings[-1]
-                yield token.decode(), text, encoding, start, end
-            strings, opened, bad = [], None, False
-        elif token[:1] in b"/%<>" or re.fullmatch(rb"[-+.\d]+", token):
-            bad = bad or (opened is not None and token[:1] in b"/<>")
+                whole, in_hex = _strings_of(held)
+                kind = "tj-array-mixed" if in_hex and any(s[1] == "literal" for s in held) else "tj-array-hex" if in_hex else "tj-array"
+                operand, numbers = (whole, kind, opened, at, len(numbers)), []
+            opened = None
+        elif token[:1] == b"/":
+            names.append(token)
+            bad = bad or opened is not None
+        elif _NUMBER.fullmatch(token):
+            if opened is None:
+                numbers.append(float(token))
         else:
-            strings, opened, bad = [], None, False
-
-
-def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text-show of each stream (doc_id, num, data)."""
-    schema = pa.schema([("doc_id", pa.string()), ("num", pa.int32()), ("seq", pa.int32()), ("operator", pa.string()), ("text", pa.string()), ("encoding", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    for batch in batches:
-        rows = [
-            (doc_id, num, i, op, text.decode("utf-8", "replace"), encoding, start, end)
-            for doc_id, num, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "num", "data")), strict=True)
-            for i, (op, text, encoding, start, end) in enumerate(text_shows(data or b""))
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            if token in (b"Tj", b"TJ", b"'", b'"'):
+                if token == b'"' and operand and operand[4] >= 2:
+                    state.word_space, state.char_space = before[-2:]
+                if token in (b"'", b'"'):
+                    state.next_line()
+                if operand and not bad and not numbers and (token != b'"' or operand[4] >= 2):
+                    yield token.decode(), *operand[:4], state
+            elif token == b"Do" and names:
+                yield "Do", names[-1][1:], "name", m.start(), at, state
+            else:
+                state.apply(token, names, numbers)
+            numbers, names, operand, opened, bad = [], [], None, None, False
+        if not string and token != b"]":
+            before = list(numbers)

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.graph import pages, string_value
-from vellum.sources.mint import document, obj
-from vellum.sources.scan import entry, name, ref_numbers
+from vellum.operators.graph import form_fields, name_entries, outlines, page_labels, pages
+from vellum.plans.staging import stage
+from vellum.sources.mint import document, literal, obj
+from vellum.sources.scan import entry, name, refs
+from vellum.sources.syntax import rebuilt, renumbered
 
-_STRING = r"\(((?:\\.|[^\\()])*)\)"
-
-
-def xref_entries(docs: DataFrame) -> DataFrame:
-    """doc_id, num, gen, offset, section: the entries in use of all cross-reference tables; section 0 is the first in the file."""
-    text = F.decode("content", "ISO-8859-1")
-    tables = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)[\r\n]xref\s*[\r\n]+(.*?)trailer"), F.lit(1))).alias("section", "body"))
-    parts = tables.select("doc_id", "section", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)(\d+ \d+\s*[\r\n]+(?:\d{10} \d{5} [nf]\s*)+)"), F.lit(1))).alias("part"))
-    first = F.regexp_extract("part", r"^(\d+)", 1).cast("int")
-    lines = F.regexp_extract_all("part", F.lit(r"(\d{10} \d{5} [nf])"), F.lit(1))
-    rows = parts.select("doc_id", "section", first.alias("first"), F.posexplode(lines).alias("i", "line")).where(F.substring("line", -1, 1) == "n")
-    return rows.select("doc_id", (F.col("first") + F.col("i")).alias("num"), F.substring("line", 12, 5).cast("int").alias("gen"), F.substring("line", 1, 10).cast("long").alias("offset"), "section")
+#: What a merged catalog takes from the first document.
+FIRST = ("Metadata", "OpenAction", "ViewerPreferences", "PageMode", "PageLayout", "Lang", "MarkInfo")
 
 
 def xref_in_force(entries: DataFrame) -> DataFrame:
@@ -32,63 +23,203 @@ def xref_in_force(entries: DataFrame) -> DataFrame:
     return entries.groupBy("doc_id", "num", "gen").agg(F.max_by("offset", "section").alias("offset"), F.count(F.lit(1)).alias("sections"))
 
 
-def name_entries(objs: DataFrame, kind: str) -> DataFrame:
-    """doc_id, ord, name, target of the name tree of one kind: pairs in leaves, in the order of the leaves' numbers."""
-    roots = objs.select("doc_id", F.regexp_extract("head", rf"/{kind}\s+(\d+)\s+\d+\s+R", 1).alias("r")).where("r <> ''").select("doc_id", F.col("r").cast("int").alias("num"))
-    heads = objs.select("doc_id", "num", F.col("head"), ref_numbers(entry(F.col("head"), "Kids")).alias("kids"))
-    top = roots.join(heads, ["doc_id", "num"])
-    below = top.select("doc_id", F.posexplode("kids").alias("at", "num")).join(heads.select("doc_id", "num", "head"), ["doc_id", "num"])
-    leaves = top.select("doc_id", F.lit(-1).alias("at"), "head").unionByName(below.select("doc_id", "at", "head"))
-    pairs = rf"(?s){_STRING}\s*(\d+)\s+\d+\s+R"
-    inside = entry(F.col("head"), "Names")
-    each = F.arrays_zip(F.regexp_extract_all(inside, F.lit(pairs), F.lit(1)).alias("name"), F.regexp_extract_all(inside, F.lit(pairs), F.lit(2)).alias("target"))
-    rows = leaves.select("doc_id", "at", F.posexplode(each).alias("i", "x"))
-    order = Window.partitionBy("doc_id").orderBy("at", "i")
-    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), string_value(F.concat(F.lit("("), "x.name", F.lit(")"))).alias("name"), F.col("x.target").cast("int").alias("target"))
-
-
 def merged_names(entries: DataFrame, group: Column, part: Column) -> DataFrame:
-    """Names of several documents in one tree: the first keeps its name, a later one of the same name gets its document's ordinal."""
+    """Names of several documents in one tree of a kind: the first keeps its name, a later one gets its document's ordinal among the merged."""
     rows = entries.select("*", group.alias("merged"), part.alias("part"))
-    ordinal = F.dense_rank().over(Window.partitionBy("merged").orderBy("part"))
-    first = F.row_number().over(Window.partitionBy("merged", "name").orderBy("part", "ord")) == 1
-    return rows.withColumns({"_n": ordinal, "_first": first}).select("merged", "part", F.when(F.col("_first"), F.col("name")).otherwise(F.concat("name", F.lit("#doc"), F.col("_n").cast("string"))).alias("name"), "target")
+    # Documents are numbered among themselves, names beside them: no task ranks all names of a merged document.
+    parts = rows.select("merged", "part").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("merged").orderBy("part")))
+    first = F.row_number().over(Window.partitionBy("merged", "kind", "name").orderBy("part", "ord")) == 1
+    rows = rows.withColumn("_first", first).join(parts, ["merged", "part"])
+    return rows.select("merged", "part", "doc_id", "kind", "ord", F.when(F.col("_first"), F.col("name")).otherwise(F.concat("name", F.lit("#doc"), F.col("_n").cast("string"))).alias("name"), "target", "value")
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """References in heads moved by delta; a page's parent becomes object 2."""
-    moved = re.compile(r"(\d+)(\s+\d+\s+R\b)")
+def _closure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What can be reached from the starting objects of each document, themselves included."""
+    for batch in batches:
+        ids, nums = [], []
+        for doc_id, edges, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "edges", "starts")), strict=True):
+            to: dict[int, list[int]] = {}
+            for e in edges or ():
+                to.setdefault(e["src"], []).append(e["dst"])
+            seen, stack = set(starts), list(starts)
+            while stack:
+                for n in to.get(stack.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        stack.append(n)
+            ids += [doc_id] * len(seen)
+            nums += sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nums, pa.int32())], ["doc_id", "num"])
+
+
+def reached(objs: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc_id, num: the objects that starts(doc_id, num) refer to, and so on; catalogs and nodes of page trees are not gone through."""
+    tree = objs.where(name("Type").isin("Catalog", "Pages")).select("doc_id", F.col("num").alias("dst"))
+    edges = refs(objs).join(tree, ["doc_id", "dst"], "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    begin = starts.groupBy("doc_id").agg(F.collect_set("num").alias("starts"))
+    return begin.join(edges, "doc_id", "left").select("doc_id", "edges", "starts").mapInArrow(_closure, "doc_id string, num int")
+
+
+def lineage(objs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed(merged, position, doc_id, page_index) with num and output_page_index: which page comes from where."""
+    index = F.row_number().over(Window.partitionBy("merged").orderBy("position", "doc_id", "page_index")) - 1
+    return placed.join(pages(objs).select("doc_id", "page_index", "num", "inherited"), ["doc_id", "page_index"]).withColumn("output_page_index", index)
+
+
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bodies with their references moved; a page gets its new parent and what it inherits."""
     for batch in batches:
-        heads = []
-        for head, delta, page in zip(*(batch.column(c).to_pylist() for c in ("head", "delta", "page")), strict=True):
-            head = moved.sub(lambda m, d=delta: f"{int(m[1]) + d}{m[2]}", head)
-            heads.append(re.sub(r"/Parent\s+\d+\s+\d+\s+R", "/Parent 2 0 R", head) if page else head)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("merged", "num", "raw")), pa.array(heads, pa.string())], ["merged", "num", "raw", "head"])
+        out = []
+        for head, entries, raw, delta, moved, inherited in zip(*(batch.column(c).to_pylist() for c in ("head", "entries", "raw", "delta", "moved", "inherited")), strict=True):
+            to = dict(moved or ())
+            if inherited is not None:
+                own = dict(inherited)
+                own.pop("resources_of", None)
+                body = rebuilt(own | {k: v for k, v in dict(entries).items() if k not in ("Parent",)}, {})
+                body = renumbered(body, to, delta)[:-2] + "/Parent 2 0 R >>"
+            else:
+                body = renumbered(head or "null", to, delta)
+            data = body.encode("latin-1", "replace")
+            out.append(data if raw is None else data + b"\nstream\n" + raw + b"\nendstream")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("merged", "new")), pa.array(out, pa.binary())], ["merged", "new", "body"])
+
+
+def compose(objs: DataFrame, placed: DataFrame) -> DataFrame:
+    """doc_id, content: documents made of pages: placed(merged, position, doc_id, page_index), a page as often as it is placed.
+
+    Objects that the pages need come with them, moved up by what the documents before hold; references to a page lead to
+    its first copy, or to null if it has none. The catalog has the first document's entries, the names of all (a name
+    that comes again gets its document's ordinal), labels and outline items of the copied pages, and all form fields.
+    """
+    objs, own = stage(objs), stage(lineage(objs, placed))
+    sizes = objs.groupBy("doc_id").agg(F.max("num").alias("top"))
+    parts = own.groupBy("merged", "doc_id").agg(F.min("position").alias("position")).join(sizes, "doc_id")
+    before = Window.partitionBy("merged").orderBy("position", "doc_id")
+    parts = parts.withColumn("delta", (F.coalesce(F.sum("top").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 10).cast("int"))
+    ends = parts.groupBy("merged").agg(F.max(F.col("delta") + F.col("top")).alias("end"))
+    own = stage(own.join(ends, "merged")).withColumn("new", (F.col("end") + 1 + F.col("output_page_index")).cast("int"))
+    copies = own.groupBy("merged", "doc_id", "num").agg(F.min("new").alias("new"))
+    every = objs.where(name("Type") == "Page").select("doc_id", "num").join(parts.select("merged", "doc_id"), "doc_id").join(copies, ["merged", "doc_id", "num"], "left")
+    moved = every.groupBy("merged", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("num", "new"))).alias("moved"))
+    parts = stage(parts.join(moved, ["merged", "doc_id"], "left"))
+
+    top = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog")).select("doc_id", F.col("entries").alias("catalog"))
+    named, labelled, listed = stage(name_entries(objs).where("error is null")), page_labels(objs), stage(outlines(objs).where("depth = 0"))
+    form = stage(form_parts(objs, top))
+    starts = own.select("doc_id", "num").union(named.where("target is not null").select("doc_id", "target")).union(listed.select("doc_id", "num")).union(form.select("doc_id", F.explode("fields")))
+    needed = stage(reached(objs, starts))
+    bodies = objs.where(~name("Type").isin("Catalog", "Pages", "Page")).join(needed, ["doc_id", "num"], "left_semi").join(parts.select("merged", "doc_id", "delta", "moved"), "doc_id")
+    listed = stage(linked_outlines(listed, parts, ends))
+    bodies = bodies.join(listed.select("merged", "doc_id", "num", F.lit(True).alias("item")), ["merged", "doc_id", "num"], "left").where("item is null")
+    columns = ["merged", "new", "head", "entries", "raw", "delta", "moved", "inherited"]
+    rows = bodies.select("merged", (F.col("num") + F.col("delta")).alias("new"), "head", "entries", "raw", "delta", "moved", F.lit(None).cast("map<string,string>").alias("inherited"))
+    sheets = own.join(objs.select("doc_id", "num", "head", "entries", "raw"), ["doc_id", "num"]).join(parts.select("merged", "doc_id", "delta", "moved"), ["merged", "doc_id"])
+    copied = rows.select(*columns).unionByName(sheets.select(*columns)).mapInArrow(_copied, "merged string, new int, body binary")
+    items = listed.select("merged", F.col("new"), F.col("body").cast("binary"))
+    objects = copied.unionByName(items).groupBy("merged").agg(F.array_sort(F.collect_list(obj(F.col("new"), F.col("body")))).alias("objects"))
+
+    kids = own.groupBy("merged").agg(F.transform(F.array_sort(F.collect_list(F.struct("output_page_index", "new"))), lambda p: F.concat(p["new"].cast("string"), F.lit(" 0 R"))).alias("kids"))
+    catalog = catalogs(parts, top, merged_names(named.join(parts.select("doc_id", F.col("merged").alias("_m"), F.col("position").alias("_p")), "doc_id"), F.col("_m"), F.col("_p")), labelled, own, form, listed)
+    pages_node = F.concat(F.lit("<< /Type /Pages /Kids ["), F.array_join("kids", " "), F.lit("] /Count "), F.size("kids").cast("string"), F.lit(" >>"))
+    whole = objects.join(kids, "merged").join(catalog, "merged", "left")
+    first = F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R "), F.coalesce("extra", F.lit("")), F.lit(">>"))
+    return whole.select(F.col("merged").alias("doc_id"), document(F.concat(F.array(obj(1, first), obj(2, pages_node)), "objects")).alias("content"))
+
+
+def _moved(raw: Column, delta: Column, moved: Column) -> Column:
+    @F.pandas_udf("string")
+    def apply(values, deltas, maps):
+        return values.combine(deltas, lambda v, d: (v, d)).combine(maps, lambda vd, m: None if vd[0] is None else renumbered(vd[0], dict(m) if m is not None else {}, int(vd[1])))
+
+    return apply(raw, delta, moved)
+
+
+def form_parts(objs: DataFrame, top: DataFrame) -> DataFrame:
+    """doc_id, form (entries of the form's dictionary), fields (its top fields' numbers)."""
+    ref = F.nullif(F.regexp_extract(F.coalesce(F.col("catalog")["AcroForm"], F.lit("")), r"^(\d{1,9})\s+\d+\s+R$", 1), F.lit("")).cast("int")
+    direct = F.transform_keys(F.map_filter("catalog", lambda k, _: F.startswith(k, F.lit("AcroForm/"))), lambda k, _: F.substring(k, F.lit(10), F.length(k)))
+    rows = top.where(F.col("catalog")["AcroForm"].isNotNull()).select("doc_id", ref.alias("num"), direct.alias("direct"))
+    rows = rows.join(objs.select("doc_id", "num", "entries"), ["doc_id", "num"], "left").select("doc_id", F.coalesce("entries", "direct").alias("form"))
+    fields = F.transform(F.regexp_extract_all(F.coalesce(F.col("form")["Fields"], F.lit("")), F.lit(r"(\d+)\s+\d+\s+R\b"), F.lit(1)), lambda x: x.cast("int"))
+    return rows.select("doc_id", "form", fields.alias("fields"))
+
+
+def linked_outlines(items: DataFrame, parts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Top items of all documents of each merged one, in order, each with the one before and after it: merged, doc_id, num, new, body, place, root, count."""
+    rows = items.join(parts.select("merged", "doc_id", "position", "delta", "moved"), "doc_id").withColumn("new", (F.col("num") + F.col("delta")).cast("int"))
+    order = Window.partitionBy("merged").orderBy("position", "doc_id", "ord")
+    rows = rows.withColumns({"prev": F.lag("new").over(order), "next": F.lead("new").over(order), "place": F.row_number().over(order)})
+    dest = F.coalesce(F.concat(F.lit(" /Dest "), _moved(F.col("dest"), F.col("delta"), F.col("moved"))), F.lit(""))
+    ref = lambda key, c: F.coalesce(F.concat(F.lit(f" /{key} "), F.col(c).cast("string"), F.lit(" 0 R")), F.lit(""))
+    body = F.concat(F.lit("<< /Title "), literal(F.coalesce("title", F.lit(""))), dest, ref("Prev", "prev"), ref("Next", "next"), F.lit(" /Parent 3 0 R >>"))
+    return rows.select("merged", "doc_id", "num", "new", body.alias("body"), "place").unionByName(
+        rows.groupBy("merged").agg(
+            F.lit("").alias("doc_id"), F.lit(3).alias("new"),
+            F.concat(F.lit("<< /Type /Outlines /First "), F.min_by("new", "place").cast("string"), F.lit(" 0 R /Last "), F.max_by("new", "place").cast("string"), F.lit(" 0 R /Count "), F.count(F.lit(1)).cast("string"), F.lit(" >>")).alias("body"),
+            F.lit(0).alias("place"),
+        ).select("merged", "doc_id", F.lit(3).alias("num"), "new", "body", "place")
+    )
+
+
+def catalogs(parts: DataFrame, top: DataFrame, names: DataFrame, labels: DataFrame, own: DataFrame, form: DataFrame, outline: DataFrame) -> DataFrame:
+    """merged, extra: the entries of each merged catalog beside its type and pages."""
+    place = parts.select("merged", "doc_id", "position", "delta", "moved")
+    first = place.join(top, "doc_id").groupBy("merged").agg(F.min_by(F.struct("catalog", "delta", "moved"), F.struct("position", "doc_id")).alias("f"))
+    kept = F.concat_ws(" ", *[F.concat(F.lit(f"/{k} "), _moved(F.col("f.catalog")[k], F.col("f.delta"), F.col("f.moved"))) for k in FIRST])
+    out = first.select("merged", kept.alias("first"))
+
+    value = F.coalesce(_moved(F.concat(F.col("target").cast("string"), F.lit(" 0 R")), F.col("delta"), F.col("moved")), F.lit("null"))
+    pairs = names.join(place.select("merged", "doc_id", "delta", "moved"), ["merged", "doc_id"]).select("merged", "kind", F.struct("name", F.concat(literal(F.col("name")), F.lit(" "), value).alias("pair")).alias("p"))
+    trees = pairs.groupBy("merged", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["pair"]), " ").alias("pairs"))
+    trees = trees.groupBy("merged").agg(F.concat(F.lit("/Names << "), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("/"), "kind", F.lit(" << /Names ["), "pairs", F.lit("] >>")))), " "), F.lit(" >>")).alias("names"))
+
+    text = F.concat(F.lit("<< "), F.coalesce(F.concat(F.lit("/S /"), "style", F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit("/P "), literal(F.col("prefix")), F.lit(" ")), F.lit("")), F.lit("/St "), F.col("start").cast("string"), F.lit(" >>"))
+    there = labels.join(own.select("merged", "position", "doc_id", F.col("page_index").alias("first_page"), "output_page_index"), ["doc_id", "first_page"])
+    there = there.groupBy("merged", "output_page_index").agg(F.max_by(text, F.struct("position", "doc_id")).alias("label"))
+    nums = there.groupBy("merged").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("output_page_index", "label"))), lambda x: F.concat(x["output_page_index"].cast("string"), F.lit(" "), x["label"])), " ").alias("n"))
+    nums = nums.select("merged", F.concat(F.lit("/PageLabels << /Nums ["), "n", F.lit("] >>")).alias("labels"))
+
+    forms = place.join(form, "doc_id")
+    keys = forms.select("merged", "position", "doc_id", "delta", "moved", F.explode(F.map_filter("form", lambda k, _: ~k.rlike(r"[/=#!]") & (k != "Fields"))).alias("key", "raw"))
+    keys = keys.groupBy("merged", "key").agg(F.min_by(_plain_struct(), F.struct("position", "doc_id")).alias("x"), F.max(F.col("raw") == "true").alias("any"))
+    raw = F.when((F.col("key") == "NeedAppearances") & F.col("any"), "true").otherwise(_moved(F.col("x.raw"), F.col("x.delta"), F.col("x.moved")))
+    keys = keys.groupBy("merged").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("/"), "key", F.lit(" "), raw))), " ").alias("keys"))
+    fields = forms.select("merged", "position", "doc_id", F.transform("fields", lambda n: F.concat((n + F.col("delta")).cast("string"), F.lit(" 0 R"))).alias("f"))
+    fields = fields.groupBy("merged").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "doc_id", "f"))), lambda x: x["f"])), " ").alias("fields"))
+    forms = fields.join(keys, "merged", "left").select("merged", F.concat(F.lit("/AcroForm << /Fields ["), "fields", F.lit("] "), F.coalesce("keys", F.lit("")), F.lit(" >>")).alias("form"))
+
+    outline = outline.where("place = 0").select("merged", F.lit("/Outlines 3 0 R").alias("outline"))
+    for more in (trees, nums, forms, outline):
+        out = out.join(more, "merged", "left")
+    return out.select("merged", F.concat(F.concat_ws(" ", "first", "names", "labels", "form", "outline"), F.lit(" ")).alias("extra"))
+
+
+def _plain_struct() -> Column:
+    return F.struct("raw", "delta", "moved")
 
 
 def merge(objs: DataFrame, group: Column, order: Column) -> DataFrame:
-    """doc_id, content: the documents of each group as one, all pages in the documents' order.
+    """doc_id, content: the documents of each group as one, all pages in the documents' order."""
+    placed = pages(objs).select(group.cast("string").alias("merged"), order.cast("long").alias("position"), "doc_id", "page_index")
+    return compose(objs, placed)
 
-    Objects move up by what the documents before hold; catalogs and inner page nodes give way to one of each, and
-    what pages inherit is written into them.
-    """
-    own = objs.select("*", group.alias("merged"), order.alias("at"), name(F.col("head"), "Type").alias("type"))
-    sizes = own.groupBy("merged", "at", "doc_id").agg(F.max("num").alias("top"))
-    before = F.coalesce(F.sum("top").over(Window.partitionBy("merged").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 10
-    sizes = sizes.select("doc_id", before.cast("int").alias("delta"))
-    tree = pages(objs).select("doc_id", "num", "page_index", "media_box")
-    kept = own.where("coalesce(type, '') not in ('Catalog', 'Pages')").join(sizes, "doc_id").join(tree, ["doc_id", "num"], "left")
-    box = F.when(F.col("page_index").isNotNull() & entry(F.col("head"), "MediaBox").isNull() & F.col("media_box").isNotNull(), F.regexp_replace("head", r">>\s*$", F.concat(F.lit(" /MediaBox "), "media_box", F.lit(" >>"))))
-    rows = kept.select("merged", (F.col("num") + F.col("delta")).cast("int").alias("num"), "raw", F.coalesce(box, "head").alias("head"), F.col("delta"), (F.col("type") == "Page").alias("page"))
-    moved = rows.select("merged", "num", "raw", "head", "delta", F.coalesce("page", F.lit(False)).alias("page")).mapInArrow(_renumbered, "merged string, num int, raw binary, head string")
-    head = F.encode("head", "ISO-8859-1")
-    body = F.when(F.col("raw").isNull(), head).otherwise(F.concat(head, F.lit("\nstream\n").cast("binary"), "raw", F.lit("\nendstream").cast("binary")))
-    bodies = moved.groupBy("merged").agg(F.array_sort(F.collect_list(obj(F.col("num"), body))).alias("objects"))
-    listed = kept.where("page_index is not null").groupBy("merged").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "page_index", (F.col("num") + F.col("delta")).cast("int").alias("n")))).alias("pages"))
-    kids = F.array_join(F.transform("pages", lambda p: F.concat(p["n"].cast("string"), F.lit(" 0 R"))), " ")
-    root = F.concat(F.lit("<< /Type /Pages /Kids ["), kids, F.lit("] /Count "), F.size("pages").cast("string"), F.lit(" >>"))
-    every = F.concat(F.array(obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), obj(2, root)), "objects")
-    return bodies.join(listed, "merged").select(F.col("merged").alias("doc_id"), document(every).alias("content"))
+
+def extract(objs: DataFrame, wanted: list[int]) -> DataFrame:
+    """doc_id, content: each document's pages of these indexes, in this order and as often; only documents that have them all."""
+    if not wanted:
+        raise ValueError("no pages are asked for")
+    at = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(p).alias("page_index")) for i, p in enumerate(wanted)])).alias("x")
+    asked = objs.select("doc_id").distinct().select("doc_id", at).select("doc_id", "x.*").join(pages(objs).select("doc_id", "page_index"), ["doc_id", "page_index"])
+    whole = asked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+    return compose(objs, asked.join(whole, "doc_id", "left_semi").select(F.col("doc_id").alias("merged"), "position", "doc_id", "page_index"))
+
+
+def insert(objs: DataFrame, into: DataFrame) -> DataFrame:
+    """doc_id, content: documents with all pages of others put in: into(doc_id, at, source), at from 0 to the number of pages."""
+    tree = pages(objs).select("doc_id", "page_index")
+    own = tree.join(into.select("doc_id", "at"), "doc_id").select(F.col("doc_id").alias("merged"), F.when(F.col("page_index") < F.col("at"), 0).otherwise(2).cast("long").alias("position"), "doc_id", "page_index")
+    other = into.select(F.col("doc_id").alias("merged"), F.col("source").alias("doc_id")).join(tree, "doc_id").select("merged", F.lit(1).cast("long").alias("position"), "doc_id", "page_index")
+    return compose(objs, own.unionByName(other))
 
 
 def numbers(value: Column) -> Column:
@@ -108,7 +239,7 @@ def transformed(page_rows: DataFrame, rotate: Column | None = None, crop: Column
         .when((box[2] <= box[0]) | (box[3] <= box[1]), "box has no area")
         .when(size <= 0, "scale is not positive")
     )
-    done = {"error": error, "rotate": F.when(error.isNull(), F.pmod(F.coalesce("rotate", F.lit(0)) + turn, F.lit(360)).cast("int")), "box": F.when(error.isNull(), F.transform(box, lambda x: x * size))}
+    done = {"error": error, "rotate": F.when(error.isNull(), F.pmod(F.coalesce(F.col("rotate").try_cast("int"), F.lit(0)) + turn, F.lit(360)).cast("int")), "box": F.when(error.isNull(), F.transform(box, lambda x: x * size))}
     return page_rows.withColumns(done)
 
 
@@ -160,23 +291,6 @@ def byte_range_status(docs: DataFrame) -> DataFrame:
 
 def choice_status(objs: DataFrame) -> DataFrame:
     """doc_id, num, options, selected of choice fields: the value must be one option's export or display text, once."""
-    fields = objs.where(name(F.col("head"), "FT") == "Ch")
-    pairs = rf"\[\s*{_STRING}\s*{_STRING}\s*\]"
-    inside = F.regexp_extract("head", r"(?s)/Opt\s*\[((?:\s*\[[^\]]*\])*)\s*\]", 1)
-    export, display = (F.regexp_extract_all(inside, F.lit(pairs), F.lit(i)) for i in (1, 2))
-    rows = fields.select("doc_id", "num", string_value(entry(F.col("head"), "V")).alias("v"), F.arrays_zip(export.alias("export"), display.alias("display")).alias("o"))
+    rows = form_fields(objs).where("type = 'Ch'").select("doc_id", "num", F.col("value").alias("v"), F.col("options").alias("o"))
     found = F.filter(F.transform("o", lambda x, i: F.when((x["export"] == F.col("v")) | (x["display"] == F.col("v")), i)), lambda i: i.isNotNull())
     return rows.select("doc_id", "num", F.size("o").alias("options"), F.when(F.size(found) == 1, found[0]).alias("selected"))
-
-
-def mapped_fields(template: DataFrame, dataset: DataFrame) -> DataFrame:
-    """template(doc_id, field, path) with the dataset's value: by the full path where it is unique, else by a unique last part.
-
-    dataset(doc_id, path, value). The sides that values come from are cut to paths that occur once first.
-    """
-    leaf = F.element_at(F.split("path", r"\."), -1)
-    by_path = dataset.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("by_path")).where("n = 1").drop("n")
-    by_leaf = dataset.groupBy("doc_id", leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("by_leaf")).where("n = 1").drop("n")
-    rows = template.withColumn("leaf", leaf).join(by_path, ["doc_id", "path"], "left").join(by_leaf, ["doc_id", "leaf"], "left")
-    how = F.when(F.col("by_path").isNotNull(), "path").when(F.col("by_leaf").isNotNull(), "leaf").otherwise("none")
-    return rows.select("doc_id", "field", "path", F.coalesce("by_path", "by_leaf").alias("value"), how.alias("match"))

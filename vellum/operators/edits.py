@@ -2,70 +2,108 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.codecs import encoded
-from vellum.operators.nodes import TEXT, Selector, nodes
+from vellum.functions.fonts import operand, proof
+from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
+from vellum.operators.rewrite import change, reachable, rewrite
 from vellum.plans.staging import stage
-from vellum.sources.mint import document, literal, obj, stream
 from vellum.sources.scan import name, objects, streams
 
-#: What an edit may be asked to guarantee.
-INVARIANTS = ("reparse", "old-gone", "new-selectable", "page-count-unchanged", "no-fallback")
+#: What an edit may be asked to guarantee, by the name of the column that says whether it holds.
+INVARIANTS = {"reparse": "reparse", "old-gone": "old_gone", "new-selectable": "new_selectable", "page-count-unchanged": "page_count_unchanged", "no-fallback": "no_fallback"}
+LAYOUTS = ("allow-width-change", "preserve-width", "reflow-line")
+#: Why a text can't be replaced, beside what a selector says.
+REASONS = ("shared_form_xobject", "reflow_required", "width_unproven", "cmap_multibyte_requires_width_proof", "cmap_unrepresentable", "font_encoding_unrepresentable", "unsupported_encoding", "preserve_width_not_proven", "reflow_line_unsupported")
 
 
-def plan(objs: DataFrame, old: str, new: str, selector: Selector | None = None) -> DataFrame:
-    """doc_id, status, num, seq, old, new: which text-show an edit of each document means, or why it is refused."""
-    found = (selector or Selector()).kind(TEXT).text(old).find_one(nodes(objs))
-    return found.select("doc_id", "status", "matches", F.col("node.num").alias("num"), F.col("node.seq").alias("seq"), F.lit(old).alias("old"), F.lit(new).alias("new"))
+def _replaced(new: pd.Series, kind: pd.Series, codes: pd.Series, known: pd.Series, table: pd.Series, widths: pd.Series, other: pd.Series, size: pd.Series) -> pd.DataFrame:
+    rows = []
+    for n, k, c, m, t, w, o, z in zip(new, kind, codes, known, table, widths, other, size, strict=True):
+        if n is None or k is None:
+            rows.append((None, None, None))
+            continue
+        m = dict(m) if m is not None else {}
+        token, made, reason = operand(k, n, m, None if t is None else list(t))
+        if reason:
+            rows.append((None, "unknown", reason))
+            continue
+        shown = proof(bytes(c), made, (dict(w), None if pd.isna(o) else int(o), int(z)) if z else None)
+        reason = shown if shown in ("reflow_required", "width_unproven") else None
+        if not reason and k.endswith("-cmap") and shown != "width_proven" and max(map(len, m), default=0) > 2:
+            reason = "cmap_multibyte_requires_width_proof"
+        rows.append((token, shown, reason))
+    return pd.DataFrame(rows, columns=["operand", "proof", "reason"])
+
+
+def plan(docs: DataFrame, old: str, new: str, selector: Selector | None = None, layout: str = LAYOUTS[0]) -> DataFrame:
+    """doc_id, status, matches, num, seq, start, end, operand, proof: which text-show an edit of each document means and what takes its place.
+
+    status is what find_one() says, or the reason why the text can't be replaced: it stands in a form that is shown more
+    than once, its font has no code for the new text, or the new text is not proven to be as wide as it may be.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout}")
+    found = (selector or Selector()).kind(TEXT).text(old).find_one(nodes(docs))
+    found = found.select("doc_id", "status", "matches", F.col("node.num").alias("num"), F.col("node.seq").alias("seq"))
+    columns = ("start", "end", "invocations", "encoding", "codes", "cmap", "table", "widths", "other_width", "code_size")
+    rows = text_rows(docs, with_fonts=True, only=old).groupBy("doc_id", "num", "seq").agg(F.first(F.struct(*columns)).alias("t")).select("doc_id", "num", "seq", "t.*")
+    got = found.join(rows, ["doc_id", "num", "seq"], "left")
+    fine = F.col("status") == "ok"
+    replaced = F.pandas_udf(_replaced, "operand binary, proof string, reason string")
+    got = got.withColumn("r", replaced(F.when(fine, F.lit(new)), "encoding", "codes", "cmap", "table", "widths", "other_width", F.coalesce("code_size", F.lit(0))))
+    reason = (
+        F.when(F.col("invocations") > 1, "shared_form_xobject")
+        .when(F.lit(layout == "reflow-line"), "reflow_line_unsupported")
+        .when(F.col("r.reason").isNotNull(), F.col("r.reason"))
+        .when(F.lit(layout == "preserve-width") & (F.col("r.proof") != "width_proven"), "preserve_width_not_proven")
+    )
+    status = F.when(fine, F.coalesce(reason, F.lit("ok"))).otherwise(F.col("status"))
+    return got.select("doc_id", status.alias("status"), "matches", "num", "seq", "start", "end", F.col("r.operand").alias("operand"), F.col("r.proof").alias("proof"), F.lit(old).alias("old"), F.lit(new).alias("new"))
 
 
 def apply(objs: DataFrame, plans: DataFrame) -> DataFrame:
-    """doc_id, content: the documents of accepted plans, written anew with the operand of the text-show replaced."""
-    from vellum.functions.content import shown
-    from vellum.operators.nodes import SHOWN
-
-    good = plans.where("status = 'ok'")
-    target = streams(objs).join(good.select("doc_id", "num", "seq", "new"), ["doc_id", "num"])
-    place = target.select("doc_id", "num", "data").mapInArrow(shown, SHOWN).select("doc_id", "num", "seq", "start", "end")
-    target = target.join(place, ["doc_id", "num", "seq"])
+    """doc_id, content, error: the documents of accepted plans, written anew with the operand of the text-show replaced."""
+    good = plans.where("status = 'ok'").select("doc_id", "num", "start", "end", "operand")
+    target = streams(objs).join(good, ["doc_id", "num"])
     at = lambda a, b: F.substring(F.col("data"), a, b)
-    data = F.concat(at(F.lit(1), F.col("start").cast("int")), literal(F.col("new")).cast("binary"), at((F.col("end") + 1).cast("int"), F.octet_length("data")))
-    entries = F.when(F.size("chain") > 0, F.concat(F.lit("/Filter ["), F.array_join(F.transform("chain", lambda c: F.concat(F.lit("/"), c)), " "), F.lit("]"))).otherwise("")
-    changed = target.select("doc_id", "num", stream(encoded(data, F.col("chain")), entries).alias("body"))
-    head = F.encode(F.col("head"), "ISO-8859-1")
-    plain = F.when(F.col("raw").isNull(), head).otherwise(F.concat(head, F.lit("\nstream\n").cast("binary"), F.col("raw"), F.lit("\nendstream").cast("binary")))
-    every = objs.join(good.select("doc_id"), "doc_id", "left_semi").select("doc_id", "num", plain.alias("plain")).join(changed, ["doc_id", "num"], "left")
-    rows = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(obj(F.col("num"), F.coalesce("body", "plain")))).alias("objects"))
-    return rows.select("doc_id", document(F.col("objects")).alias("content"))
+    data = F.concat(at(F.lit(1), F.col("start").cast("int")), F.col("operand"), at((F.col("end") + 1).cast("int"), F.octet_length("data")))
+    return rewrite(objs, target.select(*change(F.col("doc_id"), F.col("num"), data=data)))
 
 
-def counts(objs: DataFrame, old: str, new: str) -> DataFrame:
-    """doc_id, pages, n_old, n_new."""
-    text = nodes(objs).where(F.col("kind") == TEXT).groupBy("doc_id").agg(F.count(F.when(F.col("value") == old, 1)).alias("n_old"), F.count(F.when(F.col("value") == new, 1)).alias("n_new"))
-    pages = objs.groupBy("doc_id").agg(F.count(F.when(name(F.col("head"), "Type") == "Page", 1)).alias("pages"))
-    return pages.join(text, "doc_id", "left").fillna(0, ["n_old", "n_new"])
+def counts(docs: DataFrame, old: str, new: str) -> DataFrame:
+    """doc_id, n_old, n_new."""
+    return text_rows(docs).groupBy("doc_id").agg(F.count(F.when(F.col("text") == old, 1)).alias("n_old"), F.count(F.when(F.col("text") == new, 1)).alias("n_new"))
 
 
-def edit(docs: DataFrame, old: str, new: str, selector: Selector | None = None) -> DataFrame:
+def edit(docs: DataFrame, old: str, new: str, selector: Selector | None = None, layout: str = LAYOUTS[0], verify: tuple[str, ...] = tuple(INVARIANTS)) -> DataFrame:
     """doc_id, status, content, and the checks of each document's edit.
 
-    status is ok, what find_one() says, or verification_failed; content is null unless it is ok. The checks read the
-    written bytes again: the old text occurs once less, the new one once more, and the pages are as many as before.
+    status is ok, what plan() says, or verification_failed; content is null unless it is ok. The checks read the
+    written bytes again, from the cross references on: no old text is left, the new one is there, and the pages are as
+    many as before. verify: which of the checks must hold.
     """
+    if unknown := [v for v in verify if v not in INVARIANTS]:
+        raise ValueError(f"unknown invariants {unknown}")
     objs = stage(objects(docs))
-    plans = stage(plan(objs, old, new, selector))
+    plans = stage(plan(docs, old, new, selector, layout))
     written = stage(apply(objs, plans))
-    after = counts(objects(written), old, new).select("doc_id", F.col("pages").alias("pages_after"), F.col("n_old").alias("old_after"), F.col("n_new").alias("new_after"))
-    got = plans.join(counts(objs, old, new), "doc_id", "left").join(after, "doc_id", "left").join(written, "doc_id", "left")
+    pages = lambda o, out: o.groupBy("doc_id").agg(F.count(F.when(name("Type") == "Page", 1)).alias(out))
+    after = counts(written, old, new).select("doc_id", F.col("n_old").alias("old_after"), F.col("n_new").alias("new_after"))
+    got = plans.join(pages(objs, "pages"), "doc_id", "left").join(pages(objects(written), "pages_after"), "doc_id", "left").join(after, "doc_id", "left").join(written, "doc_id", "left").join(reachable(written), "doc_id", "left")
+    no = F.lit(False)
     checks = {
-        "reparse": F.coalesce(F.col("pages_after") > 0, F.lit(False)),
-        "old_gone": F.coalesce(F.col("old_after") == F.col("n_old") - 1, F.lit(False)),
-        "new_selectable": F.coalesce(F.col("new_after") == F.col("n_new") + 1, F.lit(False)),
-        "page_count_unchanged": F.coalesce(F.col("pages_after") == F.col("pages"), F.lit(False)),
+        "reparse": F.coalesce(F.col("sound") & (F.col("pages_after") > 0), no),
+        "old_gone": F.coalesce(F.col("old_after") == 0, no) if old != new else F.coalesce(F.col("new_after") > 0, no),
+        "new_selectable": F.coalesce(F.col("new_after") > 0, no),
+        "page_count_unchanged": F.coalesce(F.col("pages_after") == F.col("pages"), no),
+        "no_fallback": F.coalesce(F.col("error").isNull() & F.col("content").isNotNull(), no),
     }
     got = got.withColumns(checks)
-    fine = F.col("reparse") & F.col("old_gone") & F.col("new_selectable") & F.col("page_count_unchanged")
+    fine = F.lit(True)
+    for v in verify:
+        fine = fine & F.col(INVARIANTS[v])
     status = F.when((F.col("status") == "ok") & ~fine, "verification_failed").otherwise(F.col("status"))
-    return got.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"), *checks)
+    return got.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"), *checks, "proof")

@@ -1,133 +1,356 @@
-"""Page trees, annotations, forms and XML forms, as joins over objects and references."""
+"""Trees within documents: pages, names, labels, outlines and forms.
+
+The few entries of a document that make up a tree meet in one row of that document; a short walk puts them in order.
+All that can be said of a node by itself is columns.
+"""
 
 from __future__ import annotations
 
-import xml.parsers.expat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from vellum.sources.scan import entry, name, number, ref_numbers, text
+from vellum.sources.syntax import items, reference, string_text
+
+#: What a page takes from the nodes above it where it has none of its own.
+INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate", "ArtBox", "BleedBox", "TrimBox")
+Nodes = dict[int, dict[str, str]]
+
+
+def only(*keys: str, under: tuple[str, ...] = ()) -> Column:
+    """The entries of these keys, and those whose path begins with one of `under`."""
+    keep = lambda k, _: k.isin(*keys) | (F.lit(False) if not under else F.exists(F.array(*map(F.lit, under)), lambda u: F.startswith(k, u)))
+    return F.map_filter("entries", keep)
+
+
+def by_document(rows: DataFrame, walk: Callable[[Nodes], Iterator[tuple]], columns: str) -> DataFrame:
+    """What walk() yields from the nodes of each document: rows(doc_id, num, entries), as a table of doc_id and `columns`."""
+    schema = to_arrow_schema(T.StructType.fromDDL(f"doc_id string, {columns}"))
+    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("num", "entries")).alias("nodes"))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                (doc_id, *row)
+                for doc_id, nodes in zip(batch.column("doc_id").to_pylist(), batch.column("nodes").to_pylist(), strict=True)
+                for row in walk({n["num"]: dict(n["entries"]) for n in nodes})
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return grouped.mapInArrow(walked, f"doc_id string, {columns}")
+
+
+def target(raw: str | None) -> int | None:
+    ref = reference(raw)
+    return ref[0] if ref else None
+
+
+def root(nodes: Nodes) -> dict[str, str]:
+    """The catalog: what the trailer names, else the first of that type."""
+    named = [n for n, e in nodes.items() if "Root!" in e] or sorted(n for n, e in nodes.items() if e.get("Type") == "/Catalog")
+    return nodes[named[0]] if named else {}
+
+
+def below(nodes: Nodes, entries: dict[str, str], key: str) -> dict[str, str]:
+    """The dictionary that is a key's value, direct or by reference."""
+    own = target(entries.get(key))
+    if own is not None:
+        return nodes.get(own, {})
+    return {k[len(key) + 1 :]: v for k, v in entries.items() if k.startswith(f"{key}/")}
 
-from vellum.plans.staging import stage
-from vellum.sources.scan import entry, name, ref_numbers, streams
 
-DEPTH = 64
+def page_list(nodes: Nodes) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """(index, number, what it has or inherits) of the pages, in the order of the tree."""
+    index = 0
+    stack: list[tuple] = [(target(root(nodes).get("Pages")), {}, frozenset())]
+    while stack:
+        num, above, path = stack.pop()
+        if num in path or num not in nodes:
+            continue
+        own = nodes[num]
+        got = above | {k: own[k] for k in INHERITED if k in own}
+        if "Resources" in own:
+            got["resources_of"] = str(num)
+        if own.get("Type") == "/Page":
+            yield index, num, got
+            index += 1
+            continue
+        kids = [int(n) for kind, n in items(own.get("Kids")) if kind == "ref"]
+        stack += [(kid, got, path | {num}) for kid in reversed(kids)]
 
 
-def pages(objs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, page_index, num, media_box: pages in the order of the tree, with the box that they have or inherit.
+def _pages(nodes: Nodes) -> Iterator[tuple]:
+    for index, num, got in page_list(nodes):
+        yield index, num, got.get("MediaBox"), got.get("CropBox"), got.get("Rotate"), int(got["resources_of"]) if "resources_of" in got else None, got
 
-    The tree is walked a level at a time, each level a join on (doc_id, num). A node that comes again on its own path
-    ends that path; a tree deeper than `depth` is an error.
+
+def pages(objs: DataFrame) -> DataFrame:
+    """doc_id, page_index, num, media_box, crop_box, rotate, resources_of and all inherited: pages in the order of the tree.
+
+    A node that comes again on its own path, or is not there, ends that path. resources_of is the object whose
+    /Resources hold for the page.
     """
-    heads = stage(objs.select("doc_id", "num", name(F.col("head"), "Type").alias("type"), entry(F.col("head"), "MediaBox").alias("box"), ref_numbers(entry(F.col("head"), "Kids")).alias("kids"), ref_numbers(entry(F.col("head"), "Pages")).alias("roots")))
-    level = heads.where("type = 'Catalog'").select("doc_id", F.get("roots", F.lit(0)).alias("num"), F.array(F.lit(0)).alias("path"), F.array().cast("array<int>").alias("above"), F.lit(None).cast("string").alias("inherited"))
-    found = None
-    for _ in range(depth):
-        here = stage(
-            level.join(heads, ["doc_id", "num"])
-            .where(~F.array_contains("above", F.col("num")))
-            .select("doc_id", "num", "type", "kids", "path", F.array_append("above", F.col("num")).alias("above"), F.coalesce("box", "inherited").alias("box"))
-        )
-        leaves = here.where("type = 'Page'").select("doc_id", "num", "path", "box")
-        found = leaves if found is None else found.unionByName(leaves)
-        level = here.where("type = 'Pages'").select("doc_id", F.posexplode("kids").alias("at", "kid"), "path", "above", "box")
-        level = level.select("doc_id", F.col("kid").alias("num"), F.array_append("path", F.col("at")).alias("path"), "above", F.col("box").alias("inherited"))
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"a page tree is deeper than {depth}")
-    order = Window.partitionBy("doc_id").orderBy("path")
-    return found.select("doc_id", (F.row_number().over(order) - 1).alias("page_index"), "num", F.col("box").alias("media_box"))
+    tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog", "Pages", "Page"))
+    rows = tree.select("doc_id", "num", only("Root!", "Type", "Pages", "Kids", *INHERITED).alias("entries"))
+    return by_document(rows, _pages, "page_index int, num int, media_box string, crop_box string, rotate string, resources_of int, inherited map<string,string>")
 
 
-def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
-    """doc_id, page_index, annotation_index, subtype, contents of the annotations on pages."""
-    lists = objs.select("doc_id", F.col("num").alias("page"), F.posexplode(ref_numbers(entry(F.col("head"), "Annots"))).alias("annotation_index", "num"))
-    lists = lists.join(page_rows.select("doc_id", F.col("num").alias("page"), "page_index"), ["doc_id", "page"])
-    body = objs.select("doc_id", "num", name(F.col("head"), "Subtype").alias("subtype"), string_value(entry(F.col("head"), "Contents")).alias("contents"))
-    return lists.join(body, ["doc_id", "num"]).select("doc_id", "page_index", "annotation_index", "subtype", "contents")
+def names_in(nodes: Nodes, kind: str) -> Iterator[tuple[str, str, str | None]]:
+    """(name, kind of its value, value) of a name tree, in order; a node that comes again on its own path is an error."""
+    stack: list[tuple] = [(below(nodes, below(nodes, root(nodes), "Names"), kind), frozenset())]
+    while stack:
+        node, path = stack.pop()
+        pairs, depth, key = [], 0, None
+        for what, value in items(node.get("Names"))[1:-1]:
+            if depth == 0 and key is None:
+                if what != "text":
+                    yield "", "error", "a name is no string"
+                    return
+                key = value
+                continue
+            depth += (what == "open") - (what == "close")
+            if depth == 0:
+                pairs.append((key, what if what != "close" else "direct", value))
+                key = None
+        if key is not None:
+            yield "", "error", "a name without a value"
+            return
+        yield from pairs
+        for kid in reversed([int(n) for what, n in items(node.get("Kids")) if what == "ref"]):
+            if kid in path:
+                yield "", "error", "a circle of names"
+                return
+            stack.append((nodes.get(kid, {}), path | {kid}))
+
+
+KINDS = ("Dests", "EmbeddedFiles", "JavaScript")
+
+
+def _names(nodes: Nodes) -> Iterator[tuple]:
+    for kind in KINDS:
+        for i, (key, what, value) in enumerate(names_in(nodes, kind)):
+            yield kind, i, key, int(value) if what == "ref" else None, value if what not in ("ref", "error") else None, value if what == "error" else None
+
+
+def name_entries(objs: DataFrame) -> DataFrame:
+    """doc_id, kind, ord, name, target (object number), value (a direct one), error of the name trees, however deep."""
+    tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog") | F.greatest(*[entry(k).isNotNull() for k in ("Names", "Kids", *KINDS)]))
+    rows = tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "Names", "Kids", *KINDS, under=("Names/", *[f"{k}/" for k in KINDS])).alias("entries"))
+    return by_document(rows, _names, "kind string, ord int, name string, target int, value string, error string")
+
+
+def _labels(nodes: Nodes) -> Iterator[tuple]:
+    stack: list[tuple] = [(below(nodes, root(nodes), "PageLabels"), frozenset())]
+    while stack:
+        node, path = stack.pop()
+        at = [k for k in node if k.startswith("Nums/[")]
+        flat = items(node.get("Nums"))[1:-1]
+        depth, place, key = 0, 0, None
+        for what, value in flat:
+            if depth == 0 and key is None and what == "word":
+                key, place = int(value), place + 1
+                continue
+            depth += (what == "open") - (what == "close")
+            if depth == 0 and key is not None:
+                prefix = f"Nums/[{place}]/"
+                own = nodes.get(int(value), {}) if what == "ref" else {k[len(prefix) :]: node[k] for k in at if k.startswith(prefix)}
+                yield key, own.get("S", "")[1:] or None, own.get("P="), int(own["St"]) if own.get("St", "").isdigit() else 1
+                key, place = None, place + 1
+        stack += [(nodes.get(kid, {}), path | {kid}) for kid in reversed([int(n) for what, n in items(node.get("Kids")) if what == "ref"]) if kid not in path]
+
+
+def page_labels(objs: DataFrame) -> DataFrame:
+    """doc_id, first_page, style, prefix, start of the number tree of page labels."""
+    tree = objs.where("raw is null").where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Nums").isNotNull() | entry("Kids").isNotNull() | entry("S").isNotNull())
+    return by_document(tree.select("doc_id", "num", only("Root!", "Type", "PageLabels", "Nums", "Kids", "S", "P=", "St", under=("PageLabels/", "Nums/")).alias("entries")), _labels, "first_page int, style string, prefix string, start int")
+
 
+def _outline(nodes: Nodes) -> Iterator[tuple]:
+    stack: list[tuple] = [(target(below(nodes, root(nodes), "Outlines").get("First")), None, 0)]
+    seen: set[int] = set()
+    order = 0
+    while stack:
+        num, parent, depth = stack.pop()
+        if num is None or num in seen or num not in nodes:
+            continue
+        seen.add(num)
+        own = nodes[num]
+        yield order, num, parent, depth, own.get("Title="), own.get("Dest"), own.get("Dest=")
+        order += 1
+        stack += [(target(own.get("Next")), parent, depth), (target(own.get("First")), num, depth + 1)]
 
-def string_value(value):
-    """The text of a literal string's raw value: its plain escapes undone (backslash, parentheses, line ends, hyphen)."""
-    inner = F.substring(value, F.lit(2), F.length(value) - 2)
-    inner = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
-    for escaped, plain in (("\\(", "("), ("\\)", ")"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\055", "-")):
-        inner = F.replace(inner, F.lit(escaped), F.lit(plain))
-    return F.decode(F.encode(F.replace(inner, F.lit("\x00"), F.lit("\\")), "ISO-8859-1"), "UTF-8")
 
+def outlines(objs: DataFrame) -> DataFrame:
+    """doc_id, ord, num, parent, depth, title, dest, dest_name of the outline, in the order of reading."""
+    tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Title").isNotNull() | entry("First").isNotNull())
+    return by_document(tree.select("doc_id", "num", only("Root!", "Type", "Outlines", "First", "Next", "Title=", "Dest", "Dest=", under=("Outlines/",)).alias("entries")), _outline, "ord int, num int, parent int, depth int, title string, dest string, dest_name string")
 
-def form_fields(objs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, num, name, type, value, flags of the fields that end their branch; a name is that of all above joined by dots.
 
-    Type and flags are inherited. The chains of parents are followed a level at a time.
+_FIELD = ("T=", "FT", "TU=", "TM=", "V", "V=", "DV", "DV=", "Ff", "Kids", "Fields", "RV", "A", "AA", "Subtype", "Opt", "I", "MaxLen", "Rect", "AP")
+
+
+def _actions(own: dict[str, str], of: str) -> list[str]:
+    script = any((k.startswith(("A/", "AA/")) and k.endswith("/S")) and v == "/JavaScript" for k, v in own.items())
+    return [x for x, there in ((f"{of}_action", "A" in own), (f"{of}_additional_actions", "AA" in own), (f"{of}_javascript_action", script)) if there]
+
+
+def _states(own: dict[str, str]) -> list[str]:
+    """The names of a button's normal appearances."""
+    return sorted({k[5:].split("/")[0] for k in own if k.startswith("AP/N/")} - {"#"})
+
+
+def _fields(nodes: Nodes) -> Iterator[tuple]:
+    form = below(nodes, root(nodes), "AcroForm")
+    seen: set[int] = set()
+    order = 0
+    refs = lambda e, key: [int(n) for what, n in items(e.get(key)) if what == "ref"]
+    stack: list[tuple] = [(n, (), None, None) for n in reversed(refs(form, "Fields"))]
+    while stack:
+        num, above, kind, flags = stack.pop()
+        if num in seen or num not in nodes:
+            continue
+        seen.add(num)
+        own = nodes[num]
+        kind, flags = own.get("FT", kind), own.get("Ff", flags)
+        if "T=" in own:
+            above = (*above, own["T="])
+            kids = [nodes.get(k) for k in refs(own, "Kids")]
+            shape = [x for k in kids for x in (["unresolved_kid"] if k is None else ["nested_kids"] * ("Kids" in k) + ["named_non_widget_kid"] * ("T=" in k and k.get("Subtype") != "/Widget"))]
+            blockers = _actions(own, "field") + [x for k in kids if k is not None for x in _actions(k, "widget")] + shape
+            parts = [_states(own)] + [_states(k or {}) for k in kids]
+            proof = bool(parts[0]) or (len(parts) > 1 and all(parts[1:]))
+            rect = all("Rect" in (k or {}) for k in kids) if kids else "Rect" in own
+            yield order, num, ".".join(above), (kind or "/")[1:], own, int(flags) if flags and flags.lstrip("+-").isdigit() else None, len(kids), blockers, sorted({s for p in parts for s in p}), proof, rect
+            order += 1
+        stack += [(n, above, kind, flags) for n in reversed(refs(own, "Fields") + refs(own, "Kids"))]
+
+
+#: Fixed names of the bits of a field's flags: for all types, then by type.
+COMMON_FLAGS = {1: "read_only", 2: "required", 3: "no_export"}
+TYPE_FLAGS = {
+    "Tx": {13: "multiline", 14: "password", 21: "file_select", 23: "do_not_spell_check", 24: "do_not_scroll", 25: "comb", 26: "rich_text"},
+    "Btn": {15: "no_toggle_to_off", 16: "radio", 17: "pushbutton", 26: "radios_in_unison"},
+    "Ch": {18: "combo", 19: "edit", 20: "sort", 22: "multi_select", 23: "do_not_spell_check", 27: "commit_on_sel_change"},
+}
+#: Fixed names of the bits of an annotation's flags.
+ANNOTATION_FLAGS = {1: "invisible", 2: "hidden", 3: "print", 4: "no_zoom", 5: "no_rotate", 6: "no_view", 7: "read_only", 8: "locked", 9: "toggle_no_view", 10: "locked_contents"}
+
+
+def bit(flags: Column, n: int) -> Column:
+    return F.lit(1 << (n - 1)).bitwiseAND(F.coalesce(flags, F.lit(0))) != 0
+
+
+def flag_names(flags: Column, bits: dict[int, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(bit(flags, n), F.lit(x)) for n, x in bits.items()]))
+
+
+def options(raw: Column) -> Column:
+    """A choice's options as structs of export and display text: strings, or pairs of them."""
+
+    @F.pandas_udf("array<struct<export:string,display:string>>")
+    def apply(values):
+        def one(raw):
+            out, pair = [], None
+            for kind, x in items(raw)[1:-1]:
+                if kind == "open":
+                    pair = []
+                elif kind == "close" and pair:
+                    out.append({"export": pair[0], "display": pair[-1]})
+                    pair = None
+                elif kind == "text":
+                    out.append({"export": x, "display": x}) if pair is None else pair.append(x)
+            return out
+
+        return values.map(one)
+
+    return apply(F.coalesce(raw, F.lit("")))
+
+
+def form_fields(objs: DataFrame) -> DataFrame:
+    """Every named field of the form, those above before those below: doc_id, ord, num, name and what there is to say of it.
+
+    A name is that of all above joined by dots; type and flags are inherited; a field that several refer to comes once.
+    appearance_status and fill_status say what an edit could do, the blockers why it could not.
+    """
+    tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("T").isNotNull() | entry("Kids").isNotNull() | entry("Fields").isNotNull() | (name("Subtype") == "Widget"))
+    rows = tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "AcroForm", *_FIELD, under=("AcroForm/", "A/", "AA/", "AP/N")).alias("entries"))
+    found = by_document(rows, _fields, "ord int, num int, name string, type string, entries map<string,string>, flags int, kid_count int, other_blockers array<string>, button_states array<string>, proof boolean, rect boolean")
+    rich = F.when(entry("RV").isNotNull(), F.array(F.lit("rich_text_value"))).when(bit(F.col("flags"), 26), F.array(F.lit("rich_text_flag"))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("rich", rich).withColumn("options", F.when(F.col("type") == "Ch", options(entry("Opt"))))
+    fill = F.array_distinct(F.concat("rich", "other_blockers"))
+    kind, multi = F.col("type"), bit(F.col("flags"), 22)
+    one = lambda x: F.array(F.lit(x))
+    none = F.array().cast("array<string>")
+    no_type = F.when(kind == "", one("unknown_field_type")).otherwise(one("unsupported_field_type"))
+    known = kind.isin("Tx", "Ch")
+    said = lambda status, why: F.struct(F.lit(status).alias("status"), why.alias("blockers"))
+    appearance = (
+        F.when(known & (F.size("rich") > 0), said("unsafe", F.col("rich")))
+        .when(known & F.col("rect"), said("approximate_supported", none))
+        .when(known, said("unsupported", one("missing_widget_rect")))
+        .when((kind == "Btn") & F.col("proof"), said("existing_button_state_only", none))
+        .when(kind == "Btn", said("unsupported", one("button_appearance_synthesis_not_supported")))
+        .otherwise(said("unsupported", no_type))
+    )
+    filled = (
+        F.when(F.size(fill) > 0, said("unsafe", fill))
+        .when((kind == "Ch") & multi & (F.size("options") == 0), said("unsupported", one("multi_select_missing_options")))
+        .when(known | ((kind == "Btn") & F.col("proof")), said("supported", none))
+        .when(kind == "Btn", said("unsupported", one("missing_or_ambiguous_button_appearance_states")))
+        .otherwise(said("unsupported", no_type))
+    )
+    typed = F.lit(None).cast("array<string>")
+    for k, bits in TYPE_FLAGS.items():
+        typed = F.when(kind == k, flag_names(F.col("flags"), bits)).otherwise(typed)
+    value = lambda key: F.coalesce(text(key), F.nullif(name(key), F.lit("")))
+    return found.withColumns({"_a": appearance, "_f": filled}).select(
+        "doc_id", "ord", "num", "name", "type", text("TU").alias("alternate_name"), text("TM").alias("mapping_name"), value("V").alias("value"), value("DV").alias("default_value"), "flags",
+        flag_names(F.col("flags"), COMMON_FLAGS).alias("flag_names"), typed.alias("type_flag_names"), "kid_count", "options", "button_states",
+        F.col("_a.status").alias("appearance_status"), F.col("_a.blockers").alias("appearance_blockers"), F.col("_f.status").alias("fill_status"), F.col("_f.blockers").alias("fill_blockers"),
+        ((F.col("_f.status") == "supported") & ~bit(F.col("flags"), 1)).alias("fillable"),
+    )
+
+
+def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """doc_id, annotation_index, page_index, num, subtype, contents, rect, flags and what they allow.
+
+    Annotations with a number of their own come first, by number, each once, on the first page that lists it; then
+    those that stand in a page's list itself.
     """
-    own = stage(
-        objs.where(entry(F.col("head"), "T").isNotNull()).select(
-            "doc_id", "num", string_value(entry(F.col("head"), "T")).alias("name"), name(F.col("head"), "FT").alias("type"),
-            string_value(entry(F.col("head"), "V")).alias("value"), entry(F.col("head"), "Ff").cast("int").alias("flags"),
-            F.get(ref_numbers(entry(F.col("head"), "Parent")), F.lit(0)).alias("parent"), F.size(ref_numbers(entry(F.col("head"), "Kids"))).alias("kids"),
-        )
-    ).withColumn("type", F.nullif("type", F.lit("")))
-    found = own.where("kids = 0").select("doc_id", "num", "name", "type", "value", "flags", "parent")
-    up = own.select("doc_id", F.col("num").alias("parent"), F.col("name").alias("above"), F.col("type").alias("type_above"), F.col("flags").alias("flags_above"), F.col("parent").alias("next"))
-    for _ in range(depth):
-        if found.where("parent is not null").isEmpty():
-            break
-        found = stage(
-            found.join(up, ["doc_id", "parent"], "left").select(
-                "doc_id", "num", F.concat_ws(".", "above", "name").alias("name"), F.coalesce("type", "type_above").alias("type"), "value", F.coalesce("flags", "flags_above").alias("flags"), F.col("next").alias("parent")
-            )
-        )
-    else:
-        raise ValueError(f"a chain of fields is longer than {depth}, or a circle")
-    return found.select("doc_id", "num", "name", "type", "value", F.coalesce("flags", F.lit(0)).alias("flags"))
-
-
-def field_flags(flags) -> dict:
-    """Bits of a field's flags that hold for all types, and for text."""
-    bit = lambda n: F.lit(1 << (n - 1)).bitwiseAND(flags) != 0
-    return {"read_only": bit(1), "required": bit(2), "no_export": bit(3), "multiline": bit(13), "password": bit(14)}
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            path, text, kids, n = [], [[]], [False], [0]
-            parser = xml.parsers.expat.ParserCreate()
-
-            def refuse(*_):
-                raise ValueError("a document type is not allowed")
-
-            def begin(tag, _, path=path, text=text, kids=kids):
-                kids[-1] = True
-                path.append(tag)
-                text.append([])
-                kids.append(False)
-
-            def end(_, path=path, text=text, kids=kids, n=n, doc_id=doc_id, rows=rows):
-                own = "".join(text.pop())
-                if not kids.pop():
-                    rows.append((doc_id, n[0], ".".join(path), own))
-                    n[0] += 1
-                path.pop()
-
-            parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = begin, end, refuse
-            parser.CharacterDataHandler = lambda s, text=text: text[-1].append(s)
-            try:
-                parser.Parse(data, True)
-            except (xml.parsers.expat.ExpatError, ValueError) as e:
-                rows.append((doc_id, -1, "error", str(e)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "at", "path", "value"]
-        )
-
-
-def dataset_fields(objs: DataFrame) -> DataFrame:
-    """doc_id, at, path, value of the leaves of the XML in a form's data packet; XML with a document type gives an error row."""
-    packets = objs.select("doc_id", F.regexp_extract("head", r"/XFA\s*\[.*?\(datasets\)\s*(\d+)\s+\d+\s+R", 1).alias("num")).where("num <> ''")
-    data = streams(objs).join(packets.select("doc_id", F.col("num").cast("int").alias("num")), ["doc_id", "num"]).select("doc_id", "data")
-    return data.mapInArrow(_leaves, "doc_id string, at int, path string, value string")
+    marked = lambda p: (entry(f"{p}Type") == "/Annot") | (F.coalesce(entry(f"{p}Subtype"), F.lit("")).startswith("/") & F.coalesce(entry(f"{p}Rect"), F.lit("")).startswith("["))
+    here = page_rows.select("doc_id", F.col("num").alias("page"), "page_index")
+    lists = objs.where(entry("Annots").isNotNull()).select("doc_id", F.col("num").alias("page"), "entries")
+    first = lists.select("doc_id", "page", F.explode(ref_numbers(entry("Annots"))).alias("num")).join(here, ["doc_id", "page"]).groupBy("doc_id", "num").agg(F.min("page_index").alias("page_index"))
+    own = objs.where(marked("")).select("doc_id", "num", "entries").join(first, ["doc_id", "num"], "left").select("doc_id", F.lit(0).alias("a"), F.col("num").alias("b"), F.lit(0).alias("c"), "num", "page_index", "entries")
+    at = F.transform(F.filter(F.map_keys("entries"), lambda k: k.rlike(r"^Annots/\[\d+\]/Subtype$")), lambda k: F.regexp_extract(k, r"\[(\d+)\]", 1).cast("int"))
+    direct = lists.select("doc_id", "page", "entries", F.explode(at).alias("c"))
+    prefix = F.concat(F.lit("Annots/["), F.col("c").cast("string"), F.lit("]/"))
+    direct = direct.withColumn("entries", F.transform_keys(F.map_filter("entries", lambda k, _: F.startswith(k, prefix)), lambda k, _: F.replace(k, prefix, F.lit(""))))
+    direct = direct.where(marked("")).join(here, ["doc_id", "page"], "left").select("doc_id", F.lit(1).alias("a"), F.col("page").alias("b"), "c", F.lit(None).cast("int").alias("num"), "page_index", "entries")
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b", "c")) - 1
+    rect = F.transform(F.regexp_extract_all(F.coalesce(entry("Rect"), F.lit("")), F.lit(r"([-+]?(?:\d+\.?\d*|\.\d+))"), F.lit(1)), lambda x: x.cast("double"))
+    script = F.exists(F.map_keys("entries"), lambda k: (k == "A/S") & (F.col("entries")[k] == "/JavaScript"))
+    unsafe = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in ((entry("RC").isNotNull(), "rich_text_content"), (script, "javascript_action"), (entry("AA").isNotNull(), "additional_actions"))]))
+    basic = name("Subtype").isin("Text", "FreeText", "Link", "Square", "Circle", "Highlight", "Underline", "StrikeOut")
+    area = (F.size(rect) == 4) & (F.get(rect, F.lit(2)) > F.get(rect, F.lit(0))) & (F.get(rect, F.lit(3)) > F.get(rect, F.lit(1)))
+    status = F.when(F.size(unsafe) > 0, "unsafe").when(~basic | ~F.coalesce(area, F.lit(False)), "unsupported").otherwise("approximate_supported")
+    blockers = F.when(F.size(unsafe) > 0, unsafe).when(~basic, F.array(F.lit("unsupported_subtype"))).when(~F.coalesce(area, F.lit(False)), F.array(F.lit("missing_usable_rect"))).otherwise(F.array().cast("array<string>"))
+    return own.unionByName(direct).select(
+        "doc_id", index.alias("annotation_index"), "page_index", "num", name("Subtype").alias("subtype"), text("Contents").alias("contents"), text("NM").alias("name"), text("M").alias("modified"), rect.alias("rect"),
+        number("F").alias("flags"), flag_names(number("F"), ANNOTATION_FLAGS).alias("flag_names"), status.alias("appearance_status"), blockers.alias("appearance_blockers"),
+    )
+
+
+def string_of(raw: Column) -> Column:
+    """The text of a raw string value."""
+
+    @F.pandas_udf("string")
+    def apply(values):
+        return values.map(lambda v: None if v is None else string_text(v.encode("latin-1")))
+
+    return apply(raw)

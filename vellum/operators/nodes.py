@@ -1,46 +1,210 @@
-"""The node table of documents and selectors over it."""
+"""The node table of documents and selectors over it.
+
+What a text-show says depends on its document's pages, forms and fonts, so a document is read at once, where it lies;
+nothing is shuffled for it. Everything after that is columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.content import shown
-from vellum.sources.scan import entry, name, ref_numbers, streams
+from vellum.functions.codecs import REVERSIBLE, chain_names, decode, parameters
+from vellum.functions.content import text_shows
+from vellum.functions.fonts import cmap, encoding, one_text, widths
+from vellum.operators.graph import below, page_list, target
+from vellum.sources.scan import document_objects, name, objects, streams
+from vellum.sources.syntax import items
 
 DOCUMENT, STREAM, TEXT = "pdf.document", "pdf.stream", "pdf.content.text_show"
-SHOWN = "doc_id string, num int, seq int, operator string, text string, encoding string, start long, end long"
+#: Forms within forms that are followed.
+FORM_DEPTH = 4
+
+
+def cmap_of(data: Column) -> Column:
+    """The character map that a stream's bytes hold: code in hex digits -> text."""
+
+    @F.pandas_udf("map<string,string>")
+    def apply(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else cmap(bytes(d)))
+
+    return apply(data)
+
+
+class Texts:
+    """The text-shows of one document: its streams in the order in which pages show them, decoded as their fonts say."""
+
+    def __init__(self, data: bytes):
+        self.rows = {r["num"]: r for r in document_objects(data)}
+        self.nodes = {n: r["entries"] for n, r in self.rows.items()}
+        self.read: dict[int, bytes | None] = {}
+        self.known: dict[int, dict] = {}
+        maps = [m for n, e in self.nodes.items() if (to := target(e.get("ToUnicode"))) is not None and (m := cmap(self.stream(to) or b""))]
+        self.single = maps[0] if len(maps) == 1 else None
+
+    def stream(self, num: int) -> bytes | None:
+        """A stream's decoded bytes; None if it is none, or can't be read."""
+        if num not in self.read:
+            row, out = self.rows.get(num), None
+            if row is not None and row["raw"] is not None:
+                chain = chain_names(row["entries"].get("Filter"))
+                parms, wrong = parameters(row["entries"], chain)
+                try:
+                    out = None if wrong or not set(chain) <= set(REVERSIBLE) else decode(row["raw"], chain, parms)
+                except Exception:  # whatever is wrong with the data, it has no text  # noqa: BLE001
+                    out = None
+            self.read[num] = out
+        return self.read[num]
+
+    def fonts(self, owner: int | None) -> dict[str, tuple]:
+        """(character map, characters by code, widths, number) by name of the fonts that an object's resources list."""
+        if owner not in self.known:
+            own = below(self.nodes, below(self.nodes, self.nodes.get(owner, {}), "Resources"), "Font")
+            self.known[owner] = {key: self.font(own, key) for key in own if not set(key) & set("/=#!")}
+        return self.known[owner]
+
+    def font(self, listed: dict[str, str], key: str) -> tuple:
+        own = below(self.nodes, listed, key)
+        other = self.nodes.get(target(own.get("Encoding")))
+        if other is not None:
+            own = {k: v for k, v in own.items() if not k.startswith("Encoding")} | {"Encoding": "<<>>"} | {f"Encoding/{k}": v for k, v in other.items()}
+        map_ = cmap(self.stream(target(own.get("ToUnicode")) or -1) or b"") or (self.single if "Encoding" not in own else None)
+        child = self.nodes.get(next((int(n) for kind, n in items(own.get("DescendantFonts")) if kind == "ref"), -1), {})
+        wide = child.get("W") if own.get("Subtype") == "/Type0" else own.get("Widths")
+        if (at := target(wide)) is not None:
+            wide = self.rows[at]["head"] if at in self.rows else None
+        return map_ or None, encoding(own, items(own.get("Encoding/Differences"))), widths(own, child, items(wide)), target(listed.get(key))
+
+    def contexts(self) -> Iterator[tuple]:
+        """(stream, page index, page, owner of the resources, form, depth, whether they are inherited): pages by number, forms where they are invoked, the other streams last."""
+        shown = set()
+        for index, page, own in sorted(page_list(self.nodes), key=lambda p: p[1]):
+            if "resources_of" not in own:
+                continue
+            owner = int(own["resources_of"])
+            for num in [int(n) for kind, n in items(self.nodes[page].get("Contents")) if kind == "ref"]:
+                if self.nodes.get(num, {}).get("Subtype") != "/Image" and self.stream(num) is not None:
+                    shown.add(num)
+                    yield num, index, page, owner, None, 0, owner != page
+                    yield from self.forms(num, index, page, owner, 1, (), shown)
+        for num in sorted(self.rows):
+            e = self.nodes[num]
+            if num not in shown and e.get("Type") not in ("/ObjStm", "/XRef") and e.get("Subtype") != "/Image" and self.stream(num) is not None:
+                yield num, None, None, None, None, 0, None
+
+    def forms(self, num: int, index: int, page: int, owner: int, depth: int, above: tuple, shown: set) -> Iterator[tuple]:
+        if depth > FORM_DEPTH:
+            return
+        listed = below(self.nodes, below(self.nodes, self.nodes.get(owner, {}), "Resources"), "XObject")
+        for key in dict.fromkeys(codes.decode("latin-1") for op, codes, *_ in text_shows(self.stream(num)) if op == "Do"):
+            form = target(listed.get(key))
+            own = self.nodes.get(form, {})
+            if form in above or own.get("Type") != "/XObject" or own.get("Subtype") != "/Form" or self.stream(form) is None:
+                continue
+            has = "Resources" in own
+            shown.add(form)
+            yield form, index, page, form if has else owner, form, depth, not has
+            yield from self.forms(form, index, page, form if has else owner, depth + 1, (*above, form), shown)
+
+    def texts(self, with_fonts: bool) -> Iterator[dict]:
+        every = list(self.contexts())
+        pages_of: dict[int, list[int]] = {}
+        for c in every:
+            if c[4] is not None:
+                pages_of.setdefault(c[4], []).append(c[2])
+        for place, (num, index, page, owner, form, depth, inherited) in enumerate(every):
+            known = self.fonts(owner) if owner is not None else {}
+            shared = pages_of.get(form, ()) if form is not None else ()
+            for seq, (operator, codes, kind, start, end, s) in enumerate(text_shows(self.stream(num))):
+                if operator == "Do":
+                    continue
+                map_, table, wide, font_num = known.get(s.font, (None, None, None, None))
+                text, kind = one_text(codes, kind, map_, table)
+                if text is None:
+                    continue
+                out = {"num": num, "seq": seq, "place": place, "text": text, "operator": operator, "encoding": kind, "start": start, "end": end, "font": s.font, "font_size": s.size, "x": s.x, "y": s.y, "render_mode": s.mode}
+                out |= {"page_index": index, "page": page, "form": form, "depth": depth, "inherited": inherited, "font_num": font_num, "invocations": len(shared) if len(shared) > 1 else None, "invoked_pages": sorted(set(shared)) if len(shared) > 1 else None}
+                if with_fonts:
+                    wide = wide or ({}, None, 0)
+                    out |= {"codes": codes, "cmap": list((map_ or {}).items()), "table": table, "widths": list(wide[0].items()), "other_width": wide[1], "code_size": wide[2]}
+                yield out
+
+
+_TEXT = {
+    "doc_id": pa.string(), "num": pa.int32(), "seq": pa.int32(), "place": pa.int32(), "text": pa.string(), "operator": pa.string(), "encoding": pa.string(), "start": pa.int64(), "end": pa.int64(), "font": pa.string(), "font_size": pa.float64(),
+    "x": pa.float64(), "y": pa.float64(), "render_mode": pa.int32(), "page_index": pa.int32(), "page": pa.int32(), "form": pa.int32(), "depth": pa.int32(), "inherited": pa.bool_(), "font_num": pa.int32(), "invocations": pa.int32(), "invoked_pages": pa.list_(pa.int32()),
+}
+_FONT = {"codes": pa.binary(), "cmap": pa.map_(pa.string(), pa.string()), "table": pa.list_(pa.string()), "widths": pa.map_(pa.int32(), pa.int32()), "other_width": pa.int32(), "code_size": pa.int32()}
+TEXTS = (
+    "doc_id string, num int, seq int, place int, text string, operator string, encoding string, start long, `end` long, font string, font_size double, x double, y double, render_mode int, "
+    "page_index int, page int, form int, depth int, inherited boolean, font_num int, invocations int, invoked_pages array<int>"
+)
+FONTS = "codes binary, cmap map<string,string>, table array<string>, widths map<int,int>, other_width int, code_size int"
+
+
+def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None) -> Iterator[pa.RecordBatch]:
+    kinds = _TEXT | (_FONT if with_fonts else {})
+    rows: list[dict] = []
+    size = 0
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], schema=pa.schema(list(kinds.items())))
+    for batch in batches:
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            rows += [r | {"doc_id": doc_id} for r in Texts(data or b"").texts(with_fonts) if only is None or r["text"] == only]
+            size += len(data or b"")
+            if size > 2_000_000 or len(rows) > 5_000:
+                yield batch_of()
+                rows.clear()
+                size = 0
+    yield batch_of()
+
+
+def text_rows(docs: DataFrame, with_fonts: bool = False, only: str | None = None) -> DataFrame:
+    """Text-shows of docs(doc_id, content): stream (num), place in it (seq), text as the font says, page, form, text state.
+
+    place counts a document's streams in the order in which pages, by number, show them; a form's text comes once for
+    each time that it is invoked, text of streams that no page shows comes last, without a page. A form on its own
+    path, or below FORM_DEPTH others, is not followed. with_fonts: codes and what the font has; only: just this text.
+    """
+    return docs.select("doc_id", "content").mapInArrow(lambda b: _texts(b, with_fonts, only), TEXTS + (f", {FONTS}" if with_fonts else ""))
 
 
-def text_rows(objs: DataFrame) -> DataFrame:
-    """Text-shows with their stream (num), place in it (seq) and the page that first uses the stream, if any."""
-    found = streams(objs).where("data is not null and capability in ('identity_pass_through', 'editable_reversible')")
-    texts = found.select("doc_id", "num", "data").mapInArrow(shown, SHOWN)
-    pages = objs.where(name(F.col("head"), "Type") == "Page").select("doc_id", F.col("num").alias("page"), F.posexplode(ref_numbers(entry(F.col("head"), "Contents"))).alias("at", "num"))
-    first = pages.groupBy("doc_id", "num").agg(F.min(F.struct("page", "at")).alias("p")).select("doc_id", "num", "p.page", "p.at")
-    return texts.join(first, ["doc_id", "num"], "left")
+def plain_number(x: Column) -> Column:
+    """A number as text without a fraction of zero."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
-def nodes(objs: DataFrame) -> DataFrame:
-    """doc_id, node_id, kind, value, meta, num: the document, its streams by number, then text by page, stream and place.
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, node_id, kind, value, meta, num, seq: the document, its streams by number, then text by page, stream and place.
 
-    Text of streams that no page uses comes last. meta holds what selectors compare, as text.
+    Text of streams that no page shows comes last, by stream. meta holds what selectors compare, as text.
     """
     kind = lambda k: F.lit(k).alias("kind")
     none = F.lit(None)
-    docs = objs.select("doc_id").distinct().select("doc_id", kind(DOCUMENT), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), none.cast("string").alias("value"), F.lit(0).alias("num"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("meta"))
-    own = streams(objs).select(
-        "doc_id", kind(STREAM), F.lit(1).alias("a"), F.col("num").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), none.cast("string").alias("value"), "num",
-        F.create_map(F.lit("filter_capability"), F.col("capability"), F.lit("filter"), F.array_join("chain", " ")).alias("meta"),
-    )
-    texts = text_rows(objs).select(
-        "doc_id", kind(TEXT), F.lit(2).alias("a"), F.coalesce("page", F.lit(2**31 - 1)).alias("b"), F.coalesce("at", "num").alias("c"), F.col("seq").alias("d"), F.col("text").alias("value"), "num",
-        F.create_map(F.lit("operator"), F.col("operator"), F.lit("encoding"), F.col("encoding")).alias("meta"),
-    )
-    order = Window.partitionBy("doc_id").orderBy("a", "b", "c", "d", "num")
-    every = docs.unionByName(own).unionByName(texts)
+    whole = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])), lambda _, v: v.isNotNull())
+    top = docs.select("doc_id", kind(DOCUMENT), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("d"), none.cast("string").alias("value"), F.lit(0).alias("num"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("meta"))
+    own = streams(objects(docs).where(~name("Type").isin("ObjStm", "XRef"))).select(
+        "doc_id", kind(STREAM), F.lit(1).alias("a"), F.col("num").alias("b"), F.lit(0).alias("d"), none.cast("string").alias("value"), "num",
+        whole(
+            ("filter_capability", F.col("capability")), ("filter", F.array_join("chain", " ")), ("object_number", F.col("num").cast("string")), ("object_generation", F.col("gen").cast("string")),
+            ("filter_editable", F.col("capability").isin("identity_pass_through", "editable_reversible").cast("string")), ("filter_pass_through", (F.col("capability") == "pass_through_image").cast("string")), ("image_xobject", F.when(name("Subtype") == "Image", F.lit("true"))),
+        ).alias("meta"),
+    )
+    texts = text_rows(docs).select(
+        "doc_id", kind(TEXT), F.lit(2).alias("a"), F.col("place").alias("b"), F.col("seq").alias("d"), F.col("text").alias("value"), "num",
+        whole(
+            ("operator", F.col("operator")), ("encoding", F.col("encoding")), ("font", F.col("font")), ("font_size", plain_number(F.col("font_size"))), ("text_x", plain_number(F.col("x"))), ("text_y", plain_number(F.col("y"))),
+            ("font_context", F.when(F.col("page").isNotNull(), F.when(F.col("form").isNull(), "page").otherwise("form_xobject"))), ("page_object_number", F.col("page").cast("string")), ("form_object_number", F.col("form").cast("string")),
+            ("form_depth", F.when(F.col("form").isNotNull(), F.col("depth").cast("string"))), ("inherited_resources", F.col("inherited").cast("string")), ("shared_form_xobject", F.when(F.col("invocations").isNotNull(), F.lit("true"))),
+            ("form_invocation_count", F.col("invocations").cast("string")), ("form_invoked_page_object_numbers", F.concat(F.lit("["), F.array_join("invoked_pages", " "), F.lit("]"))),
+        ).alias("meta"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("a", "b", "d")
+    every = top.unionByName(own).unionByName(texts)
     return every.select("doc_id", (F.row_number().over(order) - 1).alias("node_id"), "kind", "value", "meta", "num", F.col("d").alias("seq"))
 
 

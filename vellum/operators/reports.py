@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.nodes import text_rows
-from vellum.sources.scan import detected, entry, markers, name, object_rows, streams
+from vellum.operators.graph import annotations, form_fields, pages
+from vellum.operators.nodes import cmap_of, text_rows
+from vellum.plans.staging import stage
+from vellum.sources.scan import detected, entry, markers, name, number, object_rows, objects, streams, xref_summary
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -21,13 +23,65 @@ def validate(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", error.isNull().alias("valid"), error.alias("error"), "warnings")
 
 
-def profile(objs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame) -> DataFrame:
     """doc_id, pages, streams, text_shows, text_bytes."""
-    own = objs.groupBy("doc_id").agg(F.count(F.when(name(F.col("head"), "Type") == "Page", 1)).alias("pages"), F.count("raw").alias("streams"))
-    texts = text_rows(objs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("text_shows"), F.sum(F.octet_length("text")).alias("text_bytes"))
+    objs = objects(docs)
+    own = objs.groupBy("doc_id").agg(F.count(F.when(name("Type") == "Page", 1)).alias("pages"), F.count("raw").alias("streams"))
+    texts = text_rows(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("text_shows"), F.sum(F.octet_length("text")).alias("text_bytes"))
     return own.join(texts, "doc_id", "left").fillna(0, ["text_shows", "text_bytes"])
 
 
+def stream_counts(objs: DataFrame) -> DataFrame:
+    """doc_id, total, editable, pass_through, unsupported, filter_counts and capability_counts (name -> number) of the streams."""
+    rows = streams(objs.where(~name("Type").isin("ObjStm", "XRef"))).select("doc_id", F.array_join("chain", " ").alias("filter"), "capability", F.col("entries")["DecodeParms!"].isNotNull().alias("bad"))
+    of = lambda *names: F.count(F.when(F.col("capability").isin(*names), 1))
+    unsupported = F.count(F.when((F.col("capability") == "unsupported_target") | F.col("bad"), 1))
+    total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("identity_pass_through", "editable_reversible").alias("editable"), of("pass_through_image").alias("pass_through"), unsupported.alias("unsupported"))
+
+    def by(key: str, out: str) -> DataFrame:
+        counted = rows.where(F.col(key) != "").groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(out))
+
+    return total.join(by("filter", "filter_counts"), "doc_id", "left").join(by("capability", "capability_counts"), "doc_id", "left")
+
+
+def structure(docs: DataFrame, objs: DataFrame) -> DataFrame:
+    """doc_id, total, normal, in_object_streams, xref_streams, writer: where objects stand, and which writer keeps them there."""
+    kind = F.when(F.col("container").isNotNull(), "stream").when((name("Type") == "XRef") & F.col("raw").isNotNull(), "xref").otherwise("normal")
+    of = lambda k: F.count(F.when(kind == k, 1))
+    rows = objs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("normal").alias("normal"), of("stream").alias("in_object_streams"), of("xref").alias("xref_streams"))
+    writer = F.when(F.col("has_hybrid"), "hybrid_xref_stream").when(F.col("has_stream"), "xref_stream").otherwise("canonical")
+    return rows.join(xref_summary(docs), "doc_id").select("doc_id", "total", "normal", "in_object_streams", "xref_streams", writer.alias("writer"), (F.col("has_stream") | F.col("has_object_stream")).alias("needs_canonical"))
+
+
+def recommendation(valid: Column, signed: Column, blocked: Column) -> Column:
+    """How a document is best rewritten. blocked: streams that can't be read, encryption or an XML form."""
+    return F.when(~valid, "preserve-structure").when(signed, "surgical").when(blocked, "preserve-structure").otherwise("canonical")
+
+
+def full_profile(docs: DataFrame) -> DataFrame:
+    """doc_id, valid, recommendation, reasons, editable, fields, fillable, annotations, pages, text_shows and stream counts of each document."""
+    objs = stage(objects(docs))
+    checked, signs, counts, base = validate(docs), markers(docs), stream_counts(objs), profile(docs)
+    forms = form_fields(objs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.count(F.when(F.col("fillable"), 1)).alias("fillable"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("fill_blockers")))).alias("fill_blockers"))
+    notes = annotations(objs, pages(objs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotations"))
+    rows = checked
+    for more in (signs, counts, base, forms, notes):
+        rows = rows.join(more, "doc_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    blocked = F.col("has_encrypt") | F.col("has_xfa") | (zero("unsupported") > 0)
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("has_encrypt"), F.lit("encrypted")), F.when(F.col("has_signature"), F.lit("signed")), F.when(F.col("has_xfa"), F.lit("xml_form")), F.when(F.col("has_cid_font_markers"), F.lit("fonts_by_character_number")),
+            F.when(zero("unsupported") > 0, F.concat(F.lit("unsupported_streams:"), F.col("unsupported").cast("string"))),
+        )
+    )
+    return rows.select(
+        "doc_id", "valid", recommendation(F.col("valid"), F.col("has_signature"), blocked).alias("recommendation"), reasons.alias("reasons"), (F.col("valid") & (zero("text_shows") > 0)).alias("editable"),
+        zero("fields").alias("fields"), zero("fillable").alias("fillable"), zero("annotations").alias("annotations"), zero("pages").alias("pages"), zero("text_shows").alias("text_shows"), zero("total").alias("streams"),
+    )
+
+
 def byte_range_digests(docs: DataFrame) -> DataFrame:
     """doc_id, covered, digest: SHA-256 of the bytes in the two parts that /ByteRange names; no row without one."""
     found = F.regexp_extract_all(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"/ByteRange\s*\[([^\]]*)\]", 1), F.lit(r"(\d+)"), F.lit(1))
@@ -38,33 +92,21 @@ def byte_range_digests(docs: DataFrame) -> DataFrame:
 
 
 def cmap_entries(objs: DataFrame) -> DataFrame:
-    """doc_id, code, target of the single characters and the sequential ranges in the character maps of streams."""
-    text = F.decode("data", "ISO-8859-1")
-    maps = streams(objs).where("data is not null").select("doc_id", text.alias("text"))
-    number = lambda x: F.conv(x, 16, 10).cast("int")
-
-    def listed(begin: str, end: str, pattern: str, columns: int) -> DataFrame:
-        inside = F.array_join(F.regexp_extract_all("text", F.lit(rf"(?s)\d+\s+{begin}(.*?){end}"), F.lit(1)), " ")
-        each = [F.regexp_extract_all(inside, F.lit(pattern), F.lit(i + 1)) for i in range(columns)]
-        return maps.select("doc_id", F.explode(F.arrays_zip(*[e.alias(f"c{i}") for i, e in enumerate(each)])).alias("x")).select("doc_id", "x.*")
-
-    ranges = listed("beginbfrange", "endbfrange", r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", 3)
-    ranges = ranges.select("doc_id", number(F.col("c0")).alias("a"), F.explode(F.sequence(number(F.col("c0")), number(F.col("c1")))).alias("code"), number(F.col("c2")).alias("t"))
-    ranges = ranges.select("doc_id", "code", F.chr(F.col("t") + F.col("code") - F.col("a")).alias("target"))
-    chars = listed("beginbfchar", "endbfchar", r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", 2)
-    return ranges.unionByName(chars.select("doc_id", number(F.col("c0")).alias("code"), F.chr(number(F.col("c1"))).alias("target")))
+    """doc_id, num, code, target of the entries of the character maps that streams hold: single characters and ranges."""
+    maps = streams(objs).where("data is not null").select("doc_id", "num", F.explode(cmap_of(F.col("data"))).alias("code", "target"))
+    return maps.select("doc_id", "num", F.conv("code", 16, 10).cast("long").alias("code"), "target")
 
 
-def width_changes(objs: DataFrame) -> DataFrame:
+def width_changes(docs: DataFrame) -> DataFrame:
     """doc_id, old_width, new_width, status: the first text-show against the second, in the document's simple font.
 
     A code outside the font's widths leaves the sum unproven.
     """
-    fonts = objs.where(name(F.col("head"), "Type") == "Font").select(
-        "doc_id", entry(F.col("head"), "FirstChar").cast("int").alias("first"),
-        F.transform(F.regexp_extract_all(entry(F.col("head"), "Widths"), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("widths"),
+    fonts = objects(docs).where(name("Type") == "Font").select(
+        "doc_id", number("FirstChar").alias("first"),
+        F.transform(F.regexp_extract_all(entry("Widths"), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("widths"),
     )
-    texts = text_rows(objs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "seq", "text"))).alias("t"))
+    texts = text_rows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "seq", "text"))).alias("t"))
     rows = texts.join(fonts, "doc_id")
 
     def width(i: int):

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import encoded
-from vellum.operators import edits, graph, reports
-from vellum.operators.nodes import STREAM, TEXT, Selector, nodes, text_rows
+from vellum.operators import documents, edits, graph, reports, xfa
+from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
 from vellum.plans import catalogue_documents
+from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
-from vellum.sources.scan import dangling, entry, object_rows, objects, streams
+from vellum.sources.scan import dangling, entry, name, object_rows, objects, ref_numbers, streams, text
 
 CHAINS = ("", "ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode", "FlateDecode", "LZWDecode", "ASCIIHexDecode FlateDecode")
 
@@ -25,7 +26,7 @@ def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shown = [mint.show(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     minted = mint.one_page(docs, F.col("doc_id"), [F.concat(*shown)])
-    rows = text_rows(objects(minted))
+    rows = text_rows(minted)
     texts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return rows.groupBy("doc_id").agg(F.transform(texts, lambda t: t["text"]).alias("texts"))
 
@@ -59,7 +60,7 @@ def roundtrip_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("chain", F.array(F.lit("FlateDecode")))
-    data = encoded(F.coalesce("text", F.lit("")).cast("binary"), F.col("chain"), 12, 1)
+    data = encoded(F.coalesce("text", F.lit("")).cast("binary"), F.col("chain"), F.array(F.create_map(F.lit("Predictor"), F.lit(12))))
     body = mint.stream(data, "/Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 1 >>")
     minted = docs.select(F.col("doc_id").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, "<< /Type /Catalog >>"), mint.obj(2, body))).alias("content"))
     rows = streams(objects(minted))
@@ -78,7 +79,7 @@ def stream_capability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     minted = mint.one_page(customers, F.col("c_custkey"), [mint.show(F.col("c_mktsegment")), mint.show(F.col("c_name"))])
-    found = Selector().kind(TEXT).text("BUILDING").query_all(nodes(objects(minted)))
+    found = Selector().kind(TEXT).text("BUILDING").query_all(nodes(minted))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -87,28 +88,25 @@ def _turns(spark: SparkSession, sf_dir: str, text: Column, entries: Column | str
 
 
 def select_match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes(objects(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit(""))))))
+    rows = nodes(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit("")))))
     found = Selector().kind(TEXT).match_index(1).query(rows)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("value").alias("digest"))
 
 
 def find_one_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes(objects(_turns(spark, sf_dir, mint.show(F.coalesce("role", F.lit(""))))))
+    rows = nodes(_turns(spark, sf_dir, mint.show(F.coalesce("role", F.lit("")))))
     found = Selector().kind(TEXT).text("user").find_one(rows)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("matches").cast("long").alias("matches"), "status")
 
 
 def select_by_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = mint.show(F.coalesce("text", F.lit("")), array=F.col("turn") % 2 == 1)
-    found = Selector().kind(TEXT).meta("operator", "TJ").query_all(nodes(objects(_turns(spark, sf_dir, shown))))
+    found = Selector().kind(TEXT).meta("operator", "TJ").query_all(nodes(_turns(spark, sf_dir, shown)))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")).select(F.col("doc_id").cast("long").alias("doc_id"), "n", "bytes")
 
 
 def page_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objs = stage(objects(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit(""))))))
-    texts = text_rows(objs).select("doc_id", F.col("page").alias("num"), "text")
-    rows = graph.pages(objs).join(texts, ["doc_id", "num"])
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("long").alias("page_index"), F.md5("text").alias("digest"))
+    return page_texts(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit("")))))
 
 
 def inherited_mediabox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,21 +119,16 @@ def inherited_mediabox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages 2 and 0 of each document, in this order, where there are so many."""
     objs = stage(objects(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit(""))))))
-    wanted = graph.pages(objs).withColumn("position", F.array_position(F.array(F.lit(2), F.lit(0)), F.col("page_index").cast("int")) - 1).where("position >= 0")
-    whole = wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    texts = text_rows(objs).select("doc_id", F.col("page").alias("num"), "text")
-    rows = wanted.join(whole.select("doc_id"), "doc_id", "left_semi").join(texts, ["doc_id", "num"])
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"), F.md5("text").alias("digest"))
+    return page_texts(stage(documents.extract(objs, [2, 0]))).select("doc_id", F.col("page_index").alias("position"), "digest")
 
 
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of each customer's order documents one after the other, an order a document of one page per line."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    name = F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
+    key = F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
     shown = mint.show(F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))
-    objs = stage(objects(mint.paged(lines.withColumn("name", name), "name", "l_linenumber", shown)))
-    texts = text_rows(objs).select("doc_id", F.col("page").alias("num"), "text")
-    rows = graph.pages(objs).join(texts, ["doc_id", "num"])
+    docs = mint.paged(lines.withColumn("key", key), "key", "l_linenumber", shown)
+    rows = page_texts(docs, "text")
     group, part = F.split_part("doc_id", F.lit("/"), F.lit(1)).cast("long"), F.split_part("doc_id", F.lit("/"), F.lit(2)).cast("long")
     rows = rows.select(group.alias("custkey"), part.alias("orderkey"), "page_index", "text")
     order = F.row_number().over(Window.partitionBy("custkey").orderBy("orderkey", "page_index")) - 1
@@ -159,8 +152,8 @@ def object_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (F.concat(F.lit("<< /Status "), mint.literal(x), F.lit(" >>")) for x in (F.lit("draft"), F.col("o_orderstatus")))
     minted = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, "<< /Type /Catalog >>"), mint.obj(5, old), mint.obj(5, new))).alias("content"))
     rows = stage(object_rows(minted))
-    every = rows.where("num = 5").groupBy("doc_id").agg(F.count(F.lit(1)).alias("revisions"), F.max_by("head", "offset").alias("head"))
-    status = graph.string_value(entry(F.col("head"), "Status"))
+    every = rows.where("num = 5").groupBy("doc_id").agg(F.count(F.lit(1)).alias("revisions"), F.max_by("entries", "offset").alias("entries"))
+    status = text("Status")
     return every.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("revisions").alias("revisions"))
 
 
@@ -180,7 +173,7 @@ def edit_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = [mint.obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), mint.obj(3, "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>")]
     minted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), mint.document(F.array(*page, mint.obj(4, mint.stream(F.col("data"), names)))).alias("content"))
     got = edits.edit(minted, "BUILDING", "TOWER")
-    text = text_rows(objects(got.where("content is not null").select("doc_id", "content"))).select("doc_id", "text")
+    text = text_rows(got.where("content is not null").select("doc_id", "content")).select("doc_id", "text")
     return got.select("doc_id", "status").join(text, "doc_id", "left").groupBy("status", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -194,11 +187,12 @@ def form_fields_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         mint.obj(3, flags),
         child(4, "name", F.col("c_name")),
         child(5, "segment", F.col("c_mktsegment")),
-        child(6, "nation", F.col("c_nationkey"), "/Ff 4096 "),
+        child(6, "nation", F.col("c_nationkey"), "/Ff 4096 /RV (rich) "),
     )
     minted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))
-    rows = graph.form_fields(objects(minted)).withColumns(graph.field_flags(F.col("flags")))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "type", "value", "flags", "read_only", "required", "no_export", "multiline")
+    rows = graph.form_fields(objects(minted))
+    listed = lambda c: F.array_join(c, " ")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "name", "type", "value", "flags", "kid_count", listed("flag_names").alias("flag_names"), listed("type_flag_names").alias("type_flag_names"), "fill_status", listed("fill_blockers").alias("fill_blockers"))
 
 
 def annotation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +216,9 @@ def xfa_dataset_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as XML forms, read back leaf by leaf."""
     orders = table(spark, sf_dir, "orders")
     tag = lambda k, c: F.concat(F.lit(f"<{k}>"), F.col(c).cast("string"), F.lit(f"</{k}>"))
-    xml = F.concat(F.lit("<data><order>"), tag("status", "o_orderstatus"), tag("priority", "o_orderpriority"), tag("customer", "o_custkey"), F.lit("</order></data>"))
+    xml = F.concat(F.lit("<xfa:datasets xmlns:xfa='x'><xfa:data><order>"), tag("status", "o_orderstatus"), tag("priority", "o_orderpriority"), tag("customer", "o_custkey"), F.lit("</order></xfa:data></xfa:datasets>"))
     objects_ = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /XFA [(datasets) 2 0 R] >> >>"), mint.obj(2, mint.stream(xml)))
-    rows = graph.dataset_fields(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))))
+    rows = xfa.dataset_fields(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "at", "path", "value")
 
 
@@ -240,8 +234,7 @@ def validate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objs = stage(objects(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit(""))))))
-    rows = reports.profile(objs)
+    rows = reports.profile(_turns(spark, sf_dir, mint.show(F.coalesce("text", F.lit("")))))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "pages", "streams", "text_shows", "text_bytes")
 
 
@@ -277,7 +270,7 @@ def width_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").cast("string").alias("doc_id"),
         mint.document(F.array(mint.obj(1, "<< /Type /Catalog >>"), mint.obj(2, font), mint.obj(3, mint.stream(mint.show(F.col("p_name")))), mint.obj(4, mint.stream(mint.show(F.col("p_brand")))))).alias("content"),
     )
-    rows = reports.width_changes(stage(objects(minted)))
+    rows = reports.width_changes(minted)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "old_width", "new_width", "status")
 
 
@@ -311,9 +304,9 @@ ORACLES = {
     "object_last_wins": "SELECT o_orderstatus AS status, count(*) AS n, (2 * count(*))::BIGINT AS revisions FROM orders GROUP BY 1",
     "edit_text_verify": "WITH m AS (SELECT conv_id, count(*) FILTER (role = 'user') AS k FROM conversations GROUP BY 1) SELECT CASE WHEN k = 0 THEN 'no_matches' WHEN k = 1 THEN 'ok' ELSE 'multiple_matches' END AS status, count(*) AS n, count(*) FILTER (k = 1) AS verified, count(*) FILTER (k = 1) AS written FROM m GROUP BY 1",
     "edit_codecs": "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'no_matches' END AS status, CASE WHEN c_mktsegment = 'BUILDING' THEN 'TOWER' END AS text, count(*) AS n FROM customer GROUP BY 1, 2",
-    "form_fields_flat": "SELECT c_custkey AS doc_id, k AS name, 'Tx' AS type, v AS value, f::INT AS flags, f & 1 <> 0 AS read_only, f & 2 <> 0 AS required, f & 4 <> 0 AS no_export, f & 4096 <> 0 AS multiline FROM (SELECT c_custkey, 'customer.name' AS k, c_name AS v, c_custkey % 8 AS f FROM customer UNION ALL SELECT c_custkey, 'customer.segment', c_mktsegment, c_custkey % 8 FROM customer UNION ALL SELECT c_custkey, 'customer.nation', c_nationkey::VARCHAR, 4096 FROM customer)",
+    "form_fields_flat": "SELECT c_custkey AS doc_id, o::INT AS ord, k AS name, 'Tx' AS type, v AS value, f::INT AS flags, n::INT AS kid_count, array_to_string(list_filter([CASE WHEN f & 1 <> 0 THEN 'read_only' END, CASE WHEN f & 2 <> 0 THEN 'required' END, CASE WHEN f & 4 <> 0 THEN 'no_export' END], lambda x: x IS NOT NULL), ' ') AS flag_names, CASE WHEN f & 4096 <> 0 THEN 'multiline' ELSE '' END AS type_flag_names, CASE WHEN o IN (0, 3) THEN 'unsafe' ELSE 'supported' END AS fill_status, CASE o WHEN 0 THEN 'named_non_widget_kid' WHEN 3 THEN 'rich_text_value' ELSE '' END AS fill_blockers FROM (SELECT c_custkey, 0 AS o, 'customer' AS k, NULL AS v, c_custkey % 8 AS f, 3 AS n FROM customer UNION ALL SELECT c_custkey, 1, 'customer.name', c_name, c_custkey % 8, 0 FROM customer UNION ALL SELECT c_custkey, 2, 'customer.segment', c_mktsegment, c_custkey % 8, 0 FROM customer UNION ALL SELECT c_custkey, 3, 'customer.nation', c_nationkey::VARCHAR, 4096, 0 FROM customer)",
     "annotation_pages": "SELECT event_type, event_id % 2 AS page_index, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1, 2",
-    "xfa_dataset_fields": """SELECT o_orderkey AS doc_id, "at"::INT AS "at", 'data.order.' || k AS path, v AS value FROM (SELECT o_orderkey, 0 AS "at", 'status' AS k, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, 1, 'priority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, 'customer', o_custkey::VARCHAR FROM orders)""",
+    "xfa_dataset_fields": """SELECT o_orderkey AS doc_id, "at"::INT AS "at", 'order.' || k AS path, v AS value FROM (SELECT o_orderkey, 0 AS "at", 'status' AS k, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, 1, 'priority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, 'customer', o_custkey::VARCHAR FROM orders)""",
     "validate_status": "SELECT doc_id % 5 <> 0 AS valid, CASE WHEN doc_id % 5 = 0 THEN 'no end mark' END AS error, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS warnings, count(*) AS n FROM documents GROUP BY 1, 2, 3",
     "profile_summary": "SELECT conv_id AS doc_id, count(*) AS pages, count(*) AS streams, count(*) AS text_shows, sum(strlen(text))::BIGINT AS text_bytes FROM conversations GROUP BY 1",
     "byte_range_digest": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS covered, sha256(coalesce(text, '')) AS digest FROM documents",

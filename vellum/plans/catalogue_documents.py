@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import documents, graph
-from vellum.operators.nodes import text_rows
+from vellum.operators import documents, graph, xfa
+from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
-from vellum.sources.scan import entry, objects
+from vellum.sources.scan import entry, name, number, objects, xref_entries
 
 
 def xref_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def xref_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("%PDF-1.7\nxref\n0 3\n0000000000 65535 f \n0000000009 00000 n \n"), pad(F.col("o_custkey")), F.lit(" 00000 n \ntrailer\n<< >>\n"))
     second = F.concat(F.lit("xref\n2 2\n"), pad(price), F.lit(" 00000 n \n"), pad(F.col("o_orderkey")), F.lit(" 00000 n \ntrailer\n<< >>\n%%EOF"))
     docs = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(first, second).cast("binary").alias("content"))
-    rows = documents.xref_in_force(documents.xref_entries(docs))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "num", "offset", "sections")
+    rows = documents.xref_in_force(xref_entries(docs))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("num").cast("int").alias("num"), "offset", "sections")
 
 
 def name_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def name_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     leaf = F.concat(F.lit("<< /Names ["), mint.literal(F.col("c_mktsegment")), F.lit(" 5 0 R "), mint.literal(F.col("c_name")), F.lit(" 6 0 R] >>"))
     body = F.array(
-        mint.obj(1, "<< /Type /Catalog /Names 2 0 R >>"), mint.obj(2, "<< /Dests 3 0 R >>"), mint.obj(3, "<< /Kids [4 0 R] >>"), mint.obj(4, leaf), mint.obj(5, "[0]"), mint.obj(6, "[1]"),
+        mint.obj(1, "<< /Type /Catalog /Names 2 0 R >>"), mint.obj(2, "<< /Dests 3 0 R >>"), mint.obj(3, "<< /Kids [7 0 R] >>"), mint.obj(7, "<< /Kids [4 0 R] >>"), mint.obj(4, leaf), mint.obj(5, "[0]"), mint.obj(6, "[1]"),
     )
     ids = F.concat_ws("/", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
     objs = objects(customers.select(ids.alias("doc_id"), mint.document(body).alias("content")))
     part = lambda i: F.split_part("doc_id", F.lit("/"), F.lit(i)).cast("long")
-    rows = documents.merged_names(documents.name_entries(objs, "Dests"), part(1), part(2))
+    rows = documents.merged_names(graph.name_entries(objs), part(1), part(2))
     return rows.select(F.col("merged").alias("nation"), F.col("part").alias("custkey"), "name", "target")
 
 
@@ -43,12 +43,12 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     objs = stage(objects(mint.paged(turns, "conv_id", "turn", mint.show(F.coalesce("text", F.lit(""))))))
     group = F.floor(F.col("doc_id").cast("long") / 4).cast("string")
-    merged = stage(objects(documents.merge(objs, group, F.col("doc_id").cast("long"))))
-    texts = text_rows(merged).select("doc_id", F.col("page").alias("num"), "text")
-    rows = graph.pages(merged).join(texts, ["doc_id", "num"])
+    merged = stage(documents.merge(objs, group, F.col("doc_id").cast("long")))
+    texts = page_texts(merged, "text")
+    boxes = graph.pages(objects(merged)).groupBy("doc_id").agg(F.count(F.when(F.col("media_box") == "[0 0 612 792]", 1)).alias("boxes"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "text"))), lambda r: F.md5(r["text"]))
-    boxes = F.count(F.when(F.col("media_box") == "[0 0 612 792]", 1))
-    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("pages"), boxes.alias("boxes"), F.md5(F.array_join(listed, "|")).alias("digest"))
+    rows = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.md5(F.array_join(listed, "|")).alias("digest"))
+    return rows.join(boxes, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "pages", "boxes", "digest")
 
 
 def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Turn "), (F.col("p_size") * 30).cast("string"), F.lit(" /CropTo [0 0 "), (F.col("p_size") - 5).cast("string"), F.lit(" "), F.floor("p_retailprice").cast("string"), F.lit("] >>"))
     body = F.array(mint.obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>"), mint.obj(3, page))
     objs = stage(objects(parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
-    asked = objs.select("doc_id", "num", entry(F.col("head"), "Turn").cast("int").alias("turn"), documents.numbers(entry(F.col("head"), "CropTo")).alias("crop"), F.lit(None).cast("int").alias("rotate"))
+    asked = objs.select("doc_id", "num", number("Turn").alias("turn"), documents.numbers(entry("CropTo")).alias("crop"))
     rows = documents.transformed(graph.pages(objs).join(asked, ["doc_id", "num"]), F.col("turn"), F.col("crop"), F.lit(2.0))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("rotate", F.lit(-1)).alias("rotate"), F.get("box", F.lit(2)).alias("width"), F.get("box", F.lit(3)).alias("height"), "error")
 
@@ -69,13 +69,19 @@ def ocr_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = graph.pages(objs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     events = table(spark, sf_dir, "events")
     box = F.struct(F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), (F.col("event_id") % 5).cast("double").alias("x_max"), F.lit(1.0).alias("y_max"))
-    items = events.select((F.col("event_id") % 30).cast("string").alias("doc_id"), (F.col("user_id") % 6 - 1).cast("int").alias("page_index"), F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("text"), box.alias("box"), (F.col("event_id") % 13 / 10).alias("confidence"))
+    docs = counts.count()  # events are spread over all of them, as conversations are numbered without gaps
+    items = events.select((F.col("event_id") % docs).cast("string").alias("doc_id"), (F.col("user_id") % 6 - 1).cast("int").alias("page_index"), F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("text"), box.alias("box"), (F.col("event_id") % 13 / 10).alias("confidence"))
     return documents.ocr_plan(items, counts).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fallback_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents that name a policy, the fallback used and whether it was asked for; judged from what is parsed."""
     modes, used = (F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int")) for names, c in ((("none", "overlay", "ocr_text_layer", "magic"), "event_id"), (("none", "overlay", "ocr_text_layer"), "user_id")))
-    rows = table(spark, sf_dir, "events").select(documents.fallback_policy(modes, used, F.col("event_id") % 3 == 0).alias("status"))
+    asked = F.when(F.col("event_id") % 3 == 0, "true").otherwise("false")
+    body = F.concat(F.lit("<< /Type /Catalog /Policy << /Mode /"), modes, F.lit(" /Used /"), used, F.lit(" /Explicit "), asked, F.lit(" >> >>"))
+    events = table(spark, sf_dir, "events")
+    objs = objects(events.select(F.col("event_id").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, body))).alias("content")))
+    rows = objs.select(documents.fallback_policy(name("Policy/Mode"), name("Policy/Used"), entry("Policy/Explicit") == "true").alias("status"))
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,7 +100,7 @@ def choice_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     options = "".join(f"[({i}) ({p})]" for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     value = F.when(F.col("o_orderkey") % 4 == 0, F.lit("nothing")).otherwise(F.col("o_orderpriority"))
-    body = F.array(mint.obj(1, "<< /Type /Catalog >>"), mint.obj(2, F.concat(F.lit(f"<< /FT /Ch /T (p) /Opt [{options}] /V "), F.replace(mint.literal(value), F.lit("\\055"), F.lit("-")), F.lit(" >>"))))
+    body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>"), mint.obj(2, F.concat(F.lit(f"<< /FT /Ch /T (p) /Opt [{options}] /V "), mint.literal(value), F.lit(" >>"))))
     rows = documents.choice_status(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
     return rows.groupBy("options", F.coalesce("selected", F.lit(-1)).alias("selected")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -103,13 +109,12 @@ def xfa_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template fields of orders' XML forms matched by path, or by a last part that only one field has."""
     orders = table(spark, sf_dir, "orders")
     tag = lambda k, c: F.concat(F.lit(f"<{k}>"), c.cast("string"), F.lit(f"</{k}>"))
-    xml = F.concat(F.lit("<data><order>"), tag("status", F.col("o_orderstatus")), tag("id", F.col("o_orderkey")), F.lit("</order><buyer>"), tag("id", F.col("o_custkey")), F.lit("</buyer></data>"))
-    body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /XFA [(datasets) 2 0 R] >> >>"), mint.obj(2, mint.stream(xml)))
-    found = stage(graph.dataset_fields(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content")))))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("path")) for f, p in (("a", "data.order.id"), ("b", "form.status"), ("c", "form.id"))])
-    template = found.select("doc_id").distinct().select("doc_id", F.explode(fields).alias("x")).select("doc_id", "x.*")
-    rows = documents.mapped_fields(template, found.select("doc_id", "path", "value"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "field", "value", "match")
+    data = F.concat(F.lit("<datasets><data><order>"), tag("status", F.col("o_orderstatus")), tag("id", F.col("o_orderkey")), F.lit("</order><buyer>"), tag("id", F.col("o_custkey")), F.lit("</buyer></data></datasets>"))
+    form = "<template><subform name='order'><field name='id'/><field name='status'/></subform><subform name='form'><field name='id'/></subform><field name='buyer.id'/></template>"
+    body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /XFA [(template) 3 0 R (datasets) 2 0 R] >> >>"), mint.obj(2, mint.stream(data)), mint.obj(3, mint.stream(F.lit(form))))
+    objs = stage(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
+    rows = xfa.mapped_fields(xfa.template_fields(objs).select("doc_id", "field", "path"), xfa.dataset_fields(objs).select("doc_id", "path", "value"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "field", "path", "value", "match")
 
 
 QUERIES = {f.__name__: f for f in (xref_merge, name_tree_merge, merge_documents, page_transforms, ocr_plan, fallback_policy, byte_range_status, choice_selection, xfa_mapping)}
@@ -125,7 +130,7 @@ ORACLES = {
     "page_transforms": """SELECT p_partkey AS doc_id, CASE WHEN error IS NULL THEN (p_size * 30 % 360)::INT ELSE -1 END AS rotate, CASE WHEN error IS NULL THEN 2.0::DOUBLE * (p_size - 5) END AS width,
         CASE WHEN error IS NULL THEN 2.0::DOUBLE * floor(p_retailprice) END AS height, error FROM (SELECT *, CASE WHEN p_size * 30 % 90 <> 0 THEN 'rotation is not a multiple of 90' WHEN p_size <= 5 THEN 'box has no area' END AS error FROM part)""",
     "ocr_plan": """WITH p AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1),
-        i AS (SELECT event_id, event_id % 30 AS d, user_id % 6 - 1 AS page, event_id % 11 > 0 AS has_text, event_id % 13 AS c, event_id % 5 AS w FROM events)
+        i AS (SELECT event_id, event_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS d, user_id % 6 - 1 AS page, event_id % 11 > 0 AS has_text, event_id % 13 AS c, event_id % 5 AS w FROM events)
         SELECT CASE WHEN pages IS NULL THEN 'no_document' WHEN page < 0 OR page >= pages THEN 'page_out_of_range' WHEN NOT has_text THEN 'no_text' WHEN c > 10 THEN 'confidence_out_of_range'
           WHEN w = 0 THEN 'box_without_area' ELSE 'accepted' END AS status, count(*) AS n FROM i LEFT JOIN p ON d = conv_id GROUP BY 1""",
     "fallback_policy": """WITH e AS (SELECT ['none', 'overlay', 'ocr_text_layer', 'magic'][(event_id % 4 + 1)::INT] AS m, ['none', 'overlay', 'ocr_text_layer'][(user_id % 3 + 1)::INT] AS u, event_id % 3 = 0 AS x FROM events)
@@ -133,5 +138,7 @@ ORACLES = {
           WHEN u IN ('none', m) THEN 'accepted' ELSE 'other_fallback_used' END AS status, count(*) AS n FROM e GROUP BY 1""",
     "byte_range_status": "SELECT ['ok', 'overlap', 'negative', 'outside_file', 'odd_count', 'empty'][(doc_id % 6 + 1)::INT] AS status, count(*) AS n FROM documents GROUP BY 1",
     "choice_selection": "SELECT 5::INT AS options, CASE WHEN o_orderkey % 4 > 0 THEN (list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority) - 1)::INT ELSE -1 END AS selected, count(*) AS n FROM orders GROUP BY 1, 2",
-    "xfa_mapping": "SELECT o_orderkey AS doc_id, f AS field, v AS value, m AS match FROM (SELECT o_orderkey, 'a' AS f, o_orderkey::VARCHAR AS v, 'path' AS m FROM orders UNION ALL SELECT o_orderkey, 'b', o_orderstatus, 'leaf' FROM orders UNION ALL SELECT o_orderkey, 'c', NULL, 'none' FROM orders)",
+    "xfa_mapping": """SELECT o_orderkey AS doc_id, f AS field, p AS path, v AS value, m AS match FROM (
+        SELECT o_orderkey, 'id' AS f, 'order.id' AS p, o_orderkey::VARCHAR AS v, 'path' AS m FROM orders UNION ALL SELECT o_orderkey, 'status', 'order.status', o_orderstatus, 'path' FROM orders UNION ALL
+        SELECT o_orderkey, 'id', 'form.id', NULL, 'none' FROM orders UNION ALL SELECT o_orderkey, 'buyer.id', 'buyer.id', o_custkey::VARCHAR, 'path' FROM orders)""",
 }

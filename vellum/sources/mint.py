@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.sources.write import written
+
 
 def literal(text: Column) -> Column:
     """A string in parentheses, escaped so that only a decoder gives it back."""
@@ -28,19 +30,15 @@ def stream(content: Column, entries: Column | str = "") -> Column:
     return F.concat(head.cast("binary"), content, F.lit("\nendstream").cast("binary"))
 
 
-def document(objects: Column, root: int = 1, extra: str = "") -> Column:
-    """The file. objects: an array of struct(num int, body binary) in file order; a number may come twice, the later one counts."""
-    head = F.lit("%PDF-1.7\n").cast("binary")
-    whole = F.transform(objects, lambda o: F.concat(F.concat(o["num"].cast("string"), F.lit(" 0 obj\n")).cast("binary"), o["body"], F.lit("\nendobj\n").cast("binary")))
-    body = F.unhex(F.array_join(F.transform(whole, F.hex), ""))
-    tail = F.concat(F.lit("xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size "), (F.array_max(F.transform(objects, lambda o: o["num"])) + 1).cast("string"))
-    tail = F.concat(tail, F.lit(f" /Root {root} 0 R {extra}>>\nstartxref\n"), (F.lit(9) + F.octet_length(body)).cast("string"), F.lit("\n%%EOF\n"))
-    return F.concat(head, body, tail.cast("binary"))
+def document(objects: Column, root: Column | int = 1, extra: Column | str = "", pack: Column | bool = False) -> Column:
+    """The file. objects: an array of obj() in file order; a number may come twice, the later one counts. pack: in object streams."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return written(objects, F.concat(F.lit("/Root "), of(root).cast("string"), F.lit(" 0 R "), of(extra)), of(pack))
 
 
-def obj(num: Column | int, body: Column | str) -> Column:
-    body = F.lit(body) if isinstance(body, str) else body
-    return F.struct((F.lit(num) if isinstance(num, int) else num).cast("int").alias("num"), body.cast("binary").alias("body"))
+def obj(num: Column | int, body: Column | str, gen: Column | int = 0) -> Column:
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(of(num).cast("int").alias("num"), of(gen).cast("int").alias("gen"), of(body).cast("binary").alias("body"))
 
 
 def one_page(df: DataFrame, doc_id: Column, contents: list[Column], entries: Column | str = "") -> DataFrame:
@@ -48,7 +46,7 @@ def one_page(df: DataFrame, doc_id: Column, contents: list[Column], entries: Col
     refs = " ".join(f"{4 + i} 0 R" for i in range(len(contents)))
     objects = F.array(
         obj(1, "<< /Type /Catalog /Pages 2 0 R >>"),
-        obj(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] >>"),
+        obj(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] /Resources << >> >>"),
         obj(3, f"<< /Type /Page /Parent 2 0 R /Contents [{refs}] >>"),
         *[obj(4 + i, stream(c, entries)) for i, c in enumerate(contents)],
     )
@@ -71,7 +69,7 @@ def paged(df: DataFrame, doc_id: str, order: str, contents: Column, page_entries
     nodes = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / fan).cast("int"))
     ref = lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))
     kids = F.array_join(F.transform(nodes, lambda k: ref(node(k))), " ")
-    root = F.concat(F.lit("<< /Type /Pages /MediaBox [0 0 612 792] /Kids ["), kids, F.lit("] /Count "), F.size("rows").cast("string"), F.lit(" >>"))
+    root = F.concat(F.lit("<< /Type /Pages /MediaBox [0 0 612 792] /Resources << >> /Kids ["), kids, F.lit("] /Count "), F.size("rows").cast("string"), F.lit(" >>"))
     inner = F.transform(
         nodes,
         lambda k: obj(

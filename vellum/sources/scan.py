@@ -1,22 +1,31 @@
 """From document bytes to relations of objects, references and streams.
 
-Python finds where objects and streams begin and end, a document at a time; everything after that is columns.
+Python reads a document once and says where its objects and streams are and what their dictionaries hold, those of
+object streams included; a number that comes twice is settled there too, so nothing is shuffled. Everything after that
+is columns.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.codecs import capability, decoded, filter_chain
+from vellum.functions.codecs import capability, chain_names, decode, decoded, filter_chain, parameters
+from vellum.sources.syntax import SPACE, items, reference, tokens, value
 
-_OBJECT = re.compile(rb"^(\d+)[ \t\r\n\f\0]+(\d+)[ \t\r\n\f\0]+obj\b", re.M)
-_LENGTH = re.compile(rb"/Length[ \t\r\n]+(\d+)(?![ \t\r\n]+\d+[ \t\r\n]+R)")
-OBJECTS = "doc_id string, num int, gen int, offset long, head string, raw binary, data_start long, error string"
+_OBJECT = re.compile(rb"^(\d{1,9})[ \t\r\n\f\0]+(\d{1,5})[ \t\r\n\f\0]+obj\b", re.M)
+_NUMBER_OBJECT = re.compile(rb"^(\d{1,9})[ \t\r\n\f\0]+(\d{1,5})[ \t\r\n\f\0]+obj[ \t\r\n\f\0]+(\d{1,12})[ \t\r\n\f\0]+endobj", re.M)
+_KINDS = {
+    "doc_id": pa.string(), "num": pa.int32(), "gen": pa.int32(), "offset": pa.int64(), "head": pa.string(), "entries": pa.map_(pa.string(), pa.string()), "raw": pa.binary(), "data_start": pa.int64(),
+    "container": pa.int32(), "parms": pa.list_(pa.map_(pa.string(), pa.int32())), "error": pa.string(),
+}
+_SCHEMA = pa.schema(list(_KINDS.items()))
+OBJECTS = "doc_id string, num int, gen int, offset long, head string, entries map<string,string>, raw binary, data_start long, container int, parms array<map<string,int>>, error string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,63 +38,210 @@ def detected(content: Column) -> Column:
     return F.substring(content, 1, 5) == F.lit(b"%PDF-")
 
 
-def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.string()), ("num", pa.int32()), ("gen", pa.int32()), ("offset", pa.int64()), ("head", pa.string()), ("raw", pa.binary()), ("data_start", pa.int64()), ("error", pa.string())])
+def _extent(data: bytes, start: int, length: int | None) -> tuple[int, str | None]:
+    """Where a stream's data ends: after its length if `endstream` follows, else before the next `endstream`."""
+    if length is not None and data[start + length : start + length + 20].lstrip(SPACE)[:9] == b"endstream":
+        return start + length, None
+    stop = data.find(b"endstream", start)
+    if stop < 0:
+        return len(data), "no endstream"
+    while stop > start and data[stop - 1 : stop] in (b"\n", b"\r"):
+        stop -= 1
+    return stop, None
+
+
+def _found(data: bytes) -> Iterator[dict]:
+    """The objects that stand in the file itself, in its order."""
+    numbers: dict[tuple[int, int], int] | None = None
+    at = 0
+    while m := _OBJECT.search(data, at):
+        entries, head_end, after, word = value(data, m.end())
+        row = {"num": int(m[1]), "gen": int(m[2]), "offset": m.start(), "head": data[m.end() : head_end].strip(SPACE).decode("latin-1"), "entries": entries, "raw": None, "data_start": None, "container": None, "error": None}
+        if word == b"stream" and row["head"].startswith("<<"):
+            start = after + (2 if data[after : after + 2] == b"\r\n" else data[after : after + 1] in (b"\n", b"\r"))
+            length = entries.get("Length", "")
+            if ref := reference(length):
+                if numbers is None:
+                    numbers = {(int(n[1]), int(n[2])): int(n[3]) for n in _NUMBER_OBJECT.finditer(data)}
+                size = numbers.get(ref)
+            else:
+                size = int(length) if re.fullmatch(r"\d{1,12}", length) else None
+            stop, row["error"] = _extent(data, start, size)
+            row |= {"raw": data[start:stop], "data_start": start}
+            end = data.find(b"endobj", stop)
+            row["error"] = row["error"] or ("no endobj" if end < 0 else None)
+            at = end + 6 if end >= 0 else max(stop, m.end())
+        elif word.endswith(b"!"):
+            row["error"], at = "a dictionary or array is not closed", after
+        elif word == b"endobj":
+            at = after
+        else:
+            row["error"], at = "no endobj", m.end()
+        yield row
+
+
+def _resolved(rows: dict[tuple[int, int], dict]) -> None:
+    """Filters and their parameters that are references become what they refer to; a circle stays a reference."""
+    for row in rows.values():
+        if row["raw"] is None:
+            continue
+        for key in ("Filter", "DecodeParms"):
+            for _ in range(8):
+                target = rows.get(reference(row["entries"].get(key)))
+                if target is None:
+                    break
+                row["entries"] |= {key: target["head"]} | {f"{key}/{k}": v for k, v in target["entries"].items()}
+
+
+def _members(row: dict) -> Iterator[dict]:
+    """The objects within an object stream; one that can't be read is passed over."""
+    entries = row["entries"]
+    chain = chain_names(entries.get("Filter"))
+    parms, error = parameters(entries, chain)
+    try:
+        data = b"" if error else decode(row["raw"], chain, parms)
+        n, first = int(entries.get("N", "")), int(entries.get("First", ""))
+        header = [int(x) for x in data[:first].split()]
+    except (ValueError, KeyError, zlib.error) as e:
+        error = str(e) or "broken"
+    if error or n < 0 or first > len(data) or len(header) < 2 * n:
+        row["error"] = row["error"] or f"object stream: {error or 'malformed header'}"
+        return
+    begins = header[1 : 2 * n : 2] + [len(data) - first]
+    for i, number in enumerate(header[0 : 2 * n : 2]):
+        body = data[first + begins[i] : first + begins[i + 1]].strip(SPACE)
+        own, end, _, word = value(body, 0)
+        if body and not word and end == len(body) and 0 <= number < 2**31:
+            yield {"num": number, "gen": 0, "offset": row["offset"], "head": body.decode("latin-1"), "entries": own, "raw": None, "data_start": None, "container": row["num"], "error": None}
+
+
+def trailer(data: bytes, rows: list[dict]) -> dict[str, str]:
+    """The last trailer's entries; without one those of the cross-reference stream that startxref names, or of the last one."""
+    at = data.rfind(b"trailer")
+    if at >= 0 and (entries := value(data, at + 7)[0]):
+        return entries
+    found = [r for r in rows if r["raw"] is not None and r["entries"].get("Type") == "/XRef"]
+    start = re.search(rb"startxref[\0\t\n\f\r ]+(\d+)", data[max(0, data.rfind(b"startxref")) :])
+    named = [r for r in found if start and r["offset"] == int(start[1])]
+    return max(named or found, key=lambda r: r["offset"])["entries"] if found else {}
+
+
+def document_objects(data: bytes, revisions: bool = False) -> list[dict]:
+    """The objects in force: of a number that comes twice the later one, and one of the file before one in an object stream."""
+    every = list(_found(data))
+    force = {(r["num"], r["gen"]): r for r in every}
+    _resolved(force)
+    for row in list(force.values()):
+        if row["raw"] is not None and row["entries"].get("Type") == "/ObjStm":
+            for member in _members(row):
+                force.setdefault((member["num"], 0), member)
+    last = trailer(data, every)
+    if top := force.get(reference(last.get("Root"))):
+        top["entries"] |= {"Root!": "true"} | {f"Trailer!{k}": last[k] for k in ("Info", "ID") if k in last}
+    for row in force.values():
+        if row["raw"] is not None:
+            row["parms"], wrong = parameters(row["entries"], chain_names(row["entries"].get("Filter")))
+            if wrong:
+                row["entries"]["DecodeParms!"] = wrong
+    return every if revisions else list(force.values())
+
+
+def _trailers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for data in batch.column("content").to_pylist():
+            data = data or b""
+            start = data.rfind(b"startxref")
+            m = re.match(rb"startxref[\0\t\n\f\r ]+(\d{1,18})", data[start : start + 40]) if start >= 0 else None
+            version = re.match(rb"%PDF-(\d\.\d)", data)
+            out.append((list(trailer(data, [] if b"trailer" in data else document_objects(data)).items()), int(m[1]) if m else None, version[1].decode() if version else None, b"%%EOF" in data))
+        kinds = (pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "entries", "startxref", "version", "has_end"])
+
+
+def trailers(docs: DataFrame) -> DataFrame:
+    """doc_id, entries of the trailer, startxref, version, has_end of each document."""
+    return docs.select("doc_id", "content").mapInArrow(_trailers, "doc_id string, entries map<string,string>, startxref long, version string, has_end boolean")
+
+
+def _objects(batches: Iterator[pa.RecordBatch], revisions: bool) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    size = 0
+
+    def batch_of() -> pa.RecordBatch:
+        pick = lambda c: [r.get(c) for r in rows]
+        special = {"entries": [list(r["entries"].items()) for r in rows], "parms": [None if r.get("parms") is None else [list(m.items()) for m in r["parms"]] for r in rows]}
+        return pa.RecordBatch.from_arrays([pa.array(special.get(c) or pick(c), t) for c, t in _KINDS.items()], schema=_SCHEMA)
+
     for batch in batches:
-        rows = []
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            at = 0
-            while found := _OBJECT.search(data, at):
-                begin, raw, start, error = found.end(), None, None, None
-                end = data.find(b"endobj", begin)
-                opened = data.find(b"stream", begin)
-                if 0 <= opened and (end < 0 or opened < end) and data[opened - 3 : opened] != b"end":
-                    start = opened + (8 if data[opened + 6 : opened + 8] == b"\r\n" else 7)
-                    length = _LENGTH.search(data, begin, opened)
-                    stop = start + int(length[1]) if length else -1
-                    if stop < 0 or data[stop : stop + 12].lstrip(b"\r\n")[:9] != b"endstream":
-                        stop = data.find(b"endstream", start)
-                        error = "no endstream" if stop < 0 else None
-                        stop = len(data) if stop < 0 else stop - (data[stop - 1 : stop] in (b"\n", b"\r"))
-                    raw, head = data[start:stop], data[begin:opened]
-                    end = data.find(b"endobj", stop)
-                else:
-                    head = data[begin : end if end >= 0 else len(data)]
-                error = error or (None if end >= 0 else "no endobj")
-                rows.append((doc_id, int(found[1]), int(found[2]), found.start(), head.strip().decode("latin-1"), raw, start, error))
-                at = end + 6 if end >= 0 else len(data)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            rows += [r | {"doc_id": doc_id} for r in document_objects(data or b"", revisions)]
+            size += len(data or b"")
+            if size > 2_000_000 or len(rows) > 5_000:
+                yield batch_of()
+                rows, size = [], 0
+    yield batch_of()
 
 
 def object_rows(docs: DataFrame) -> DataFrame:
     """Every object that the bytes hold, earlier revisions included."""
-    return docs.select("doc_id", "content").mapInArrow(_objects, OBJECTS)
+    return docs.select("doc_id", "content").mapInArrow(lambda b: _objects(b, True), OBJECTS)
 
 
 def objects(docs: DataFrame) -> DataFrame:
-    """The objects in force: of a number that comes twice, the later one in the file."""
-    last = Window.partitionBy("doc_id", "num", "gen").orderBy(F.col("offset").desc())
-    return object_rows(docs).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    """The objects in force. entries: the dictionary by path; container: the object stream it stands in; error: what is wrong with it."""
+    return docs.select("doc_id", "content").mapInArrow(lambda b: _objects(b, False), OBJECTS)
+
+
+def entry(key: str) -> Column:
+    """The raw value of a dictionary's key, or of one further down by its path (`Resources/Font`); null without it."""
+    return F.col("entries")[key]
 
 
-def entry(head: Column, key: str) -> Column:
-    """The raw value of a dictionary's key: a name, number, reference, string, array or nested dictionary; null without it."""
-    value = rf"(?s)/{key}(?![A-Za-z0-9])\s*(\[[^\]]*\]|<<.*?>>|<[0-9A-Fa-f\s]*>|\((?:\\.|[^\\()])*\)|/[^\s/<>\[\]()]+|\d+\s+\d+\s+R\b|[-+.\w]+)"
-    return F.nullif(F.regexp_extract(head, value, 1), F.lit(""))
+def name(key: str) -> Column:
+    """The name that is a key's value; empty if it is none."""
+    return F.regexp_extract(F.coalesce(entry(key), F.lit("")), r"^/(.*)", 1)
 
 
-def name(head: Column, key: str) -> Column:
-    return F.regexp_extract(entry(head, key), r"^/(.*)", 1)
+def text(key: str) -> Column:
+    """The text of the string that is a key's value; null if it is none."""
+    return F.col("entries")[f"{key}="]
 
 
-def ref_numbers(value: Column) -> Column:
-    """The object numbers that a value refers to, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r"(\d+)\s+\d+\s+R\b"), F.lit(1)), lambda x: x.cast("int"))
+def number(key: str) -> Column:
+    return F.expr(f"try_cast(entries['{key}'] as int)")
+
+
+def ref_numbers(raw: Column) -> Column:
+    """The object numbers that a raw value refers to, in order. It must hold no strings."""
+    return F.transform(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"(\d+)\s+\d+\s+R\b"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def array_items(raw: Column) -> Column:
+    """What an array's raw value holds, as structs of kind (text, name, ref, open, close, word) and value."""
+
+    @F.pandas_udf("array<struct<kind:string,value:string>>")
+    def apply(values):
+        return values.map(lambda v: [{"kind": k, "value": x} for k, x in items(v)])
+
+    return apply(raw)
+
+
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (doc_id, num, int(x))
+            for doc_id, num, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "num", "head")), strict=True)
+            if "R" in (head or "")
+            for kind, x in items(head)
+            if kind == "ref" and re.fullmatch(r"\d{1,9}", x)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], ["doc_id", "src", "dst"])
 
 
 def refs(objs: DataFrame) -> DataFrame:
-    """doc_id, src, dst: each reference from one object to another."""
-    return objs.select("doc_id", F.col("num").alias("src"), F.explode(ref_numbers(F.col("head"))).alias("dst"))
+    """doc_id, src, dst: each reference from one object to another; what looks like one within a string is none."""
+    return objs.select("doc_id", "num", "head").mapInArrow(_references, "doc_id string, src int, dst int")
 
 
 def dangling(objs: DataFrame) -> DataFrame:
@@ -96,24 +252,139 @@ def dangling(objs: DataFrame) -> DataFrame:
 
 def streams(objs: DataFrame) -> DataFrame:
     """Streams with their filters, what these allow, and their decoded bytes or the error of decoding."""
-    parms = entry(F.col("head"), "DecodeParms")
-    number = lambda key, default: F.coalesce(F.nullif(F.regexp_extract(parms, rf"/{key}\s+(\d+)", 1), F.lit("")).cast("int"), F.lit(default))
-    found = objs.where("raw is not null").withColumn("chain", filter_chain(entry(F.col("head"), "Filter")))
-    found = found.withColumns({"capability": capability(F.col("chain")), "_d": decoded(F.col("raw"), F.col("chain"), number("Predictor", 1), number("Columns", 1))})
+    found = objs.where("raw is not null").withColumn("chain", filter_chain(entry("Filter")))
+    found = found.withColumns({"capability": capability(F.col("chain")), "_d": decoded(F.col("raw"), F.col("chain"), F.col("parms"), entry("DecodeParms!"))})
     return found.withColumns({"data": F.col("_d.data"), "decode_error": F.col("_d.error")}).drop("_d")
 
 
+#: Names whose presence is a boundary; fixed by the format.
+MARKERS = {
+    "has_encrypt": {"/Encrypt"}, "has_signature": {"/ByteRange"}, "has_acroform": {"/AcroForm"}, "has_xfa": {"/XFA"}, "has_annotations": {"/Annot", "/Annots"}, "has_font_markers": {"/Font"},
+    "has_cmap_markers": {"begincmap", "beginbfchar", "beginbfrange"}, "has_tounicode_cmap": {"/ToUnicode"}, "has_cid_font_markers": {"/CIDFontType0", "/CIDFontType2"},
+}
+_WORDS = re.compile(rb"/(?:Encrypt|ByteRange|AcroForm|XFA|Annots?|Font|ToUnicode|CIDFontType[02])(?![A-Za-z0-9])|begincmap|beginbfchar|beginbfrange")
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = []
+        for data in batch.column("content").to_pylist():
+            data = data or b""
+            # Only a document in which a word stands at all is taken to pieces, to see that it stands outside strings and comments.
+            seen = {t.decode("latin-1") for t in _outside(data)} if _WORDS.search(data) else set()
+            sets.append({k: not seen.isdisjoint(v) for k, v in MARKERS.items()})
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[k] for s in sets], pa.bool_()) for k in MARKERS)], ["doc_id", *MARKERS])
+
+
+def _outside(data: bytes) -> Iterator[bytes]:
+    """Tokens of the whole file; behind a string that is not closed, parentheses are signs like others."""
+    end = 0
+    for token, _, end in tokens(data):
+        yield token
+    opened = data.find(b"(", end)
+    if opened >= 0:
+        yield from (t for t, _, _ in tokens(data[opened:].translate(None, b"()")))
+
+
 def markers(docs: DataFrame) -> DataFrame:
-    """doc_id and whether the bytes name encryption, signatures, forms, XML forms, annotations, fonts and character maps."""
-    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"(?s)\((?:\\.|[^\\()])*\)|%[^\r\n]*", " ")
-    has = lambda key: text.rlike(rf"/{key}(?![A-Za-z0-9])")
-    return docs.select(
-        "doc_id",
-        has("Encrypt").alias("has_encrypt"),
-        has("ByteRange").alias("has_signature"),
-        has("AcroForm").alias("has_acroform"),
-        has("XFA").alias("has_xfa"),
-        has("Annots?").alias("has_annotations"),
-        has("Font").alias("has_font_markers"),
-        has("ToUnicode").alias("has_tounicode_cmap"),
-    )
+    """doc_id and whether the bytes name encryption, signatures, forms, XML forms, annotations, fonts and character maps, outside strings and comments."""
+    return docs.select("doc_id", "content").mapInArrow(_marked, "doc_id string, " + ", ".join(f"{k} boolean" for k in MARKERS))
+
+
+_TABLE = re.compile(rb"(?:^|[\r\n])xref[ \t]*[\r\n]+")
+_RUN = re.compile(rb"[\r\n ]*(\d{1,9})[ \t]+(\d{1,9})[ \t]*[\r\n]+")
+_LINE = re.compile(rb"[\r\n ]*(\d{10}) (\d{5}) ([nf])")
+
+
+def _table_rows(data: bytes) -> Iterator[tuple]:
+    """(section, num, gen, offset, container, index) of the entries in use of all tables; section 0 is the first in the file."""
+    for section, m in enumerate(_TABLE.finditer(data)):
+        at = m.end()
+        while run := _RUN.match(data, at):
+            at = run.end()
+            for i in range(int(run[2])):
+                line = _LINE.match(data, at)
+                if not line:
+                    break
+                at = line.end()
+                if line[3] == b"n":
+                    yield section, int(run[1]) + i, int(line[2]), int(line[1]), None, None
+
+
+def xref_stream_rows(row: dict) -> list[tuple[int, int, int, int]]:
+    """(num, type, second, third field) of a cross-reference stream; ValueError says what is wrong with it."""
+    entries = row["entries"]
+    chain = chain_names(entries.get("Filter"))
+    parms, wrong = parameters(entries, chain)
+    if wrong:
+        raise ValueError(wrong)
+    data = decode(row["raw"], chain, parms)
+    numbers = lambda key: [int(x) for kind, x in items(entries.get(key)) if kind == "word" and re.fullmatch(r"-?\d+", x)]
+    widths = numbers("W")
+    if len(widths) != 3 or not all(0 <= w <= 8 for w in widths) or not sum(widths):
+        raise ValueError("no usable /W")
+    index = numbers("Index") if "Index" in entries else [0, int(entries.get("Size", "-1"))]
+    if len(index) % 2 or any(x < 0 for x in index):
+        raise ValueError("no usable /Index or /Size")
+    out, at = [], 0
+    for first, count in zip(index[::2], index[1::2], strict=True):
+        if at + count * sum(widths) > len(data):
+            raise ValueError("data ends before all entries")
+        for i in range(count):
+            fields = []
+            for w in widths:
+                fields.append(int.from_bytes(data[at : at + w], "big"))
+                at += w
+            kind = fields[0] if widths[0] else 1
+            if kind > 2:
+                raise ValueError(f"entry of unknown type {kind}")
+            out.append((first + i, kind, *fields[1:]))
+    if data[at:].strip(SPACE):
+        raise ValueError("trailing data")
+    return out
+
+
+def _references_of(data: bytes) -> tuple[list[tuple], dict]:
+    """The entries of tables and cross-reference streams, and what there is of them."""
+    every = list(_found(data)) if b"/XRef" in data or b"/ObjStm" in data else []
+    of_type = lambda t: [r for r in every if r["raw"] is not None and r["entries"].get("Type") == t]
+    rows, error = list(_table_rows(data)), None
+    tables = 1 + max((r[0] for r in rows), default=-1)
+    streams_ = of_type("/XRef")
+    for i, row in enumerate(streams_):
+        try:
+            for num, kind, a, b in xref_stream_rows(row):
+                if kind:
+                    rows.append((tables + i, num, b, a, None, None) if kind == 1 else (tables + i, num, 0, row["offset"], a, b))
+        except (ValueError, KeyError, zlib.error) as e:
+            error = error or f"cross-reference stream: {e}"
+    hybrid = trailer(data, []).get("XRefStm") if b"trailer" in data else None
+    if hybrid is not None and not (hybrid.isdigit() and int(hybrid) in {r["offset"] for r in streams_}):
+        error = error or "/XRefStm is not the place of a cross-reference stream"
+    last = [m.end() for m in _TABLE.finditer(data)]
+    offset = data.rfind(b"xref", 0, last[-1]) if last else None
+    return rows, {"has_table": bool(last), "has_stream": bool(streams_), "has_hybrid": hybrid is not None, "has_object_stream": bool(of_type("/ObjStm")), "table_offset": offset, "error": error}
+
+
+def _xref(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        rows = [(doc_id, *r) for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in _references_of(data or b"")[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i + 1] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "section", "num", "gen", "offset", "container", "index"])
+
+
+def xref_entries(docs: DataFrame) -> DataFrame:
+    """doc_id, section, num, gen, offset, container, index: entries in use, tables first, then streams; container and index of those in object streams."""
+    return docs.select("doc_id", "content").mapInArrow(_xref, "doc_id string, section int, num long, gen int, offset long, container long, index long")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"has_table": pa.bool_(), "has_stream": pa.bool_(), "has_hybrid": pa.bool_(), "has_object_stream": pa.bool_(), "table_offset": pa.int64(), "error": pa.string()}
+    for batch in batches:
+        found = [_references_of(data or b"")[1] for data in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in kinds.items())], ["doc_id", *kinds])
+
+
+def xref_summary(docs: DataFrame) -> DataFrame:
+    """doc_id, has_table, has_stream, has_hybrid, has_object_stream, table_offset (of the last), error of each document's cross references."""
+    return docs.select("doc_id", "content").mapInArrow(_summaries, "doc_id string, has_table boolean, has_stream boolean, has_hybrid boolean, has_object_stream boolean, table_offset long, error string")
