@@ -44,12 +44,34 @@ def test_plan_places_every_piece_once(seed):
 
 def test_column_generation_reaches_the_bound():
     sizes, demand = np.array([300, 340, 400, 512, 724]), np.array([50.0, 40, 30, 20, 10])
-    used = packing.column_generation(sizes, demand, 1024)
+    used, report = packing.column_generation(sizes, demand, 1024)
     total = np.zeros(5)
     for pattern, use in used:
         for i, n in pattern.items():
             total[i] += n * use
-    assert np.allclose(total, demand) and sum(u for _, u in used) < 1.05 * (sizes * demand).sum() / 1024
+    assert np.allclose(total, demand) and report["use"] == pytest.approx(report["bound"], rel=1e-6)
+    assert sum(u for _, u in used) < 1.05 * (sizes * demand).sum() / 1024
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_columns_enter_until_the_program_is_optimal(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(150, 700, 14))
+    demand = rng.integers(1, 60, len(sizes)).astype(float)
+    used, report = packing.column_generation(sizes, demand, 1000)
+    made = sum(u * np.bincount(list(p), list(p.values()), len(sizes)) for p, u in used)
+    assert np.allclose(made, demand) and report["use"] <= report["bound"] * (1 + 1e-6)
+    patterns, _, order = packing.first_basis(sizes, demand, 1000)
+    basis = np.array([[p.get(i, 0) for p in patterns] for i in range(len(sizes))], float)
+    assert np.allclose(packing.triangular_inverse(patterns, order) @ basis, np.eye(len(sizes)))
+
+
+def test_padding_is_small():
+    rng = np.random.default_rng(3)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(np.minimum(rng.geometric(0.004, 20_000), 1023), return_counts=True), strict=True)}
+    made = packing.plan(histogram, 1024)
+    used = sum(s * n for s, n in histogram.items())
+    assert sum(t for _, t in made) * 1024 <= used * 1.01
 
 
 @pytest.mark.parametrize("keep_ids", [True, False])

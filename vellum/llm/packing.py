@@ -152,45 +152,62 @@ def fullest(left: dict[int, float], capacity: int) -> dict[int, int]:
     return pattern
 
 
-def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
-    """Patterns that each use up one length, and their use: ordered by that they are triangular, so they are a feasible basis."""
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
+    """Patterns that each use up one length, their use, and the order in which lengths are used up: by that they are triangular, so they are a feasible basis."""
     at = {int(s): i for i, s in enumerate(sizes)}
     left = {int(s): float(d) for s, d in zip(sizes, demand, strict=True)}
     patterns: list[dict[int, int]] = [{} for _ in sizes]
-    use = np.zeros(len(sizes))
+    use, order = np.zeros(len(sizes)), []
     while left:
         pattern = fullest(left, capacity)
         times, gone = min((left[s] / n, s) for s, n in pattern.items())
         patterns[at[gone]] = {at[s]: n for s, n in pattern.items()}
         use[at[gone]] = times
+        order.append(at[gone])
         for s, n in pattern.items():
             left[s] -= n * times
         del left[gone]
         for s in [s for s in pattern if s in left and left[s] < 1e-9]:  # used up at the same time
             patterns[at[s]] = {at[s]: capacity // s}
+            order.append(at[s])
             del left[s]
-    return patterns, use
+    return patterns, use, order
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 0.001, rounds: int = 200) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used, from the linear program; within tolerance of the least number of sequences.
-
-    It stops at the optimum, at `tolerance` above the bound that the sum of lengths gives, or after `rounds` columns:
-    any basis on the way is a valid, if looser, solution.
-    """
-    m = len(sizes)
-    patterns, use = first_basis(sizes, demand, capacity)
-    basis = np.zeros((m, m))
+def triangular_inverse(patterns: list[dict[int, int]], order: list[int]) -> np.ndarray:
+    """The inverse of the basis, by forward substitution: a pattern holds only lengths that are used up with it or later."""
+    m = len(patterns)
+    rows: list[list[tuple[int, int]]] = [[] for _ in range(m)]  # of each length, the patterns that hold it
     for j, pattern in enumerate(patterns):
         for i, n in pattern.items():
-            basis[i, j] = n
-    inverse = np.linalg.inv(basis)
-    bound = float((sizes * demand).sum()) / capacity
+            rows[i].append((j, n))
+    inverse = np.zeros((m, m))
+    for i in order:
+        row = np.zeros(m)
+        row[i] = 1.0
+        for j, n in rows[i]:
+            if j != i:
+                row -= n * inverse[j]
+        inverse[i] = row / patterns[i][i]
+    return inverse
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300) -> tuple[list[tuple[dict[int, int], float]], dict[str, float]]:
+    """Patterns and how often each is used, from the linear program, and a report: columns that entered, the use, a bound from below.
+
+    It stops when no pattern is worth more than a sequence, which is the optimum, or after `rounds` columns: any basis
+    on the way is a valid, if looser, solution. The prices give the bound: no packing takes less than their sum over the worth
+    of the best pattern.
+    """
+    patterns, use, order = first_basis(sizes, demand, capacity)
+    inverse = triangular_inverse(patterns, order)
+    entered, bound = 0, float((sizes * demand).sum()) / capacity
     for _ in range(rounds):
-        if use.sum() <= bound * (1 + tolerance):
-            break
-        worth, pattern = knapsack(inverse.sum(axis=0), sizes, capacity)
-        if worth <= 1 + 1e-7:
+        prices = inverse.sum(axis=0)
+        worth, pattern = knapsack(prices, sizes, capacity)
+        if worth > 0:
+            bound = max(bound, float(np.maximum(prices, 0) @ demand) / worth)
+        if worth <= 1 + 1e-7 or use.sum() <= bound * (1 + 1e-6):
             break
         column = sum(n * inverse[:, i] for i, n in pattern.items())
         ratio = np.where(column > 1e-9, use / np.where(column > 1e-9, column, 1), np.inf)
@@ -204,7 +221,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
         inverse -= np.outer(column, row)
         inverse[leave] = row
         patterns[leave] = pattern
-    return [(p, float(u)) for p, u in zip(patterns, use, strict=True)]
+        entered += 1
+    return [(p, float(u)) for p, u in zip(patterns, use, strict=True)], {"columns": entered, "use": float(use.sum()), "bound": bound}
 
 
 def fill_up(counts: dict[int, int], capacity: int) -> list[dict[int, int]]:
@@ -220,7 +238,7 @@ def fill_up(counts: dict[int, int], capacity: int) -> list[dict[int, int]]:
     return made
 
 
-def plan(histogram: dict[int, int], capacity: int, tolerance: float = 0.001) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(lengths and how many of each, number of sequences filled like this), all pieces placed exactly once."""
     left = dict(histogram)
     made: list[tuple[dict[int, int], int]] = []
@@ -229,7 +247,7 @@ def plan(histogram: dict[int, int], capacity: int, tolerance: float = 0.001) ->
     lengths = sorted(int(s) for s, n in left.items() if n)
     if lengths:
         sizes = np.array(lengths)
-        for pattern, use in column_generation(sizes, np.array([left[s] for s in lengths], float), capacity, tolerance):
+        for pattern, use in column_generation(sizes, np.array([left[s] for s in lengths], float), capacity)[0]:
             times = int(min([use + 1e-9, *(left[lengths[i]] // n for i, n in pattern.items())]))
             if times > 0:
                 made.append(({lengths[i]: n for i, n in pattern.items()}, times))
@@ -253,7 +271,7 @@ def intervals(made: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 1024, end_id: int = 0, keep_ids: bool = True, tolerance: float = 0.001) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 1024, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pieces of all documents with sequence_id and offset; ids array<int> with keep_ids.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]. A document's ids are those of its text
@@ -273,7 +291,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     offsets = stage(counts.select("part", "length", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))
     small = offsets.limit(MAX_OFFSETS + 1).count() <= MAX_OFFSETS
     ranked = cut.join(F.broadcast(offsets) if small else offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
-    rows = intervals(plan(histogram, capacity, tolerance))
+    rows = intervals(plan(histogram, capacity))
     # A few intervals for each of at most `capacity` lengths and as many patterns: at most capacity**2 rows.
     where = docs.sparkSession.createDataFrame(rows, "length long, lo long, hi long, n long, sequence long, base long")
     placed = ranked.join(F.broadcast(where), "length").where("rank >= lo and rank < hi")
