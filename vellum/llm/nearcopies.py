@@ -196,6 +196,10 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 36,
     units = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep")).select("rep", "root", "blocks", "text")
     units = units.mapInArrow(lambda b: full_sets(b, k), "root long, i int, j int, rep long, values binary")
     edges = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(lambda b: linked(b, percent), "a long, b long")
+    # Rows that share a doc_id are one document: what its texts are linked with hangs together.
+    with_id = nodes.where("doc_id is not null and rep is not null")
+    several = with_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    edges = edges.unionByName(with_id.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
     roots = components(edges)
     return nodes.join(roots, nodes.rep == roots.node, "left").select(
         "doc_id",
