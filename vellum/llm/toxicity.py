@@ -283,6 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, settings: Sett
         drawn = part if drawn is None else drawn.unionByName(part)
     known = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
     known = known.groupBy("doc_id", "text").agg(F.min("lang").alias("lang"), F.max("toxic").alias("toxic"))  # a repeated row counts once
+    # An id may stand for many texts: the bound is on rows.
+    known = known.orderBy(F.xxhash64("doc_id", "text", F.lit(3))).limit(rows)
     found = sorted(known.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))
     texts, same = [], {}  # one copy of each word
     for r in found:
