@@ -123,8 +123,10 @@ def proportions(logs: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     if -single <= price:
         return share, sure
     ones = np.ones(n)
-    full = mixture(like, ones, np.where(share > 0, 0.7, 0.3 / (k - 1)))[1]
-    if full - single <= price:
+    part, full = mixture(like, ones, np.where(share > 0, 0.7, 0.3 / (k - 1)))
+    # The likelihood is concave: wherever the mixture stopped, the best one is worth no more than the steepest way up from there.
+    steepest = float((like / (like @ part)[:, None]).sum(axis=0).max()) - n
+    if full + max(steepest, 0.0) - single <= price:
         return share, sure
     chosen, value = [best], single
     while len(chosen) < k:
