@@ -41,7 +41,7 @@ def obj(num: Column | int, body: Column | str, gen: Column | int = 0) -> Column:
     return F.struct(of(num).cast("int").alias("num"), of(gen).cast("int").alias("gen"), of(body).cast("binary").alias("body"))
 
 
-def one_page(df: DataFrame, doc_id: Column, contents: list[Column], entries: Column | str = "") -> DataFrame:
+def one_page(df: DataFrame, doc_id: Column, contents: list[Column], entries: Column | str = "", pack: Column | bool = False) -> DataFrame:
     """doc_id, content: a document of one page for each row, with one content stream for each of contents."""
     refs = " ".join(f"{4 + i} 0 R" for i in range(len(contents)))
     objects = F.array(
@@ -50,10 +50,10 @@ def one_page(df: DataFrame, doc_id: Column, contents: list[Column], entries: Col
         obj(3, f"<< /Type /Page /Parent 2 0 R /Contents [{refs}] >>"),
         *[obj(4 + i, stream(c, entries)) for i, c in enumerate(contents)],
     )
-    return df.select(doc_id.cast("string").alias("doc_id"), document(objects).alias("content"))
+    return df.select(doc_id.cast("string").alias("doc_id"), document(objects, pack=pack).alias("content"))
 
 
-def paged(df: DataFrame, doc_id: str, order: str, contents: Column, page_entries: Column | str = "", fan: int = 4) -> DataFrame:
+def paged(df: DataFrame, doc_id: str, order: str, contents: Column, page_entries: Column | str = "", fan: int = 4, pack: bool = False) -> DataFrame:
     """One document for each doc_id, with a page for each row in the given order, under a tree of two levels of nodes.
 
     Objects: 1 catalog, 2 root of pages; node k has number 10 + 3 * fan * k, its pages and their contents follow.
@@ -87,4 +87,4 @@ def paged(df: DataFrame, doc_id: str, order: str, contents: Column, page_entries
     )
     bodies = F.transform("rows", lambda r, i: obj(page(i) + 1, stream(r["text"])))
     objects = F.concat(F.array(obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), obj(2, root)), inner, leaves, bodies)
-    return grouped.select("doc_id", document(objects).alias("content"))
+    return grouped.select("doc_id", document(objects, pack=pack).alias("content"))
