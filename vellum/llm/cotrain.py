@@ -1,10 +1,10 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view is a logistic model over hashed words, word shapes and repeated neighbours. The metadata view is a
-logistic model over source, language and the page's layout (length, lines, shares of letters, capitals and symbols).
-Both start from the labelled rows; in each round, either view labels the unlabelled rows that it is surest of, and
-the other is fitted again with them. At the end each view is calibrated on labelled rows kept aside, and a logistic
-model of the two calibrated logits scores all documents.
+logistic model over what is known of a page without reading it: source, language, both together, and length. Both start
+from the labelled rows; in each round, either view labels the unlabelled rows that it is surest of, and the other is
+fitted again with them. At the end each view is Platt-scaled on labelled rows kept aside, and a logistic model of the two
+calibrated logits scores all documents.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from vellum.llm.texts import Rows, Shared, lower_words
 FIT_ROWS, POOL_ROWS = 4_000, 4_000
 BUCKETS = 1 << 16
 META = 1 << 12
-_SYMBOLS = b"#*$%&|<>!?{}[]~^=+_\\/@"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 
 
@@ -54,26 +53,10 @@ def text_features(words: list[bytes]) -> dict[int, float]:
     return out
 
 
-def layout(text: str | None) -> list[str]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    n = max(len(raw), 1)
-    lines = raw.split(b"\n")
-    share = lambda signs: int(10 * (n - len(raw.translate(None, signs))) / n)
-    return [
-        f"length {int(2 * math.log2(n + 1))}",
-        f"lines {int(math.log2(len(lines)))}",
-        f"line {int(math.log2(n / len(lines) + 1))}",
-        f"equal lines {int(5 * len(set(lines)) / len(lines))}",
-        f"letters {share(_LETTERS)}",
-        f"capitals {share(bytes(range(65, 91)))}",
-        f"symbols {int(100 * (n - len(raw.translate(None, _SYMBOLS))) / n) // 3}",
-        f"digits {share(bytes(range(48, 58)))}",
-        f"spaces {share(b' ')}",
-    ]
-
-
-def meta_features(source: str | None, lang: str | None, text: str | None) -> dict[int, float]:
-    parts = [f"source {source}", f"lang {lang}", *layout(text)]
+def meta_features(source: str | None, lang: str | None, length: int) -> dict[int, float]:
+    """Features of a page's columns; length is that of its text in characters."""
+    size = int(2 * math.log2(length + 1))
+    parts = [f"source {source}", f"lang {lang}", f"both {source} {lang}", f"length {size}", f"length {size // 4} of {source}"]
     return {1: 1.0} | {zlib.crc32(p.encode()) % (META - 2) + 2: 1.0 for p in parts}
 
 
@@ -102,7 +85,23 @@ def dot(rows: list[dict[int, float]], w: np.ndarray) -> np.ndarray:
 class Model:
     text: np.ndarray
     meta: np.ndarray
-    combine: np.ndarray  # weights of the two logits, and the intercept
+    scales: np.ndarray  # slope and shift of each view's logit
+    combine: np.ndarray  # weights of the two calibrated logits, and the intercept
+
+
+def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope (above 0) and shift that make a probability of a logit, by Newton steps on smoothed labels."""
+    if not len(x):
+        return np.array([1.0, 0.0])
+    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    spread = max(float(x.std()), 1e-6)
+    z = np.stack([x / spread, np.ones(len(x))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2) * len(x) / 100
+        w = w - np.linalg.solve(hessian, z.T @ (p - goal) + 1e-3 * w * len(x) / 100)
+    return np.array([max(w[0] / spread, 1e-3), w[1]])
 
 
 def cotrain(text: list[dict], meta: list[dict], y: np.ndarray, pool_text: list[dict], pool_meta: list[dict], rounds: int = 3, step: float = 0.1) -> Model:
@@ -126,13 +125,16 @@ def cotrain(text: list[dict], meta: list[dict], y: np.ndarray, pool_text: list[d
             keys = sorted(extra)
             fits.append(logistic(rows + [pool[i] for i in keys], np.concatenate([base_y, [extra[i] for i in keys]]), np.concatenate([one, np.full(len(keys), 0.3)]), size))
         wt, wm = fits
-    x = np.stack([dot(pick(text, aside), wt), dot(pick(meta, aside), wm), np.ones(int(aside.sum()))], axis=1)
+    known = y[aside].astype(float)
+    logits = [dot(pick(text, aside), wt), dot(pick(meta, aside), wm)]
+    scales = np.array([platt(x, known) for x in logits])
+    x = np.stack([*(a * v + b for v, (a, b) in zip(logits, scales, strict=True)), np.ones(len(known))], axis=1)
     combine = np.array([0.5, 0.5, 0.0])
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(x @ combine, -30, 30)))
         if len(p):
-            combine -= 0.1 * ((p - y[aside]) @ x / len(p)) / np.array([4.0, 4.0, 1.0])
-    return Model(wt, wm, combine)
+            combine -= 0.1 * ((p - known) @ x / len(p)) / np.array([4.0, 4.0, 1.0])
+    return Model(wt, wm, scales, combine)
 
 
 def scored(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:
@@ -146,13 +148,14 @@ def scored(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.Rec
     model, rows = shared.use(ready)
     for batch in batches:
         out: list[list[float]] = [[], [], []]
-        for text, source, lang in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
+        for text, source, lang, length in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang", "_length")), strict=True):
             words = lower_words(text)
             t = float(model.text[1])
             if words:
                 repeats = sum(map(bytes.__eq__, words, words[1:]))
                 t += 10.0 / len(words) * float(rows(words).sum() + model.text[0] * repeats)
-            m = sum(model.meta[f] * x for f, x in meta_features(source, lang, text).items())
+            m = sum(model.meta[f] * x for f, x in meta_features(source, lang, length).items())
+            t, m = model.scales[0, 0] * t + model.scales[0, 1], model.scales[1, 0] * m + model.scales[1, 1]
             both = model.combine[0] * t + model.combine[1] * m + model.combine[2]
             for values, v in zip(out, (both, t, m), strict=True):
                 values.append(float(1 / (1 + np.exp(-np.clip(v, -30, 30)))))
@@ -166,22 +169,24 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool: int
     count as empty text and as a source or language of their own. Without labels of both classes every score is 0.5
     and predicted 1. Equal rows get equal scores; extra columns are left out; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text", "source", "lang")
+    docs = docs.select("doc_id", "text", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("_length"))
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = marked.where(~held_out(F.col("doc_id")))
     key = F.xxhash64("doc_id", F.lit(17))
     drawn = marked.orderBy(key).limit(rows)
     other = docs.where(F.col("doc_id").isNotNull()).select("doc_id").join(marked, "doc_id", "left_anti").orderBy(key).limit(pool).withColumn("quality", F.lit(None).cast("int"))
     wanted = F.broadcast(drawn.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(other.distinct()))  # rows + pool ids at most
-    found = sorted(docs.join(wanted, "doc_id").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))
+    # An id may stand for many texts: the bound is on rows.
+    chosen = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id", "text", F.lit(17))).limit(rows + pool)
+    found = sorted(chosen.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))
     text = [text_features(lower_words(r["text"])) for r in found]
-    meta = [meta_features(r["source"], r["lang"], r["text"]) for r in found]
+    meta = [meta_features(r["source"], r["lang"], r["_length"]) for r in found]
     y = np.array([-1 if r["quality"] is None else r["quality"] for r in found])
     side = lambda rows, known: [x for x, k in zip(rows, y >= 0, strict=True) if k == known]
     if len(set(y[y >= 0].tolist())) == 2:
         model = cotrain(side(text, True), side(meta, True), y[y >= 0], side(text, False), side(meta, False), rounds)
     else:
-        model = Model(np.zeros(BUCKETS), np.zeros(META), np.zeros(3))
+        model = Model(np.zeros(BUCKETS), np.zeros(META), np.array([[1.0, 0.0], [1.0, 0.0]]), np.zeros(3))
     shared = Shared(docs.sparkSession, model, uuid.uuid4().hex)  # fixed in size
     kind = dict(docs.dtypes)["doc_id"]
     out = docs.mapInArrow(lambda b: scored(b, shared), f"doc_id {kind}, score double, text_score double, meta_score double")
