@@ -302,16 +302,16 @@ def catalog_with(title, field, label):
 
 
 def test_merged_catalogs(spark):
-    docs = made(spark, *catalog_with(b"a", b"x", b"D")).unionByName(made(spark, *catalog_with(b"b", b"y", b"r")).withColumn("doc_id", F.lit("e")))
+    docs = made(spark, *catalog_with("ä".encode(), b"x", b"D")).unionByName(made(spark, *catalog_with(b"b", b"y", b"r")).withColumn("doc_id", F.lit("e")))
     merged = documents.merge(objects(docs), F.lit("all"), F.when(F.col("doc_id") == "d", 0).otherwise(1))
     objs = objects(merged)
     assert reachable(merged).first().sound and dangling(objs).count() == 0 and graph.pages(objs).count() == 4
     assert [r.name for r in graph.name_entries(objs).orderBy("ord").collect()] == ["n", "n#doc2"]
     assert [(r.first_page, r.style) for r in graph.page_labels(objs).orderBy("first_page").collect()] == [(1, "D"), (3, "r")]
-    assert [r.title for r in graph.outlines(objs).orderBy("ord").collect()] == ["a", "b"]
+    assert [r.title for r in graph.outlines(objs).orderBy("ord").collect()] == ["ä", "b"]
     assert [r.name for r in graph.form_fields(objs).orderBy("ord").collect()] == ["x", "y"]
     top = objs.where("num = 1").first().entries
-    assert (top["Lang="], top["AcroForm/NeedAppearances"], top["AcroForm/DA="]) == ("a", "true", "a")
+    assert (top["Lang="], top["AcroForm/NeedAppearances"], top["AcroForm/DA="]) == ("ä", "true", "ä")
 
 
 def test_pages_extracted_and_inserted(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.graph import form_fields, name_entries, outlines, page_labels, pages
 from vellum.plans.staging import stage
-from vellum.sources.mint import document, literal, obj
+from vellum.sources.mint import document, obj, raw_literal
 from vellum.sources.scan import entry, name, refs
 from vellum.sources.syntax import rebuilt, renumbered
 
@@ -115,7 +115,7 @@ def compose(objs: DataFrame, placed: DataFrame) -> DataFrame:
     rows = bodies.select("merged", (F.col("num") + F.col("delta")).alias("new"), "head", "entries", "raw", "delta", "moved", F.lit(None).cast("map<string,string>").alias("inherited"))
     sheets = own.join(objs.select("doc_id", "num", "head", "entries", "raw"), ["doc_id", "num"]).join(parts.select("merged", "doc_id", "delta", "moved"), ["merged", "doc_id"])
     copied = rows.select(*columns).unionByName(sheets.select(*columns)).mapInArrow(_copied, "merged string, new int, body binary")
-    items = listed.select("merged", F.col("new"), F.col("body").cast("binary"))
+    items = listed.select("merged", F.col("new"), F.encode("body", "ISO-8859-1").alias("body"))
     objects = copied.unionByName(items).groupBy("merged").agg(F.array_sort(F.collect_list(obj(F.col("new"), F.col("body")))).alias("objects"))
 
     kids = own.groupBy("merged").agg(F.transform(F.array_sort(F.collect_list(F.struct("output_page_index", "new"))), lambda p: F.concat(p["new"].cast("string"), F.lit(" 0 R"))).alias("kids"))
@@ -123,7 +123,7 @@ def compose(objs: DataFrame, placed: DataFrame) -> DataFrame:
     pages_node = F.concat(F.lit("<< /Type /Pages /Kids ["), F.array_join("kids", " "), F.lit("] /Count "), F.size("kids").cast("string"), F.lit(" >>"))
     whole = objects.join(kids, "merged").join(catalog, "merged", "left")
     first = F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R "), F.coalesce("extra", F.lit("")), F.lit(">>"))
-    return whole.select(F.col("merged").alias("doc_id"), document(F.concat(F.array(obj(1, first), obj(2, pages_node)), "objects")).alias("content"))
+    return whole.select(F.col("merged").alias("doc_id"), document(F.concat(F.array(obj(1, F.encode(first, "ISO-8859-1")), obj(2, pages_node)), "objects")).alias("content"))
 
 
 def _moved(raw: Column, delta: Column, moved: Column) -> Column:
@@ -151,7 +151,7 @@ def linked_outlines(items: DataFrame, parts: DataFrame, ends: DataFrame) -> Data
     rows = rows.withColumns({"prev": F.lag("new").over(order), "next": F.lead("new").over(order), "place": F.row_number().over(order)})
     dest = F.coalesce(F.concat(F.lit(" /Dest "), _moved(F.col("dest"), F.col("delta"), F.col("moved"))), F.lit(""))
     ref = lambda key, c: F.coalesce(F.concat(F.lit(f" /{key} "), F.col(c).cast("string"), F.lit(" 0 R")), F.lit(""))
-    body = F.concat(F.lit("<< /Title "), literal(F.coalesce("title", F.lit(""))), dest, ref("Prev", "prev"), ref("Next", "next"), F.lit(" /Parent 3 0 R >>"))
+    body = F.concat(F.lit("<< /Title "), raw_literal(F.coalesce("title", F.lit(""))), dest, ref("Prev", "prev"), ref("Next", "next"), F.lit(" /Parent 3 0 R >>"))
     return rows.select("merged", "doc_id", "num", "new", body.alias("body"), "place").unionByName(
         rows.groupBy("merged").agg(
             F.lit("").alias("doc_id"), F.lit(3).alias("new"),
@@ -169,11 +169,11 @@ def catalogs(parts: DataFrame, top: DataFrame, names: DataFrame, labels: DataFra
     out = first.select("merged", kept.alias("first"))
 
     value = F.coalesce(_moved(F.concat(F.col("target").cast("string"), F.lit(" 0 R")), F.col("delta"), F.col("moved")), F.lit("null"))
-    pairs = names.join(place.select("merged", "doc_id", "delta", "moved"), ["merged", "doc_id"]).select("merged", "kind", F.struct("name", F.concat(literal(F.col("name")), F.lit(" "), value).alias("pair")).alias("p"))
+    pairs = names.join(place.select("merged", "doc_id", "delta", "moved"), ["merged", "doc_id"]).select("merged", "kind", F.struct("name", F.concat(raw_literal(F.col("name")), F.lit(" "), value).alias("pair")).alias("p"))
     trees = pairs.groupBy("merged", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["pair"]), " ").alias("pairs"))
     trees = trees.groupBy("merged").agg(F.concat(F.lit("/Names << "), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("/"), "kind", F.lit(" << /Names ["), "pairs", F.lit("] >>")))), " "), F.lit(" >>")).alias("names"))
 
-    text = F.concat(F.lit("<< "), F.coalesce(F.concat(F.lit("/S /"), "style", F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit("/P "), literal(F.col("prefix")), F.lit(" ")), F.lit("")), F.lit("/St "), F.col("start").cast("string"), F.lit(" >>"))
+    text = F.concat(F.lit("<< "), F.coalesce(F.concat(F.lit("/S /"), "style", F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit("/P "), raw_literal(F.col("prefix")), F.lit(" ")), F.lit("")), F.lit("/St "), F.col("start").cast("string"), F.lit(" >>"))
     there = labels.join(own.select("merged", "position", "doc_id", F.col("page_index").alias("first_page"), "output_page_index"), ["doc_id", "first_page"])
     there = there.groupBy("merged", "output_page_index").agg(F.max_by(text, F.struct("position", "doc_id")).alias("label"))
     nums = there.groupBy("merged").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("output_page_index", "label"))), lambda x: F.concat(x["output_page_index"].cast("string"), F.lit(" "), x["label"])), " ").alias("n"))

@@ -15,6 +15,11 @@ def literal(text: Column) -> Column:
     return F.concat(F.lit("("), text, F.lit(")"))
 
 
+def raw_literal(text: Column) -> Column:
+    """literal(), as raw values are held: a character for each byte."""
+    return F.decode(F.encode(literal(text), "UTF-8"), "ISO-8859-1")
+
+
 def show(text: Column, font: str = "F1", array: Column | None = None) -> Column:
     """One text-show; where `array` is true, as an array of one string."""
     plain = F.concat(F.lit(f"BT /{font} 12 Tf 72 720 Td "), literal(text), F.lit(" Tj ET\n"))
