@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import encoded
-from vellum.operators import documents, graph, reports, xfa
+from vellum.operators import changes, documents, graph, reports, xfa
 from vellum.operators.nodes import text_rows
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
@@ -180,11 +180,58 @@ def profile_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("valid", "recommendation", _joined("reasons"), "editable", "pages", "text_shows", "streams").agg(F.count(F.lit(1)).alias("n"))
 
 
+def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' fields set to their segment, every third one under a name that is not there; read back from what was written."""
+    customers = table(spark, sf_dir, "customer")
+    minted = stage(_docs(customers, "c_custkey", "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>", F.concat(F.lit("<< /FT /Tx /T (segment) /V "), mint.literal(F.col("c_name")), F.lit(" >>"))))
+    wanted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(F.col("c_custkey") % 3 == 0, "other").otherwise("segment").alias("name"), F.col("c_mktsegment").alias("value"))
+    got = stage(changes.set_fields(minted, wanted))
+    value = graph.form_fields(objects(got.where("content is not null").select("doc_id", "content"))).select("doc_id", "value")
+    return got.select("doc_id", "status").join(value, "doc_id", "left").select(_long(), "status", "value")
+
+
+def edit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' notes set to their segment; rich ones are left alone."""
+    customers = table(spark, sf_dir, "customer")
+    rich = F.when(F.col("c_custkey") % 4 == 0, "/RC (rich) ").otherwise("")
+    note = F.concat(F.lit("<< /Type /Annot /Subtype /Text /Rect [0 0 1 1] "), rich, F.lit("/Contents "), mint.literal(F.col("c_name")), F.lit(" >>"))
+    minted = stage(_docs(customers, "c_custkey", "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>", "<< /Type /Page /Parent 2 0 R /Annots [4 0 R] >>", note))
+    wanted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("annotation_index"), F.col("c_mktsegment").alias("contents"))
+    got = stage(changes.set_contents(minted, wanted))
+    again = stage(objects(got.where("content is not null").select("doc_id", "content")))
+    text = graph.annotations(again, graph.pages(again)).select("doc_id", "contents")
+    return got.select("doc_id", "status").join(text, "doc_id", "left").select(_long(), "status", "contents")
+
+
+def edit_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' XML data: the status becomes the priority, but for flowing forms; read back from what was written."""
+    orders = table(spark, sf_dir, "orders")
+    layout = F.when(F.col("o_orderkey") % 5 == 0, "flowed").otherwise("paginate")
+    template = F.concat(F.lit("<template><subform name='o' layout='"), layout, F.lit("'/></template>"))
+    data = F.concat(F.lit("<datasets><data><o><key>"), F.col("o_orderkey").cast("string"), F.lit("</key><status>"), F.col("o_orderstatus"), F.lit("</status></o></data></datasets>"))
+    minted = stage(_docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(template), mint.stream(data, "/Marker (keep)")))
+    wanted = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("o.status").alias("path"), F.col("o_orderpriority").alias("value"))
+    got = stage(changes.set_data(minted, wanted))
+    value = xfa.dataset_fields(objects(got.where("content is not null").select("doc_id", "content"))).where("path = 'o.status'").select("doc_id", "value")
+    return got.select("doc_id", "status").join(value, "doc_id", "left").groupBy("status", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages, turned by size times 30 degrees and scaled by two: boxes and turns read back from what was written."""
+    parts = table(spark, sf_dir, "part")
+    box = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R /MediaBox [0 0 100 "), (F.col("p_size") + 1).cast("string"), F.lit("] >>"))
+    minted = stage(_docs(parts, "p_partkey", "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>", box, mint.stream(mint.show(F.col("p_name")))))
+    wanted = parts.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), (F.col("p_size") * 30).cast("int").alias("turn"), F.lit(None).cast("array<double>").alias("crop"), F.lit(2.0).alias("scale"))
+    got = stage(changes.transform_pages(minted, wanted))
+    tree = graph.pages(objects(got.where("content is not null").select("doc_id", "content"))).select("doc_id", "rotate", "media_box")
+    return got.select("doc_id", "status").join(tree, "doc_id", "left").groupBy("status", "rotate", "media_box").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         packed_pages, structure_kinds, indirect_parameters, predictor_shapes, tounicode_text, font_encoding_text, form_invocations, page_label_rows, outline_rows, merged_catalog, annotation_flags, field_status, xfa_semantics,
-        profile_recommendation,
+        profile_recommendation, edit_fields, edit_notes, edit_data, edit_pages,
     )
 }
 
@@ -215,4 +262,9 @@ ORACLES = {
         CASE WHEN o_orderkey % 4 = 1 THEN 'flowed layout' ELSE '' END AS reasons, count(*) AS n FROM orders GROUP BY ALL""",
     "profile_recommendation": """SELECT doc_id % 4 <> 3 AS valid, ['canonical', 'surgical', 'preserve-structure', 'preserve-structure'][(doc_id % 4 + 1)::INT] AS recommendation, ['', 'signed', 'unsupported_streams:1', ''][(doc_id % 4 + 1)::INT] AS reasons,
         doc_id % 4 <> 3 AS editable, 1::BIGINT AS pages, 1::BIGINT AS text_shows, 2::BIGINT AS streams, count(*) AS n FROM documents GROUP BY ALL""",
+    "edit_fields": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'no_field' ELSE 'ok' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer",
+    "edit_notes": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 'rich_text' ELSE 'ok' END AS status, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS contents FROM customer",
+    "edit_data": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'not_editable' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS value, count(*) AS n FROM orders GROUP BY ALL",
+    "edit_pages": """SELECT CASE WHEN p_size * 30 % 90 <> 0 THEN 'rotation is not a multiple of 90' ELSE 'ok' END AS status, CASE WHEN p_size * 30 % 90 = 0 THEN (p_size * 30 % 360)::VARCHAR END AS rotate,
+        CASE WHEN p_size * 30 % 90 = 0 THEN '[0 0 200 ' || (2 * (p_size + 1)) || ']' END AS media_box, count(*) AS n FROM part GROUP BY ALL""",
 }
