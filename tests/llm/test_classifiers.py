@@ -159,3 +159,63 @@ def test_cotraining_without_labels(spark):
 def test_lower_words_are_the_contracts_words():
     assert lower_words("A\tbÉ\x0b\x0cC d\x1ce ") == ["a".encode(), "bÉ".encode(), "c d\x1ce".encode()]
     assert zlib.crc32(b"12") % 3 in (0, 1, 2)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scores_are_those_of_a_word_by_word_convolution(seed):
+    rng = np.random.default_rng(seed)
+    s = toxicity.Settings(buckets=64, dim=4, filters=3)
+    model = toxicity.Model(s, rng.normal(size=(64, 4)).astype(np.float32), rng.normal(size=(6, 4, 3)).astype(np.float32), rng.normal(size=9).astype(np.float32), rng.normal(size=9).astype(np.float32), 0.3)
+    words = [f"w{rng.integers(30)}".encode() for _ in range(int(rng.integers(1, 12)))]
+    vectors = [np.mean([model.embedding[f] for f in toxicity.features(w, 64)], axis=0) for w in words]
+    best, first = [], 0
+    for k, width in enumerate(s.widths):
+        for f in range(s.filters):
+            sums = []
+            for start in range(-(width - 1), len(words)):
+                sums.append(sum(float(vectors[start + j] @ model.filters[first + j, :, f]) for j in range(width) if 0 <= start + j < len(words)))
+            best.append(max(0.0, max(sums) + float(model.bias[k * s.filters + f])))
+        first += width
+    assert toxicity.Scorer(model).read(words)[0] == pytest.approx(float(np.array(best) @ model.weights) + 0.3, abs=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_mixtures_are_those_of_a_patient_search(seed):
+    rng = np.random.default_rng(seed)
+    k, n = 4, int(rng.integers(5, 60))
+    main, other = rng.choice(k, 2, replace=False)
+    logs = rng.normal(-8, 1.5, (n, k))
+    logs[np.arange(n), np.where(rng.random(n) < rng.choice([0.0, 0.3]), other, main)] += 4
+    got, _ = language.proportions(logs, 4.0)
+    like = np.exp(logs - logs.max(axis=1)[:, None])
+
+    def fitted(chosen):
+        share = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(3000):
+            joint = like[:, chosen] * share
+            share = (joint / joint.sum(axis=1)[:, None]).mean(axis=0)
+        return float(np.log((like[:, chosen] * share).sum(axis=1)).sum()), share
+
+    chosen = [int(logs.sum(axis=0).argmax())]
+    value, share = fitted(chosen)
+    while len(chosen) < k:
+        tries = [(fitted([*chosen, c]), [*chosen, c]) for c in range(k) if c not in chosen]
+        (v, part), own = max(tries, key=lambda t: t[0][0])
+        if v - value <= 2.0 * np.log(n):
+            break
+        chosen, value, share = own, v, part
+    assert int(got.argmax()) == chosen[int(share.argmax())]
+    assert np.abs(got[chosen] - share).max() < 0.1 or abs(len(chosen) - int((got > 0).sum())) == 1
+
+
+def test_platt_scaling_finds_slope_and_shift():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 3, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.7 * x - 1)))).astype(float)
+    slope, shift = cotrain.platt(x, y)
+    assert abs(slope - 0.7) < 0.05 and abs(shift + 1) < 0.1 and cotrain.platt(x[:0], y[:0]).tolist() == [1.0, 0.0]
+
+
+def test_metadata_view_reads_no_text():
+    assert cotrain.meta_features("a", "en", 100) == cotrain.meta_features("a", "en", 100) != cotrain.meta_features("b", "en", 100)
+    assert cotrain.meta_features(None, None, 0)[1] == 1.0

@@ -65,6 +65,12 @@ def test_circulant_signatures_estimate_similarity():
     assert abs(same - 800 / 1200) < 0.1
 
 
+def test_texts_of_one_id_hang_together(spark):
+    rows = [(3, "a b c d e f g", "en", "a"), (5, "a b c d e f g", "en", "a"), (5, "h i j k l m n", "en", "a"), (7, "h i j k l m n", "en", "a"), (8, "o p q r s t u", "en", "a")]
+    got = nearcopies.near_copies(frame(spark, rows), k=3, percent=85, bands=24, rows=5).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True)]
+
+
 def test_one_of_each_group_stays(spark):
     docs = frame(spark)
     left = nearcopies.without_near_copies(docs, k=3, percent=85, bands=24, rows=5)
