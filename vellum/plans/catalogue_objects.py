@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import encoded
-from vellum.operators import changes, documents, graph, reports, xfa
+from vellum.operators import changes, documents, graph, reports, security, xfa
 from vellum.operators.nodes import text_rows
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
+from vellum.sources.ocr import from_alto, from_json
 from vellum.sources.scan import objects, streams, xref_summary
 
 
@@ -227,11 +228,37 @@ def edit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "status").join(tree, "doc_id", "left").groupBy("status", "rotate", "media_box").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ocr_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ALTO files of a page for each, and as JSON: the recognised text and boxes of both, side by side."""
+    orders = table(spark, sf_dir, "orders")
+    n = lambda c: F.col(c).cast("string")
+    width = (F.col("o_orderkey") % 50 + 1).cast("string")
+    string = F.concat(F.lit("<String CONTENT='"), F.col("o_orderpriority"), F.lit("' HPOS='10' VPOS='20' WIDTH='"), width, F.lit("' HEIGHT='5' WC='0.5'/>"))
+    alto = F.concat(F.lit("<alto><Layout><Page/><Page><TextLine>"), string, F.lit("</TextLine></Page></Layout></alto>"))
+    right = (F.col("o_orderkey") % 50 + 11).cast("string")
+    json = F.concat(F.lit('{"items": [{"page_index": 1, "text": "'), F.col("o_orderpriority"), F.lit('", "box": {"x_min": 10, "y_min": 20, "x_max": '), right, F.lit(', "y_max": 25}, "confidence": 0.5}]}'))
+    files = lambda c: orders.select(n("o_orderkey").alias("doc_id"), c.cast("binary").alias("content"))
+    both = from_alto(files(alto)).withColumn("kind", F.lit("alto")).unionByName(from_json(files(json)).withColumn("kind", F.lit("json")))
+    return both.where("error is null").select(_long(), "kind", "page_index", "text", "x_min", "y_min", "x_max", "y_max", "confidence")
+
+
+def security_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are encrypted in two ways, signed, or free: why they can't be edited, and what the encryption is."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.pmod("doc_id", F.lit(4))
+    extra = F.when(kind == 1, " /Encrypt << /Filter /Standard /V 2 /R 3 /Length 128 /P -44 >>").when(kind == 2, " /Encrypt << /Filter /Other /V 1 >>").otherwise("")
+    top = F.when(kind == 3, "<< /Type /Catalog /ByteRange [0 1 2 3] >>").otherwise("<< /Type /Catalog >>")
+    minted = stage(docs.select(F.col("doc_id").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, top), mint.obj(2, mint.stream(F.coalesce("text", F.lit(""))))), 1, extra).alias("content")))
+    rows = security.check(minted).join(security.encryption(minted), "doc_id", "left")
+    known = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("version", "revision", "length", "permissions")]
+    return rows.groupBy("refusal", "filter", *known).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         packed_pages, structure_kinds, indirect_parameters, predictor_shapes, tounicode_text, font_encoding_text, form_invocations, page_label_rows, outline_rows, merged_catalog, annotation_flags, field_status, xfa_semantics,
-        profile_recommendation, edit_fields, edit_notes, edit_data, edit_pages,
+        profile_recommendation, edit_fields, edit_notes, edit_data, edit_pages, ocr_sources, security_refusals,
     )
 }
 
@@ -267,4 +294,8 @@ ORACLES = {
     "edit_data": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'not_editable' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS value, count(*) AS n FROM orders GROUP BY ALL",
     "edit_pages": """SELECT CASE WHEN p_size * 30 % 90 <> 0 THEN 'rotation is not a multiple of 90' ELSE 'ok' END AS status, CASE WHEN p_size * 30 % 90 = 0 THEN (p_size * 30 % 360)::VARCHAR END AS rotate,
         CASE WHEN p_size * 30 % 90 = 0 THEN '[0 0 200 ' || (2 * (p_size + 1)) || ']' END AS media_box, count(*) AS n FROM part GROUP BY ALL""",
+    "ocr_sources": """SELECT o_orderkey AS doc_id, kind, 1::INT AS page_index, o_orderpriority AS text, 10.0::DOUBLE AS x_min, 20.0::DOUBLE AS y_min, (o_orderkey % 50 + 11)::DOUBLE AS x_max, 25.0::DOUBLE AS y_max, 0.5::DOUBLE AS confidence
+        FROM orders, (SELECT unnest(['alto', 'json']) AS kind)""",
+    "security_refusals": """SELECT [NULL, 'password_required', 'unsupported_encryption', 'signed'][(doc_id % 4 + 1)::INT] AS refusal, [NULL, 'Standard', 'Other', NULL][(doc_id % 4 + 1)::INT] AS "filter", [-1, 2, 1, -1][(doc_id % 4 + 1)::INT]::INT AS version,
+        (CASE WHEN doc_id % 4 = 1 THEN 3 ELSE -1 END)::INT AS revision, (CASE WHEN doc_id % 4 = 1 THEN 128 ELSE -1 END)::INT AS length, (CASE WHEN doc_id % 4 = 1 THEN -44 ELSE -1 END)::INT AS permissions, count(*) AS n FROM documents GROUP BY ALL""",
 }
