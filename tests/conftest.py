@@ -16,7 +16,7 @@ def spark():
 
     d = tempfile.mkdtemp(prefix="spark-")
     conf = {
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
+        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
         "spark.local.dir": d, "spark.sql.warehouse.dir": f"{d}/warehouse", "spark.checkpoint.dir": f"{d}/shared", "spark.ui.showConsoleProgress": "false",
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
