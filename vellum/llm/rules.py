@@ -104,13 +104,13 @@ def measured(few: DataFrame, rules: list[Rule]) -> list[tuple[str, float, float]
     """(rule, seconds, share rejected) of each rule on a small cached table, as the cascade runs it: the estimate behind the order.
 
     The seconds are those of a pass with the rule less those of a pass without any, at least a microsecond; the least of
-    three passes each.
+    two passes each.
     """
     total = max(few.count(), 1)
 
     def timed(condition: Column) -> tuple[float, int]:
         best, hit = float("inf"), 0
-        for _ in range(3):
+        for _ in range(2):
             began = time.perf_counter()
             hit = few.agg(F.sum(F.coalesce(condition, F.lit(False)).cast("long"))).first()[0] or 0
             best = min(best, time.perf_counter() - began)
