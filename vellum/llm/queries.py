@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import cotrain, language, mixing, nearcopies, neighbours, packing, repeats, rules, scoring, sql, toxicity
+from vellum.llm import codes, cotrain, language, mixing, nearcopies, neighbours, packing, repeats, rules, scoring, sql, toxicity
 from vellum.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.held_out_score(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 _ALL = (
     op1_toxicity,
     op2_repeated_spans,
@@ -60,6 +64,7 @@ _ALL = (
     op8_source_mix,
     op9_vantage_neighbours,
     op10_lm_scores,
+    op11_vector_codes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7, "op9_vantage_neighbours": sql.OP9}
+ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7, "op9_vantage_neighbours": sql.OP9, "op11_vector_codes": sql.op11()}

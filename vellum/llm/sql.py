@@ -53,3 +53,32 @@ WITH pair AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM pair)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+def op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry, in whole numbers, round after round."""
+    nearest = """SELECT r.vec_id, r.part, r.x, min(struct_pack(d := list_sum(list_transform(list_zip(r.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, entry := b.entry)) AS best
+  FROM part r JOIN book{} b USING (part) GROUP BY ALL"""
+    step = """near{0} AS MATERIALIZED ({1}
+), book{2} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{0} b LEFT JOIN (
+    SELECT part, entry, list(floor(total / n)::BIGINT ORDER BY place) AS x FROM (
+      SELECT part, best.entry AS entry, place, sum(x[place]) AS total, count(*) AS n FROM near{0}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM part)))) AS places(place) GROUP BY ALL
+    ) GROUP BY ALL
+  ) m USING (part, entry)
+), """
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, p AS part, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range(0, {parts})) AS p)
+), book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM part QUALIFY entry < {entries}
+), {"".join(step.format(i, nearest.format(i), i + 1) for i in range(rounds))}coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM ({nearest.format(rounds)}) GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
