@@ -82,3 +82,24 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
   (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
 FROM coded JOIN kept USING (vec_id)
 """
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all({LOWER}, '{LETTERS}') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)
+), doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{LETTERS}') AS w FROM documents
+), place AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win))
+), found AS (SELECT r, k, i, item_id FROM place JOIN win USING (k, s)
+), hit AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest(range(0, k)) AS j FROM found) GROUP BY r
+), named AS (SELECT r, count(DISTINCT item_id) AS n, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS s FROM found GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, coalesce(named.s, sha256('')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

@@ -15,6 +15,9 @@ U64 = np.uint64
 #: Words in one generation of a memo.
 MEMO = 80_000
 
+#: For bytes.translate(): ASCII letters in lower case, digits and what is not ASCII stay; all else becomes space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
 _RESIDENT: dict = {}
 
 
