@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import codes, cotrain, language, leaks, mixing, nearcopies, neighbours, packing, repeats, rules, scoring, sql, toxicity
+from vellum.llm import codes, cotrain, language, leaks, mixing, nearcopies, neighbours, packing, repeats, resample, rules, scoring, sql, toxicity
 from vellum.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 _ALL = (
     op1_toxicity,
     op2_repeated_spans,
@@ -72,6 +76,7 @@ _ALL = (
     op10_lm_scores,
     op11_vector_codes,
     op12_benchmark_leaks,
+    op13_target_resampling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7, "op9_vantage_neighbours": sql.OP9, "op11_vector_codes": sql.op11(), "op12_benchmark_leaks": sql.OP12}
+ORACLES = {"op6_near_copies": sql.OP6, "op7_quality_rules": sql.OP7, "op9_vantage_neighbours": sql.OP9, "op11_vector_codes": sql.op11(), "op12_benchmark_leaks": sql.OP12, "op13_target_resampling": sql.OP13}

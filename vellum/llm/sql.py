@@ -103,3 +103,31 @@ WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_a
 SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, coalesce(named.s, sha256('')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+OP13 = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(b, range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(0, 256)) AS b)
+), word AS (
+  SELECT *, row_number() OVER () AS r FROM (
+    SELECT TRUE AS of_documents, doc_id, regexp_extract_all({LOWER}, '{LETTERS}') AS w FROM documents
+    UNION ALL SELECT FALSE, item_id, regexp_extract_all({LOWER}, '{LETTERS}') FROM benchmark)
+), feature AS MATERIALIZED (
+  SELECT r, of_documents, s, count(*) AS n FROM (SELECT r, of_documents, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM word) GROUP BY ALL
+), bucket AS MATERIALIZED (
+  SELECT s, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT s, hex(encode(s)) AS h FROM (SELECT DISTINCT s FROM feature)), crc
+), held AS (
+  SELECT b, coalesce(sum(n) FILTER (of_documents), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT of_documents), 0)::DOUBLE AS t FROM feature JOIN bucket USING (s) GROUP BY b
+), gain AS (
+  SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM held) + 10000) / ((s + 1) * ((SELECT sum(t) FROM held) + 10000))))::BIGINT AS g FROM held
+), mean AS (SELECT r, floor(sum(n * g) / sum(n))::BIGINT AS weight FROM feature JOIN bucket USING (s) JOIN gain USING (b) GROUP BY r
+), hashed AS (
+  SELECT r, list_reduce(list_transform(string_split(sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8], ''), lambda c: (instr('0123456789abcdef', c) - 1)::BIGINT), lambda a, c: 16 * a + c) AS h FROM word
+), scored AS (
+  SELECT r, doc_id, len(w) AS words, greatest(0, 2 * len(w) - 1) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score
+  FROM word JOIN hashed USING (r) LEFT JOIN mean USING (r) WHERE of_documents
+), placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, weight DESC, n_features) AS place, count(*) OVER () AS n FROM scored WHERE words >= 20
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
