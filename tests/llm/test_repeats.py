@@ -59,5 +59,37 @@ def test_operator_removes_what_brute_force_removes(spark, gathered):
         assert sum(x.end - x.start for x in r.removed) == r.n_removed
 
 
+def cancelling():
+    """Two texts without a common 200-byte string that form one run each, of one key, and whose polynomial hashes modulo 2**64 are equal for every base: letters swapped by the Thue-Morse sequence."""
+    for seed in range(100):
+        rng = random.Random(seed)
+        fill = "".join(rng.choice("cdefghijklmnopqrstuvwxyz") for _ in range(63))
+        texts = ["".join("ab"[bin(i).count("1") % 2 ^ swap] + fill for i in range(64)) for swap in (0, 1)]
+        found = [repeats.runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+        if all(len(f["hash"]) == 1 for f in found) and found[0]["hash"] == found[1]["hash"]:
+            return texts
+    raise AssertionError("no filler has the least gram")
+
+
+@pytest.mark.parametrize("gathered", [repeats.GATHERED, 1000])
+def test_hashes_that_cancel_remove_nothing_else(spark, gathered):
+    texts = cancelling()
+    noise = "".join(random.Random(6).choice("abcdefgh") for _ in range(700))
+    rows = [(i, t, "en", "a") for i, t in enumerate([*texts, noise])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(frame(spark, rows), gathered=gathered).collect()}
+    assert got == dict(enumerate(removed([r[1] for r in rows])))
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in texts)
+    assert repeats.Hasher(a).grams(4096) == repeats.Hasher(b).grams(4096)
+    assert (repeats.digests(a, np.array([0]), np.array([4096])) != repeats.digests(b, np.array([0]), np.array([4096]))).all()
+
+
+def test_rows_without_ids_are_known_by_their_whole_texts(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(600)) for _ in range(8)]
+    rows = [(None, t + texts[0][:250] * (i % 2), "en", "a") for i, t in enumerate(texts)] + [(None, texts[3], "en", "a"), (None, None, "en", "a"), (None, "", "en", "a")]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(frame(spark, rows)).collect())
+    assert got == sorted(removed([r[1] for r in rows]))
+
+
 def test_empty_table(spark):
     assert repeats.without_repeats(frame(spark, [])).count() == 0

@@ -5,14 +5,16 @@ A byte goes if a string of `span` bytes that covers it also starts anywhere else
 1. Every window of `span` bytes has a least k-gram hash; consecutive windows with the same one form a run. Equal windows
    have equal least hashes, so a run can only repeat in runs of the same hash: the hash is the key that brings the
    runs of all texts together, a run's bytes need not travel to find out whether they could repeat.
-2. Runs whose hash occurs once are unique. Where all runs of a hash have the same digest, each of them repeats whole.
-   Only runs of hashes with different contents (the edges of copies) and runs that may repeat inside themselves go on.
+2. Runs whose hash occurs once are unique. Where all runs of a hash have the same 128-bit blake2b digest of their bytes,
+   each of them repeats whole. Only runs of hashes with different contents (the edges of copies) and runs that may repeat inside themselves go on.
 3. Their distinct contents are indexed: the suffix array of a batch of contents gives the Burrows-Wheeler transform;
    only the suffixes at the ends of its runs of equal letters are kept as samples. From the samples' common
    prefixes the matching statistics of every position are streamed (they fall by one from position to position
    until the next sample), and windows whose longest match has `span` bytes are marked.
 4. Contents of one hash beyond a batch's bound (a passage in a large part of all documents, each time in other
-   surroundings) are not gathered in one task: their windows are compared by 128-bit digests, counted by Spark.
+   surroundings) are not gathered in one task: their windows are compared by blake2b digests, counted by Spark.
+
+Keys that only bring candidates together are 64-bit hashes; what decides is bytes, or a digest for which no two inputs are known.
 """
 
 from __future__ import annotations
@@ -36,41 +38,46 @@ BATCH = 100_000
 #: Bytes of text that are hashed at once; a longer text is taken whole.
 CHUNK = 250_000
 
+#: What a row is known by: its id and 128 bits of its text's SHA-256.
+ROW = ("_id", "_t1", "_t2")
+
 _rng = np.random.default_rng(20240229)
-_LETTERS = [_rng.integers(0, 2**63, 256).astype(U64) * U64(2) + U64(1) for _ in range(2)]
-_BASES = [int(_rng.integers(0, 2**61)) * 4 + 3 for _ in range(2)]
+_LETTERS = _rng.integers(0, 2**63, 256).astype(U64) * U64(2) + U64(1)
+_BASE = int(_rng.integers(0, 2**61)) * 4 + 3
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd base and of its inverse, modulo 2**64."""
     made = resident("powers", dict)
-    have = made.get(which)
-    if have is None or len(have[0]) < n:
-        base = _BASES[which]
+    if not made or len(made["both"][0]) < n:
         both = []
-        for b in (base, pow(base, -1, 2**64)):
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
             p = np.full(n + 1, U64(b % 2**64))
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        have = made[which] = (both[0], both[1])
-    return have
+        made["both"] = (both[0], both[1])
+    return made["both"]
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 128-bit blake2b digests of ranges of bytes, as pairs of numbers."""
+    view = memoryview(np.ascontiguousarray(data))
+    made = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 class Hasher:
-    """Polynomial hashes of all substrings of a byte array, by differences of one prefix sum."""
+    """Polynomial hashes of all substrings of one length, by differences of one prefix sum; unequal ones may meet."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = powers(which, len(data) + 1)
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_LETTERS[which][data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(_LETTERS[data] * up[: len(data)], out=self.sums[1:])
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:-k]) * self.down[:n])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
-
 
 def sliding(x: np.ndarray, w: int, of: np.ufunc) -> np.ndarray:
     """of (minimum or maximum) over each w neighbours, by blockwise prefixes and suffixes."""
@@ -85,10 +92,10 @@ def sliding(x: np.ndarray, w: int, of: np.ufunc) -> np.ndarray:
 
 
 def runs(data: np.ndarray, at: np.ndarray, span: int = SPAN, k: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of windows with the same least k-gram: text, start in the text, windows, hash, digest, and whether the run may repeat inside itself."""
+    """Runs of windows with the same least k-gram: text, start in the text, windows, hash, digest (and more of it), and whether the run may repeat inside itself."""
     w = span - k + 1
     lengths = np.diff(at)
-    none = {c: np.zeros(0, t) for c, t in (("text", np.int64), ("start", np.int64), ("windows", np.int64), ("hash", np.int64), ("digest", np.int64), ("inner", bool))}
+    none = {c: np.zeros(0, t) for c, t in (("text", np.int64), ("start", np.int64), ("windows", np.int64), ("hash", np.int64), ("digest", np.int64), ("more", np.int64), ("inner", bool))}
     if len(data) < span or not (lengths >= span).any():
         return none
     hasher = Hasher(data)
@@ -117,12 +124,14 @@ def runs(data: np.ndarray, at: np.ndarray, span: int = SPAN, k: int = GRAM) -> d
         run = run[good]
         inner[run[(s[good] <= end[run])]] = True
     text = np.searchsorted(at, start, "right") - 1
+    digest = digests(data, start, end + span)
     return {
         "text": text,
         "start": start - at[text],
         "windows": end - start + 1,
         "hash": values[first].view(np.int64),
-        "digest": hasher.spans(start, end + span).view(np.int64),
+        "digest": digest[:, 0],
+        "more": digest[:, 1],
         "inner": inner,
     }
 
@@ -134,8 +143,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = runs(data[at[i] : at[j]], at[i : j + 1] - at[i])
             rows = pa.array(found["text"] + i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(rows), batch.column("_tx").take(rows), *(pa.array(found[c]) for c in ("hash", "digest")), *(pa.array(found[c].astype(np.int32)) for c in ("start", "windows")), pa.array(found["inner"])],
-                ["_id", "_tx", "hash", "digest", "start", "windows", "inner"],
+                [*(batch.column(c).take(rows) for c in ROW), *(pa.array(found[c]) for c in ("hash", "digest", "more")), *(pa.array(found[c].astype(np.int32)) for c in ("start", "windows")), pa.array(found["inner"])],
+                [*ROW, "hash", "digest", "more", "start", "windows", "inner"],
             )
 
 
@@ -236,48 +245,45 @@ def indexed(batches: Iterator[pa.RecordBatch], span: int, size: int = BATCH) ->
     key, rows, held = None, [], 0
 
     def marks():
-        out = {"hash": [], "digest": [], "first": [], "number": []}
-        for (h, d, _, _), found in zip(rows, repeated_windows([r[2] for r in rows], [r[3] for r in rows], span), strict=True):
+        out = {"hash": [], "digest": [], "more": [], "first": [], "number": []}
+        for (h, d, e, _, _), found in zip(rows, repeated_windows([r[3] for r in rows], [r[4] for r in rows], span), strict=True):
             for first, number in found:
-                for name, v in zip(out, (h, d, first, number), strict=True):
+                for name, v in zip(out, (h, d, e, first, number), strict=True):
                     out[name].append(v)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("hash", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("number", pa.int32())]))
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("hash", pa.int64()), ("digest", pa.int64()), ("more", pa.int64()), ("first", pa.int32()), ("number", pa.int32())]))
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "content", "n")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "more", "content", "n")), strict=True):
             if row[0] != key and held >= size:
                 yield marks()
                 rows, held = [], 0
             key = row[0]
             rows.append(row)
-            held += len(row[2])
+            held += len(row[3])
     if rows:
         yield marks()
 
 
 def window_digests(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for h, d, content, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "content", "n")), strict=True):
-            data = np.frombuffer(content, np.uint8)
-            a, b = (Hasher(data, i).grams(span).view(np.int64) for i in (0, 1))
-            m = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, h)), pa.array(np.full(m, d)), pa.array(np.arange(m, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(np.full(m, n))],
-                ["hash", "digest", "first", "a", "b", "n"],
-            )
+        for *key, content, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "more", "content", "n")), strict=True):
+            first = np.arange(len(content) - span + 1)
+            own = digests(np.frombuffer(content, np.uint8), first, first + span)
+            same = [pa.array(np.full(len(first), k)) for k in key]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(first.astype(np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.full(len(first), n))], ["hash", "digest", "more", "first", "a", "b", "n"])
 
 
 def slices(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The contents of the runs that a text is asked for."""
-    schema = pa.schema([("hash", pa.int64()), ("digest", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([("hash", pa.int64()), ("digest", pa.int64()), ("more", pa.int64()), ("content", pa.binary())])
     for batch in batches:
         data, at = flat(batch.column("text"))
         data = memoryview(np.ascontiguousarray(data))
-        out: dict[str, list] = {"hash": [], "digest": [], "content": []}
+        out: dict[str, list] = {c: [] for c in schema.names}
         for begin, asked in zip(at, batch.column("asked").to_pylist(), strict=False):
             for a in asked:
-                out["hash"].append(a["hash"])
-                out["digest"].append(a["digest"])
+                for c in ("hash", "digest", "more"):
+                    out[c].append(a[c])
                 out["content"].append(bytes(data[begin + a["start"] : begin + a["start"] + a["windows"] + span - 1]))
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -323,55 +329,51 @@ def without_repeats(docs: DataFrame, with_text: bool = True, span: int = SPAN, g
     a cut splits; the digest is of the exact bytes. A null doc_id is allowed. Extra columns are left out; an empty table
     gives an empty result.
     """
-    keyed = docs.select(
-        "doc_id",
-        *carry,
-        "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"),
-        F.hash(F.coalesce("text", F.lit(""))).alias("_tx"),
-    )
+    half = lambda i: F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), i, 16), 16, -10).cast("long")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
+    keyed = docs.select("doc_id", *carry, "text", id_.alias("_id"), half(1).alias("_t1"), half(17).alias("_t2"))
+    content = ["hash", "digest", "more"]
     found = stage(
-        keyed.select("_id", "_tx", "text").mapInArrow(
-            scan, "_id long, _tx int, hash long, digest long, start int, windows int, inner boolean"
-        )
+        keyed.select(*ROW, "text").mapInArrow(scan, "_id long, _t1 long, _t2 long, hash long, digest long, more long, start int, windows int, inner boolean")
     )
     # Written first: a join whose sides both come straight from a shuffle is one that Spark splits where a hash is very frequent.
+    least = [F.min(c).alias(f"lo_{c}") for c in content[1:]] + [F.max(c).alias(f"hi_{c}") for c in content[1:]]
     shared = stage(
         found.groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("inner").alias("in"))
+        .agg(F.count(F.lit(1)).alias("n"), *least, F.max("inner").alias("in"))
         .where("n > 1 or in")
-        .select("hash", F.expr("n > 1 and lo = hi").alias("whole"))
+        .select("hash", F.expr("n > 1 and lo_digest = hi_digest and lo_more = hi_more").alias("whole"))
     )
-    marked = stage(found.join(shared, "hash").select("_id", "_tx", "hash", "digest", "start", "windows", "whole"))
-    whole = marked.where("whole").select("_id", "_tx", "start", "windows")
+    marked = stage(found.join(shared, "hash").select(*ROW, *content, "start", "windows", "whole"))
+    whole = marked.where("whole").select(*ROW, "start", "windows")
     open_ = marked.where("not whole")
     # Each open content once: any run that has it can be asked for it.
-    counted = open_.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_tx", "start", "windows")).alias("one"))
-    counted = stage(counted.select("hash", "digest", "n", "one.*"))
-    asked = counted.groupBy("_id", "_tx").agg(F.collect_list(F.struct("hash", "digest", "start", "windows")).alias("asked"))
+    counted = open_.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "start", "windows")).alias("one"))
+    counted = stage(counted.select(*content, "n", "one.*"))
+    asked = counted.groupBy(*ROW).agg(F.collect_list(F.struct(*content, "start", "windows")).alias("asked"))
     # Rows with equal id and text give the same contents again: the aggregate below keeps one.
-    contents = keyed.select("_id", "_tx", "text").join(asked, ["_id", "_tx"])
-    contents = contents.select("text", "asked").mapInArrow(lambda b: slices(b, span), "hash long, digest long, content binary")
-    contents = contents.groupBy("hash", "digest").agg(F.min("content").alias("content")).join(counted.select("hash", "digest", "n"), ["hash", "digest"])
+    contents = keyed.select(*ROW, "text").join(asked, [*ROW])
+    contents = contents.select("text", "asked").mapInArrow(lambda b: slices(b, span), "hash long, digest long, more long, content binary")
+    contents = contents.groupBy(*content).agg(F.min("content").alias("content")).join(counted.select(*content, "n"), content)
     contents = stage(contents)
     sizes = contents.groupBy("hash").agg(F.sum(F.octet_length("content")).alias("size"))
     large = sizes.where(F.col("size") > gathered).select("hash")
-    marks_of = "hash long, digest long, first int, number int"
+    marks_of = "hash long, digest long, more long, first int, number int"
     if large.limit(1).count():
-        by_hash = contents.join(large, "hash", "left_semi").mapInArrow(lambda b: window_digests(b, span), "hash long, digest long, first int, a long, b long, n long")
+        by_hash = contents.join(large, "hash", "left_semi").mapInArrow(lambda b: window_digests(b, span), "hash long, digest long, more long, first int, a long, b long, n long")
         twice = by_hash.groupBy("hash", "a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("hash", "a", "b")
-        large_marks = by_hash.join(twice, ["hash", "a", "b"]).select("hash", "digest", "first", F.lit(1).alias("number"))
+        large_marks = by_hash.join(twice, ["hash", "a", "b"]).select(*content, "first", F.lit(1).alias("number"))
         contents = contents.join(large, "hash", "left_anti")
     else:
         large_marks = None
     marks = contents.repartition("hash").sortWithinPartitions("hash").mapInArrow(lambda b: indexed(b, span), marks_of)
     if large_marks is not None:
         marks = marks.unionByName(large_marks)
-    parts = open_.join(marks, ["hash", "digest"]).select("_id", "_tx", (F.col("start") + F.col("first")).alias("start"), F.col("number").alias("windows"))
-    by_text = whole.unionByName(parts).groupBy("_id", "_tx").agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
+    parts = open_.join(marks, content).select(*ROW, (F.col("start") + F.col("first")).alias("start"), F.col("number").alias("windows"))
+    by_text = whole.unionByName(parts).groupBy(*ROW).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in ("doc_id", *carry)) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += ", kept_text string, removed array<struct<start:long,end:long>>"
-    joined = keyed.join(by_text, ["_id", "_tx"], "left").select("doc_id", *carry, "text", "marks")
+    joined = keyed.join(by_text, [*ROW], "left").select("doc_id", *carry, "text", "marks")
     return joined.mapInArrow(lambda b: cut(b, span, ["doc_id", *carry], with_text), schema)
