@@ -1,3 +1,4 @@
+import time
 import zlib
 from copy import copy
 
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 
 from vellum.functions import codecs, fonts
 from vellum.functions.content import decode_literal, literal_end, text_shows
+from vellum.sources.scan import document_objects
 
 DATA = st.binary(max_size=3000) | st.lists(st.sampled_from([b"a", b"ab", b"\0" * 40]), max_size=200).map(b"".join)
 
@@ -102,3 +104,20 @@ def test_widths():
     words = [("open", "["), ("word", "1"), ("open", "["), ("word", "5"), ("word", "6"), ("close", "]"), ("word", "9"), ("word", "10"), ("word", "7"), ("close", "]")]
     by_number = fonts.widths({"Subtype": "/Type0", "Encoding": "/Identity-H"}, {"DW": "3"}, words)
     assert fonts.width(bytes([0, 1, 0, 2, 0, 9, 0, 10, 1, 0]), by_number) == 5 + 6 + 7 + 7 + 3
+
+
+@pytest.mark.parametrize("body", [b"<< /T (never closed >>\nendobj\n", b"<< /T 1 >>\n", b"<< /T ( >>\nendobj\n", b"<< /T [ << 1 0 R\n", b") ( \\( endobj\n"])
+def test_broken_files_take_linear_time(body):
+    data = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n" % i + body for i in range(8000))
+    for tail in (b"", b")" * 8000):
+        began = time.process_time()
+        rows = document_objects(data + tail)
+        assert rows and time.process_time() - began < 2
+    whole = document_objects(b"1 0 obj\n<< /A (x\n2 0 obj) /B 1 >>\nendobj\n3 0 obj\n<< /C 2 >>\n4 0 obj\n<< /D 3 >>\nendobj\n")
+    assert [(r["num"], r["error"], r["entries"].get("B"), r["entries"].get("C"), r["entries"].get("D")) for r in whole] == [(1, None, "1", None, None), (3, "no endobj", None, "2", None), (4, None, None, None, "3")]
+
+
+def test_references_to_arrays_are_followed():
+    data = b"1 0 obj\n<< /Kids 2 0 R /Fields 3 0 R /Names 5 0 R /AcroForm << /Fields 2 0 R >> >>\nendobj\n2 0 obj\n[7 0 R 8 0 R]\nendobj\n3 0 obj\n2 0 R\nendobj\n5 0 obj\n<< /A 1 >>\nendobj\n"
+    own = document_objects(data)[0]["entries"]
+    assert (own["Kids"], own["Names"], own["AcroForm/Fields"], own["Kids/#"]) == ("[7 0 R 8 0 R]", "5 0 R", "[7 0 R 8 0 R]", "2")

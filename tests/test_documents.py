@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import documents, edits, graph, reports, xfa
+from vellum.operators import documents, edits, facts, graph, reports, xfa
 from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
 from vellum.operators.rewrite import reachable
 from vellum.sources import mint
@@ -323,3 +323,28 @@ def test_pages_extracted_and_inserted(spark):
     assert texts(documents.insert(objs, into)) == ["a0", "b0", "b1", "b2", "a1", "a2"]
     with pytest.raises(ValueError):
         documents.extract(objs, [])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inspect_is_one_pass_and_one_shuffle(spark):
+    docs = spark.createDataFrame([("d", bytearray(FILE)), ("n", None), ("e", bytearray(b"")), ("c", bytearray(FILE[:-6]))], "doc_id string, content binary")
+    got = facts.inspect(docs)
+    assert plan_of(got).count("MapInArrow") == 1 and plan_of(got).count("Exchange hash") == 1
+    rows = {r.doc_id: r for r in got.collect()}
+    d = rows["d"]
+    assert (d.nodes, d.header, d["size"], d.pages, d.parse_error, d.streams[0].num, d.stream_filters.editable, d.xref.has_table, d.security) == (5, "%PDF-1.7", len(FILE), 1, None, 20, 2, True, None)
+    assert [(k, rows[k].nodes, rows[k].parse_error, rows[k].streams) for k in "nec"] == [("n", 0, "not a document", None), ("e", 0, "not a document", None), ("c", 0, "no end mark", None)]
+    for walked in (graph.pages(docs), graph.form_fields(docs), xfa.packets(docs), graph.name_entries(docs)):
+        assert plan_of(walked).count("MapInArrow") == 1 and "Exchange" not in plan_of(walked)
+    assert sorted(map(tuple, graph.pages(docs).drop("inherited").collect())) == sorted(map(tuple, graph.pages(objects(docs)).drop("inherited").collect()))
+
+
+def test_referenced_arrays_of_pages_fields_and_notes(spark):
+    docs = made(spark, b"<< /Type /Catalog /Pages 2 0 R /AcroForm << /Fields 9 0 R >> >>", b"<< /Type /Pages /Kids 8 0 R /Resources << >> >>", b"<< /Type /Page /Contents 6 0 R /Annots 7 0 R >>", stream(b"BT (there) Tj ET"), b"<< /Type /Annot /Subtype /Text /Contents (note) >>", b"[4 0 R]", b"[5 0 R]", b"[3 0 R]", b"[10 0 R]", b"<< /FT /Tx /T (a) /V (x) >>")
+    assert [(r.text, r.page_index) for r in text_rows(docs).collect()] == [("there", 0)]
+    assert [r.name for r in graph.form_fields(docs).collect()] == ["a"] == [r.name for r in graph.form_fields(objects(docs)).collect()]
+    objs = objects(docs)
+    assert [(r.contents, r.page_index) for r in graph.annotations(objs, graph.pages(docs)).collect()] == [("note", 0)]

@@ -36,6 +36,31 @@ def literal_end(data: bytes, at: int) -> int:
     return -1
 
 
+class Strings:
+    """literal_end() of one file, again and again: when strings have been read twice the file's length, all parentheses are matched at once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.left, self.ends = data, 2 * len(data), None
+
+    def __call__(self, at: int) -> int:
+        if self.ends is None:
+            end = literal_end(self.data, at)
+            self.left -= (end if end >= 0 else len(self.data)) - at
+            if self.left < 0:
+                self._match()
+            return end
+        return self.ends[at] if at in self.ends else literal_end(self.data, at)  # one that stands behind a backslash
+
+    def _match(self) -> None:
+        self.ends, opened = {}, []
+        for m in _NEST.finditer(self.data):
+            if m[0] == b"(":
+                opened.append(m.start())
+            elif m[0] == b")" and opened:
+                self.ends[opened.pop()] = m.end()
+        self.ends |= dict.fromkeys(opened, -1)
+
+
 class State:
     """Font, size, place and spacing of text; it lives between BT and ET alone."""
 

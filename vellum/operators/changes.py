@@ -74,7 +74,7 @@ def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     direct = F.when(entry("AcroForm/NeedAppearances").isNull(), F.regexp_replace(entry("AcroForm"), r">>$", " /NeedAppearances true >>")).otherwise(F.regexp_replace(entry("AcroForm"), r"/NeedAppearances\s+\w+", "/NeedAppearances true"))
     forms = top.select(*change(F.col("doc_id"), F.coalesce(ref, F.col("num")), F.when(ref.isNull(), F.create_map(F.lit("AcroForm"), direct)).otherwise(F.create_map(F.lit("NeedAppearances"), F.lit("true")))))
     written = stage(rewrite(objs, own.unionByName(forms)))
-    after = form_fields(objects(written)).select("doc_id", "name", F.col("value").alias("found"))
+    after = form_fields(written).select("doc_id", "name", F.col("value").alias("found"))
     return verified(plans.select("doc_id", "name", "expected", "status"), written, after, ["name"])
 
 
@@ -161,7 +161,7 @@ def set_data(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     data = streams(objs).select("doc_id", "num", "data").join(plans.where("status = 'ok'"), ["doc_id", "num"])
     made = data.select(*change(F.col("doc_id"), F.col("num"), data=_replaced(F.col("data"), F.col("path"), F.col("expected"))))
     written = stage(rewrite(objs, made))
-    after = dataset_fields(objects(written)).groupBy("doc_id", "path").agg(F.first("value").alias("found"))
+    after = dataset_fields(written).groupBy("doc_id", "path").agg(F.first("value").alias("found"))
     return verified(plans.drop("num"), written, after, ["path"])
 
 

@@ -1,7 +1,8 @@
 """Trees within documents: pages, names, labels, outlines and forms.
 
-The few entries of a document that make up a tree meet in one row of that document; a short walk puts them in order.
-All that can be said of a node by itself is columns.
+A short walk puts the nodes of a tree in order. Of documents (doc_id, content) it is taken where a document is parsed, and
+nothing is shuffled; of objects that were parsed before, the few entries that make up the tree meet in one row of their
+document. All that can be said of a node by itself is columns.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellum.sources.scan import entry, name, number, ref_numbers, text
+from vellum.sources.scan import document_objects, entry, name, number, ref_numbers, text
 from vellum.sources.syntax import items, reference, string_text
 
 #: What a page takes from the nodes above it where it has none of its own.
@@ -28,21 +29,24 @@ def only(*keys: str, under: tuple[str, ...] = ()) -> Column:
     return F.map_filter("entries", keep)
 
 
-def by_document(rows: DataFrame, walk: Callable[[Nodes], Iterator[tuple]], columns: str) -> DataFrame:
-    """What walk() yields from the nodes of each document: rows(doc_id, num, entries), as a table of doc_id and `columns`."""
+def by_document(source: DataFrame, part: Callable[[DataFrame], DataFrame], walk: Callable[[Nodes], Iterator[tuple]], columns: str) -> DataFrame:
+    """What walk() yields from the nodes of each document, as a table of doc_id and `columns`.
+
+    source: documents(doc_id, content), or objects of documents; part: those objects (num, entries) that the walk may need.
+    """
     schema = to_arrow_schema(T.StructType.fromDDL(f"doc_id string, {columns}"))
-    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("num", "entries")).alias("nodes"))
+    whole = "content" in source.columns
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                (doc_id, *row)
-                for doc_id, nodes in zip(batch.column("doc_id").to_pylist(), batch.column("nodes").to_pylist(), strict=True)
-                for row in walk({n["num"]: dict(n["entries"]) for n in nodes})
-            ]
+            found: list[tuple] = []
+            for doc_id, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes = {r["num"]: r["entries"] for r in document_objects(held or b"")} if whole else {n["num"]: dict(n["entries"]) for n in held}
+                found += [(doc_id, *row) for row in walk(nodes)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return grouped.mapInArrow(walked, f"doc_id string, {columns}")
+    held = source.select("doc_id", "content") if whole else part(source).groupBy("doc_id").agg(F.collect_list(F.struct("num", "entries")).alias("nodes"))
+    return held.mapInArrow(walked, f"doc_id string, {columns}")
 
 
 def target(raw: str | None) -> int | None:
@@ -84,7 +88,10 @@ def page_list(nodes: Nodes) -> Iterator[tuple[int, int, dict[str, str]]]:
         stack += [(kid, got, path | {num}) for kid in reversed(kids)]
 
 
-def _pages(nodes: Nodes) -> Iterator[tuple]:
+PAGES = "page_index int, num int, media_box string, crop_box string, rotate string, resources_of int, inherited map<string,string>"
+
+
+def walk_pages(nodes: Nodes) -> Iterator[tuple]:
     for index, num, got in page_list(nodes):
         yield index, num, got.get("MediaBox"), got.get("CropBox"), got.get("Rotate"), int(got["resources_of"]) if "resources_of" in got else None, got
 
@@ -95,9 +102,12 @@ def pages(objs: DataFrame) -> DataFrame:
     A node that comes again on its own path, or is not there, ends that path. resources_of is the object whose
     /Resources hold for the page.
     """
-    tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog", "Pages", "Page"))
-    rows = tree.select("doc_id", "num", only("Root!", "Type", "Pages", "Kids", *INHERITED).alias("entries"))
-    return by_document(rows, _pages, "page_index int, num int, media_box string, crop_box string, rotate string, resources_of int, inherited map<string,string>")
+
+    def part(objs: DataFrame) -> DataFrame:
+        tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog", "Pages", "Page"))
+        return tree.select("doc_id", "num", only("Root!", "Type", "Pages", "Kids", *INHERITED).alias("entries"))
+
+    return by_document(objs, part, walk_pages, PAGES)
 
 
 def names_in(nodes: Nodes, kind: str) -> Iterator[tuple[str, str, str | None]]:
@@ -139,9 +149,12 @@ def _names(nodes: Nodes) -> Iterator[tuple]:
 
 def name_entries(objs: DataFrame) -> DataFrame:
     """doc_id, kind, ord, name, target (object number), value (a direct one), error of the name trees, however deep."""
-    tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog") | F.greatest(*[entry(k).isNotNull() for k in ("Names", "Kids", *KINDS)]))
-    rows = tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "Names", "Kids", *KINDS, under=("Names/", *[f"{k}/" for k in KINDS])).alias("entries"))
-    return by_document(rows, _names, "kind string, ord int, name string, target int, value string, error string")
+
+    def part(objs: DataFrame) -> DataFrame:
+        tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog") | F.greatest(*[entry(k).isNotNull() for k in ("Names", "Kids", *KINDS)]))
+        return tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "Names", "Kids", *KINDS, under=("Names/", *[f"{k}/" for k in KINDS])).alias("entries"))
+
+    return by_document(objs, part, _names, "kind string, ord int, name string, target int, value string, error string")
 
 
 def _labels(nodes: Nodes) -> Iterator[tuple]:
@@ -166,8 +179,12 @@ def _labels(nodes: Nodes) -> Iterator[tuple]:
 
 def page_labels(objs: DataFrame) -> DataFrame:
     """doc_id, first_page, style, prefix, start of the number tree of page labels."""
-    tree = objs.where("raw is null").where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Nums").isNotNull() | entry("Kids").isNotNull() | entry("S").isNotNull())
-    return by_document(tree.select("doc_id", "num", only("Root!", "Type", "PageLabels", "Nums", "Kids", "S", "P=", "St", under=("PageLabels/", "Nums/")).alias("entries")), _labels, "first_page int, style string, prefix string, start int")
+
+    def part(objs: DataFrame) -> DataFrame:
+        tree = objs.where("raw is null").where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Nums").isNotNull() | entry("Kids").isNotNull() | entry("S").isNotNull())
+        return tree.select("doc_id", "num", only("Root!", "Type", "PageLabels", "Nums", "Kids", "S", "P=", "St", under=("PageLabels/", "Nums/")).alias("entries"))
+
+    return by_document(objs, part, _labels, "first_page int, style string, prefix string, start int")
 
 
 def _outline(nodes: Nodes) -> Iterator[tuple]:
@@ -187,8 +204,12 @@ def _outline(nodes: Nodes) -> Iterator[tuple]:
 
 def outlines(objs: DataFrame) -> DataFrame:
     """doc_id, ord, num, parent, depth, title, dest, dest_name of the outline, in the order of reading."""
-    tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Title").isNotNull() | entry("First").isNotNull())
-    return by_document(tree.select("doc_id", "num", only("Root!", "Type", "Outlines", "First", "Next", "Title=", "Dest", "Dest=", under=("Outlines/",)).alias("entries")), _outline, "ord int, num int, parent int, depth int, title string, dest string, dest_name string")
+
+    def part(objs: DataFrame) -> DataFrame:
+        tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("Title").isNotNull() | entry("First").isNotNull())
+        return tree.select("doc_id", "num", only("Root!", "Type", "Outlines", "First", "Next", "Title=", "Dest", "Dest=", under=("Outlines/",)).alias("entries"))
+
+    return by_document(objs, part, _outline, "ord int, num int, parent int, depth int, title string, dest string, dest_name string")
 
 
 _FIELD = ("T=", "FT", "TU=", "TM=", "V", "V=", "DV", "DV=", "Ff", "Kids", "Fields", "RV", "A", "AA", "Subtype", "Opt", "I", "MaxLen", "Rect", "AP")
@@ -204,7 +225,10 @@ def _states(own: dict[str, str]) -> list[str]:
     return sorted({k[5:].split("/")[0] for k in own if k.startswith("AP/N/")} - {"#"})
 
 
-def _fields(nodes: Nodes) -> Iterator[tuple]:
+FIELDS = "ord int, num int, name string, type string, entries map<string,string>, flags int, kid_count int, other_blockers array<string>, button_states array<string>, proof boolean, rect boolean"
+
+
+def walk_fields(nodes: Nodes) -> Iterator[tuple]:
     form = below(nodes, root(nodes), "AcroForm")
     seen: set[int] = set()
     order = 0
@@ -277,9 +301,16 @@ def form_fields(objs: DataFrame) -> DataFrame:
     A name is that of all above joined by dots; type and flags are inherited; a field that several refer to comes once.
     appearance_status and fill_status say what an edit could do, the blockers why it could not.
     """
-    tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("T").isNotNull() | entry("Kids").isNotNull() | entry("Fields").isNotNull() | (name("Subtype") == "Widget"))
-    rows = tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "AcroForm", *_FIELD, under=("AcroForm/", "A/", "AA/", "AP/N")).alias("entries"))
-    found = by_document(rows, _fields, "ord int, num int, name string, type string, entries map<string,string>, flags int, kid_count int, other_blockers array<string>, button_states array<string>, proof boolean, rect boolean")
+
+    def part(objs: DataFrame) -> DataFrame:
+        tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("T").isNotNull() | entry("Kids").isNotNull() | entry("Fields").isNotNull() | (name("Subtype") == "Widget"))
+        return tree.where("raw is null").select("doc_id", "num", only("Root!", "Type", "AcroForm", *_FIELD, under=("AcroForm/", "A/", "AA/", "AP/N")).alias("entries"))
+
+    return described(by_document(objs, part, walk_fields, FIELDS))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """What there is to say of fields that walk_fields() found."""
     rich = F.when(entry("RV").isNotNull(), F.array(F.lit("rich_text_value"))).when(bit(F.col("flags"), 26), F.array(F.lit("rich_text_flag"))).otherwise(F.array().cast("array<string>"))
     found = found.withColumn("rich", rich).withColumn("options", F.when(F.col("type") == "Ch", options(entry("Opt"))))
     fill = F.array_distinct(F.concat("rich", "other_blockers"))

@@ -39,8 +39,8 @@ def cmap_of(data: Column) -> Column:
 class Texts:
     """The text-shows of one document: its streams in the order in which pages show them, decoded as their fonts say."""
 
-    def __init__(self, data: bytes):
-        self.rows = {r["num"]: r for r in document_objects(data)}
+    def __init__(self, data: bytes, objects: list[dict] | None = None):
+        self.rows = {r["num"]: r for r in (document_objects(data) if objects is None else objects)}
         self.nodes = {n: r["entries"] for n, r in self.rows.items()}
         self.read: dict[int, bytes | None] = {}
         self.known: dict[int, dict] = {}

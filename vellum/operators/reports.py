@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.graph import annotations, form_fields, pages
+from vellum.functions.codecs import capability, filter_chain
+from vellum.operators.facts import facts, relation
+from vellum.operators.graph import annotations, described
 from vellum.operators.nodes import cmap_of, text_rows
 from vellum.plans.staging import stage
-from vellum.sources.scan import detected, entry, markers, name, number, object_rows, objects, streams, xref_summary
+from vellum.sources.scan import MARKERS, detected, entry, markers, name, number, object_rows, objects, streams, xref_summary
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -33,7 +35,9 @@ def profile(docs: DataFrame) -> DataFrame:
 
 def stream_counts(objs: DataFrame) -> DataFrame:
     """doc_id, total, editable, pass_through, unsupported, filter_counts and capability_counts (name -> number) of the streams."""
-    rows = streams(objs.where(~name("Type").isin("ObjStm", "XRef"))).select("doc_id", F.array_join("chain", " ").alias("filter"), "capability", F.col("entries")["DecodeParms!"].isNotNull().alias("bad"))
+    chain = filter_chain(entry("Filter"))
+    own = objs.where("raw is not null").where(~name("Type").isin("ObjStm", "XRef"))
+    rows = own.select("doc_id", F.array_join(chain, " ").alias("filter"), capability(chain).alias("capability"), entry("DecodeParms!").isNotNull().alias("bad"))
     of = lambda *names: F.count(F.when(F.col("capability").isin(*names), 1))
     unsupported = F.count(F.when((F.col("capability") == "unsupported_target") | F.col("bad"), 1))
     total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("identity_pass_through", "editable_reversible").alias("editable"), of("pass_through_image").alias("pass_through"), unsupported.alias("unsupported"))
@@ -60,13 +64,16 @@ def recommendation(valid: Column, signed: Column, blocked: Column) -> Column:
 
 
 def full_profile(docs: DataFrame) -> DataFrame:
-    """doc_id, valid, recommendation, reasons, editable, fields, fillable, annotations, pages, text_shows and stream counts of each document."""
-    objs = stage(objects(docs))
-    checked, signs, counts, base = validate(docs), markers(docs), stream_counts(objs), profile(docs)
-    forms = form_fields(objs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.count(F.when(F.col("fillable"), 1)).alias("fillable"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("fill_blockers")))).alias("fill_blockers"))
-    notes = annotations(objs, pages(objs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotations"))
+    """doc_id, valid, recommendation, reasons, editable, fields, fillable, annotations, pages, text_shows and stream counts of each document, which is parsed once."""
+    found = stage(facts(docs))
+    objs = relation(found, "object")
+    checked = relation(found, "document").select("doc_id", F.col("error").isNull().alias("valid"), *MARKERS)
+    own = objs.groupBy("doc_id").agg(F.count(F.when(name("Type") == "Page", 1)).alias("pages"))
+    texts = relation(found, "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("text_shows"))
+    forms = described(relation(found, "field")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.count(F.when(F.col("fillable"), 1)).alias("fillable"))
+    notes = annotations(objs, relation(found, "page")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotations"))
     rows = checked
-    for more in (signs, counts, base, forms, notes):
+    for more in (stream_counts(objs), own, texts, forms, notes):
         rows = rows.join(more, "doc_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     blocked = F.col("has_encrypt") | F.col("has_xfa") | (zero("unsupported") > 0)

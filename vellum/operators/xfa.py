@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.graph import Nodes, below, by_document, only, root
-from vellum.sources.scan import entry, name, streams
+from vellum.sources.scan import document_objects, entry, name, stream_bytes, streams
 from vellum.sources.syntax import items
 
 #: Fixed names of packets.
@@ -99,18 +99,44 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "packet", "label", "num", "decode_error", "size")), *columns], ["doc_id", "packet", "label", "num", "decode_error", "size", *kinds])
 
 
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packets of documents, with their bytes."""
+    kinds = {"doc_id": pa.string(), "packet": pa.int32(), "label": pa.string(), "num": pa.int32(), "decode_error": pa.string(), "size": pa.int64(), "data": pa.binary()}
+    for batch in batches:
+        out: list[tuple] = []
+        for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            rows = {r["num"]: r for r in document_objects(content or b"")}
+            for packet, label, num, text in _packets({n: r["entries"] for n, r in rows.items()}):
+                data, error = stream_bytes(rows[num]) if num in rows else (None, None)
+                data = text.encode() if data is None and text is not None else data
+                out.append((doc_id, packet, label, num, error, None if data is None else len(data), data))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
 def packets(objs: DataFrame) -> DataFrame:
     """doc_id, packet (its place), label, kind, num, size, decode_error and what is in it: root, error, unsafe, fields, template, markers.
 
-    A label decides the kind, else the root element; what can't be decoded is listed with its error.
+    A label decides the kind, else the root element; what can't be decoded is listed with its error. Of documents(doc_id,
+    content), packets are read where a document is parsed; of objects parsed before, they are joined with their streams; packets
+    stay what they are.
     """
-    tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("XFA").isNotNull())
-    found = by_document(tree.select("doc_id", "num", only("Root!", "Type", "AcroForm", "XFA", "XFA=", under=("AcroForm/",)).alias("entries")), _packets, "packet int, label string, num int, text string")
-    asked = found.where("num is not null").select("doc_id", "num").distinct()
-    data = streams(objs.join(asked, ["doc_id", "num"], "left_semi")).select("doc_id", "num", "data", "decode_error")
-    rows = found.join(data, ["doc_id", "num"], "left").select("doc_id", "packet", "label", "num", F.coalesce("data", F.encode("text", "UTF-8")).alias("data"), "decode_error")
-    rows = rows.select("doc_id", "packet", "label", "num", "decode_error", F.octet_length("data").cast("long").alias("size"), "data")
-    read = rows.mapInArrow(_read, f"doc_id string, packet int, label string, num int, decode_error string, size long, {_FACTS}")
+    if "packet" in objs.columns:
+        return objs
+    columns = f"doc_id string, packet int, label string, num int, decode_error string, size long, {_FACTS}"
+    if "content" in objs.columns:
+        read = objs.select("doc_id", "content").mapInArrow(lambda b: _read(_of_documents(b)), columns)
+    else:
+
+        def part(objs: DataFrame) -> DataFrame:
+            tree = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog") | entry("XFA").isNotNull())
+            return tree.select("doc_id", "num", only("Root!", "Type", "AcroForm", "XFA", "XFA=", under=("AcroForm/",)).alias("entries"))
+
+        found = by_document(objs, part, _packets, "packet int, label string, num int, text string")
+        asked = found.where("num is not null").select("doc_id", "num").distinct()
+        data = streams(objs.join(asked, ["doc_id", "num"], "left_semi")).select("doc_id", "num", "data", "decode_error")
+        rows = found.join(data, ["doc_id", "num"], "left").select("doc_id", "packet", "label", "num", F.coalesce("data", F.encode("text", "UTF-8")).alias("data"), "decode_error")
+        rows = rows.select("doc_id", "packet", "label", "num", "decode_error", F.octet_length("data").cast("long").alias("size"), "data")
+        read = rows.mapInArrow(_read, columns)
     of = lambda token: F.when(token.isin(*KINDS), token)
     label = F.regexp_replace(F.trim(F.coalesce("label", F.lit(""))), r"^[^:]*:|^/+|/+$", "")
     kind = F.when(label != "", F.coalesce(of(label), F.lit("unknown"))).when(F.col("error").isNotNull() | F.col("unsafe") | F.col("root").isNull(), "unknown").otherwise(F.coalesce(of(F.col("root")), F.lit("xml")))

@@ -111,8 +111,7 @@ def page_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inherited_mediabox(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("turn") % 3 == 0, F.lit("/MediaBox [0 0 200 300]")).otherwise("")
-    objs = stage(objects(_turns(spark, sf_dir, mint.show(F.coalesce("role", F.lit(""))), own)))
-    rows = graph.pages(objs)
+    rows = graph.pages(_turns(spark, sf_dir, mint.show(F.coalesce("role", F.lit(""))), own))
     return rows.groupBy("media_box").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -190,7 +189,7 @@ def form_fields_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         child(6, "nation", F.col("c_nationkey"), "/Ff 4096 /RV (rich) "),
     )
     minted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))
-    rows = graph.form_fields(objects(minted))
+    rows = graph.form_fields(minted)
     listed = lambda c: F.array_join(c, " ")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "name", "type", "value", "flags", "kid_count", listed("flag_names").alias("flag_names"), listed("type_flag_names").alias("type_flag_names"), "fill_status", listed("fill_blockers").alias("fill_blockers"))
 
@@ -218,7 +217,7 @@ def xfa_dataset_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda k, c: F.concat(F.lit(f"<{k}>"), F.col(c).cast("string"), F.lit(f"</{k}>"))
     xml = F.concat(F.lit("<xfa:datasets xmlns:xfa='x'><xfa:data><order>"), tag("status", "o_orderstatus"), tag("priority", "o_orderpriority"), tag("customer", "o_custkey"), F.lit("</order></xfa:data></xfa:datasets>"))
     objects_ = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /XFA [(datasets) 2 0 R] >> >>"), mint.obj(2, mint.stream(xml)))
-    rows = xfa.dataset_fields(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))))
+    rows = xfa.dataset_fields(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(objects_).alias("content")))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "at", "path", "value")
 
 

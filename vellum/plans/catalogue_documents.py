@@ -32,9 +32,9 @@ def name_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         mint.obj(1, "<< /Type /Catalog /Names 2 0 R >>"), mint.obj(2, "<< /Dests 3 0 R >>"), mint.obj(3, "<< /Kids [7 0 R] >>"), mint.obj(7, "<< /Kids [4 0 R] >>"), mint.obj(4, leaf), mint.obj(5, "[0]"), mint.obj(6, "[1]"),
     )
     ids = F.concat_ws("/", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
-    objs = objects(customers.select(ids.alias("doc_id"), mint.document(body).alias("content")))
+    docs = customers.select(ids.alias("doc_id"), mint.document(body).alias("content"))
     part = lambda i: F.split_part("doc_id", F.lit("/"), F.lit(i)).cast("long")
-    rows = documents.merged_names(graph.name_entries(objs), part(1), part(2))
+    rows = documents.merged_names(graph.name_entries(docs), part(1), part(2))
     return rows.select(F.col("merged").alias("nation"), F.col("part").alias("custkey"), "name", "target")
 
 
@@ -45,7 +45,7 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.floor(F.col("doc_id").cast("long") / 4).cast("string")
     merged = stage(documents.merge(objs, group, F.col("doc_id").cast("long")))
     texts = page_texts(merged, "text")
-    boxes = graph.pages(objects(merged)).groupBy("doc_id").agg(F.count(F.when(F.col("media_box") == "[0 0 612 792]", 1)).alias("boxes"))
+    boxes = graph.pages(merged).groupBy("doc_id").agg(F.count(F.when(F.col("media_box") == "[0 0 612 792]", 1)).alias("boxes"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "text"))), lambda r: F.md5(r["text"]))
     rows = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.md5(F.array_join(listed, "|")).alias("digest"))
     return rows.join(boxes, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "pages", "boxes", "digest")
@@ -65,8 +65,7 @@ def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as recognised text on the pages of conversations: page by user, confidence by value."""
     turns = table(spark, sf_dir, "conversations")
-    objs = stage(objects(mint.paged(turns, "conv_id", "turn", mint.show(F.coalesce("role", F.lit(""))))))
-    counts = graph.pages(objs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    counts = graph.pages(mint.paged(turns, "conv_id", "turn", mint.show(F.coalesce("role", F.lit(""))))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     events = table(spark, sf_dir, "events")
     box = F.struct(F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), (F.col("event_id") % 5).cast("double").alias("x_max"), F.lit(1.0).alias("y_max"))
     docs = counts.count()  # events are spread over all of them, as conversations are numbered without gaps
@@ -112,8 +111,8 @@ def xfa_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(F.lit("<datasets><data><order>"), tag("status", F.col("o_orderstatus")), tag("id", F.col("o_orderkey")), F.lit("</order><buyer>"), tag("id", F.col("o_custkey")), F.lit("</buyer></data></datasets>"))
     form = "<template><subform name='order'><field name='id'/><field name='status'/></subform><subform name='form'><field name='id'/></subform><field name='buyer.id'/></template>"
     body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /XFA [(template) 3 0 R (datasets) 2 0 R] >> >>"), mint.obj(2, mint.stream(data)), mint.obj(3, mint.stream(F.lit(form))))
-    objs = stage(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
-    rows = xfa.mapped_fields(xfa.template_fields(objs).select("doc_id", "field", "path"), xfa.dataset_fields(objs).select("doc_id", "path", "value"))
+    packets = stage(xfa.packets(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
+    rows = xfa.mapped_fields(xfa.template_fields(packets).select("doc_id", "field", "path"), xfa.dataset_fields(packets).select("doc_id", "path", "value"))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "field", "path", "value", "match")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import encoded
-from vellum.operators import changes, documents, graph, reports, security, xfa
+from vellum.operators import changes, documents, facts, graph, reports, security, xfa
 from vellum.operators.nodes import text_rows
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
@@ -102,7 +102,7 @@ def page_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     own = F.concat(F.lit("<< /Type /Catalog /PageLabels 2 0 R >>"))
     later = F.concat(F.lit("<< /Nums ["), (F.col("c_nationkey") + 1).cast("string"), F.lit(" << /S /D /P "), mint.literal(F.col("c_name")), F.lit(" /St "), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(" >>] >>"))
-    rows = graph.page_labels(objects(_docs(customers, "c_custkey", own, "<< /Kids [3 0 R 4 0 R] >>", "<< /Nums [0 << /S /r >>] >>", later)))
+    rows = graph.page_labels(_docs(customers, "c_custkey", own, "<< /Kids [3 0 R 4 0 R] >>", "<< /Nums [0 << /S /r >>] >>", later))
     return rows.select(_long(), "first_page", "style", "prefix", "start")
 
 
@@ -111,7 +111,7 @@ def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     item = lambda title, more: F.concat(F.lit("<< /Title "), mint.literal(F.col(title).cast("string")), F.lit(f" {more} >>"))
     minted = _docs(customers, "c_custkey", "<< /Type /Catalog /Outlines 2 0 R >>", "<< /Type /Outlines /First 3 0 R /Last 5 0 R >>", item("c_name", "/First 4 0 R /Next 5 0 R"), item("c_mktsegment", "/Parent 3 0 R"), item("c_nationkey", "/Prev 3 0 R"))
-    return graph.outlines(objects(minted)).select(_long(), "ord", "depth", "title")
+    return graph.outlines(minted).select(_long(), "ord", "depth", "title")
 
 
 def merged_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def field_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("/FT /Tx /Rect [0 0 1 1]", "/FT /Tx /RV (r)", "/FT /Ch /Ff 2097152", "/FT /Ch /Opt [(a) (b)] /Ff 1", "/FT /Btn", "/FT /Btn /AP << /N << /On 1 0 R >> >>", "/FT /Sig", "/FT /Tx /AA << /K << /S /JavaScript >> >>")
     own = F.element_at(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % len(kinds) + 1).cast("int"))
     minted = _docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>", F.concat(F.lit("<< /T (f) "), own, F.lit(" >>")))
-    rows = graph.form_fields(objects(minted))
+    rows = graph.form_fields(minted)
     return rows.groupBy("type", "appearance_status", "fill_status", _joined("fill_blockers"), "fillable").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -164,10 +164,28 @@ def xfa_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(kind == 2, "odd").otherwise("datasets")
     top = F.when(kind == 3, "<< /Type /Catalog >>").otherwise(F.concat(F.lit("<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R ("), label, F.lit(") 3 0 R] >> >>")))
     data = F.when(kind == 2, F.lit("<other/>")).otherwise(data)
-    rows = xfa.semantics(objects(_docs(orders, "o_orderkey", top, mint.stream(template), mint.stream(data))))
+    rows = xfa.semantics(_docs(orders, "o_orderkey", top, mint.stream(template), mint.stream(data)))
     return rows.groupBy("classification", "editable", "packets", _joined("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def inspect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with a text each, by doc_id plain, with an image, with an unknown filter, cut short, encrypted, with an XML form or signed: what inspect() says of them."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.pmod("doc_id", F.lit(7))
+    other = F.when(kind == 1, "/Filter /DCTDecode").when(kind == 2, "/Filter /FooDecode").otherwise("")
+    top = F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R "), F.when(kind == 5, "/AcroForm << /XFA (x) >> ").otherwise(""), F.lit(">>"))
+    page = [mint.obj(1, top), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << >> >>"), mint.obj(3, "<< /Type /Page /Parent 2 0 R /Contents [4 0 R] >>"), mint.obj(4, mint.stream(mint.show(F.coalesce("text", F.lit("")))))]
+    more = F.when(kind.isin(1, 2), F.array(mint.obj(5, mint.stream(F.lit("x"), other)))).when(kind == 6, F.array(mint.obj(5, "<< /Type /Sig /ByteRange [0 1 2 3] >>"))).otherwise(F.array().cast("array<struct<num:int,gen:int,body:binary>>"))
+    whole = mint.document(F.concat(F.array(*page), more), extra=F.when(kind == 4, " /Encrypt << /Filter /Standard >>").otherwise(""))
+    content = F.when(kind == 3, F.substring(whole, F.lit(1), F.octet_length(whole) - 6)).otherwise(whole)
+    rows = facts.inspect(docs.select(F.col("doc_id").cast("string").alias("doc_id"), content.alias("content")))
+    zero = lambda k: F.coalesce(F.col(f"stream_filters.{k}"), F.lit(0)).alias(k)
+    return rows.select(
+        _long(), "format", "nodes", "header", "pages", "parse_error", zero("total"), zero("editable"), zero("pass_through"), zero("unsupported"), F.array_join(F.transform("streams", lambda s: s["filter"]), ",").alias("filters"),
+        F.col("xref.has_table").alias("has_table"), F.col("boundaries.has_xfa").alias("has_xfa"), F.coalesce("security.encrypted", F.lit(False)).alias("encrypted"), F.coalesce("security.signed", F.lit(False)).alias("signed"),
+    )
+
+
 def profile_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are signed, cut short, hold streams that can't be read, or are plain: how they are best rewritten."""
     docs = table(spark, sf_dir, "documents")
@@ -187,7 +205,7 @@ def edit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     minted = stage(_docs(customers, "c_custkey", "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>", F.concat(F.lit("<< /FT /Tx /T (segment) /V "), mint.literal(F.col("c_name")), F.lit(" >>"))))
     wanted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(F.col("c_custkey") % 3 == 0, "other").otherwise("segment").alias("name"), F.col("c_mktsegment").alias("value"))
     got = stage(changes.set_fields(minted, wanted))
-    value = graph.form_fields(objects(got.where("content is not null").select("doc_id", "content"))).select("doc_id", "value")
+    value = graph.form_fields(got.where("content is not null").select("doc_id", "content")).select("doc_id", "value")
     return got.select("doc_id", "status").join(value, "doc_id", "left").select(_long(), "status", "value")
 
 
@@ -213,7 +231,7 @@ def edit_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     minted = stage(_docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(template), mint.stream(data, "/Marker (keep)")))
     wanted = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("o.status").alias("path"), F.col("o_orderpriority").alias("value"))
     got = stage(changes.set_data(minted, wanted))
-    value = xfa.dataset_fields(objects(got.where("content is not null").select("doc_id", "content"))).where("path = 'o.status'").select("doc_id", "value")
+    value = xfa.dataset_fields(got.where("content is not null").select("doc_id", "content")).where("path = 'o.status'").select("doc_id", "value")
     return got.select("doc_id", "status").join(value, "doc_id", "left").groupBy("status", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -224,7 +242,7 @@ def edit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     minted = stage(_docs(parts, "p_partkey", "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>", box, mint.stream(mint.show(F.col("p_name")))))
     wanted = parts.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), (F.col("p_size") * 30).cast("int").alias("turn"), F.lit(None).cast("array<double>").alias("crop"), F.lit(2.0).alias("scale"))
     got = stage(changes.transform_pages(minted, wanted))
-    tree = graph.pages(objects(got.where("content is not null").select("doc_id", "content"))).select("doc_id", "rotate", "media_box")
+    tree = graph.pages(got.where("content is not null").select("doc_id", "content")).select("doc_id", "rotate", "media_box")
     return got.select("doc_id", "status").join(tree, "doc_id", "left").groupBy("status", "rotate", "media_box").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -258,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         packed_pages, structure_kinds, indirect_parameters, predictor_shapes, tounicode_text, font_encoding_text, form_invocations, page_label_rows, outline_rows, merged_catalog, annotation_flags, field_status, xfa_semantics,
-        profile_recommendation, edit_fields, edit_notes, edit_data, edit_pages, ocr_sources, security_refusals,
+        inspect_report, profile_recommendation, edit_fields, edit_notes, edit_data, edit_pages, ocr_sources, security_refusals,
     )
 }
 
@@ -287,6 +305,10 @@ ORACLES = {
         SELECT type, appearance_status, fill_status, fill_blockers, fillable, count(*) AS n FROM orders JOIN k ON o_orderkey % 8 = i GROUP BY ALL""",
     "xfa_semantics": """SELECT ['static_datasets_template', 'dynamic_rendering_required', 'unknown', 'none'][(o_orderkey % 4 + 1)::INT] AS classification, o_orderkey % 4 = 0 AS editable, (CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 2 END)::BIGINT AS packets,
         CASE WHEN o_orderkey % 4 = 1 THEN 'flowed layout' ELSE '' END AS reasons, count(*) AS n FROM orders GROUP BY ALL""",
+    "inspect_report": """WITH d AS (SELECT doc_id, (doc_id % 7)::INT AS k FROM documents)
+        SELECT doc_id, 'pdf' AS format, [3, 4, 4, 0, 0, 0, 0][k + 1]::BIGINT AS nodes, '%PDF-1.7' AS header, 1::BIGINT AS pages, [NULL, NULL, NULL, 'no end mark', 'encrypted', 'xml_form', 'signed'][k + 1] AS parse_error,
+          [1, 2, 2, 0, 0, 0, 0][k + 1]::BIGINT AS total, (CASE WHEN k < 3 THEN 1 ELSE 0 END)::BIGINT AS editable, (k = 1)::BIGINT AS pass_through, (k = 2)::BIGINT AS unsupported,
+          ['', ',DCTDecode', ',FooDecode', NULL, NULL, NULL, NULL][k + 1] AS filters, TRUE AS has_table, k = 5 AS has_xfa, k = 4 AS encrypted, k = 6 AS signed FROM d""",
     "profile_recommendation": """SELECT doc_id % 4 <> 3 AS valid, ['canonical', 'surgical', 'preserve-structure', 'preserve-structure'][(doc_id % 4 + 1)::INT] AS recommendation, ['', 'signed', 'unsupported_streams:1', ''][(doc_id % 4 + 1)::INT] AS reasons,
         doc_id % 4 <> 3 AS editable, 1::BIGINT AS pages, 1::BIGINT AS text_shows, 2::BIGINT AS streams, count(*) AS n FROM documents GROUP BY ALL""",
     "edit_fields": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'no_field' ELSE 'ok' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import capability, chain_names, decode, decoded, filter_chain, parameters
+from vellum.functions.content import Strings
 from vellum.sources.syntax import SPACE, items, reference, tokens, value
 
 _OBJECT = re.compile(rb"^(\d{1,9})[ \t\r\n\f\0]+(\d{1,5})[ \t\r\n\f\0]+obj\b", re.M)
@@ -53,9 +54,9 @@ def _extent(data: bytes, start: int, length: int | None) -> tuple[int, str | Non
 def _found(data: bytes) -> Iterator[dict]:
     """The objects that stand in the file itself, in its order."""
     numbers: dict[tuple[int, int], int] | None = None
-    at = 0
+    at, ends = 0, Strings(data)
     while m := _OBJECT.search(data, at):
-        entries, head_end, after, word = value(data, m.end())
+        entries, head_end, after, word = value(data, m.end(), ends)
         row = {"num": int(m[1]), "gen": int(m[2]), "offset": m.start(), "head": data[m.end() : head_end].strip(SPACE).decode("latin-1"), "entries": entries, "raw": None, "data_start": None, "container": None, "error": None}
         if word == b"stream" and row["head"].startswith("<<"):
             start = after + (2 if data[after : after + 2] == b"\r\n" else data[after : after + 1] in (b"\n", b"\r"))
@@ -71,7 +72,7 @@ def _found(data: bytes) -> Iterator[dict]:
             end = data.find(b"endobj", stop)
             row["error"] = row["error"] or ("no endobj" if end < 0 else None)
             at = end + 6 if end >= 0 else max(stop, m.end())
-        elif word.endswith(b"!"):
+        elif word.endswith(b"!") and word != b"obj!":
             row["error"], at = "a dictionary or array is not closed", after
         elif word == b"endobj":
             at = after
@@ -80,17 +81,24 @@ def _found(data: bytes) -> Iterator[dict]:
         yield row
 
 
+#: Keys whose values are arrays by the format; one that is a reference to an array stands for it.
+ARRAYS = ("Kids", "Fields", "Contents", "Annots", "Names", "Nums", "Opt", "Rect", "MediaBox", "CropBox", "XFA", "Widths", "DescendantFonts")
+
+
 def _resolved(rows: dict[tuple[int, int], dict]) -> None:
-    """Filters and their parameters that are references become what they refer to; a circle stays a reference."""
+    """Filters of streams and their parameters that are references become what they refer to, and so do references to arrays; a circle stays a reference."""
     for row in rows.values():
-        if row["raw"] is None:
-            continue
-        for key in ("Filter", "DecodeParms"):
+        for key in ARRAYS if row["raw"] is None else ("Filter", "DecodeParms", *ARRAYS):
             for _ in range(8):
                 target = rows.get(reference(row["entries"].get(key)))
-                if target is None:
+                if target is None or (key in ARRAYS and not target["head"].startswith("[")):
                     break
                 row["entries"] |= {key: target["head"]} | {f"{key}/{k}": v for k, v in target["entries"].items()}
+        # The form's own arrays stand one dictionary further down where the catalog holds the form itself.
+        for key in ("AcroForm/Fields", "AcroForm/XFA"):
+            target = rows.get(reference(row["entries"].get(key)))
+            if target is not None and target["head"].startswith("["):
+                row["entries"] |= {key: target["head"]} | {f"{key}/{k}": v for k, v in target["entries"].items()}
 
 
 def _members(row: dict) -> Iterator[dict]:
@@ -128,6 +136,12 @@ def trailer(data: bytes, rows: list[dict]) -> dict[str, str]:
 
 def document_objects(data: bytes, revisions: bool = False) -> list[dict]:
     """The objects in force: of a number that comes twice the later one, and one of the file before one in an object stream."""
+    every, force = revisions_and_objects(data)
+    return every if revisions else force
+
+
+def revisions_and_objects(data: bytes) -> tuple[list[dict], list[dict]]:
+    """All objects that the bytes hold, earlier revisions included, and those in force."""
     every = list(_found(data))
     force = {(r["num"], r["gen"]): r for r in every}
     _resolved(force)
@@ -135,6 +149,8 @@ def document_objects(data: bytes, revisions: bool = False) -> list[dict]:
         if row["raw"] is not None and row["entries"].get("Type") == "/ObjStm":
             for member in _members(row):
                 force.setdefault((member["num"], 0), member)
+    if any(r["container"] is not None for r in force.values()):
+        _resolved(force)
     last = trailer(data, every)
     if top := force.get(reference(last.get("Root"))):
         top["entries"] |= {"Root!": "true"} | {f"Trailer!{k}": last[k] for k in ("Info", "ID") if k in last}
@@ -143,7 +159,21 @@ def document_objects(data: bytes, revisions: bool = False) -> list[dict]:
             row["parms"], wrong = parameters(row["entries"], chain_names(row["entries"].get("Filter")))
             if wrong:
                 row["entries"]["DecodeParms!"] = wrong
-    return every if revisions else list(force.values())
+    return every, list(force.values())
+
+
+def stream_bytes(row: dict) -> tuple[bytes | None, str | None]:
+    """The decoded bytes of a stream's row, or what is wrong; neither of an object without a stream."""
+    if row["raw"] is None:
+        return None, None
+    if "DecodeParms!" in row["entries"]:
+        return None, row["entries"]["DecodeParms!"]
+    try:
+        return decode(row["raw"], chain_names(row["entries"].get("Filter")), row["parms"]), None
+    except KeyError as e:
+        return None, f"unsupported filter {e.args[0]}"
+    except (ValueError, zlib.error) as e:
+        return None, str(e)
 
 
 def _trailers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,14 +295,17 @@ MARKERS = {
 _WORDS = re.compile(rb"/(?:Encrypt|ByteRange|AcroForm|XFA|Annots?|Font|ToUnicode|CIDFontType[02])(?![A-Za-z0-9])|begincmap|beginbfchar|beginbfrange")
 
 
+def marked(data: bytes) -> dict[str, bool]:
+    """Which of MARKERS a document has, outside strings and comments; only one in which a word stands at all is taken to pieces for that."""
+    seen = {t.decode("latin-1") for t in _outside(data)} if _WORDS.search(data) else set()
+    return {k: not seen.isdisjoint(v) for k, v in MARKERS.items()}
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = []
         for data in batch.column("content").to_pylist():
-            data = data or b""
-            # Only a document in which a word stands at all is taken to pieces, to see that it stands outside strings and comments.
-            seen = {t.decode("latin-1") for t in _outside(data)} if _WORDS.search(data) else set()
-            sets.append({k: not seen.isdisjoint(v) for k, v in MARKERS.items()})
+            sets.append(marked(data or b""))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[k] for s in sets], pa.bool_()) for k in MARKERS)], ["doc_id", *MARKERS])
 
 
@@ -344,9 +377,10 @@ def xref_stream_rows(row: dict) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _references_of(data: bytes) -> tuple[list[tuple], dict]:
-    """The entries of tables and cross-reference streams, and what there is of them."""
-    every = list(_found(data)) if b"/XRef" in data or b"/ObjStm" in data else []
+def references_of(data: bytes, every: list[dict] | None = None) -> tuple[list[tuple], dict]:
+    """The entries of tables and cross-reference streams, and what there is of them; every: all objects, where they are known already."""
+    if every is None:
+        every = list(_found(data)) if b"/XRef" in data or b"/ObjStm" in data else []
     of_type = lambda t: [r for r in every if r["raw"] is not None and r["entries"].get("Type") == t]
     rows, error = list(_table_rows(data)), None
     tables = 1 + max((r[0] for r in rows), default=-1)
@@ -369,7 +403,7 @@ def _references_of(data: bytes) -> tuple[list[tuple], dict]:
 def _xref(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
-        rows = [(doc_id, *r) for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in _references_of(data or b"")[0]]
+        rows = [(doc_id, *r) for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in references_of(data or b"")[0]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i + 1] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "section", "num", "gen", "offset", "container", "index"])
 
 
@@ -381,7 +415,7 @@ def xref_entries(docs: DataFrame) -> DataFrame:
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"has_table": pa.bool_(), "has_stream": pa.bool_(), "has_hybrid": pa.bool_(), "has_object_stream": pa.bool_(), "table_offset": pa.int64(), "error": pa.string()}
     for batch in batches:
-        found = [_references_of(data or b"")[1] for data in batch.column("content").to_pylist()]
+        found = [references_of(data or b"")[1] for data in batch.column("content").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in kinds.items())], ["doc_id", *kinds])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from vellum.functions.content import decode_literal, literal_end
 
@@ -14,12 +14,15 @@ _REF = re.compile(r"(\d{1,10})\s+(\d{1,5})\s+R")
 LEVELS = 16
 
 
-def tokens(data: bytes, at: int = 0) -> Iterator[tuple[bytes, int, int]]:
-    """(token, start, end) without white space and comments; a string in parentheses is one token. They end where a string is not closed."""
+def tokens(data: bytes, at: int = 0, ends: Callable[[int], int] | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(token, start, end) without white space and comments; a string in parentheses is one token. They end where a string is not closed.
+
+    ends: what says where a string of these data ends.
+    """
     while m := _TOKEN.match(data, at):
         token, at = m[0], m.end()
         if token == b"(":
-            at = literal_end(data, m.start())
+            at = literal_end(data, m.start()) if ends is None else ends(m.start())
             if at < 0:
                 return
             yield data[m.start() : at], m.start(), at
@@ -45,8 +48,8 @@ def string_text(token: bytes) -> str | None:
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8", "replace")
 
 
-def value(data: bytes, at: int) -> tuple[dict[str, str], int, int, bytes]:
-    """The entries of the value at `at`, where it ends, and the word after it with its end: endobj, stream or nothing.
+def value(data: bytes, at: int, ends: Callable[[int], int] | None = None) -> tuple[dict[str, str], int, int, bytes]:
+    """The entries of the value at `at`, where it ends, and the word after it with its end: endobj, stream, obj (of the next one) or nothing; a `)` that closes nothing ends it too.
 
     Entries are raw text by path: `Type`, `Resources/Font/F1`, `DecodeParms/[1]/Columns`. A string has its text at the
     path and `=` too, an array its length at the path and `/#`. A key that comes again counts as it comes last.
@@ -63,12 +66,14 @@ def value(data: bytes, at: int) -> tuple[dict[str, str], int, int, bytes]:
             if raw[:1] in b"(<" and (text := string_text(raw)) is not None:
                 entries[path + "="] = text
 
-    for token, start, end in tokens(data, at):
+    for token, start, end in tokens(data, at, ends):
         top = levels[-1] if levels else None
-        if token in (b"endobj", b"stream"):
+        if token in (b"endobj", b"stream", b"obj"):
             for level in reversed(levels):
                 close(level, start)
             return entries, start, end, token if not levels else token + b"!"
+        if token == b")":
+            return entries, last, end, b")!"
         if token in (b"<<", b"["):
             path = "" if top is None else f"{top[0]}{top[1]}/" if top[4] < 0 else f"{top[0]}[{top[4]}]/"
             if top is not None:
