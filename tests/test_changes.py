@@ -5,7 +5,7 @@ from vellum.operators import changes
 from vellum.operators.graph import annotations, form_fields, pages
 from vellum.operators.nodes import text_rows
 from vellum.operators.xfa import dataset_fields
-from vellum.sources.scan import objects
+from vellum.sources.scan import document_objects, objects
 
 FORM = (
     b"<< /Type /Catalog /AcroForm << /Fields [2 0 R 3 0 R 4 0 R 5 0 R 6 0 R] >> >>", b"<< /T (text) /FT /Tx /V (old) >>", b"<< /T (one) /FT /Ch /Opt [[(x) (Ex)] (y)] >>", b"<< /T (many) /FT /Ch /Ff 2097152 /Opt [(a) (b) (c)] >>",
@@ -54,3 +54,39 @@ def test_data_is_set(spark):
     row = set_("f.b")
     assert row.status == "ok" and {r.path: r.value for r in dataset_fields(objects(one(spark, bytes(row.content)))).collect()} == {"f.a": "1", "f.b": "x & <y>"}
     assert set_("f").status == "no_field"
+
+
+WIDGET = b"<< /Parent 2 0 R /Subtype /Widget /AS /Off /AP << /N << /%s 9 0 R /Off 9 0 R >> >> >>"
+
+
+@pytest.mark.parametrize(("wishes", "statuses", "found"), [
+    ([("g", "b")], ["ok"], {3: "/Off", 4: "/b"}), ([("g", "Off")], ["ok"], {3: "/Off", 4: "/Off"}), ([("g", "c")], ["no_such_state"], None), ([("g", "true")], ["ambiguous_button_states"], None),
+    ([("g", "a"), ("g", "b")], ["conflicting_changes"] * 2, None), ([("t", "x"), ("p.k", "y")], ["ok", "ok"], {5: "(x)", 6: "(x)", 7: "(y)", 8: "(y)"}), ([("p.k", "y"), ("p", "z")], ["conflicting_changes", "conflicting_changes"], None),
+])
+def test_kids_and_parents_follow_and_conflicts_are_refused(spark, wishes, statuses, found):
+    body = [
+        b"<< /Type /Catalog /AcroForm << /Fields [2 0 R 5 0 R 7 0 R] >> >>", b"<< /T (g) /FT /Btn /Ff 32768 /V /a /Kids [3 0 R 4 0 R] >>", WIDGET % b"a", WIDGET % b"b",
+        b"<< /T (t) /FT /Tx /Kids [6 0 R] >>", b"<< /Parent 5 0 R /Subtype /Widget >>", b"<< /T (p) /FT /Tx /Kids [8 0 R] >>", b"<< /T (k) /Parent 7 0 R /FT /Tx /Subtype /Widget >>", stream(b""),
+    ]
+    wanted = spark.createDataFrame([("d", *w) for w in wishes], "doc_id string, name string, value string")
+    got = sorted((r.name, r.status, r.content) for r in changes.set_fields(made(spark, *body), wanted).collect())
+    if wishes[-1] == ("p", "z"):  # the parent's name has a kid of another name
+        assert got[0][1] == "other_kid_name" and got[1][1] == "ok"
+        return
+    assert [g[1] for g in got] == sorted(statuses) and all((g[2] is None) == (found is None) for g in got)
+    if found:
+        rows = {r["num"]: r["entries"] for r in document_objects(bytes(got[0][2]))}
+        assert {n: rows[n].get("AS") or rows[n].get("V") for n in found} == found
+        assert rows[1]["AcroForm/NeedAppearances"] == "true"
+
+
+def test_multiple_choices_are_compared_with_what_was_written(spark):
+    body = [b"<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>", b"<< /T (m) /FT /Ch /Ff 2097152 /Opt [[(1) (one)] [(2) (two)] (3)] >>"]
+    wanted = spark.createDataFrame([("d", "m", '["3", "one"]')], "doc_id string, name string, value string")
+    row = changes.set_fields(made(spark, *body), wanted).first()
+    entries = document_objects(bytes(row.content))[1]["entries"]
+    assert (row.status, entries["V"], entries["I"]) == ("ok", "[(1) (3)]", "[0 2]")
+
+
+def test_values_within_quoted_attributes_do_not_end_tags():
+    assert changes._with_value(b"<a><b q='x>y' r=\">\">old</b></a>", "a.b", "n<w") == b"<a><b q='x>y' r=\">\">n&lt;w</b></a>"

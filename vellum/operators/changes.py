@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.parsers.expat
 from xml.sax.saxutils import escape
 
@@ -15,7 +16,7 @@ from vellum.operators.rewrite import change, reachable, rewrite
 from vellum.operators.xfa import dataset_fields, packets, semantics
 from vellum.plans.staging import stage
 from vellum.sources.mint import raw_literal
-from vellum.sources.scan import entry, objects, streams
+from vellum.sources.scan import entry, objects, ref_numbers, streams
 
 
 def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,16 +27,63 @@ def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[
     return got.select("doc_id", *keys, status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
 
 
+def _fanned(plans: DataFrame, objs: DataFrame) -> DataFrame:
+    """wish, doc_id, num, sets, error: what accepted plans change in the kids of a field and in a parent that has it alone.
+
+    Text and choices are set in kids that are unnamed widgets or have the field's own name; of radio buttons the kid
+    with the state asked for is on and the others off.
+    """
+    own = objs.select("doc_id", F.col("num").alias("kid"), F.col("entries").alias("k"), F.lit(True).alias("here"))
+    kids = plans.where("status = 'ok'").select("wish", "doc_id", "num", "name", "local", "type", "asked", "raw", F.explode("kids").alias("kid")).join(own, ["doc_id", "kid"], "left")
+    on = F.array_distinct(F.transform(F.filter(F.map_keys("k"), lambda x: x.rlike(r"^AP/N/[^/=#!]+$")), lambda x: F.substring(x, F.lit(6), F.length(x))))
+    kids = kids.withColumn("on", F.array_remove(on, "Off"))
+    label = F.col("k")["T="]
+    button = F.col("type") == "Btn"
+    off = F.col("asked").isin("Off", "false")
+    error = (
+        F.when(F.col("here").isNull(), "unresolved_kid")
+        .when(button & (F.size("on") != 1), "ambiguous_button_states")
+        .when(button & F.col("asked").isin("", "true", "On"), "ambiguous_button_states")
+        .when(~button & F.col("k")["Kids"].isNotNull(), "kids_of_kids")
+        .when(~button & label.isNull() & ~(F.col("k")["Subtype"].eqNullSafe(F.lit("/Widget"))), "unnamed_kid_is_no_widget")
+        .when(~button & label.isNotNull() & ~label.isin(F.col("local"), F.col("name")), "other_kid_name")
+    )
+    hit = F.count(F.when(button & (F.get("on", F.lit(0)) == F.col("asked")), 1)).over(Window.partitionBy("wish"))
+    kids = kids.withColumn("hit", hit).withColumn("error", F.when(button & ~off & error.isNull() & (F.col("hit") != 1), F.when(F.col("hit") == 0, "no_such_state").otherwise("duplicate_button_state")).otherwise(error))
+    state = F.when(~off & (F.get("on", F.lit(0)) == F.col("asked")), F.concat(F.lit("/"), "asked")).otherwise("/Off")
+    sets = F.when(button, F.create_map(F.lit("AS"), state)).otherwise(F.create_map(F.lit("V"), F.col("raw")))
+    out = kids.select("wish", "doc_id", F.col("kid").alias("num"), sets.alias("sets"), "error")
+    above = plans.where("status = 'ok' and type != 'Btn' and size(kids) = 0 and parent is not null").select("wish", "doc_id", "num", "raw", F.col("parent").alias("kid")).join(own, ["doc_id", "kid"])
+    alone = above.where((F.size(ref_numbers(F.col("k")["Kids"])) == 1) & (ref_numbers(F.col("k")["Kids"])[0] == F.col("num")) & F.col("k")["FT"].isNotNull())
+    return out.unionByName(alone.select("wish", "doc_id", F.col("kid").alias("num"), F.create_map(F.lit("V"), F.col("raw")).alias("sets"), F.lit(None).cast("string").alias("error")))
+
+
+def _needed(objs: DataFrame) -> DataFrame:
+    """doc_id, need: whether viewers are told to draw the fields anew."""
+    return objs.groupBy("doc_id").agg(F.max(F.coalesce(entry("AcroForm/NeedAppearances"), entry("NeedAppearances")) == "true").alias("need"))
+
+
+def redrawn(objs: DataFrame, of: DataFrame) -> DataFrame:
+    """The changes that tell viewers of documents of(doc_id) to draw their fields anew."""
+    top = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog")).join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    ref = F.nullif(F.regexp_extract(entry("AcroForm"), r"^(\d{1,9})\s+\d+\s+R$", 1), F.lit("")).cast("int")
+    direct = F.when(entry("AcroForm/NeedAppearances").isNull(), F.regexp_replace(entry("AcroForm"), r">>$", " /NeedAppearances true >>")).otherwise(F.regexp_replace(entry("AcroForm"), r"/NeedAppearances\s+\w+", "/NeedAppearances true"))
+    return top.select(*change(F.col("doc_id"), F.coalesce(ref, F.col("num")), F.when(ref.isNull(), F.create_map(F.lit("AcroForm"), direct)).otherwise(F.create_map(F.lit("NeedAppearances"), F.lit("true")))))
+
+
 def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, name, status, content: one field of each document set: wanted(doc_id, name, value), name whole.
+    """doc_id, name, status, content: fields of documents set: wanted(doc_id, name, value), name whole.
 
     Text is set as it is. A choice takes an option's export or display text that is the only one of its kind, or any
     text where it can be edited; several, where it allows that, as a JSON array. A button takes the name of one of its
-    states. Viewers are told to draw the fields anew.
+    states, or Off. Kids, and a parent of one kid, follow (see _fanned()). Wishes that would change one object twice are
+    all refused before anything is written: conflicting_changes. Viewers are told to draw the fields anew; that, the
+    values, and all exports and indexes of a multiple choice must be found in what was written.
     """
     objs = stage(objects(docs))
     fields = form_fields(objs)
     fields = fields.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "name")))
+    fields = fields.join(objs.select("doc_id", "num", "entries"), ["doc_id", "num"]).withColumns({"kids": ref_numbers(entry("Kids")), "parent": F.get(ref_numbers(entry("Parent")), F.lit(0)), "local": F.col("entries")["T="]})
     rows = wanted.select("doc_id", "name", F.col("value").alias("asked")).join(fields, ["doc_id", "name"], "left")
     multi, editable = (F.col("type") == "Ch") & bit(F.col("flags"), 22), bit(F.col("flags"), 19)
     listed = F.when(multi, F.from_json("asked", "array<string>")).otherwise(F.array("asked"))
@@ -44,6 +92,7 @@ def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = F.transform("listed", matches)
     rows = rows.withColumn("picked", F.when(F.col("type") == "Ch", F.array_sort(F.flatten(F.transform(found, lambda m: F.when(F.size(m) == 1, m).otherwise(F.array().cast("array<struct<i:int,export:string>>")))))))
     whole = F.size("picked") == F.size("listed")
+    off = F.col("asked").isin("Off", "false")
     status = (
         F.when(F.col("num").isNull(), "no_field")
         .when(F.col("same") > 1, "ambiguous_field")
@@ -51,30 +100,38 @@ def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .when(multi & F.col("listed").isNull(), "not_a_list")
         .when(multi & (F.size(F.array_distinct("listed")) < F.size("listed")), "value_twice")
         .when((F.col("type") == "Ch") & ~whole & ~(editable & ~multi), "no_such_option")
-        .when((F.col("type") == "Btn") & ~F.array_contains("button_states", F.col("asked")), "no_such_state")
+        .when((F.col("type") == "Btn") & (F.size("kids") == 0) & ~off & ~F.array_contains("button_states", F.col("asked")), "no_such_state")
         .otherwise("ok")
     )
     export = F.when(whole, F.get("picked", F.lit(0))["export"]).otherwise(F.col("asked"))
+    state = F.when(off, F.lit("Off")).otherwise(F.col("asked"))
     raw = (
         F.when(multi, F.concat(F.lit("["), F.array_join(F.transform("picked", lambda p: raw_literal(p["export"])), " "), F.lit("]")))
         .when(F.col("type") == "Ch", raw_literal(export))
-        .when(F.col("type") == "Btn", F.concat(F.lit("/"), "asked"))
+        .when(F.col("type") == "Btn", F.concat(F.lit("/"), state))
         .otherwise(raw_literal(F.col("asked")))
     )
-    expected = F.when(multi, F.lit(None)).when(F.col("type") == "Ch", export).otherwise(F.col("asked"))
-    plans = stage(rows.select("doc_id", "name", "num", "type", multi.alias("multi"), raw.alias("raw"), F.transform("picked", lambda p: p["i"]).alias("indexes"), status.alias("status"), expected.alias("expected")))
-    good = plans.where("status = 'ok'")
+    several = F.to_json(F.struct(F.transform("picked", lambda p: p["export"]).alias("values"), F.transform("picked", lambda p: p["i"]).alias("indexes")))
+    expected = F.when(multi, several).when(F.col("type") == "Ch", export).when(F.col("type") == "Btn", state).otherwise(F.col("asked"))
+    columns = ("doc_id", "name", "num", "type", "asked", "kids", "parent", "local")
+    plans = stage(rows.select(F.monotonically_increasing_id().alias("wish"), *columns, multi.alias("multi"), raw.alias("raw"), F.transform("picked", lambda p: p["i"]).alias("indexes"), status.alias("status"), expected.alias("expected")))
     sets = F.map_concat(
         F.create_map(F.lit("V"), F.col("raw")),
-        F.when(F.col("type") == "Btn", F.create_map(F.lit("AS"), F.col("raw"))).when(F.col("multi"), F.create_map(F.lit("I"), F.concat(F.lit("["), F.array_join(F.transform("indexes", lambda i: i.cast("string")), " "), F.lit("]")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
+        F.when((F.col("type") == "Btn") & (F.size("kids") == 0), F.create_map(F.lit("AS"), F.col("raw"))).when(F.col("multi"), F.create_map(F.lit("I"), F.concat(F.lit("["), F.array_join(F.transform("indexes", lambda i: i.cast("string")), " "), F.lit("]")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
     )
-    own = good.select(*change(F.col("doc_id"), F.col("num"), sets))
-    top = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog")).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    ref = F.nullif(F.regexp_extract(entry("AcroForm"), r"^(\d{1,9})\s+\d+\s+R$", 1), F.lit("")).cast("int")
-    direct = F.when(entry("AcroForm/NeedAppearances").isNull(), F.regexp_replace(entry("AcroForm"), r">>$", " /NeedAppearances true >>")).otherwise(F.regexp_replace(entry("AcroForm"), r"/NeedAppearances\s+\w+", "/NeedAppearances true"))
-    forms = top.select(*change(F.col("doc_id"), F.coalesce(ref, F.col("num")), F.when(ref.isNull(), F.create_map(F.lit("AcroForm"), direct)).otherwise(F.create_map(F.lit("NeedAppearances"), F.lit("true")))))
-    written = stage(rewrite(objs, own.unionByName(forms)))
-    after = form_fields(written).select("doc_id", "name", F.col("value").alias("found"))
+    fanned = stage(_fanned(plans, objs))
+    broken = fanned.groupBy("wish").agg(F.min("error").alias("kid_error"))
+    plans = stage(plans.join(broken, "wish", "left").withColumn("status", F.when(F.col("status") == "ok", F.coalesce("kid_error", "status")).otherwise(F.col("status"))).drop("kid_error"))
+    good = plans.where("status = 'ok'")
+    every = good.select("wish", "doc_id", "num", sets.alias("sets")).unionByName(fanned.join(good.select("wish"), "wish", "left_semi").drop("error"))
+    every = stage(every.withColumn("wishes", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "num"))))
+    clash = every.where("wishes > 1").select("wish").distinct().withColumn("clash", F.lit(True))
+    plans = stage(plans.join(clash, "wish", "left").withColumn("status", F.when(F.col("clash"), "conflicting_changes").otherwise(F.col("status"))).drop("clash"))
+    good = plans.where("status = 'ok'")
+    own = every.join(good.select("wish"), "wish", "left_semi").select(*change(F.col("doc_id"), F.col("num"), F.col("sets")))
+    written = stage(rewrite(objs, own.unionByName(redrawn(objs, good))))
+    again = F.when(F.col("values").isNotNull(), F.to_json(F.struct("values", F.coalesce("indexes", F.array().cast("array<int>")).alias("indexes")))).otherwise(F.col("value"))
+    after = form_fields(written).select("doc_id", "name", again.alias("found")).join(_needed(objects(written)), "doc_id").select("doc_id", "name", F.when(F.col("need"), F.col("found")).alias("found"))
     return verified(plans.select("doc_id", "name", "expected", "status"), written, after, ["name"])
 
 
@@ -124,6 +181,10 @@ def transform_pages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
 
 
+#: A tag to its end; a quoted value may hold what ends one elsewhere.
+_TAG = re.compile(rb"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+
+
 def _with_value(data: bytes, path: str, new: str) -> bytes | None:
     """XML with the text of the leaf at a path of data replaced; None unless there is exactly one."""
     stack: list[list] = []
@@ -135,7 +196,7 @@ def _with_value(data: bytes, path: str, new: str) -> bytes | None:
         up = stack[-1] if stack else ["", [], False, 0]
         up[2] = True
         own = up[1] if local == "datasets" or (local == "data" and up[0] == "datasets") else [*up[1], local]
-        stack.append([local, own, False, data.index(b">", parser.CurrentByteIndex) + 1])
+        stack.append([local, own, False, _TAG.match(data, parser.CurrentByteIndex).end()])
 
     def end(_):
         _, own, inner, start = stack.pop()

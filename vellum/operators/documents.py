@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from vellum.operators.graph import form_fields, name_entries, outlines, page_labels, pages
 from vellum.plans.staging import stage
 from vellum.sources.mint import document, obj, raw_literal
-from vellum.sources.scan import entry, name, refs
-from vellum.sources.syntax import rebuilt, renumbered
+from vellum.sources.scan import document_objects, entry, name, refs
+from vellum.sources.syntax import items, rebuilt, reference, renumbered
+from vellum.sources.write import canonical
 
 #: What a merged catalog takes from the first document.
 FIRST = ("Metadata", "OpenAction", "ViewerPreferences", "PageMode", "PageLayout", "Lang", "MarkInfo")
@@ -123,7 +124,43 @@ def compose(objs: DataFrame, placed: DataFrame) -> DataFrame:
     pages_node = F.concat(F.lit("<< /Type /Pages /Kids ["), F.array_join("kids", " "), F.lit("] /Count "), F.size("kids").cast("string"), F.lit(" >>"))
     whole = objects.join(kids, "merged").join(catalog, "merged", "left")
     first = F.concat(F.lit("<< /Type /Catalog /Pages 2 0 R "), F.coalesce("extra", F.lit("")), F.lit(">>"))
-    return whole.select(F.col("merged").alias("doc_id"), document(F.concat(F.array(obj(1, F.encode(first, "ISO-8859-1")), obj(2, pages_node)), "objects")).alias("content"))
+    return dense(whole.select(F.col("merged").alias("doc_id"), document(F.concat(F.array(obj(1, F.encode(first, "ISO-8859-1")), obj(2, pages_node)), "objects")).alias("content")))
+
+
+def visited(rows: dict[int, dict], starts: list[int]) -> dict[int, int]:
+    """Numbers from 1 in the order in which a walk along the references first comes to an object: depth first, references of a value in their order."""
+    new: dict[int, int] = {}
+    stack = list(reversed(starts))
+    while stack:
+        num = stack.pop()
+        if num in new or num not in rows:
+            continue
+        new[num] = len(new) + 1
+        stack += [int(x) for kind, x in reversed(items(rows[num]["head"])) if kind == "ref"]
+    return new
+
+
+def _densely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for data in batch.column("content").to_pylist():
+            rows = {r["num"]: r for r in document_objects(data or b"")}
+            tops = {n: r["entries"] for n, r in rows.items() if "Root!" in r["entries"]}
+            named = {k: own[f"Trailer!{k}"] for own in tops.values() for k in ("Info", "ID") if f"Trailer!{k}" in own}
+            new = visited(rows, [*tops, *[ref[0] for v in named.values() if (ref := reference(v))]])
+            moved = {n: new.get(n) for n in rows} | {int(x): None for r in rows.values() for kind, x in items(r["head"]) if kind == "ref" and int(x) not in rows}
+            body = lambda r: renumbered(r["head"] or "null", moved, 0).encode("latin-1") + (b"" if r["raw"] is None else b"\nstream\n" + r["raw"] + b"\nendstream")
+            extra = " ".join(f"/{k} {renumbered(v, moved, 0)}" for k, v in named.items())
+            out.append(canonical([(k, 0, body(rows[n])) for n, k in new.items()], f"/Root {new[next(iter(tops))]} 0 R {extra}") if tops else data)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+
+def dense(docs: DataFrame) -> DataFrame:
+    """doc_id, content: documents whose objects are numbered from 1 without gaps, in the order of the first visit from the root on, then from /Info.
+
+    What nothing leads to goes, and references to what is not there become null. A document without a root stays as it is.
+    """
+    return docs.select("doc_id", "content").mapInArrow(_densely, "doc_id string, content binary")
 
 
 def _moved(raw: Column, delta: Column, moved: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.fonts import operand, proof
 from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
+from vellum.operators.reports import structure
 from vellum.operators.rewrite import change, reachable, rewrite
+from vellum.operators.security import check
+from vellum.operators.splices import splice, text_splices
 from vellum.plans.staging import stage
 from vellum.sources.scan import name, objects, streams
 
@@ -64,13 +69,33 @@ def plan(docs: DataFrame, old: str, new: str, selector: Selector | None = None,
     return got.select("doc_id", status.alias("status"), "matches", "num", "seq", "start", "end", F.col("r.operand").alias("operand"), F.col("r.proof").alias("proof"), F.lit(old).alias("old"), F.lit(new).alias("new"))
 
 
-def apply(objs: DataFrame, plans: DataFrame) -> DataFrame:
-    """doc_id, content, error: the documents of accepted plans, written anew with the operand of the text-show replaced."""
+def apply(objs: DataFrame, plans: DataFrame, pack: bool = False) -> DataFrame:
+    """doc_id, content, error: the documents of accepted plans, written anew with the operand of the text-show replaced; pack: in object streams."""
     good = plans.where("status = 'ok'").select("doc_id", "num", "start", "end", "operand")
     target = streams(objs).join(good, ["doc_id", "num"])
     at = lambda a, b: F.substring(F.col("data"), a, b)
     data = F.concat(at(F.lit(1), F.col("start").cast("int")), F.col("operand"), at((F.col("end") + 1).cast("int"), F.octet_length("data")))
-    return rewrite(objs, target.select(*change(F.col("doc_id"), F.col("num"), data=data)))
+    return rewrite(objs, target.select(*change(F.col("doc_id"), F.col("num"), data=data)), pack=pack)
+
+
+def _canonical(docs: DataFrame, objs: DataFrame, plans: DataFrame) -> DataFrame:
+    return apply(objs, plans)
+
+
+def _surgical(docs: DataFrame, objs: DataFrame, plans: DataFrame) -> DataFrame:
+    return splice(docs, text_splices(plans, docs))
+
+
+def _preserving(docs: DataFrame, objs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Documents whose objects stand in streams are packed again; a table and a stream side by side are refused."""
+    plans = plans.join(structure(docs, objs).select("doc_id", "writer"), "doc_id")
+    of = lambda w: plans.where(F.col("writer") == w)
+    refused = of("hybrid_xref_stream").where("status = 'ok'").select("doc_id", F.lit(None).cast("binary").alias("content"), F.lit("hybrid cross references can't be kept").alias("error"))
+    return apply(objs, of("canonical")).unionByName(apply(objs, of("xref_stream"), pack=True)).unionByName(refused)
+
+
+#: How accepted plans are written, by the name of the mode.
+WRITERS = {"canonical": _canonical, "surgical": _surgical, "preserve-structure": _preserving}
 
 
 def counts(docs: DataFrame, old: str, new: str) -> DataFrame:
@@ -78,18 +103,18 @@ def counts(docs: DataFrame, old: str, new: str) -> DataFrame:
     return text_rows(docs).groupBy("doc_id").agg(F.count(F.when(F.col("text") == old, 1)).alias("n_old"), F.count(F.when(F.col("text") == new, 1)).alias("n_new"))
 
 
-def edit(docs: DataFrame, old: str, new: str, selector: Selector | None = None, layout: str = LAYOUTS[0], verify: tuple[str, ...] = tuple(INVARIANTS)) -> DataFrame:
+def edit(docs: DataFrame, old: str, new: str, selector: Selector | None = None, layout: str = LAYOUTS[0], verify: tuple[str, ...] = tuple(INVARIANTS), mode: str = "canonical") -> DataFrame:
     """doc_id, status, content, and the checks of each document's edit.
 
     status is ok, what plan() says, or verification_failed; content is null unless it is ok. The checks read the
     written bytes again, from the cross references on: no old text is left, the new one is there, and the pages are as
-    many as before. verify: which of the checks must hold.
+    many as before. verify: which of the checks must hold; mode: one of WRITERS. What a writer refuses is refused, with its reason as the status.
     """
     if unknown := [v for v in verify if v not in INVARIANTS]:
         raise ValueError(f"unknown invariants {unknown}")
     objs = stage(objects(docs))
     plans = stage(plan(docs, old, new, selector, layout))
-    written = stage(apply(objs, plans))
+    written = stage(WRITERS[mode](docs, objs, plans))
     pages = lambda o, out: o.groupBy("doc_id").agg(F.count(F.when(name("Type") == "Page", 1)).alias(out))
     after = counts(written, old, new).select("doc_id", F.col("n_old").alias("old_after"), F.col("n_new").alias("new_after"))
     got = plans.join(pages(objs, "pages"), "doc_id", "left").join(pages(objects(written), "pages_after"), "doc_id", "left").join(after, "doc_id", "left").join(written, "doc_id", "left").join(reachable(written), "doc_id", "left")
@@ -105,5 +130,44 @@ def edit(docs: DataFrame, old: str, new: str, selector: Selector | None = None,
     fine = F.lit(True)
     for v in verify:
         fine = fine & F.col(INVARIANTS[v])
-    status = F.when((F.col("status") == "ok") & ~fine, "verification_failed").otherwise(F.col("status"))
+    refused = F.when(F.col("error").isNotNull() & (F.lit(mode) != "canonical"), F.col("error")).otherwise("verification_failed")
+    status = F.when((F.col("status") == "ok") & ~fine, refused).otherwise(F.col("status"))
     return got.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"), *checks, "proof")
+
+
+MODES, SIGNATURES = ("auto", *WRITERS), ("refuse", "invalidate", "preserve-incremental")
+
+
+def route(mode: Column, signature: Column, password: Column, refusal: Column) -> Column:
+    """The writer of an edit, or why there is none, by what is asked for and what stands against it (a refusal of security.check()).
+
+    An empty mode is auto, which is canonical. Keeping signatures and undoing encryption are left out.
+    """
+    mode, signature, password = (F.coalesce(c, F.lit("")) for c in (mode, signature, password))
+    mode = F.when(mode == "", "auto").otherwise(mode)
+    plain = mode.isin("auto", "canonical")
+    return (
+        F.when(~mode.isin(*MODES), "unsupported_mode")
+        .when(~signature.isin("", *SIGNATURES), "unsupported_signature_mode")
+        .when((signature == "preserve-incremental") & ~plain, "signature_mode_requires_canonical")
+        .when(signature == "preserve-incremental", "incremental_not_supported")
+        .when((mode == "preserve-structure") & ((password != "") | (signature == "invalidate")), "preserve_structure_takes_no_options")
+        .when((mode == "surgical") & ((password != "") | (signature != "")), "surgical_takes_no_options")
+        .when((refusal == "password_required") & (password != ""), "decryption_not_supported")
+        .when((refusal == "signed") & (signature == "invalidate"), "canonical")
+        .when(refusal.isNotNull(), refusal)
+        .when(plain, "canonical")
+        .otherwise(mode)
+    )
+
+
+def edit_as_asked(docs: DataFrame, old: str, new: str, selector: Selector | None = None, layout: str = LAYOUTS[0]) -> DataFrame:
+    """doc_id, route, status, content: edit() of docs(doc_id, content, mode, signature, password), each by the writer that route() names.
+
+    Rows are split by their route and united again; what has none keeps the reason as its status.
+    """
+    docs = stage(docs.join(check(docs), "doc_id").withColumn("route", route(F.col("mode"), F.col("signature"), F.col("password"), F.col("refusal"))).select("doc_id", "content", "route"))
+    parts = [docs.where(~F.col("route").isin(*WRITERS)).select("doc_id", "route", F.col("route").alias("status"), F.lit(None).cast("binary").alias("content"))]
+    for mode in WRITERS:
+        parts.append(edit(docs.where(F.col("route") == mode).drop("route"), old, new, selector, layout, mode=mode).select("doc_id", F.lit(mode).alias("route"), "status", "content"))
+    return reduce(DataFrame.unionByName, parts)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellum.sources.scan import document_objects, entry, name, number, ref_numbers, text
+from vellum.sources.scan import array_items, document_objects, entry, name, number, ref_numbers, text
 from vellum.sources.syntax import items, reference, string_text
 
 #: What a page takes from the nodes above it where it has none of its own.
@@ -344,6 +344,8 @@ def described(found: DataFrame) -> DataFrame:
         flag_names(F.col("flags"), COMMON_FLAGS).alias("flag_names"), typed.alias("type_flag_names"), "kid_count", "options", "button_states",
         F.col("_a.status").alias("appearance_status"), F.col("_a.blockers").alias("appearance_blockers"), F.col("_f.status").alias("fill_status"), F.col("_f.blockers").alias("fill_blockers"),
         ((F.col("_f.status") == "supported") & ~bit(F.col("flags"), 1)).alias("fillable"),
+        F.when(F.coalesce(entry("V"), F.lit("")).startswith("["), F.transform(F.filter(array_items(F.coalesce(entry("V"), F.lit(""))), lambda x: x["kind"] == "text"), lambda x: x["value"])).alias("values"),
+        F.transform(F.regexp_extract_all(entry("I"), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("indexes"),
     )
 
 

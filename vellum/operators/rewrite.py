@@ -24,7 +24,9 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, errors = [], []
         for head, entries, raw, parms, sets, data in zip(*(batch.column(c).to_pylist() for c in ("head", "entries", "raw", "parms", "sets", "data")), strict=True):
             entries, changes, error = dict(entries or ()), dict(sets or ()), None
-            if data is not None and raw is not None:
+            if data is not None and raw is not None and changes.pop("Raw!", None):
+                raw = data
+            elif data is not None and raw is not None:
                 try:
                     raw = encode(data, chain_names(changes.get("Filter", entries.get("Filter"))), [dict(p) for p in parms] if parms and "Filter" not in changes else None)
                 except (KeyError, ValueError) as e:
@@ -41,8 +43,8 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rewrite(objs: DataFrame, changes: DataFrame, every: bool = False, pack: bool = False) -> DataFrame:
     """doc_id, content, error: the documents that changes(doc_id, num, sets, data) has rows for, or every one, written anew.
 
-    sets: raw values by key, null to take a key away; data: a stream's new content, encoded as its filters say. At most
-    one change an object. Objects of object streams stand for themselves afterwards, unless packed again; the root,
+    sets: raw values by key, null to take a key away; data: a stream's new content, encoded as its filters say, or as it is
+    where sets has `Raw!`. At most one change an object. Objects of object streams stand for themselves afterwards, unless packed again; the root,
     /Info and /ID of the trailer stay.
     """
     kept = objs.where(~((name("Type").isin("ObjStm", "XRef")) & F.col("raw").isNotNull()))

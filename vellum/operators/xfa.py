@@ -113,6 +113,11 @@ def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
+def packet_bytes(docs: DataFrame) -> DataFrame:
+    """doc_id, packet, label, num, decode_error, size, data of the packets of docs(doc_id, content)."""
+    return docs.select("doc_id", "content").mapInArrow(_of_documents, "doc_id string, packet int, label string, num int, decode_error string, size long, data binary")
+
+
 def packets(objs: DataFrame) -> DataFrame:
     """doc_id, packet (its place), label, kind, num, size, decode_error and what is in it: root, error, unsafe, fields, template, markers.
 

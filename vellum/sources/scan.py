@@ -324,19 +324,19 @@ def markers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "content").mapInArrow(_marked, "doc_id string, " + ", ".join(f"{k} boolean" for k in MARKERS))
 
 
-_TABLE = re.compile(rb"(?:^|[\r\n])xref[ \t]*[\r\n]+")
-_RUN = re.compile(rb"[\r\n ]*(\d{1,9})[ \t]+(\d{1,9})[ \t]*[\r\n]+")
-_LINE = re.compile(rb"[\r\n ]*(\d{10}) (\d{5}) ([nf])")
+TABLE_START = re.compile(rb"(?:^|[\r\n])xref[ \t]*[\r\n]+")
+TABLE_RUN = re.compile(rb"[\r\n ]*(\d{1,9})[ \t]+(\d{1,9})[ \t]*[\r\n]+")
+TABLE_LINE = re.compile(rb"[\r\n ]*(\d{10}) (\d{5}) ([nf])")
 
 
 def _table_rows(data: bytes) -> Iterator[tuple]:
     """(section, num, gen, offset, container, index) of the entries in use of all tables; section 0 is the first in the file."""
-    for section, m in enumerate(_TABLE.finditer(data)):
+    for section, m in enumerate(TABLE_START.finditer(data)):
         at = m.end()
-        while run := _RUN.match(data, at):
+        while run := TABLE_RUN.match(data, at):
             at = run.end()
             for i in range(int(run[2])):
-                line = _LINE.match(data, at)
+                line = TABLE_LINE.match(data, at)
                 if not line:
                     break
                 at = line.end()
@@ -395,7 +395,7 @@ def references_of(data: bytes, every: list[dict] | None = None) -> tuple[list[tu
     hybrid = trailer(data, []).get("XRefStm") if b"trailer" in data else None
     if hybrid is not None and not (hybrid.isdigit() and int(hybrid) in {r["offset"] for r in streams_}):
         error = error or "/XRefStm is not the place of a cross-reference stream"
-    last = [m.end() for m in _TABLE.finditer(data)]
+    last = [m.end() for m in TABLE_START.finditer(data)]
     offset = data.rfind(b"xref", 0, last[-1]) if last else None
     return rows, {"has_table": bool(last), "has_stream": bool(streams_), "has_hybrid": hybrid is not None, "has_object_stream": bool(of_type("/ObjStm")), "table_offset": offset, "error": error}
 
