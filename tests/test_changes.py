@@ -1,4 +1,3 @@
-import pytest
 from test_documents import made, one, stream, xml_form  # noqa: F401
 
 from vellum.operators import changes
@@ -13,20 +12,22 @@ FORM = (
 )
 
 
-@pytest.mark.parametrize(
-    "name, value, status, found",
-    [("text", "new (1) - é", "ok", "new (1) - é"), ("one", "Ex", "ok", "x"), ("one", "z", "no_such_option", None), ("many", '["c", "a"]', "ok", None), ("many", '["a", "a"]', "value_twice", None), ("box", "On", "ok", "On"), ("box", "Up", "no_such_state", None), ("rich", "x", "not_fillable", None), ("none", "x", "no_field", None)],
-)
-def test_fields_are_set(spark, name, value, status, found):
-    row = changes.set_fields(made(spark, *FORM), spark.createDataFrame([("d", name, value)], "doc_id string, name string, value string")).first()
-    assert row.status == status
-    if status == "ok":
-        objs = objects(one(spark, bytes(row.content)))
-        assert {r.name: r.value for r in form_fields(objs).collect()}[name] == found
-        entries = {r.num: r.entries for r in objs.collect()}
-        assert entries[1]["AcroForm/NeedAppearances"] == "true"
-        if name == "many":
-            assert entries[4]["I"] == "[0 2]" and entries[4]["V"] == "[(a) (c)]"
+def test_fields_are_set(spark):
+    cases = [("text", "new (1) - é", "ok", "new (1) - é"), ("one", "Ex", "ok", "x"), ("one", "z", "no_such_option", None), ("many", '["c", "a"]', "ok", None), ("many", '["a", "a"]', "value_twice", None), ("box", "On", "ok", "On"), ("box", "Up", "no_such_state", None), ("rich", "x", "not_fillable", None), ("none", "x", "no_field", None)]
+    content = made(spark, *FORM).first().content
+    docs = spark.createDataFrame([(str(i), content) for i in range(len(cases))], "doc_id string, content binary")
+    got = changes.set_fields(docs, spark.createDataFrame([(str(i), n, v) for i, (n, v, *_) in enumerate(cases)], "doc_id string, name string, value string")).collect()
+    written = spark.createDataFrame([(r.doc_id, r.content) for r in got if r.content is not None], "doc_id string, content binary")
+    values = {(r.doc_id, r.name): r.value for r in form_fields(written).collect()}
+    for row in got:
+        name, _, status, found = cases[int(row.doc_id)]
+        assert (row.name, row.status) == (name, status)
+        if status == "ok":
+            assert values[row.doc_id, name] == found
+            entries = {r["num"]: r["entries"] for r in document_objects(bytes(row.content))}
+            assert entries[1]["AcroForm/NeedAppearances"] == "true"
+            if name == "many":
+                assert entries[4]["I"] == "[0 2]" and entries[4]["V"] == "[(a) (c)]"
 
 
 def test_notes_are_set(spark):
@@ -59,25 +60,24 @@ def test_data_is_set(spark):
 WIDGET = b"<< /Parent 2 0 R /Subtype /Widget /AS /Off /AP << /N << /%s 9 0 R /Off 9 0 R >> >> >>"
 
 
-@pytest.mark.parametrize(("wishes", "statuses", "found"), [
-    ([("g", "b")], ["ok"], {3: "/Off", 4: "/b"}), ([("g", "Off")], ["ok"], {3: "/Off", 4: "/Off"}), ([("g", "c")], ["no_such_state"], None), ([("g", "true")], ["ambiguous_button_states"], None),
-    ([("g", "a"), ("g", "b")], ["conflicting_changes"] * 2, None), ([("t", "x"), ("p.k", "y")], ["ok", "ok"], {5: "(x)", 6: "(x)", 7: "(y)", 8: "(y)"}), ([("p.k", "y"), ("p", "z")], ["conflicting_changes", "conflicting_changes"], None),
-])
-def test_kids_and_parents_follow_and_conflicts_are_refused(spark, wishes, statuses, found):
+def test_kids_and_parents_follow_and_conflicts_are_refused(spark):
     body = [
         b"<< /Type /Catalog /AcroForm << /Fields [2 0 R 5 0 R 7 0 R] >> >>", b"<< /T (g) /FT /Btn /Ff 32768 /V /a /Kids [3 0 R 4 0 R] >>", WIDGET % b"a", WIDGET % b"b",
         b"<< /T (t) /FT /Tx /Kids [6 0 R] >>", b"<< /Parent 5 0 R /Subtype /Widget >>", b"<< /T (p) /FT /Tx /Kids [8 0 R] >>", b"<< /T (k) /Parent 7 0 R /FT /Tx /Subtype /Widget >>", stream(b""),
     ]
-    wanted = spark.createDataFrame([("d", *w) for w in wishes], "doc_id string, name string, value string")
-    got = sorted((r.name, r.status, r.content) for r in changes.set_fields(made(spark, *body), wanted).collect())
-    if wishes[-1] == ("p", "z"):  # the parent's name has a kid of another name
-        assert got[0][1] == "other_kid_name" and got[1][1] == "ok"
-        return
-    assert [g[1] for g in got] == sorted(statuses) and all((g[2] is None) == (found is None) for g in got)
-    if found:
-        rows = {r["num"]: r["entries"] for r in document_objects(bytes(got[0][2]))}
-        assert {n: rows[n].get("AS") or rows[n].get("V") for n in found} == found
-        assert rows[1]["AcroForm/NeedAppearances"] == "true"
+    cases = {
+        "1": ([("g", "b")], ["ok"], {3: "/Off", 4: "/b"}), "2": ([("g", "Off")], ["ok"], {3: "/Off", 4: "/Off"}), "3": ([("g", "c")], ["no_such_state"], None), "4": ([("g", "true")], ["ambiguous_button_states"], None),
+        "5": ([("g", "a"), ("g", "b")], ["conflicting_changes"] * 2, None), "6": ([("p.k", "y"), ("t", "x")], ["ok", "ok"], {5: "(x)", 6: "(x)", 7: "(y)", 8: "(y)"}), "7": ([("p", "z"), ("p.k", "y")], ["other_kid_name", "ok"], {8: "(y)"}),
+    }
+    content = made(spark, *body).first().content
+    docs = spark.createDataFrame([(k, content) for k in cases], "doc_id string, content binary")
+    got = changes.set_fields(docs, spark.createDataFrame([(k, *w) for k, (wishes, *_) in cases.items() for w in wishes], "doc_id string, name string, value string")).collect()
+    for k, (_, statuses, found) in cases.items():
+        rows = sorted((r.name, r.status, r.content) for r in got if r.doc_id == k)
+        assert [r[1] for r in rows] == statuses and all((c is not None) == (s == "ok") for _, s, c in rows)
+        if found:
+            own = {r["num"]: r["entries"] for r in document_objects(bytes(next(c for _, _, c in rows if c)))}
+            assert {n: own[n].get("AS") or own[n].get("V") for n in found} == found and own[1]["AcroForm/NeedAppearances"] == "true"
 
 
 def test_multiple_choices_are_compared_with_what_was_written(spark):

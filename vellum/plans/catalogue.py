@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions.codecs import encoded
 from vellum.operators import documents, edits, graph, reports, xfa
 from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
-from vellum.plans import catalogue_documents, catalogue_objects
+from vellum.plans import catalogue_changes, catalogue_documents, catalogue_objects
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
@@ -281,7 +281,7 @@ QUERIES = {
         profile_summary, byte_range_digest, cmap_expand, width_proof,
     )
 }
-QUERIES |= catalogue_documents.QUERIES | catalogue_objects.QUERIES
+QUERIES |= catalogue_documents.QUERIES | catalogue_objects.QUERIES | catalogue_changes.QUERIES
 FLAGSHIP = "text_nodes_per_lang"
 
 _CHAIN = "list_extract([" + ", ".join(f"'{c}'" for c in CHAINS) + f"], (KEY % {len(CHAINS)} + 1)::INT)"
@@ -311,4 +311,4 @@ ORACLES = {
     "byte_range_digest": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS covered, sha256(coalesce(text, '')) AS digest FROM documents",
     "cmap_expand": "SELECT p_partkey AS doc_id, (p_partkey % 200 + i)::INT AS code, chr((65 + i)::INT) AS target FROM (SELECT p_partkey, unnest(range(0, p_size + 1)) AS i FROM part)",
     "width_proof": "WITH w AS (SELECT p_partkey AS doc_id, list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ord(p_name[i]) % 7 + 3))::BIGINT AS a, list_sum(list_transform(range(1, length(p_brand) + 1), lambda i: ord(p_brand[i]) % 7 + 3))::BIGINT AS b FROM part) SELECT doc_id, a AS old_width, b AS new_width, CASE WHEN b = a THEN 'width_proven' WHEN b < a THEN 'width_narrower' ELSE 'reflow_required' END AS status FROM w",
-} | catalogue_documents.ORACLES | catalogue_objects.ORACLES
+} | catalogue_documents.ORACLES | catalogue_objects.ORACLES | catalogue_changes.ORACLES
