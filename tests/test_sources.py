@@ -1,6 +1,9 @@
+import hashlib
+
+import pytest
 from test_documents import made, one
 
-from vellum.operators import security
+from vellum.operators import reports, security
 from vellum.sources.ocr import alto_items, from_alto, from_json
 from vellum.sources.write import canonical
 
@@ -30,3 +33,15 @@ def test_security(spark):
     assert security.check(docs).first().refusal == "unsupported_encryption"
     signed = made(spark, b"<< /Type /Catalog >>", b"<< /Type /Sig /ByteRange [0 1 2 3] >>")
     assert security.check(signed).first().refusal == "signed" and security.check(signed, invalidate=True).first().refusal is None
+
+
+def test_digests_over_any_number_of_ranges(spark):
+    text = b"%PDF-1.7 abcdefgh"
+    files = {"one": b"[9 3]", "three": b"[0 1 9 2 15 2]", "none": b"[]", "odd": b"[0 1 2]", "back": b"[5 3 4 1]", "out": b"[0 999]", "minus": b"[0 -1]", "huge": b"[0 99999999999999999999]", "gone": b""}
+    rows = spark.createDataFrame([(k, bytearray(text + (b" /ByteRange " + v if v else b""))) for k, v in files.items()], "doc_id string, content binary")
+    for name in reports.DIGESTS:
+        got = {r.doc_id: (r.covered, r.digest) for r in reports.byte_range_digests(rows, name).collect()}
+        of = lambda x: (len(x), hashlib.new(name, x).hexdigest())  # noqa: B023, E731
+        assert got == {"one": of(b"abc"), "three": of(b"%abgh")} | dict.fromkeys(("odd", "back", "out", "minus", "huge"), (None, None))
+    with pytest.raises(ValueError):
+        reports.byte_range_digests(rows, "md5")

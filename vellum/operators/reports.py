@@ -89,13 +89,26 @@ def full_profile(docs: DataFrame) -> DataFrame:
     )
 
 
-def byte_range_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, covered, digest: SHA-256 of the bytes in the two parts that /ByteRange names; no row without one."""
-    found = F.regexp_extract_all(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"/ByteRange\s*\[([^\]]*)\]", 1), F.lit(r"(\d+)"), F.lit(1))
-    rows = docs.select("doc_id", "content", F.transform(found, lambda x: x.cast("int")).alias("r")).where("size(r) = 4")
-    part = lambda i: F.substring(F.col("content"), F.col("r")[i] + 1, F.col("r")[i + 1])
-    covered = F.concat(part(0), part(2))
-    return rows.select("doc_id", F.octet_length(covered).cast("long").alias("covered"), F.sha2(covered, 256).alias("digest"))
+#: The digests that byte_range_digests() knows.
+DIGESTS = {"sha1": F.sha1} | {f"sha{n}": (lambda c, n=n: F.sha2(c, n)) for n in (224, 256, 384, 512)}
+
+
+def byte_range_digests(docs: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """doc_id, covered, digest of the bytes in the parts that /ByteRange names, however many, one after the other.
+
+    algorithm: one of DIGESTS. No row without ranges; where their number is odd, or one leaves the file or overlaps the one before, the
+    digest and covered are null.
+    """
+    if algorithm not in DIGESTS:
+        raise ValueError(f"unknown digest {algorithm}")
+    found = F.regexp_extract_all(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"/ByteRange\s*\[([^\]]*)\]", 1), F.lit(r"(-?\d+)"), F.lit(1))
+    rows = docs.select("doc_id", "content", F.transform(found, lambda x: x.try_cast("long")).alias("r")).where("size(r) > 0")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("r") / 2).cast("int") - 1), lambda i: F.struct(F.get("r", 2 * i).alias("at"), F.get("r", 2 * i + 1).alias("n")))
+    rows = rows.withColumn("p", F.when(F.size("r") % 2 == 0, pairs)).withColumn("before", F.concat(F.array(F.lit(0).cast("long")), F.transform("p", lambda x: x["at"] + x["n"])))
+    fine = F.forall(F.arrays_zip("p", F.slice("before", 1, F.size("p")).alias("before")), lambda x: (x["p"]["at"] >= x["before"]) & (x["p"]["n"] >= 0) & (x["p"]["at"] + x["p"]["n"] <= F.octet_length("content")))
+    covered = F.aggregate("p", F.lit(b""), lambda all_, x: F.concat(all_, F.substring(F.col("content"), x["at"].cast("int") + 1, x["n"].cast("int"))))
+    rows = rows.withColumn("covered", F.when(F.coalesce(fine, F.lit(False)), covered))
+    return rows.select("doc_id", F.octet_length("covered").cast("long").alias("covered"), DIGESTS[algorithm](F.col("covered")).alias("digest"))
 
 
 def cmap_entries(objs: DataFrame) -> DataFrame:

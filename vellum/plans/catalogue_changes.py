@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import changes, documents, edits, graph, mutations, splices
+from vellum.operators import changes, documents, edits, graph, mutations, reports, splices
 from vellum.operators.nodes import text_rows
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
@@ -125,10 +125,27 @@ def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.join(rising, "doc_id").select(_long(), "objects", "last", "first", (F.col("rising") | (F.col("n") == 1)).alias("rising"))
 
 
-QUERIES = {f.__name__: f for f in (surgical_edit, span_streams, edit_routes, packet_replace, radio_groups, fields_made_and_removed, image_replace, dense_numbers)}
+def range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names under three ranges (the first, the third and the last letter), by SHA-1 and SHA-256; every fourth has ranges that can't be."""
+    parts = table(spark, sf_dir, "part")
+    head = "%PDF-1.7\n1 0 obj\n<< /ByteRange ["
+    start = len(head) + 3 * 2 * 6 + len("] >>\nendobj\n")
+    number = lambda c: F.concat(F.lpad(c.cast("string"), 5, "0"), F.lit(" "))
+    at = lambda i: number(F.lit(start) + i)
+    one = number(F.lit(1))
+    last = F.when(F.col("p_partkey") % 4 == 0, number(F.lit(99_999))).otherwise(at(F.length("p_name") - 1))
+    content = F.concat(F.lit(head), at(F.lit(0)), one, at(F.lit(2)), one, last, one, F.lit("] >>\nendobj\n"), "p_name").cast("binary")
+    minted = parts.select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content"))
+    a, b = (reports.byte_range_digests(minted, x).select("doc_id", F.coalesce("covered", F.lit(-1).cast("long")).alias("covered"), F.col("digest").alias(x)) for x in ("sha1", "sha256"))
+    return a.join(b.select("doc_id", "sha256"), "doc_id").select(_long(), "covered", "sha1", "sha256")
+
+
+QUERIES = {f.__name__: f for f in (range_digests, surgical_edit, span_streams, edit_routes, packet_replace, radio_groups, fields_made_and_removed, image_replace, dense_numbers)}
 
 _MODE, _SIGNATURE, _PASSWORD = ("[" + ", ".join(f"'{x}'" for x in _ASKED[k]) + "]" for k in ("mode", "signature", "password"))
 ORACLES = {
+    "range_digests": """WITH p AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 > 0 THEN p_name[1] || p_name[3] || p_name[-1] END AS x FROM part)
+        SELECT doc_id, coalesce(length(x), -1) AS covered, sha1(x) AS sha1, sha256(x) AS sha256 FROM p""",
     "surgical_edit": """SELECT c_custkey AS doc_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'no_matches' END AS status, CASE WHEN c_mktsegment = 'BUILDING' THEN 'a segment of a longer name|' || c_name END AS texts,
         CASE WHEN c_mktsegment = 'BUILDING' THEN TRUE END AS same FROM customer""",
     "span_streams": "SELECT unnest([0, 2, 3])::INT AS stream, unnest([3 * count(*), count(*), count(*)])::BIGINT AS n FROM documents",
