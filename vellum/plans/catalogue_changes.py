@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import changes, documents, edits, graph, mutations, reports, splices
+from vellum.operators import adapters, changes, documents, edits, graph, mutations, reports, splices
 from vellum.operators.nodes import text_rows
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
@@ -140,10 +140,23 @@ def range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.select("doc_id", "sha256"), "doc_id").select(_long(), "covered", "sha1", "sha256")
 
 
-QUERIES = {f.__name__: f for f in (range_digests, surgical_edit, span_streams, edit_routes, packet_replace, radio_groups, fields_made_and_removed, image_replace, dense_numbers)}
+def format_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, two thirds of them files of the known format, the others their bare text: nodes by format, and how an edit of them ends."""
+    docs = table(spark, sf_dir, "documents")
+    made = _docs(docs, "doc_id", *_PAGE, mint.stream(mint.show(F.coalesce("lang", F.lit("")))), mint.stream(F.lit("")))
+    rows = stage(made.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("bare")), "doc_id").select("doc_id", F.when(F.pmod(F.col("doc_id").cast("long"), F.lit(3)) == 0, F.col("bare")).otherwise(F.col("content")).alias("content")))
+    known = adapters.formats()
+    nodes_ = known.nodes(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"))
+    got = known.edit(rows, "en", "fr").join(nodes_, "doc_id", "left")
+    return got.groupBy(F.coalesce("format", F.lit("none")).alias("format"), "status", F.coalesce("nodes", F.lit(0)).alias("nodes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (format_nodes, range_digests, surgical_edit, span_streams, edit_routes, packet_replace, radio_groups, fields_made_and_removed, image_replace, dense_numbers)}
 
 _MODE, _SIGNATURE, _PASSWORD = ("[" + ", ".join(f"'{x}'" for x in _ASKED[k]) + "]" for k in ("mode", "signature", "password"))
 ORACLES = {
+    "format_nodes": """SELECT CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE 'pdf' END AS format, CASE WHEN doc_id % 3 = 0 THEN 'unknown_format' WHEN lang = 'en' THEN 'ok' ELSE 'no_matches' END AS status,
+        (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 END)::BIGINT AS nodes, count(*) AS n FROM documents GROUP BY 1, 2, 3""",
     "range_digests": """WITH p AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 > 0 THEN p_name[1] || p_name[3] || p_name[-1] END AS x FROM part)
         SELECT doc_id, coalesce(length(x), -1) AS covered, sha1(x) AS sha1, sha256(x) AS sha256 FROM p""",
     "surgical_edit": """SELECT c_custkey AS doc_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'no_matches' END AS status, CASE WHEN c_mktsegment = 'BUILDING' THEN 'a segment of a longer name|' || c_name END AS texts,
