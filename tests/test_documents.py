@@ -348,3 +348,19 @@ def test_referenced_arrays_of_pages_fields_and_notes(spark):
     assert [r.name for r in graph.form_fields(docs).collect()] == ["a"] == [r.name for r in graph.form_fields(objects(docs)).collect()]
     objs = objects(docs)
     assert [(r.contents, r.page_index) for r in graph.annotations(objs, graph.pages(docs)).collect()] == [("note", 0)]
+
+
+def test_borders_that_can_not_be_drawn(spark):
+    cases = {
+        "/Square /BS << /W 2 /S /D /D [3 0] >>": None, "/Square /BS << /W -1 >>": "unsupported_bs_width", "/Circle /BS << /S /U >>": "unsupported_bs_border_style", "/Link /BS << /S /U >>": None, "/Link /BS 9 0 R": "unsupported_bs_border_style",
+        "/Square /BS << /S /D /D [-1] >>": "unsupported_bs_dash_array", "/Link /Border [0 0 1]": None, "/Link /Border [0 0]": "unsupported_border", "/Link /Border [0 0 -1]": "unsupported_border", "/Text /BS << /W -1 >>": None, "/Square /BS << /S /B >>": "unsupported_bs_border_style", "/Square /BS << /W (x) >>": "unsupported_bs_width",
+    }
+    objs = objects(made(spark, b"<< /Type /Catalog >>", *[f"<< /Type /Annot /Rect [0 0 1 1] /Subtype {c} >>".encode() for c in cases]))
+    got = {r.num: (r.appearance_status, r.appearance_blockers) for r in graph.annotations(objs, graph.pages(objs)).collect()}
+    assert got == {i + 2: ("unsupported", [why]) if why else ("approximate_supported", []) for i, why in enumerate(cases.values())}
+
+
+def test_what_is_quiet_and_what_is_not_visible(spark):
+    docs = made(spark, b"<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (config) 3 0 R] >> >>", stream(b"<template><subform><field name='a' presence='Hidden'/><field name='b' presence='visible'/></subform></template>"), stream(b"<config><dynamicRender> STATIC </dynamicRender><dynamicRender>0</dynamicRender><dynamicRender>required</dynamicRender></config>"))
+    assert [(r.packet, r.reason) for r in xfa.dynamic_markers(docs).collect()] == [(1, "dynamic rendering")]
+    assert sorted((r.packet, r.path, r.reason) for r in xfa.dynamic_markers(docs, extended=True).collect()) == [(0, "template.subform.field", "presence Hidden"), (1, "config.dynamicRender", "dynamic rendering")]

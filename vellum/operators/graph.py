@@ -349,6 +349,23 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
+def border_blocker(subtype: Column) -> Column:
+    """Why the border of a link, square or circle can't be drawn; null if it can. Values that are references are none that can."""
+    number_ = r"[-+]?(?:\d+\.?\d*|\.\d+)"
+    plain = lambda c: c.rlike(rf"^\[\s*(?:{number_}\s*)*\]$")
+    listed = lambda c: F.transform(F.regexp_extract_all(c, F.lit(f"({number_})"), F.lit(1)), lambda x: x.cast("double"))
+    width, style, dash, border = entry("BS/W"), F.coalesce(entry("BS/S"), F.lit("/S")), entry("BS/D"), entry("Border")
+    bad_dash = ~plain(dash) | F.exists(listed(dash), lambda x: x < 0) | ~F.exists(listed(dash), lambda x: x > 0)
+    styled = (
+        F.when(~entry("BS").startswith("<<"), "unsupported_bs_border_style")
+        .when(~F.coalesce(width, F.lit("0")).rlike(f"^{number_}$") | F.coalesce(width, F.lit("0")).startswith("-"), "unsupported_bs_width")
+        .when(~style.isin("/S", "/D", "/U") | ((style == "/U") & (subtype != "Link")), "unsupported_bs_border_style")
+        .when((style == "/D") & dash.isNotNull() & bad_dash, "unsupported_bs_dash_array")
+    )
+    plain_border = ~plain(border) | (F.size(listed(border)) != 3) | (F.get(listed(border), F.lit(2)) < 0)
+    return F.when(entry("BS").isNotNull() & subtype.isin("Link", "Square", "Circle"), styled).when((subtype == "Link") & border.isNotNull() & plain_border, "unsupported_border")
+
+
 def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
     """doc_id, annotation_index, page_index, num, subtype, contents, rect, flags and what they allow.
 
@@ -371,8 +388,10 @@ def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
     unsafe = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in ((entry("RC").isNotNull(), "rich_text_content"), (script, "javascript_action"), (entry("AA").isNotNull(), "additional_actions"))]))
     basic = name("Subtype").isin("Text", "FreeText", "Link", "Square", "Circle", "Highlight", "Underline", "StrikeOut")
     area = (F.size(rect) == 4) & (F.get(rect, F.lit(2)) > F.get(rect, F.lit(0))) & (F.get(rect, F.lit(3)) > F.get(rect, F.lit(1)))
-    status = F.when(F.size(unsafe) > 0, "unsafe").when(~basic | ~F.coalesce(area, F.lit(False)), "unsupported").otherwise("approximate_supported")
-    blockers = F.when(F.size(unsafe) > 0, unsafe).when(~basic, F.array(F.lit("unsupported_subtype"))).when(~F.coalesce(area, F.lit(False)), F.array(F.lit("missing_usable_rect"))).otherwise(F.array().cast("array<string>"))
+    area = F.coalesce(area, F.lit(False))
+    reason = F.when(~basic, "unsupported_subtype").when(~area, "missing_usable_rect").otherwise(border_blocker(name("Subtype")))
+    status = F.when(F.size(unsafe) > 0, "unsafe").when(reason.isNotNull(), "unsupported").otherwise("approximate_supported")
+    blockers = F.when(F.size(unsafe) > 0, unsafe).when(reason.isNotNull(), F.array(reason)).otherwise(F.array().cast("array<string>"))
     return own.unionByName(direct).select(
         "doc_id", index.alias("annotation_index"), "page_index", "num", name("Subtype").alias("subtype"), text("Contents").alias("contents"), text("NM").alias("name"), text("M").alias("modified"), rect.alias("rect"),
         number("F").alias("flags"), flag_names(number("F"), ANNOTATION_FLAGS).alias("flag_names"), status.alias("appearance_status"), blockers.alias("appearance_blockers"),

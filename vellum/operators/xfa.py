@@ -17,6 +17,10 @@ from vellum.sources.syntax import items
 KINDS = ("template", "datasets", "config", "localeSet", "connectionSet", "sourceSet", "xdc", "xfdf", "xdp")
 
 
+#: Fixed values of dynamicRender that need no renderer.
+QUIET = ("", "0", "false", "forbidden", "static", "none")
+
+
 def _packets(nodes: Nodes) -> Iterator[tuple]:
     form = below(nodes, root(nodes), "AcroForm")
     if "XFA=" in form:
@@ -31,7 +35,7 @@ def _packets(nodes: Nodes) -> Iterator[tuple]:
             label, order = None, order + 1
 
 
-_FACTS = "root string, error string, unsafe boolean, fields array<struct<path:string,value:string>>, template array<struct<field:string,path:string>>, markers array<struct<path:string,reason:string>>"
+_FACTS = "root string, error string, unsafe boolean, fields array<struct<path:string,value:string>>, template array<struct<field:string,path:string>>, markers array<struct<path:string,reason:string>>, presence array<struct<path:string,reason:string>>"
 
 
 def facts(data: bytes) -> dict:
@@ -40,7 +44,7 @@ def facts(data: bytes) -> dict:
     Names are without prefixes. Paths of data leave `datasets` and `data` out; without `datasets` they are whole. XML
     with a document type is unsafe and read no further.
     """
-    out: dict = {"root": None, "error": None, "unsafe": False, "fields": [], "template": [], "markers": []}
+    out: dict = {"root": None, "error": None, "unsafe": False, "fields": [], "template": [], "markers": [], "presence": []}
     stack: list[dict] = []
     parser = xml.parsers.expat.ParserCreate()
     local = lambda tag: tag.rpartition(":")[2]
@@ -70,12 +74,14 @@ def facts(data: bytes) -> dict:
                 reason = "pagination"
             if reason:
                 out["markers"].append((".".join([*(s["tag"] for s in stack), tag]), reason))
+            if own.get("presence", "visible").lower() not in ("", "visible"):
+                out["presence"].append((".".join([*(s["tag"] for s in stack), tag]), f"presence {own['presence']}"))
         stack.append({"tag": tag, "template": template, "datasets": datasets, "leaf": True, "text": [], "form": own.get("name", "") if template and tag == "subform" else "", "data": up["data"] + [tag] * (not skip)})
 
     def end(_):
         own = stack.pop()
         value = "".join(own["text"]).strip()
-        if own["tag"] == "dynamicRender" and value not in ("", "forbidden"):
+        if own["tag"] == "dynamicRender" and value.lower() not in QUIET:
             out["markers"].append((".".join([*(s["tag"] for s in stack), own["tag"]]), "dynamic rendering"))
         if own["leaf"] and value and not own["template"] and own["data"]:
             out["fields"].append((".".join(own["data"]), value))
@@ -91,7 +97,7 @@ def facts(data: bytes) -> dict:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
-    kinds = {"root": pa.string(), "error": pa.string(), "unsafe": pa.bool_(), "fields": pairs("path", "value"), "template": pairs("field", "path"), "markers": pairs("path", "reason")}
+    kinds = {"root": pa.string(), "error": pa.string(), "unsafe": pa.bool_(), "fields": pairs("path", "value"), "template": pairs("field", "path"), "markers": pairs("path", "reason"), "presence": pairs("path", "reason")}
     for batch in batches:
         found = [facts(d or b"") for d in batch.column("data").to_pylist()]
         keys = {c: [f.name for f in t.value_type] for c, t in kinds.items() if pa.types.is_list(t)}
@@ -160,9 +166,10 @@ def template_fields(objs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "packet", F.posexplode("template").alias("at", "f")).select("doc_id", "packet", "at", "f.field", "f.path")
 
 
-def dynamic_markers(objs: DataFrame) -> DataFrame:
-    """doc_id, packet, at, path, reason: what in a packet needs a renderer."""
-    return packets(objs).select("doc_id", "packet", F.posexplode("markers").alias("at", "m")).select("doc_id", "packet", "at", "m.path", "m.reason")
+def dynamic_markers(objs: DataFrame, extended: bool = False) -> DataFrame:
+    """doc_id, packet, at, path, reason: what in a packet needs a renderer; extended: and then what of its template isn't visible, which alone makes no form dynamic."""
+    found = F.concat("markers", "presence") if extended else F.col("markers")
+    return packets(objs).select("doc_id", "packet", F.posexplode(found).alias("at", "m")).select("doc_id", "packet", "at", "m.path", "m.reason")
 
 
 def semantics(objs: DataFrame) -> DataFrame:
