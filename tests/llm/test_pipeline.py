@@ -46,10 +46,12 @@ def test_run(spark):
 
 def test_queries_are_numbered_and_whole():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_sql(spark, duck):
     for name, oracle in queries.ORACLES.items():
-        same_rows(queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(oracle).fetchdf())
+        got, expected = queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(oracle).fetchdf()
+        # pandas makes whole numbers with nulls floating ones on one side alone
+        same_rows(got.astype({c: "Int64" for c in got if str(expected[c].dtype) == "Int64"}), expected)
     assert "documents" in sql.OP6
