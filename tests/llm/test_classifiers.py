@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import zlib
 
@@ -218,4 +220,82 @@ def test_platt_scaling_finds_slope_and_shift():
 
 def test_metadata_view_reads_no_text():
     assert cotrain.meta_features("a", "en", 100) == cotrain.meta_features("a", "en", 100) != cotrain.meta_features("b", "en", 100)
-    assert cotrain.meta_features(None, None, 0)[1] == 1.0
+    assert len(cotrain.meta_features(None, None, 0)) == 5
+
+
+def cotrained(rows, marks, rounds=3, step=0.1):
+    """Score of each row by co-training with plain loops over all rows."""
+
+    def shares(text, source, lang):
+        words = lower_words(text)
+        n = collections.Counter(f for w in words for f in cotrain.word_features(w))
+        n[0] = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        text_view = {f: x * cotrain.UNIT // len(words) for f, x in n.items() if x}
+        return text_view, {f: cotrain.UNIT // 5 * x for f, x in collections.Counter(cotrain.meta_features(source, lang, len(text or ""))).items()}
+
+    def fit(members, view, size):
+        """Log-odds from ((features, class), is given) pairs."""
+        held = [[0.0] * size, [0.0] * size]
+        own = [sum(c == k and not given for _, c, given in members) for k in (0, 1)]
+        lent = [sum(c == k and given for _, c, given in members) for k in (0, 1)]
+        for features, c, given in members:
+            for f, x in features[view].items():
+                held[c][f] += x / cotrain.UNIT * (cotrain.PSEUDO * own[c] / lent[c] if given else 1)
+        whole = [sum(h) + cotrain.PRIOR * size for h in held]
+        return [math.log((held[1][f] + cotrain.PRIOR) / whole[1]) - math.log((held[0][f] + cotrain.PRIOR) / whole[0]) for f in range(size)]
+
+    label = {}
+    for d, y in marks:
+        if d is not None and y is not None:
+            label[d] = max(y, label.get(d, 0))
+    coded = [(d, shares(t, s, la)) for d, t, la, s in rows]
+    crc = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 9
+    base = [(x, label[d], False) for d, x in coded if d in label and learned(d) and crc(d) not in (6, 8)]
+    aside = [(x, label[d]) for d, x in coded if d in label and learned(d) and crc(d) in (6, 8)]
+    pool = [x for d, x in coded if d not in label and learned(d)]
+    sizes = (cotrain.BUCKETS, cotrain.META)
+    logit = lambda x, view, w: sum(w[f] * (s / cotrain.UNIT) for f, s in x[view].items())
+    views = [fit(base, v, sizes[v]) for v in (0, 1)]
+    prior = sum(c for _, c, _ in base) / len(base)
+    for r in range(1, rounds + 1):
+        given = []
+        for v in (0, 1):
+            at = [math.floor(logit(x, v, views[v]) * cotrain.WIDTH) + cotrain.BINS // 2 for x in pool]
+            order = sorted(at)
+            middle = order[(len(order) + 1) // 2 - 1]
+            low = min(order[math.ceil(len(order) * r * step * (1 - prior)) - 1], middle - 1)
+            high = max(order[-math.ceil(len(order) * r * step * prior)], middle + 1)
+            given.append([(x, int(a >= high), True) for x, a in zip(pool, at, strict=True) if a <= low or a >= high])
+        views = [fit(base + given[1 - v], v, sizes[v]) for v in (0, 1)]
+    model = cotrain.Model([np.array(w) for w in views])
+    sides = [np.array([logit(x, v, views[v]) for x, _ in aside]) for v in (0, 1)]
+    model = cotrain.calibrated(model, sides, np.array([float(c) for _, c in aside]))
+    both = [[a * logit(x, v, views[v]) + b for v, (a, b) in enumerate(model.scales)] for _, x in coded]
+    return [1 / (1 + math.exp(-(model.combine[0] * t + model.combine[1] * m + model.combine[2]))) for t, m in both]
+
+
+def test_cotraining_against_brute_force(spark):
+    rng = random.Random(12)
+    rows, marks = [], [(None, 1), (3, None), (77777, 1)]
+    for i in range(150):
+        good = rng.random() < 0.7
+        words = [rng.choice(WORDS) if good or rng.random() < 0.5 else rng.choice(["@@1", "buy!", "x#"]) for _ in range(rng.randint(1, 40))]
+        rows.append((i, " ".join(words), rng.choice(["en", None]), "x" if good or rng.random() < 0.3 else "y"))
+        if i % 2:
+            marks += [(i, int(good))] * rng.randint(1, 2)
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(awkward())] + rows[:3] + [(5, "another text", "en", "x"), (5, "buy! buy! buy!", None, "y"), (None, "buy!", None, None), (2000, "long " * 30_000, "en", "y")]
+    got = cotrain.quality(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    key = lambda d, s: (-1 if d is None else d, round(s, 9))
+    assert sorted(key(r.doc_id, r.score) for r in got) == sorted(key(r[0], s) for r, s in zip(rows, cotrained(rows, marks), strict=True))
+    assert all(r.held_out != learned(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_sure_bins():
+    bins = np.zeros(cotrain.BINS, np.int64)
+    assert cotrain.sure_bins(bins, 0.1, 0.5) == (-1, cotrain.BINS)
+    bins[100] = 1000  # a view that tells nothing apart gives nothing
+    low, high = cotrain.sure_bins(bins, 0.1, 0.5)
+    assert not bins[: low + 1].any() and not bins[high:].any()
+    bins[[90, 110, 111]] = 10, 30, 40  # rows of one bin are not parted
+    low, high = cotrain.sure_bins(bins, 0.1, 0.5)
+    assert bins[: low + 1].sum() == 10 and bins[high:].sum() == 70
