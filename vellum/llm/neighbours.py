@@ -122,15 +122,15 @@ def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterat
     for batch in batches:
         for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
             tree = pickle.loads(tree.as_py())
-            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+            out: dict[str, list] = {"asked": [], "query_id": [], "vec_id": [], "score": []}
             for q in queries.as_py():
                 point = np.array(q["point"])
                 if len(point) != tree.points.shape[1]:
                     continue
                 for d, i in tree.search(point, k, q["vec_id"], factor):
-                    for c, v in zip(out, (q["vec_id"], i, d), strict=True):
+                    for c, v in zip(out, (q["asked"], q["vec_id"], i, d), strict=True):
                         out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Rows with a null vec_id, and
     vectors that are null, empty, zero or hold a null or non-finite component, take no part; vectors of another length
     than the query's are no candidates. Rows with the same vec_id are one candidate each, none of them the
-    query's own. With fewer candidates than k, all are returned; an empty table gives an empty result.
+    query's own; where several of them are queries, each gets a list of its own, ranks from 1. With fewer candidates than k, all are returned; an empty table gives an empty result.
     """
     points = usable(vectors)
     n, asking = points.agg(F.count(F.lit(1)), F.count(F.when(queries, 1))).first()
@@ -160,13 +160,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.
     built = stage(rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(trees, "shard long, tree binary"))
     asked = (
         points.where(queries)
+        .withColumn("asked", F.monotonically_increasing_id())  # tells queries of one vec_id apart; fixed once written
         .groupBy(F.size("point").alias("wide"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(9)), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("vec_id", "point")).alias("queries"))
+        .agg(F.collect_list(F.struct("asked", "vec_id", "point")).alias("queries"))
     )
     asked = stage(asked)
     every = asked.select("queries", "wide", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
     every = every.select("queries", key(F.col("s")).alias("shard"))
     units = every.join(built, "shard").select("tree", "queries").repartition(shards * blocks)
-    found = units.mapInArrow(lambda b: searched(b, k, factor), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = units.mapInArrow(lambda b: searched(b, k, factor), "asked long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
