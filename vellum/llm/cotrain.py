@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bucket_of, held_out, stage
+from vellum.llm.common import MAX_BROADCAST_IDS, bucket_of, held_out, stage
 from vellum.llm.texts import Rows, Shared, lower_words, resident
 
 #: Logits of labelled rows kept aside that the two views are calibrated on, drawn by a hash.
@@ -260,6 +260,8 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = 3, step: float = 0
     docs = docs.select("doc_id", "text", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("_length"))
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
     kind = dict(docs.dtypes)["doc_id"]
+    if marked.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:  # else features are shuffled, about two thirds of the texts' bytes
+        marked = F.broadcast(marked)
     # Written once, with labels: each later pass reads a few bytes a distinct word instead of the text, and joins nothing.
     features = stage(docs.mapInArrow(coded, _FEATURES.format(kind)).join(marked, "doc_id", "left"))
     learned = features.where(~held_out(F.col("doc_id")))
