@@ -57,7 +57,7 @@ def test_empty_table_and_few_candidates(spark):
 
 def test_queries_of_one_id_have_lists_of_their_own(spark):
     ship(spark)
-    rows = [(100, [float(x), 0.0], 0, 1.0) for x in (0, 50)] + [(i, [float(i), 1.0], 0, 1.0) for i in range(1, 60)] + [(100, [0.0, 0.0], 0, 1.0)]
+    rows = [(100, [float(x), 0.0], 0, 1.0) for x in (5, 50, 5)] + [(i, [float(i), 1.0], 0, 1.0) for i in range(1, 60)]
     got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, k=5).collect()
-    lists = [sorted((round(float(np.hypot(i - x, 1)), 9), i) for i in range(1, 60))[:5] for x in (0, 50, 0)]
+    lists = [sorted((round(float(np.hypot(i - x, 1)), 9), i) for i in range(1, 60))[:5] for x in (5, 50, 5)]
     assert sorted((r["rank"], round(r.score, 9), r.vec_id) for r in got) == sorted((k + 1, *pair) for one in lists for k, pair in enumerate(one))
