@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import documents, graph, xfa
+from vellum.operators.verification import verify_pages
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
@@ -116,9 +117,30 @@ def xfa_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "field", "path", "value", "match")
 
 
-QUERIES = {f.__name__: f for f in (xref_merge, name_tree_merge, merge_documents, page_transforms, ocr_plan, fallback_policy, byte_range_status, choice_selection, xfa_mapping)}
+def page_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' documents of a page for each line, held against a count that is one off for some, and texts of which one may be missing.
+
+    Every fifth order's pages refer to notes that are not there; the lines of returned goods have no content.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", "l_partkey", "l_returnflag").alias("shown"), "l_returnflag")
+    loose = F.when(F.col("l_orderkey") % 5 == 0, F.lit("/Annots [9999 0 R]")).otherwise("")
+    hidden = F.when(F.col("l_returnflag") == "R", F.lit("/Contents [] ")).otherwise("")
+    docs = stage(mint.paged(lines, "l_orderkey", "l_linenumber", mint.show(F.col("shown")), F.concat(hidden, loose)))
+    wanted = lines.groupBy("l_orderkey").agg(
+        (F.count(F.lit(1)) + (F.col("l_orderkey") % 3 == 0).cast("long")).alias("page_count"), F.collect_set("shown").alias("texts"),
+    )
+    extra = F.when(F.col("l_orderkey") % 4 == 0, F.array(F.lit("BY BALLOON"), F.lit(None).cast("string"))).otherwise(F.array(F.lit("")))
+    wanted = wanted.select(F.col("l_orderkey").cast("string").alias("doc_id"), "page_count", F.concat("texts", extra).alias("texts"))
+    rows = verify_pages(docs, wanted, need_content=True, need_resources=True)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "page_count", "page_count_ok", "content_ok", "resources_ok", F.array_join("missing", ",").alias("missing"), "dangling", "ok")
+
+
+QUERIES = {f.__name__: f for f in (page_verification, xref_merge, name_tree_merge, merge_documents, page_transforms, ocr_plan, fallback_policy, byte_range_status, choice_selection, xfa_mapping)}
 
 ORACLES = {
+    "page_verification": """SELECT *, page_count_ok AND content_ok AND missing = '' AND dangling = 0 AS ok FROM (
+        SELECT l_orderkey AS doc_id, count(*) AS page_count, l_orderkey % 3 <> 0 AS page_count_ok, NOT bool_or(l_returnflag = 'R') AS content_ok, true AS resources_ok,
+          CASE WHEN l_orderkey % 4 = 0 THEN 'BY BALLOON' ELSE '' END AS missing, CASE WHEN l_orderkey % 5 = 0 THEN count(*) ELSE 0 END AS dangling FROM lineitem GROUP BY l_orderkey)""",
     "xref_merge": """SELECT o_orderkey AS doc_id, num::INT AS num, offset_ AS "offset", sections::BIGINT AS sections FROM (
         SELECT o_orderkey, 1 AS num, 9::BIGINT AS offset_, 1 AS sections FROM orders UNION ALL
         SELECT o_orderkey, 2, floor(o_totalprice)::BIGINT % 1000000, 2 FROM orders UNION ALL SELECT o_orderkey, 3, o_orderkey, 1 FROM orders)""",
