@@ -29,6 +29,18 @@ def test_documents_of_several_formats(spark):
     assert got == {"p": ("pdf", "no_matches", False), "l": ("numbered", "not_editable", False), "k": ("lines", "ok", True), "u": (None, "unknown_format", False), "e": (None, "unknown_format", False), "n": (None, "unknown_format", False)}
 
 
+def test_nodes_are_selected_by_name(spark):
+    docs = spark.createDataFrame([("p", bytearray(FILE)), ("l", bytearray(b"LINES\ntea\nleek")), ("k", bytearray(b"LINES\nleek\nleek"))], "doc_id string, content binary")
+    plain = Formats(PDF).nodes(docs)
+    named = lambda d: line_nodes(d).withColumn("name", F.when(F.col("seq") > 0, F.concat(F.lit("line of "), "value")))
+    every = Formats(PDF, Adapter("lines", b"LINES", named)).nodes(docs)
+    leeks = Selector().named("line of leek")
+    assert sorted((r.doc_id, r.node_id) for r in leeks.query_all(every).collect()) == [("k", 1), ("k", 2), ("l", 2)]
+    assert [(r.doc_id, r.node_id) for r in leeks.match_index(1).query(every).collect()] == [("k", 2)]
+    assert {r.doc_id: (r.matches, r.status) for r in leeks.find_one(every).collect()} == {"p": (0, "no_matches"), "l": (1, "ok"), "k": (2, "multiple_matches")}
+    assert leeks.kind("lines.document").query(every).count() == leeks.query(plain).count() == leeks.query(line_nodes(docs)).count() == 0
+
+
 def test_formats_are_known_once():
     with pytest.raises(ValueError):
         formats().register(Adapter("pdf", b"other", line_nodes))

@@ -20,7 +20,7 @@ NODES = ("doc_id", "node_id", "kind", "value", "meta", "num", "seq")
 
 @dataclass(frozen=True)
 class Adapter:
-    """nodes: of docs(doc_id, content), a table of NODES; edit: (docs, old, new) -> doc_id, status, content, if the format can be edited."""
+    """nodes: of docs(doc_id, content), a table of NODES, with name where nodes have names; edit: (docs, old, new) -> doc_id, status, content, if the format can be edited."""
 
     name: str
     prefix: bytes
@@ -57,8 +57,13 @@ class Formats:
         return reduce(DataFrame.unionByName, [p.withColumn("format", F.lit(n)) for n, p in parts if p is not None])
 
     def nodes(self, docs: DataFrame) -> DataFrame:
-        """NODES and format of the documents whose format is known."""
-        return self._split(docs, lambda a, d: a.nodes(d).select(*NODES))
+        """NODES, name and format of the documents whose format is known; name is null where the format has none."""
+
+        def named(a: Adapter, d: DataFrame) -> DataFrame:
+            rows = a.nodes(d)
+            return rows.select(*NODES, (F.col("name") if "name" in rows.columns else F.lit(None)).cast("string").alias("name"))
+
+        return self._split(docs, named)
 
     def edit(self, docs: DataFrame, old: str, new: str) -> DataFrame:
         """doc_id, format, status, content: a text replaced in documents of every format that can be edited; unknown_format and not_editable say why not."""

@@ -210,16 +210,23 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Selector:
-    """Equalities on kind, text and meta, all of which must hold, and which of a document's matches is meant."""
+    """Equalities on kind, name, text and meta, all of which must hold, and which of a document's matches is meant.
+
+    Rows without a column name are nodes without names: none of them has the one that is asked for.
+    """
 
     of_kind: str | None = None
     of_text: str | Column | None = None
     of_meta: dict = field(default_factory=dict)
     at: int | None = None
+    of_name: str | None = None
 
     def kind(self, kind: str) -> Selector:
         return replace(self, of_kind=kind)
 
+    def named(self, name: str) -> Selector:
+        return replace(self, of_name=name)
+
     def text(self, text: str | Column) -> Selector:
         return replace(self, of_text=text)
 
@@ -229,8 +236,11 @@ class Selector:
     def match_index(self, at: int) -> Selector:
         return replace(self, at=at)
 
-    def condition(self) -> Column:
+    def condition(self, named: bool = False) -> Column:
+        """named: whether the rows have a column name."""
         out = F.lit(True)
+        if self.of_name is not None:
+            out = out & (F.col("name").eqNullSafe(F.lit(self.of_name)) if named else F.lit(False))
         if self.of_kind is not None:
             out = out & (F.col("kind") == self.of_kind)
         if self.of_text is not None:
@@ -242,7 +252,7 @@ class Selector:
 
     def query_all(self, rows: DataFrame) -> DataFrame:
         """All matches, whatever match_index says."""
-        return rows.where(self.condition())
+        return rows.where(self.condition("name" in rows.columns))
 
     def query(self, rows: DataFrame) -> DataFrame:
         """The matches, or with match_index the one at that place in each document; none where there are too few."""
@@ -255,7 +265,7 @@ class Selector:
     def find_one(self, rows: DataFrame) -> DataFrame:
         """doc_id, matches, status and the node: exactly one match, or the one at match_index, else an error."""
         match = F.struct("node_id", "value", "num", "seq")
-        hit = F.when(self.condition(), match)
+        hit = F.when(self.condition("name" in rows.columns), match)
         got = rows.groupBy("doc_id").agg(F.count(hit).alias("matches"), F.array_sort(F.collect_list(hit)).alias("_all"))
         at = 0 if self.at is None else self.at
         one = F.when(F.lit(self.at is not None) | (F.col("matches") == 1), F.get("_all", F.lit(at)))
