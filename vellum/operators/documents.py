@@ -251,12 +251,31 @@ def extract(objs: DataFrame, wanted: list[int]) -> DataFrame:
     return compose(objs, asked.join(whole, "doc_id", "left_semi").select(F.col("doc_id").alias("merged"), "position", "doc_id", "page_index"))
 
 
+def inserted(objs: DataFrame, into: DataFrame) -> DataFrame:
+    """merged, position, doc_id, page_index: where pages lie after others are put in: into(doc_id, at, source), see insert()."""
+    empty = F.array().cast("array<int>")
+    listed = stage(pages(objs).groupBy("doc_id").agg(F.array_sort(F.collect_list("page_index")).alias("every")))
+    place, chosen = (F.col(c) if c in into.columns else F.lit(None) for c in ("ord", "pages"))
+    asked = into.select(F.col("doc_id").alias("merged"), "at", F.col("source").alias("doc_id"), place.cast("long").alias("ord"), F.coalesce(chosen.cast("array<int>"), empty).alias("pages"))
+    asked = asked.join(listed, "doc_id", "left").withColumn("pages", F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.col("every")))
+    fine = F.col("every").isNotNull() & (F.size(F.array_except("pages", "every")) == 0) & F.col("at").between(0, F.col("n"))
+    own = listed.select(F.col("doc_id").alias("merged"), F.size("every").alias("n"))
+    good = asked.join(own, "merged").groupBy("merged").agg(F.min(F.coalesce(fine, F.lit(False))).alias("fine"), F.min("at").alias("at"), F.max("at").alias("last")).where("fine and at = last").select("merged", "at")
+    here = good.join(listed.withColumnRenamed("doc_id", "merged"), "merged").select("merged", F.col("merged").alias("doc_id"), "at", F.explode("every").alias("page_index"))
+    here = here.select("merged", F.when(F.col("page_index") < F.col("at"), 0).otherwise(2**40).cast("long").alias("position"), "doc_id", "page_index")
+    new = asked.join(good.select("merged"), "merged", "left_semi").select("merged", "ord", "doc_id", F.posexplode("pages").alias("i", "page_index"))
+    position = F.row_number().over(Window.partitionBy("merged").orderBy(F.col("ord").asc_nulls_last(), "doc_id", "i")).cast("long")
+    return here.unionByName(new.select("merged", position.alias("position"), "doc_id", "page_index"))
+
+
 def insert(objs: DataFrame, into: DataFrame) -> DataFrame:
-    """doc_id, content: documents with all pages of others put in: into(doc_id, at, source), at from 0 to the number of pages."""
-    tree = pages(objs).select("doc_id", "page_index")
-    own = tree.join(into.select("doc_id", "at"), "doc_id").select(F.col("doc_id").alias("merged"), F.when(F.col("page_index") < F.col("at"), 0).otherwise(2).cast("long").alias("position"), "doc_id", "page_index")
-    other = into.select(F.col("doc_id").alias("merged"), F.col("source").alias("doc_id")).join(tree, "doc_id").select("merged", F.lit(1).cast("long").alias("position"), "doc_id", "page_index")
-    return compose(objs, own.unionByName(other))
+    """doc_id, content: documents with pages of others put in: into(doc_id, at, source), at from 0 to the number of pages.
+
+    A document may have several sources, in the order of the column ord, if there is one. The column pages, if there is one,
+    names a source's pages, in this order and as often; null or none means all. Documents whose `at` is out of range or differs between
+    rows, or one of whose sources isn't there or lacks a page, are left out.
+    """
+    return compose(objs, inserted(objs, into))
 
 
 def numbers(value: Column) -> Column:

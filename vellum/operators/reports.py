@@ -117,23 +117,28 @@ def cmap_entries(objs: DataFrame) -> DataFrame:
     return maps.select("doc_id", "num", F.conv("code", 16, 10).cast("long").alias("code"), "target")
 
 
+def text_widths(docs: DataFrame) -> DataFrame:
+    """doc_id, num, seq, place, text, width, known: how wide each text-show is, in the widths of its own font.
+
+    A code has as many bytes as the font's codes have; one without a width of its own has the font's default. width is null
+    where there is neither, or where the font says nothing of widths (known is false then).
+    """
+    rows = text_rows(docs, with_fonts=True).withColumn("size", F.nullif("code_size", F.lit(0)))
+    count = F.octet_length("codes") / F.col("size")
+    code = lambda i: F.conv(F.hex(F.substring(F.col("codes"), i * F.col("size") + 1, F.col("size"))), 16, 10).cast("int")
+    each = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.coalesce(F.try_element_at("widths", code(i)), F.col("other_width")))
+    whole = F.when(count == 0, 0).when(count == F.floor(count), F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.select("doc_id", "num", "seq", "place", "text", whole.cast("long").alias("width"), F.col("size").isNotNull().alias("known"))
+
+
 def width_changes(docs: DataFrame) -> DataFrame:
-    """doc_id, old_width, new_width, status: the first text-show against the second, in the document's simple font.
+    """doc_id, old_width, new_width, status: each document's first text-show, by stream and place in it, against its second one.
 
-    A code outside the font's widths leaves the sum unproven.
+    status is unknown where the font of one says nothing of widths, width_unproven where a code has none or there is no second one.
     """
-    fonts = objects(docs).where(name("Type") == "Font").select(
-        "doc_id", number("FirstChar").alias("first"),
-        F.transform(F.regexp_extract_all(entry("Widths"), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("widths"),
-    )
-    texts = text_rows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "seq", "text"))).alias("t"))
-    rows = texts.join(fonts, "doc_id")
-
-    def width(i: int):
-        codes = F.transform(F.split(F.get("t", F.lit(i))["text"], ""), lambda c: F.get(F.col("widths"), F.ascii(c) - F.col("first")))
-        return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    rows = rows.select("doc_id", width(0).alias("old_width"), width(1).alias("new_width"))
+    rows = text_widths(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num", "seq", "place", "width", "known"))).alias("t"))
+    at = lambda i, c: F.get("t", F.lit(i))[c]
+    rows = rows.select("doc_id", at(0, "width").alias("old_width"), at(1, "width").alias("new_width"), (at(0, "known") & F.coalesce(at(1, "known"), F.lit(True))).alias("known"))
     change = F.col("new_width") - F.col("old_width")
-    status = F.when(change.isNull(), "width_unproven").when(change == 0, "width_proven").when(change < 0, "width_narrower").otherwise("reflow_required")
+    status = F.when(~F.col("known"), "unknown").when(change.isNull(), "width_unproven").when(change == 0, "width_proven").when(change < 0, "width_narrower").otherwise("reflow_required")
     return rows.select("doc_id", "old_width", "new_width", status.alias("status"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions.codecs import encoded
 from vellum.operators import documents, edits, graph, reports, xfa
 from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
-from vellum.plans import catalogue_changes, catalogue_documents, catalogue_objects
+from vellum.plans import catalogue_changes, catalogue_documents, catalogue_objects, catalogue_rows
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import stage, table
 from vellum.sources import mint
@@ -265,10 +265,9 @@ def width_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     widths = " ".join(str(c % 7 + 3) for c in range(32, 127))
     font = f"<< /Type /Font /FirstChar 32 /LastChar 126 /Widths [{widths}] >>"
-    minted = parts.select(
-        F.col("p_partkey").cast("string").alias("doc_id"),
-        mint.document(F.array(mint.obj(1, "<< /Type /Catalog >>"), mint.obj(2, font), mint.obj(3, mint.stream(mint.show(F.col("p_name")))), mint.obj(4, mint.stream(mint.show(F.col("p_brand")))))).alias("content"),
-    )
+    page = "<< /Type /Page /Parent 5 0 R /Resources << /Font << /F1 2 0 R >> >> /Contents [3 0 R 4 0 R] >>"
+    bodies = ("<< /Type /Catalog /Pages 5 0 R >>", font, mint.stream(mint.show(F.col("p_name"))), mint.stream(mint.show(F.col("p_brand"))), "<< /Type /Pages /Kids [6 0 R] /Count 1 >>", page)
+    minted = parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(F.array(*[mint.obj(i + 1, b) for i, b in enumerate(bodies)])).alias("content"))
     rows = reports.width_changes(minted)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "old_width", "new_width", "status")
 
@@ -281,7 +280,7 @@ QUERIES = {
         profile_summary, byte_range_digest, cmap_expand, width_proof,
     )
 }
-QUERIES |= catalogue_documents.QUERIES | catalogue_objects.QUERIES | catalogue_changes.QUERIES
+QUERIES |= catalogue_documents.QUERIES | catalogue_objects.QUERIES | catalogue_changes.QUERIES | catalogue_rows.QUERIES
 FLAGSHIP = "text_nodes_per_lang"
 
 _CHAIN = "list_extract([" + ", ".join(f"'{c}'" for c in CHAINS) + f"], (KEY % {len(CHAINS)} + 1)::INT)"
@@ -311,4 +310,4 @@ ORACLES = {
     "byte_range_digest": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS covered, sha256(coalesce(text, '')) AS digest FROM documents",
     "cmap_expand": "SELECT p_partkey AS doc_id, (p_partkey % 200 + i)::INT AS code, chr((65 + i)::INT) AS target FROM (SELECT p_partkey, unnest(range(0, p_size + 1)) AS i FROM part)",
     "width_proof": "WITH w AS (SELECT p_partkey AS doc_id, list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ord(p_name[i]) % 7 + 3))::BIGINT AS a, list_sum(list_transform(range(1, length(p_brand) + 1), lambda i: ord(p_brand[i]) % 7 + 3))::BIGINT AS b FROM part) SELECT doc_id, a AS old_width, b AS new_width, CASE WHEN b = a THEN 'width_proven' WHEN b < a THEN 'width_narrower' ELSE 'reflow_required' END AS status FROM w",
-} | catalogue_documents.ORACLES | catalogue_objects.ORACLES | catalogue_changes.ORACLES
+} | catalogue_documents.ORACLES | catalogue_objects.ORACLES | catalogue_changes.ORACLES | catalogue_rows.ORACLES
