@@ -49,3 +49,12 @@ def test_empty_table_and_null_conditions(spark):
     assert rules.quality(frame(spark, [])).count() == 0
     docs = frame(spark).select("doc_id", "text")
     assert rules.cascade(docs, [rules.Rule("null", F.lit(None).cast("boolean"))], ["null"]).where("not kept").count() == 0
+
+
+def test_rules_are_measured_over_counts_of_the_sample(spark):
+    docs = frame(spark).select("doc_id", "text")
+    ready = rules.default_rules(**{k: k for k in rules.KNOWN})
+    n = docs.count()
+    got = {name: (seconds, share) for name, seconds, share in rules.measured(docs, ready, 10 * n, rules.with_counts)}
+    from_text = {name: share for name, _, share in rules.measured(docs, rules.default_rules(), 10 * n)}
+    assert {k: v[1] for k, v in got.items()} == from_text and all(s > 0 for s, _ in got.values())

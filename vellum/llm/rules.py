@@ -8,6 +8,7 @@ rejects never evaluates a later one. The verdict is a conjunction, so the order
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,13 +101,15 @@ def default_rules(text: str = "text", **known: str) -> list[Rule]:
     ]
 
 
-def measured(df: DataFrame, rules: list[Rule], rows: int = 500) -> list[tuple[str, float, float]]:
+def measured(df: DataFrame, rules: list[Rule], rows: int = 500, prepare: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[str, float, float]]:
     """(rule, seconds, share rejected) of each rule over a random sample of about `rows` rows: the estimate behind the order.
 
-    The sample decides the order alone; rows is a documented bound on the cost of the estimate.
+    prepare adds what the rules read, to the sampled rows alone, so each rule is timed as the cascade runs it. The sample
+    decides the order alone; rows is a documented bound on the cost of the estimate.
     """
     share = min(1.0, rows / max(df.count(), 1))
-    few = df.sample(fraction=share, seed=11).cache()
+    few = df.sample(fraction=share, seed=11)
+    few = (few if prepare is None else prepare(few)).cache()
     total = max(few.count(), 1)
     out = []
     for rule in rules:
@@ -136,27 +139,30 @@ def cascade(df: DataFrame, rules: list[Rule], names: list[str], reject_if: Colum
     return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
 
 
+KNOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """docs(text) with the columns KNOWN and _words, the words in order."""
+    df = docs.withColumn("_words", words(F.col("text"))).withColumn("_lines", word_lines(F.col("text")))
+    counts = {
+        "n_words": F.size("_words"), "word_chars": F.length(F.array_join("_words", "")), "n_symbols": n_symbols(F.col("text")),
+        "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+    }
+    return df.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("_lines")
+
+
 def quality(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """Base counts and the verdict for each row of docs(doc_id, text); extra columns are left out.
 
     Null text counts as empty and has no words; base fails below 10 words, or where over a fifth of the words lie in
-    repeated windows. Equal rows get equal results. An empty table gives an empty result.
+    repeated windows. Equal rows get equal results. An empty table gives an empty result. Rules are measured as they run:
+    over counts that are there already.
     """
     docs = docs.select("doc_id", "text")
-    names = order(measured(docs, default_rules(), sample_rows))
-    t = F.col("text")
-    df = docs.withColumn("_words", words(t)).withColumn("_lines", word_lines(t))
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": n_symbols(t),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        }
-    ).drop("_lines")
-    df = with_repeat_words(df, "_words", "n_repeat_words").drop("_words")
+    rules = default_rules(**{k: k for k in KNOWN})
+    names = order(measured(docs, rules, sample_rows, lambda few: with_counts(few).drop("_words")))
+    df = with_repeat_words(with_counts(docs), "_words", "n_repeat_words").drop("_words")
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    known = {k: k for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")}
-    df = cascade(df, default_rules(**known), names, reject_if=F.col("base_failed"))
+    df = cascade(df, rules, names, reject_if=F.col("base_failed"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
