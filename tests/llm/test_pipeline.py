@@ -38,6 +38,31 @@ def test_stages_take_empty_tables(spark):
         assert step(spark, documents(spark, []), SMALL).count() == 0
 
 
+def test_stages_take_rows_that_share_an_id(spark):
+    """Equal ids with other texts, repeated rows, and null ids: each row is judged on its own text, but near copies are of documents."""
+    steps = dict(corpus_pipeline.STAGES)
+    long = next(r[1] for r in awkward() if r[0] == 13)
+    rows = [(1, "an apple a day keeps the doctor away", "en", "a"), (1, "another text of the same id altogether", "en", "a"), (2, "once more with feeling and with care", "en", "b"), (2, "once more with feeling and with care", "en", "b")]
+    rows += [(3, "an apple a day keeps the doctor away", "en", None), (None, long, "en", "a"), (None, None, None, None), (4, long[:400], "en", "b"), (5, "", None, None)]
+    docs = documents(spark, rows)
+    texts = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    every = sorted((str(r[0]), r[1] or "") for r in rows)
+    assert texts(steps["toxicity"](spark, docs, SMALL)) == every
+    kept = texts(steps["near copies"](spark, docs, SMALL))
+    once = list(every)
+    once.remove(("2", rows[2][1]))
+    once.remove(("3", rows[4][1]))
+    assert kept == once
+    got = steps["repeated spans"](spark, docs, SMALL).collect()
+    sizes = sorted((str(r[0]), n - gone) for r, (n, gone, *_) in zip(rows, removed([r[1] for r in rows]), strict=True))
+    assert sorted((str(r.doc_id), len(r.text.encode())) for r in got) == sizes
+    mixed = texts(steps["source mix"](spark, docs, SMALL))
+    assert set(mixed) <= set(every) and all(mixed.count(m) <= 3 * every.count(m) for m in mixed)
+    packed = steps["packing"](spark, docs, SMALL).collect()
+    ends = [p for p in packed if p.start + p.length == p.doc_tokens]
+    assert sorted(str(p.doc_id) for p in ends) == [e[0] for e in every]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) and [len(i) for i in out.ids] == list(out.length)
