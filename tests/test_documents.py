@@ -329,7 +329,7 @@ def test_pages_extracted_and_inserted(spark):
     assert texts(got.where("doc_id = 'a'")) == ["a0", "a1", "a2", "a0", "a1", "a2", "b2", "b0", "b2"]
     assert texts(got.where("doc_id = 'b'")) == ["a0", "a1", "a2", "b0", "b1", "b2"]
     for wrong in ([("a", 4, "b", 1, None)], [("a", -1, "b", 1, None)], [("a", None, "b", 1, None)], [("a", 0, "gone", 1, None)], [("a", 0, "b", 1, [3])], [("a", 0, "b", 1, None), ("a", 1, "b", 2, None)]):
-        assert documents.insert(objs, spark.createDataFrame(wrong, schema)).count() == 0
+        assert documents.inserted(objs, spark.createDataFrame(wrong, schema)).count() == 0
 
 
 def test_widths_are_those_of_the_font_in_use(spark):
