@@ -61,3 +61,20 @@ def test_queries_of_one_id_have_lists_of_their_own(spark):
     got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, k=5).collect()
     lists = [sorted((round(float(np.hypot(i - x, 1)), 9), i) for i in range(1, 60))[:5] for x in (5, 50, 5)]
     assert sorted((r["rank"], round(r.score, 9), r.vec_id) for r in got) == sorted((k + 1, *pair) for one in lists for k, pair in enumerate(one))
+
+
+def test_many_queries_at_once_give_what_each_gives_alone():
+    rng = np.random.default_rng(5)
+    points = np.repeat(rng.normal(size=(1500, 8)), 2, axis=0)  # every vector twice, so that ids decide
+    ids = np.concatenate([np.arange(2900), np.full(100, 7)])
+    tree = neighbours.VantageTree(ids, points)
+    near, found = tree.search_all(points[:300], ids[:300], 10)
+    for q in range(300):
+        assert list(zip(near[q].tolist(), found[q].tolist(), strict=True)) == tree.search(points[q], 10, int(ids[q]))
+
+
+def test_no_query_or_vector_is_broadcast(spark):
+    ship(spark)
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    found = neighbours.nearest(rows, F.col("vec_id") % 100 == 0, shard=100, block=10)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 300

@@ -3,15 +3,13 @@
 A node keeps a vantage point and the median distance to it of the vectors below: those within the median go to
 the inner child, the others to the outer one. A search skips a child if, by the triangle inequality, nothing in it
 can be nearer than the worst neighbour so far; with factor f it skips where the bound times f is beyond it. Factor 1 is
-exact, larger factors skip more. Trees are built once, written as rows, and meet blocks of queries: a unit of work is
-one tree and one block, both of bounded size.
+exact, larger factors skip more. A unit of work is the vectors of one shard, which become a tree where they are, and one
+slab of queries, both of bounded size; a tree is searched for many queries at once.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +19,11 @@ from pyspark.sql import functions as F
 from vellum.llm.common import stage
 
 LEAF = 512
-#: Vectors in a shard and queries in a block, on average; hashed ids keep all near it.
-SHARD, BLOCK = 8_000, 512
+#: Vectors in a shard and queries in a slab, on average; hashed ids keep all near it. Shards of many vectors are larger, up to
+#: MOST_SHARD, since each of them is sent all queries.
+SHARD, MOST_SHARD, SHARDS, SLAB = 8_000, 128_000, 120, 65_536
+#: Queries that go down a tree at once.
+TOGETHER = 1_024
 
 
 def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -96,41 +97,95 @@ class VantageTree:
             stack += sorted(pair, key=lambda x: -x[0])  # the nearer child is popped first
         return sorted((-d, -i) for d, i in best)
 
-
-def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pickled tree for each shard; rows come sorted by shard."""
-    shard, ids, points = None, [], []
-
-    def built() -> pa.RecordBatch:
-        tree = VantageTree(np.array(ids, np.int64), np.array(points, np.float64))
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["shard", "tree"])
-
-    for batch in batches:
-        for s, i, p in zip(*(batch.column(c).to_pylist() for c in ("shard", "vec_id", "point")), strict=True):
-            if s != shard:
-                if ids:
-                    yield built()
-                shard, ids, points = s, [], []
-            ids.append(i)
-            points.append(p)
-    if ids:
-        yield built()
-
-
-def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
-    """The k nearest of each query in one tree. One unit (tree, block of queries) a row."""
-    for batch in batches:
-        for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
-            tree = pickle.loads(tree.as_py())
-            out: dict[str, list] = {"asked": [], "query_id": [], "vec_id": [], "score": []}
-            for q in queries.as_py():
-                point = np.array(q["point"])
-                if len(point) != tree.points.shape[1]:
-                    continue
-                for d, i in tree.search(point, k, q["vec_id"], factor):
-                    for c, v in zip(out, (q["asked"], q["vec_id"], i, d), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+    def _bounds(self, node: int, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances of queries to a node's vantage point, and what they are at least to what lies in its children."""
+        d, (a, b, c, e) = distances(queries, self.points[self.vantage[node]]), self.median[node]
+        return d, np.maximum(a - d, d - b), np.maximum(c - d, d - e)
+
+    def search_all(self, queries: np.ndarray, skip: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) of the k nearest of each query, as search() gives them; infinite distances where there are fewer.
+
+        Each query first looks into the leaf that it would fall into. Then all of them go down the tree together.
+        """
+        n = len(queries)
+        near, ids = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        sizes, lengths = np.einsum("ij,ij->i", self.points, self.points), np.einsum("ij,ij->i", queries, queries)
+        first = np.zeros(n, np.int64)
+
+        def offer(who: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
+            fits = d <= near[who, k - 1]
+            who, d, own = who[fits], d[fits], self.ids[rows[fits]]
+            if not len(who):
+                return
+            asked = np.unique(who)
+            at = np.concatenate([who, np.repeat(asked, k)])
+            d, own = np.concatenate([d, near[asked].ravel()]), np.concatenate([own, ids[asked].ravel()])
+            order = np.lexsort((own, d, at))
+            begins = np.searchsorted(at[order], asked)
+            best = order[begins[:, None] + np.arange(k)]
+            near[asked], ids[asked] = d[best], own[best]
+
+        def leaf(node: int, who: np.ndarray) -> None:
+            rows = self.leaves[-node - 1]
+            if not len(rows) or not len(who):
+                return
+            # Squares by way of a product find who may be near enough; distances are then taken as they are defined.
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = lengths[who, None] + sizes[rows] - 2 * (queries[who] @ self.points[rows].T)
+                grain = 1e-9 * (lengths[who] + sizes[rows].max())
+                rough[self.ids[rows] == skip[who, None]] = np.inf
+                limit = near[who, k - 1] ** 2
+                if len(rows) > k:
+                    limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                q, r = np.nonzero(~(rough > (limit + grain)[:, None]) & (self.ids[rows] != skip[who, None]))
+            for part in range(0, len(q), 1 << 17):
+                a, b = who[q[part : part + (1 << 17)]], rows[r[part : part + (1 << 17)]]
+                offer(a, distances(self.points[b], queries[a]), b)
+
+        stack = [(self.root, np.arange(n))]
+        while stack:
+            node, who = stack.pop()
+            if node < 0:
+                first[who] = node
+                leaf(node, who)
+            elif len(who):
+                _, inner, outer = self._bounds(node, queries[who])
+                stack += [(self.inner[node], who[inner <= outer]), (self.outer[node], who[inner > outer])]
+        stack = [(self.root, np.arange(n), np.zeros(n))]
+        while stack:
+            node, who, bound = stack.pop()
+            left = ~(bound * factor * (1 - 1e-9) - 1e-12 > near[who, k - 1])
+            who, bound = who[left], bound[left]
+            if node < 0:
+                leaf(node, who[first[who] != node])
+            elif len(who):
+                d, inner, outer = self._bounds(node, queries[who])
+                row = self.vantage[node]
+                other = skip[who] != self.ids[row]
+                offer(who[other], d[other], np.full(other.sum(), row))
+                pair = [(self.inner[node], who, np.maximum(bound, inner)), (self.outer[node], who, np.maximum(bound, outer))]
+                stack += sorted(pair, key=lambda x: -x[2].mean())
+        return near, ids
+
+
+FOUND = "asked long, query_id long, vec_id long, score double"
+
+
+def searched(vectors: pa.Table, queries: pa.Table, k: int, factor: float) -> pa.Table:
+    """The k nearest of each query among the vectors of one shard."""
+    out: dict[str, list[np.ndarray]] = {"asked": [], "query_id": [], "vec_id": [], "score": []}
+    if len(vectors) and len(queries):
+        matrix = lambda t: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("point").chunks]).astype(np.float64).reshape(len(t), -1)
+        tree = VantageTree(vectors.column("vec_id").to_numpy(), matrix(vectors))
+        points, own, asked = matrix(queries), queries.column("vec_id").to_numpy(), queries.column("asked").to_numpy()
+        for at in range(0, len(points), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            near, ids = tree.search_all(points[part], own[part], k, factor)
+            who, place = np.nonzero(near < np.inf)
+            for c, v in zip(out, (asked[part][who], own[part][who], ids[who, place], near[who, place]), strict=True):
+                out[c].append(v)
+    kinds = {"asked": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+    return pa.table({c: pa.array(np.concatenate(v) if v else [], kinds[c]) for c, v in out.items()})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -143,7 +198,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.0, shard: int | None = None, block: int = SLAB) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row of vectors(vec_id, embedding) that `queries` selects.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Rows with a null vec_id, and
@@ -153,21 +208,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.
     """
     points = usable(vectors)
     n, asking = points.agg(F.count(F.lit(1)), F.count(F.when(queries, 1))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asking // block))
-    # Vectors of one length and shard meet in one tree.
-    key = lambda s: s.cast("long") * 2**31 + F.col("wide")
-    rows = points.withColumn("wide", F.size("point")).withColumn("shard", key(F.pmod(F.xxhash64("vec_id"), F.lit(shards))))
-    built = stage(rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(trees, "shard long, tree binary"))
-    asked = (
-        points.where(queries)
-        .withColumn("asked", F.monotonically_increasing_id())  # tells queries of one vec_id apart; fixed once written
-        .groupBy(F.size("point").alias("wide"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(9)), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("asked", "vec_id", "point")).alias("queries"))
-    )
-    asked = stage(asked)
-    every = asked.select("queries", "wide", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
-    every = every.select("queries", key(F.col("s")).alias("shard"))
-    units = every.join(built, "shard").select("tree", "queries").repartition(shards * blocks)
-    found = units.mapInArrow(lambda b: searched(b, k, factor), "asked long, query_id long, vec_id long, score double")
+    shard = shard or min(MOST_SHARD, max(SHARD, n // SHARDS))
+    shards, slabs = max(1, -(-n // shard)), max(1, -(-asking // block))
+    points = points.withColumn("wide", F.size("point"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # Vectors of one length and shard meet each slab of queries of that length.
+    unit = ("wide", "shard", "slab")
+    held = points.select("wide", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every(slabs).alias("slab"), "vec_id", "point")
+    asked = points.where(queries).withColumn("asked", F.monotonically_increasing_id())  # tells queries of one vec_id apart
+    asked = stage(asked.select("wide", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(9)), F.lit(slabs)).cast("int").alias("slab"), "asked", "vec_id", "point"))
+    asked = asked.select("wide", every(shards).alias("shard"), "slab", "asked", "vec_id", "point")
+    deal = lambda rows: rows.repartition(shards * slabs, *unit).groupBy(*unit)
+    found = deal(held).cogroup(deal(asked)).applyInArrow(lambda v, q: searched(v, q, k, factor), FOUND)
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
