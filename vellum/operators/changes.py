@@ -14,7 +14,7 @@ from vellum.operators.documents import numbers, transformed
 from vellum.operators.graph import annotations, bit, form_fields, name, pages
 from vellum.operators.rewrite import change, reachable, rewrite
 from vellum.operators.xfa import dataset_fields, packets, semantics
-from vellum.plans.staging import stage
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources.mint import raw_literal
 from vellum.sources.scan import entry, objects, ref_numbers, streams
 

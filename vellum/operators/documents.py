@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.graph import form_fields, name_entries, outlines, page_labels, pages
-from vellum.plans.staging import stage
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources.mint import document, obj, raw_literal
 from vellum.sources.scan import document_objects, entry, name, refs
 from vellum.sources.syntax import items, rebuilt, reference, renumbered

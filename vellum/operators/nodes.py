@@ -18,7 +18,7 @@ from vellum.functions.codecs import REVERSIBLE, chain_names, decode, parameters
 from vellum.functions.content import text_shows
 from vellum.functions.fonts import cmap, encoding, one_text, widths
 from vellum.operators.graph import below, page_list, target
-from vellum.sources.scan import document_objects, name, objects, streams
+from vellum.sources.scan import document_objects, name, objects, sound, streams
 from vellum.sources.syntax import items
 
 DOCUMENT, STREAM, TEXT = "pdf.document", "pdf.stream", "pdf.content.text_show"
@@ -147,15 +147,18 @@ TEXTS = (
 FONTS = "codes binary, cmap map<string,string>, table array<string>, widths map<int,int>, other_width int, code_size int"
 
 
-def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None, proven: bool) -> Iterator[pa.RecordBatch]:
     kinds = _TEXT | (_FONT if with_fonts else {})
     rows: list[dict] = []
     size = 0
     batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], schema=pa.schema(list(kinds.items())))
     for batch in batches:
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows += [r | {"doc_id": doc_id} for r in Texts(data or b"").texts(with_fonts) if only is None or r["text"] == only]
-            size += len(data or b"")
+            data = data or b""
+            own = document_objects(data)
+            if not proven or sound(data, own):
+                rows += [r | {"doc_id": doc_id} for r in Texts(data, own).texts(with_fonts) if only is None or r["text"] == only]
+            size += len(data)
             if size > 2_000_000 or len(rows) > 5_000:
                 yield batch_of()
                 rows.clear()
@@ -163,14 +166,15 @@ def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None
     yield batch_of()
 
 
-def text_rows(docs: DataFrame, with_fonts: bool = False, only: str | None = None) -> DataFrame:
+def text_rows(docs: DataFrame, with_fonts: bool = False, only: str | None = None, proven: bool = False) -> DataFrame:
     """Text-shows of docs(doc_id, content): stream (num), place in it (seq), text as the font says, page, form, text state.
 
     place counts a document's streams in the order in which pages, by number, show them; a form's text comes once for
     each time that it is invoked, text of streams that no page shows comes last, without a page. A form on its own
-    path, or below FORM_DEPTH others, is not followed. with_fonts: codes and what the font has; only: just this text.
+    path, or below FORM_DEPTH others, is not followed. with_fonts: codes and what the font has; only: just this text;
+    proven: just documents whose cross references lead to all objects.
     """
-    return docs.select("doc_id", "content").mapInArrow(lambda b: _texts(b, with_fonts, only), TEXTS + (f", {FONTS}" if with_fonts else ""))
+    return docs.select("doc_id", "content").mapInArrow(lambda b: _texts(b, with_fonts, only, proven), TEXTS + (f", {FONTS}" if with_fonts else ""))
 
 
 def plain_number(x: Column) -> Column:

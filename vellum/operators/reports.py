@@ -9,7 +9,7 @@ from vellum.functions.codecs import capability, filter_chain
 from vellum.operators.facts import facts, relation
 from vellum.operators.graph import annotations, described
 from vellum.operators.nodes import cmap_of, text_rows
-from vellum.plans.staging import stage
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources.scan import MARKERS, detected, entry, markers, name, number, object_rows, objects, streams, xref_summary
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions.codecs import chain_names, encode
 from vellum.operators.graph import name
 from vellum.sources.mint import document
-from vellum.sources.scan import entry, objects, trailers, xref_entries
+from vellum.sources.scan import entry, reachable  # noqa: F401
 from vellum.sources.syntax import rebuilt
 
 CHANGES = "doc_id string, num int, sets map<string,string>, data binary"
@@ -60,20 +60,6 @@ def rewrite(objs: DataFrame, changes: DataFrame, every: bool = False, pack: bool
     return joined.select("doc_id", document(F.col("objects"), F.coalesce("t.num", F.lit(1)), F.coalesce("t.extra", F.lit("")), pack).alias("content"), "error")
 
 
-def reachable(docs: DataFrame) -> DataFrame:
-    """doc_id, sound: whether the cross references lead to every object of the file, nowhere else, and the trailer to a root that is there."""
-    found = objects(docs).where(~((name("Type") == "XRef") & F.col("raw").isNotNull()))
-    there = found.select("doc_id", F.col("num").cast("long").alias("num"), F.when(F.col("container").isNull(), F.col("offset")).alias("at"), F.col("container").cast("long").alias("in"))
-    listed = xref_entries(docs).groupBy("doc_id", "num").agg(F.max_by(F.struct("offset", "container"), "section").alias("x"))
-    both = there.join(listed, ["doc_id", "num"], "full")
-    good = F.when(F.col("in").isNotNull(), F.col("x.container").eqNullSafe(F.col("in"))).otherwise(F.col("x.offset").eqNullSafe(F.col("at")))
-    of_xref = objects(docs).where((name("Type") == "XRef") & F.col("raw").isNotNull()).select("doc_id", F.col("num").cast("long").alias("num"))
-    fits = both.join(of_xref, ["doc_id", "num"], "left_anti").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good"))
-    rooted = trailers(docs).select("doc_id", F.nullif(F.regexp_extract(F.coalesce(entry("Root"), F.lit("")), r"^(\d+)", 1), F.lit("")).cast("long").alias("root"), "has_end")
-    rooted = rooted.join(there.select("doc_id", F.col("num").alias("root"), F.lit(True).alias("here")), ["doc_id", "root"], "left")
-    return rooted.join(fits, "doc_id", "left").select("doc_id", (F.coalesce("good", F.lit(False)) & F.coalesce("here", F.lit(False)) & F.col("has_end")).alias("sound"))
-
-
 def change(doc_id: Column, num: Column, sets: Column | None = None, data: Column | None = None) -> list[Column]:
     """The columns of a change."""
     none = F.lit(None)

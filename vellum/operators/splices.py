@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import chain_names
-from vellum.plans.staging import stage
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources.scan import TABLE_LINE, TABLE_RUN, TABLE_START, document_objects
 from vellum.sources.syntax import reference
 

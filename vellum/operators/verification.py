@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.graph import pages
 from vellum.operators.nodes import text_rows
-from vellum.plans.staging import stage
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources.scan import dangling, entry, objects, ref_numbers
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vellum.operators import adapters, changes, documents, edits, graph, mutations, reports, splices
 from vellum.operators.nodes import text_rows
-from vellum.plans.staging import stage, table
+from vellum.plans.staging import dealt, table
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources import mint
 from vellum.sources.scan import objects
 
@@ -30,7 +31,7 @@ def _written(got: DataFrame) -> DataFrame:
 
 def surgical_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments replaced in place where they are BUILDING: texts read back, and whether all bytes behind the edited stream but the offsets are the old ones."""
-    customers = table(spark, sf_dir, "customer")
+    customers = dealt(spark, sf_dir, "customer")
     minted = stage(_docs(customers, "c_custkey", *_PAGE, mint.stream(mint.show(F.col("c_mktsegment"))), mint.stream(mint.show(F.col("c_name")))))
     got = stage(edits.edit(minted, "BUILDING", "a segment of a longer name", mode="surgical"))
     texts = text_rows(_written(got)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "seq", "text"))), lambda t: t["text"]), "|").alias("texts"))
@@ -54,7 +55,7 @@ _ASKED = {"mode": ("", "auto", "canonical", "surgical", "preserve-structure", "m
 
 def edit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' documents, plain, encrypted or signed, edited in every mode, with every wish about signatures, with and without a password."""
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(spark, sf_dir, "part")
     kind = F.floor(F.col("p_partkey") / 60) % 3
     pick = lambda k, by: F.element_at(F.array(*map(F.lit, _ASKED[k])), (F.floor(F.col("p_partkey") / by) % len(_ASKED[k]) + 1).cast("int"))
     signed = F.when(kind == 2, "<< /Type /Sig /ByteRange [0 1 2 3] >>").otherwise("null")
@@ -66,7 +67,7 @@ def edit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packet_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' XML forms: the second `x` of the template and the data together becomes the priority, where there are so many."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(spark, sf_dir, "orders")
     tags = lambda n, name: F.concat(F.lit(f"<{name}>"), F.repeat(F.lit("-x"), n.cast("int")), F.lit(f"</{name}>"))
     minted = _docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(tags(F.col("o_orderkey") % 3, "t")), mint.stream(tags(F.col("o_custkey") % 3, "d")))
     got = stage(mutations.replace_in_packets(minted, "x", "y-&", at=1))
@@ -76,7 +77,7 @@ def packet_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def radio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as radio buttons with a widget for each of three types, set to the event's own; every fifth has a second wish, which clashes unless the first is refused."""
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events")
     kinds = ("view", "click", "purchase")
     kids = [f"<< /Parent 4 0 R /Subtype /Widget /AS /Off /AP << /N << /{k} 8 0 R /Off 8 0 R >> >> >>" for k in kinds]
     minted = _docs(events, "event_id", *_FORM[:3], "<< /T (kind) /FT /Btn /Ff 32768 /Kids [5 0 R 6 0 R 7 0 R] >>", *kids, mint.stream(F.lit("")))
@@ -91,7 +92,7 @@ def radio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fields_made_and_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' forms get a field of their nation, if it is below 20, and lose the one they had: fields and values read back."""
-    customers = table(spark, sf_dir, "customer")
+    customers = dealt(spark, sf_dir, "customer")
     minted = _docs(customers, "c_custkey", *_FORM, F.concat(F.lit("<< /T (segment) /FT /Tx /Subtype /Widget /V "), mint.literal(F.col("c_mktsegment")), F.lit(" >>")))
     key = F.col("c_custkey").cast("string").alias("doc_id")
     box = F.array(F.lit(0.0), F.lit(0.0), F.lit(20.0) - F.col("c_nationkey"), F.lit(1.0))
@@ -104,7 +105,7 @@ def fields_made_and_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as images, every third under a filter and every fifth no image, exchanged for the part's brand."""
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(spark, sf_dir, "part")
     kind = F.when(F.col("p_partkey") % 5 == 0, "/Subtype /Form").otherwise("/Subtype /Image")
     names = F.concat(kind, F.when(F.col("p_partkey") % 3 == 0, " /Filter /DCTDecode").otherwise(""))
     minted = _docs(parts, "p_partkey", "<< /Type /Catalog >>", mint.stream(F.col("p_name"), names))
@@ -127,7 +128,7 @@ def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names under three ranges (the first, the third and the last letter), by SHA-1 and SHA-256; every fourth has ranges that can't be."""
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(spark, sf_dir, "part")
     head = "%PDF-1.7\n1 0 obj\n<< /ByteRange ["
     start = len(head) + 3 * 2 * 6 + len("] >>\nendobj\n")
     number = lambda c: F.concat(F.lpad(c.cast("string"), 5, "0"), F.lit(" "))

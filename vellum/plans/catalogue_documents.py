@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from vellum.operators import documents, graph, xfa
 from vellum.operators.verification import verify_pages
 from vellum.plans.shared import page_texts
-from vellum.plans.staging import stage, table
+from vellum.plans.staging import dealt, table
+from vellum.plans.staging import stage_documents as stage
 from vellum.sources import mint
 from vellum.sources.scan import entry, name, number, objects, xref_entries
 
 
 def xref_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cross-reference sections for each order: the second moves object 2 and adds object 3 by the total price."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(spark, sf_dir, "orders")
     pad = lambda c: F.lpad(c.cast("string"), 10, "0")
     price = F.floor("o_totalprice").cast("long") % 1_000_000
     first = F.concat(F.lit("%PDF-1.7\nxref\n0 3\n0000000000 65535 f \n0000000009 00000 n \n"), pad(F.col("o_custkey")), F.lit(" 00000 n \ntrailer\n<< >>\n"))
@@ -27,7 +28,7 @@ def xref_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of names for each customer, merged by nation: the names are segments, so that they collide."""
-    customers = table(spark, sf_dir, "customer")
+    customers = dealt(spark, sf_dir, "customer")
     leaf = F.concat(F.lit("<< /Names ["), mint.literal(F.col("c_mktsegment")), F.lit(" 5 0 R "), mint.literal(F.col("c_name")), F.lit(" 6 0 R] >>"))
     body = F.array(
         mint.obj(1, "<< /Type /Catalog /Names 2 0 R >>"), mint.obj(2, "<< /Dests 3 0 R >>"), mint.obj(3, "<< /Kids [7 0 R] >>"), mint.obj(7, "<< /Kids [4 0 R] >>"), mint.obj(4, leaf), mint.obj(5, "[0]"), mint.obj(6, "[1]"),
@@ -54,7 +55,7 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages: turned by size times 30 degrees, cropped to size by retail price, scaled by two."""
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(spark, sf_dir, "part")
     page = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Turn "), (F.col("p_size") * 30).cast("string"), F.lit(" /CropTo [0 0 "), (F.col("p_size") - 5).cast("string"), F.lit(" "), F.floor("p_retailprice").cast("string"), F.lit("] >>"))
     body = F.array(mint.obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>"), mint.obj(3, page))
     objs = stage(objects(parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
@@ -67,7 +68,7 @@ def ocr_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as recognised text on the pages of conversations: page by user, confidence by value."""
     turns = table(spark, sf_dir, "conversations")
     counts = graph.pages(mint.paged(turns, "conv_id", "turn", mint.show(F.coalesce("role", F.lit(""))))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events")
     box = F.struct(F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), (F.col("event_id") % 5).cast("double").alias("x_max"), F.lit(1.0).alias("y_max"))
     docs = counts.count()  # events are spread over all of them, as conversations are numbered without gaps
     items = events.select((F.col("event_id") % docs).cast("string").alias("doc_id"), (F.col("user_id") % 6 - 1).cast("int").alias("page_index"), F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("text"), box.alias("box"), (F.col("event_id") % 13 / 10).alias("confidence"))
@@ -79,7 +80,7 @@ def fallback_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes, used = (F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int")) for names, c in ((("none", "overlay", "ocr_text_layer", "magic"), "event_id"), (("none", "overlay", "ocr_text_layer"), "user_id")))
     asked = F.when(F.col("event_id") % 3 == 0, "true").otherwise("false")
     body = F.concat(F.lit("<< /Type /Catalog /Policy << /Mode /"), modes, F.lit(" /Used /"), used, F.lit(" /Explicit "), asked, F.lit(" >> >>"))
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events")
     objs = objects(events.select(F.col("event_id").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, body))).alias("content")))
     rows = objs.select(documents.fallback_policy(name("Policy/Mode"), name("Policy/Used"), entry("Policy/Explicit") == "true").alias("status"))
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -97,7 +98,7 @@ def byte_range_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def choice_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' priorities as a choice of five, by export or display text."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(spark, sf_dir, "orders")
     options = "".join(f"[({i}) ({p})]" for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     value = F.when(F.col("o_orderkey") % 4 == 0, F.lit("nothing")).otherwise(F.col("o_orderpriority"))
     body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>"), mint.obj(2, F.concat(F.lit(f"<< /FT /Ch /T (p) /Opt [{options}] /V "), mint.literal(value), F.lit(" >>"))))
@@ -107,7 +108,7 @@ def choice_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xfa_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template fields of orders' XML forms matched by path, or by a last part that only one field has."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(spark, sf_dir, "orders")
     tag = lambda k, c: F.concat(F.lit(f"<{k}>"), c.cast("string"), F.lit(f"</{k}>"))
     data = F.concat(F.lit("<datasets><data><order>"), tag("status", F.col("o_orderstatus")), tag("id", F.col("o_orderkey")), F.lit("</order><buyer>"), tag("id", F.col("o_custkey")), F.lit("</buyer></data></datasets>"))
     form = "<template><subform name='order'><field name='id'/><field name='status'/></subform><subform name='form'><field name='id'/></subform><field name='buyer.id'/></template>"

@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.nodes import text_rows
-from vellum.operators.rewrite import reachable
-from vellum.plans.staging import stage
 
 
 def page_texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, page_index and the digest of its text, of documents whose cross references lead to all objects; doc_id as it is with keep."""
-    docs = stage(docs)
-    rows = text_rows(docs).where("page_index is not null")
-    rows = rows.join(reachable(docs).where("sound").select("doc_id"), "doc_id", "left_semi")
+    rows = text_rows(docs, proven=True).where("page_index is not null")
     if keep:
         return rows.select("doc_id", "page_index", *keep)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("long").alias("page_index"), F.md5("text").alias("digest"))

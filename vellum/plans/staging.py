@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The most rows of a table that one task makes documents of, and the fewest that are worth a task.
+TASK_ROWS, FEW_ROWS = 20_000, 1_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """table(), its rows dealt to enough tasks that all cores have some of them.
+
+    A file of short rows is read by one task, however many rows it has; a document is made and parsed of each of them.
+    """
+    rows = table(spark, sf_dir, name)
+    n = rows.count()
+    parts = min(-(-n // FEW_ROWS), max(4 * spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees; a temporary one only where the session names none and runs on this machine alone, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -53,3 +68,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_documents(df: DataFrame) -> DataFrame:
+    """stage(), of documents or what was found in them: joins with it are merges.
+
+    Files of documents that resemble each other are a small part of their rows, so that by their size alone they would be broadcast.
+    """
+    return stage(df).hint("merge")
