@@ -100,6 +100,8 @@ class Texts:
     def forms(self, num: int, index: int, page: int, owner: int, depth: int, above: tuple, shown: set) -> Iterator[tuple]:
         if depth > FORM_DEPTH:
             return
+        if b"Do" not in self.stream(num):
+            return
         listed = below(self.nodes, below(self.nodes, self.nodes.get(owner, {}), "Resources"), "XObject")
         for key in dict.fromkeys(codes.decode("latin-1") for op, codes, *_ in text_shows(self.stream(num)) if op == "Do"):
             form = target(listed.get(key))
