@@ -32,3 +32,12 @@ def test_pages_are_held_against_what_was_asked(spark):
     free = told(verify_pages(docs, spark.createDataFrame([], WANTED)))
     assert {d: v[-1] for d, v in free.items()} == {"array": True, "bare": True, "lost": False, "none": True, "null": True}
     assert verify_pages(docs.limit(0), wanted).count() == 0
+
+
+def test_documents_are_parsed_once_and_their_objects_are_not_shuffled(spark):
+    ship(spark)
+    docs = spark.range(3).select(F.col("id").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(1, "<< /Type /Catalog /Of 5 0 R /To [6 0 R 5 0 R] >>"))).alias("content"))
+    rows = verify_pages(docs, spark.createDataFrame([], WANTED))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "num#" not in plan
+    assert {(r.page_count, r.dangling) for r in rows.collect()} == {(0, 3)}

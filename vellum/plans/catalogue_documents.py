@@ -126,7 +126,7 @@ def page_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", "l_partkey", "l_returnflag").alias("shown"), "l_returnflag")
     loose = F.when(F.col("l_orderkey") % 5 == 0, F.lit("/Annots [9999 0 R]")).otherwise("")
     hidden = F.when(F.col("l_returnflag") == "R", F.lit("/Contents [] ")).otherwise("")
-    docs = stage(mint.paged(lines, "l_orderkey", "l_linenumber", mint.show(F.col("shown")), F.concat(hidden, loose)))
+    docs = mint.paged(lines, "l_orderkey", "l_linenumber", mint.show(F.col("shown")), F.concat(hidden, loose))
     wanted = lines.groupBy("l_orderkey").agg(
         (F.count(F.lit(1)) + (F.col("l_orderkey") % 3 == 0).cast("long")).alias("page_count"), F.collect_set("shown").alias("texts"),
     )
