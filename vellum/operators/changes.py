@@ -6,22 +6,22 @@ import re
 import xml.parsers.expat
 from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.documents import numbers, transformed
 from vellum.operators.graph import annotations, bit, form_fields, name, pages
-from vellum.operators.rewrite import change, reachable, rewrite
+from vellum.operators.rewrite import change, reachable, rewrite, rewritten
 from vellum.operators.xfa import dataset_fields, packets, semantics
 from vellum.plans.staging import stage_documents as stage
 from vellum.sources.mint import raw_literal
-from vellum.sources.scan import entry, objects, ref_numbers, streams
+from vellum.sources.scan import entry, objects, ref_numbers
 
 
 def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """plans(doc_id, *keys, expected, status) with content where the written document is sound and says what was expected; else verification_failed."""
-    got = plans.join(written, "doc_id", "left").join(reachable(written), "doc_id", "left").join(after, ["doc_id", *keys], "left")
+    whole = written if "sound" in written.columns else written.join(reachable(written), "doc_id", "left")
+    got = plans.join(whole, "doc_id", "left").join(after, ["doc_id", *keys], "left")
     fine = F.coalesce(F.col("sound") & F.col("error").isNull() & F.col("found").eqNullSafe(F.col("expected")), F.lit(False))
     status = F.when((F.col("status") == "ok") & ~fine, "verification_failed").otherwise(F.col("status"))
     return got.select("doc_id", *keys, status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
@@ -140,14 +140,12 @@ def set_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Notes that stand in a page's list itself, and those with rich text, are left alone.
     """
-    objs = stage(objects(docs))
-    rows = wanted.select("doc_id", "annotation_index", F.col("contents").alias("expected")).join(annotations(objs, pages(objs)).drop("contents"), ["doc_id", "annotation_index"], "left")
+    rows = wanted.select("doc_id", "annotation_index", F.col("contents").alias("expected")).join(annotations(docs.select("doc_id", "content")).drop("contents"), ["doc_id", "annotation_index"], "left")
     status = F.when(F.col("subtype").isNull(), "no_annotation").when(F.col("num").isNull(), "direct_annotation").when(F.array_contains("appearance_blockers", "rich_text_content"), "rich_text").otherwise("ok")
     plans = stage(rows.select("doc_id", "annotation_index", "num", "expected", status.alias("status")))
     sets = F.create_map(F.lit("Contents"), raw_literal(F.col("expected")), F.lit("AP"), F.lit(None).cast("string"))
-    written = stage(rewrite(objs, plans.where("status = 'ok'").select(*change(F.col("doc_id"), F.col("num"), sets))))
-    again = objects(written)
-    after = annotations(again, pages(again)).select("doc_id", "annotation_index", F.col("contents").alias("found"))
+    written = stage(rewritten(docs, plans.where("status = 'ok'").select("doc_id", "num", sets.alias("sets"))))
+    after = annotations(written).select("doc_id", "annotation_index", F.col("contents").alias("found"))
     return verified(plans.drop("num"), written, after, ["annotation_index"])
 
 
@@ -157,8 +155,8 @@ def transform_pages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A document with a wish that can't be met is left alone; status is the first reason. A scaled page's content must
     be unfiltered and its own: it is wrapped in the matrix.
     """
-    objs = stage(objects(docs))
-    asked = pages(objs).join(wanted.select("doc_id", "page_index", "turn", "crop", "scale"), ["doc_id", "page_index"])
+    objs = stage(objects(docs).select("doc_id", "num", "entries", F.when(F.col("raw").isNotNull(), F.lit(True)).alias("raw")))
+    asked = pages(docs.select("doc_id", "content")).join(wanted.select("doc_id", "page_index", "turn", "crop", "scale"), ["doc_id", "page_index"])
     size = F.coalesce("scale", F.lit(1.0))
     rows = transformed(asked, F.coalesce("turn", F.lit(0)), F.col("crop"), size).withColumn("old_box", numbers(F.col("media_box")))
     content = objs.where("raw is not null").select("doc_id", F.col("num").alias("c"), (F.size(F.regexp_extract_all(F.coalesce(entry("Filter"), F.lit("")), F.lit(r"/(\w+)"))) > 0).alias("filtered"))
@@ -172,11 +170,11 @@ def transform_pages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     good = plans.where("status = 'ok'").select("doc_id")
     box = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), " "), F.lit("]"))
     sets = F.map_filter(F.create_map(F.lit("Rotate"), F.col("rotate").cast("string"), F.lit("MediaBox"), F.when(size != 1.0, box(F.transform("old_box", lambda x: x * size))), F.lit("CropBox"), F.when(F.col("crop").isNotNull(), box(F.col("box")))), lambda _, v: v.isNotNull())
-    own = rows.join(good, "doc_id", "left_semi").select(*change(F.col("doc_id"), F.col("num"), sets))
-    data = streams(objs).select("doc_id", F.col("num").alias("c"), "data").join(scaled.join(good, "doc_id", "left_semi").select("doc_id", "c", "s"), ["doc_id", "c"])
-    wrapped = F.concat(F.concat(F.lit("q "), F.col("s").cast("string"), F.lit(" 0 0 "), F.col("s").cast("string"), F.lit(" 0 0 cm\n")).cast("binary"), F.col("data"), F.lit(b"\nQ"))
-    written = stage(rewrite(objs, own.unionByName(data.select(*change(F.col("doc_id"), F.col("c"), data=wrapped)))))
-    got = plans.join(written, "doc_id", "left").join(reachable(written), "doc_id", "left")
+    own = rows.join(good, "doc_id", "left_semi").select("doc_id", "num", sets.alias("sets"), F.lit(None).cast("binary").alias("before"))
+    before = F.concat(F.lit("q "), F.col("s").cast("string"), F.lit(" 0 0 "), F.col("s").cast("string"), F.lit(" 0 0 cm\n")).cast("binary")
+    wrapped = scaled.join(good, "doc_id", "left_semi").select("doc_id", F.col("c").alias("num"), F.lit(None).cast("map<string,string>").alias("sets"), before.alias("before"))
+    written = stage(rewritten(docs, own.unionByName(wrapped), lambda old, w: w["before"] + old + b"\nQ"))
+    got = plans.join(written, "doc_id", "left")
     status = F.when((F.col("status") == "ok") & ~F.coalesce(F.col("sound"), F.lit(False)), "verification_failed").otherwise(F.col("status"))
     return got.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
 
@@ -213,22 +211,12 @@ def _with_value(data: bytes, path: str, new: str) -> bytes | None:
 
 def set_data(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, path, status, content: a leaf of the XML data set: wanted(doc_id, path, value); only in forms that need no renderer."""
-    objs = stage(objects(docs))
-    rows = wanted.select("doc_id", "path", F.col("value").alias("expected")).join(semantics(objs).select("doc_id", "editable"), "doc_id", "left")
-    there = dataset_fields(objs).groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n"), F.first("packet").alias("packet"))
-    rows = rows.join(there, ["doc_id", "path"], "left").join(packets(objs).select("doc_id", "packet", "num"), ["doc_id", "packet"], "left")
+    held = stage(packets(docs.select("doc_id", "content")))
+    rows = wanted.select("doc_id", "path", F.col("value").alias("expected")).join(semantics(held).select("doc_id", "editable"), "doc_id", "left")
+    there = dataset_fields(held).groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n"), F.first("packet").alias("packet"))
+    rows = rows.join(there, ["doc_id", "path"], "left").join(held.select("doc_id", "packet", "num"), ["doc_id", "packet"], "left")
     status = F.when(~F.coalesce("editable", F.lit(False)), "not_editable").when(F.col("n").isNull(), "no_field").when(F.col("n") > 1, "ambiguous_field").when(F.col("num").isNull(), "not_a_stream").otherwise("ok")
     plans = stage(rows.select("doc_id", "path", "expected", "num", status.alias("status")))
-    data = streams(objs).select("doc_id", "num", "data").join(plans.where("status = 'ok'"), ["doc_id", "num"])
-    made = data.select(*change(F.col("doc_id"), F.col("num"), data=_replaced(F.col("data"), F.col("path"), F.col("expected"))))
-    written = stage(rewrite(objs, made))
+    written = stage(rewritten(docs, plans.where("status = 'ok'").select("doc_id", "num", "path", "expected"), lambda old, w: _with_value(old, w["path"], w["expected"])))
     after = dataset_fields(written).groupBy("doc_id", "path").agg(F.first("value").alias("found"))
     return verified(plans.drop("num"), written, after, ["path"])
-
-
-def _replaced(data: Column, path: Column, new: Column) -> Column:
-    @F.pandas_udf("binary")
-    def apply(d: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_with_value(bytes(a), b, c) for a, b, c in zip(d, p, n, strict=True)], dtype=object)
-
-    return apply(data, path, new)

@@ -346,7 +346,7 @@ def byte_range_status(docs: DataFrame) -> DataFrame:
 
 
 def choice_status(objs: DataFrame) -> DataFrame:
-    """doc_id, num, options, selected of choice fields: the value must be one option's export or display text, once."""
+    """doc_id, num, options, selected of choice fields of objects or documents: the value must be one option's export or display text, once."""
     rows = form_fields(objs).where("type = 'Ch'").select("doc_id", "num", F.col("value").alias("v"), F.col("options").alias("o"))
     found = F.filter(F.transform("o", lambda x, i: F.when((x["export"] == F.col("v")) | (x["display"] == F.col("v")), i)), lambda i: i.isNotNull())
     return rows.select("doc_id", "num", F.size("o").alias("options"), F.when(F.size(found) == 1, found[0]).alias("selected"))

@@ -7,6 +7,7 @@ document. All that can be said of a node by itself is columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from vellum.sources.syntax import items, reference, string_text
 #: What a page takes from the nodes above it where it has none of its own.
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate", "ArtBox", "BleedBox", "TrimBox")
 Nodes = dict[int, dict[str, str]]
+_NUMBERS = re.compile(r"(\d+)\s+\d+\s+R\b")
+_DIRECT = re.compile(r"Annots/\[(\d+)\]/Subtype")
 
 
 def only(*keys: str, under: tuple[str, ...] = ()) -> Column:
@@ -366,12 +369,43 @@ def border_blocker(subtype: Column) -> Column:
     return F.when(entry("BS").isNotNull() & subtype.isin("Link", "Square", "Circle"), styled).when((subtype == "Link") & border.isNotNull() & plain_border, "unsupported_border")
 
 
-def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
+NOTES = "annotation_index int, page_index int, num int, entries map<string,string>"
+
+
+def _marked(own: dict[str, str]) -> bool:
+    return own.get("Type") == "/Annot" or (own.get("Subtype", "").startswith("/") and own.get("Rect", "").startswith("["))
+
+
+def walk_notes(nodes: Nodes) -> Iterator[tuple]:
+    here: dict[int, list[int]] = {}
+    for index, num, _ in page_list(nodes):
+        here.setdefault(num, []).append(index)
+    first: dict[int, int] = {}
+    direct: list[tuple] = []
+    for page, own in nodes.items():
+        if "Annots" not in own:
+            continue
+        for num in map(int, _NUMBERS.findall(own["Annots"])) if page in here else ():
+            first[num] = min(first.get(num, here[page][0]), here[page][0])
+        for at in {int(m[1]) for k in own if (m := _DIRECT.fullmatch(k))}:
+            prefix = f"Annots/[{at}]/"
+            note = {k.replace(prefix, ""): v for k, v in own.items() if k.startswith(prefix)}
+            direct += [(page, at, index, note) for index in here.get(page, [None]) if _marked(note)]
+    rows = [(first.get(num), num, own) for num, own in sorted(nodes.items()) if _marked(own)]
+    rows += [(index, None, note) for _, _, index, note in sorted(direct, key=lambda d: d[:2])]
+    for i, row in enumerate(rows):
+        yield i, *row
+
+
+def annotations(objs: DataFrame, page_rows: DataFrame | None = None) -> DataFrame:
     """doc_id, annotation_index, page_index, num, subtype, contents, rect, flags and what they allow.
 
     Annotations with a number of their own come first, by number, each once, on the first page that lists it; then
-    those that stand in a page's list itself.
+    those that stand in a page's list itself. Of documents(doc_id, content) they are found where a document is parsed, of
+    objects by joins with page_rows, their pages().
     """
+    if "content" in objs.columns:
+        return _noted(by_document(objs, lambda o: o, walk_notes, NOTES))
     marked = lambda p: (entry(f"{p}Type") == "/Annot") | (F.coalesce(entry(f"{p}Subtype"), F.lit("")).startswith("/") & F.coalesce(entry(f"{p}Rect"), F.lit("")).startswith("["))
     here = page_rows.select("doc_id", F.col("num").alias("page"), "page_index")
     lists = objs.where(entry("Annots").isNotNull()).select("doc_id", F.col("num").alias("page"), "entries")
@@ -383,6 +417,11 @@ def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
     direct = direct.withColumn("entries", F.transform_keys(F.map_filter("entries", lambda k, _: F.startswith(k, prefix)), lambda k, _: F.replace(k, prefix, F.lit(""))))
     direct = direct.where(marked("")).join(here, ["doc_id", "page"], "left").select("doc_id", F.lit(1).alias("a"), F.col("page").alias("b"), "c", F.lit(None).cast("int").alias("num"), "page_index", "entries")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b", "c")) - 1
+    return _noted(own.unionByName(direct).withColumn("annotation_index", index))
+
+
+def _noted(found: DataFrame) -> DataFrame:
+    """What there is to say of annotations(doc_id, annotation_index, page_index, num, entries)."""
     rect = F.transform(F.regexp_extract_all(F.coalesce(entry("Rect"), F.lit("")), F.lit(r"([-+]?(?:\d+\.?\d*|\.\d+))"), F.lit(1)), lambda x: x.cast("double"))
     script = F.exists(F.map_keys("entries"), lambda k: (k == "A/S") & (F.col("entries")[k] == "/JavaScript"))
     unsafe = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in ((entry("RC").isNotNull(), "rich_text_content"), (script, "javascript_action"), (entry("AA").isNotNull(), "additional_actions"))]))
@@ -392,8 +431,8 @@ def annotations(objs: DataFrame, page_rows: DataFrame) -> DataFrame:
     reason = F.when(~basic, "unsupported_subtype").when(~area, "missing_usable_rect").otherwise(border_blocker(name("Subtype")))
     status = F.when(F.size(unsafe) > 0, "unsafe").when(reason.isNotNull(), "unsupported").otherwise("approximate_supported")
     blockers = F.when(F.size(unsafe) > 0, unsafe).when(reason.isNotNull(), F.array(reason)).otherwise(F.array().cast("array<string>"))
-    return own.unionByName(direct).select(
-        "doc_id", index.alias("annotation_index"), "page_index", "num", name("Subtype").alias("subtype"), text("Contents").alias("contents"), text("NM").alias("name"), text("M").alias("modified"), rect.alias("rect"),
+    return found.select(
+        "doc_id", "annotation_index", "page_index", "num", name("Subtype").alias("subtype"), text("Contents").alias("contents"), text("NM").alias("name"), text("M").alias("modified"), rect.alias("rect"),
         number("F").alias("flags"), flag_names(number("F"), ANNOTATION_FLAGS).alias("flag_names"), status.alias("appearance_status"), blockers.alias("appearance_blockers"),
     )
 

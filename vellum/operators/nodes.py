@@ -149,7 +149,7 @@ TEXTS = (
 FONTS = "codes binary, cmap map<string,string>, table array<string>, widths map<int,int>, other_width int, code_size int"
 
 
-def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None, proven: bool) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None, proven: bool, every: bool = False) -> Iterator[pa.RecordBatch]:
     kinds = _TEXT | (_FONT if with_fonts else {})
     rows: list[dict] = []
     size = 0
@@ -158,8 +158,11 @@ def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
             data = data or b""
             own = document_objects(data)
+            before = len(rows)
             if not proven or sound(data, own):
                 rows += [r | {"doc_id": doc_id} for r in Texts(data, own).texts(with_fonts) if only is None or r["text"] == only]
+            if every and len(rows) == before:
+                rows.append({"doc_id": doc_id})
             size += len(data)
             if size > 2_000_000 or len(rows) > 5_000:
                 yield batch_of()
@@ -168,15 +171,15 @@ def _texts(batches: Iterator[pa.RecordBatch], with_fonts: bool, only: str | None
     yield batch_of()
 
 
-def text_rows(docs: DataFrame, with_fonts: bool = False, only: str | None = None, proven: bool = False) -> DataFrame:
+def text_rows(docs: DataFrame, with_fonts: bool = False, only: str | None = None, proven: bool = False, every: bool = False) -> DataFrame:
     """Text-shows of docs(doc_id, content): stream (num), place in it (seq), text as the font says, page, form, text state.
 
     place counts a document's streams in the order in which pages, by number, show them; a form's text comes once for
     each time that it is invoked, text of streams that no page shows comes last, without a page. A form on its own
     path, or below FORM_DEPTH others, is not followed. with_fonts: codes and what the font has; only: just this text;
-    proven: just documents whose cross references lead to all objects.
+    proven: just documents whose cross references lead to all objects; every: a row of nulls for a document without any.
     """
-    return docs.select("doc_id", "content").mapInArrow(lambda b: _texts(b, with_fonts, only, proven), TEXTS + (f", {FONTS}" if with_fonts else ""))
+    return docs.select("doc_id", "content").mapInArrow(lambda b: _texts(b, with_fonts, only, proven, every), TEXTS + (f", {FONTS}" if with_fonts else ""))
 
 
 def plain_number(x: Column) -> Column:
@@ -184,6 +187,21 @@ def plain_number(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
+def _present(*pairs: tuple[str, Column]) -> Column:
+    """A map of these keys, without those that are null."""
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])), lambda _, v: v.isNotNull())
+
+
+def text_meta() -> Column:
+    """What selectors compare of a row of text_rows()."""
+    return _present(
+        ("operator", F.col("operator")), ("encoding", F.col("encoding")), ("font", F.col("font")), ("font_size", plain_number(F.col("font_size"))), ("text_x", plain_number(F.col("x"))), ("text_y", plain_number(F.col("y"))),
+        ("font_context", F.when(F.col("page").isNotNull(), F.when(F.col("form").isNull(), "page").otherwise("form_xobject"))), ("page_object_number", F.col("page").cast("string")), ("form_object_number", F.col("form").cast("string")),
+        ("form_depth", F.when(F.col("form").isNotNull(), F.col("depth").cast("string"))), ("inherited_resources", F.col("inherited").cast("string")), ("shared_form_xobject", F.when(F.col("invocations").isNotNull(), F.lit("true"))),
+        ("form_invocation_count", F.col("invocations").cast("string")), ("form_invoked_page_object_numbers", F.concat(F.lit("["), F.array_join("invoked_pages", " "), F.lit("]"))),
+    )
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """doc_id, node_id, kind, value, meta, num, seq: the document, its streams by number, then text by page, stream and place.
 
@@ -191,23 +209,16 @@ def nodes(docs: DataFrame) -> DataFrame:
     """
     kind = lambda k: F.lit(k).alias("kind")
     none = F.lit(None)
-    whole = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])), lambda _, v: v.isNotNull())
     top = docs.select("doc_id", kind(DOCUMENT), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("d"), none.cast("string").alias("value"), F.lit(0).alias("num"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("meta"))
     own = streams(objects(docs).where(~name("Type").isin("ObjStm", "XRef"))).select(
         "doc_id", kind(STREAM), F.lit(1).alias("a"), F.col("num").alias("b"), F.lit(0).alias("d"), none.cast("string").alias("value"), "num",
-        whole(
+        _present(
             ("filter_capability", F.col("capability")), ("filter", F.array_join("chain", " ")), ("object_number", F.col("num").cast("string")), ("object_generation", F.col("gen").cast("string")),
             ("filter_editable", F.col("capability").isin("identity_pass_through", "editable_reversible").cast("string")), ("filter_pass_through", (F.col("capability") == "pass_through_image").cast("string")), ("image_xobject", F.when(name("Subtype") == "Image", F.lit("true"))),
         ).alias("meta"),
     )
     texts = text_rows(docs).select(
-        "doc_id", kind(TEXT), F.lit(2).alias("a"), F.col("place").alias("b"), F.col("seq").alias("d"), F.col("text").alias("value"), "num",
-        whole(
-            ("operator", F.col("operator")), ("encoding", F.col("encoding")), ("font", F.col("font")), ("font_size", plain_number(F.col("font_size"))), ("text_x", plain_number(F.col("x"))), ("text_y", plain_number(F.col("y"))),
-            ("font_context", F.when(F.col("page").isNotNull(), F.when(F.col("form").isNull(), "page").otherwise("form_xobject"))), ("page_object_number", F.col("page").cast("string")), ("form_object_number", F.col("form").cast("string")),
-            ("form_depth", F.when(F.col("form").isNotNull(), F.col("depth").cast("string"))), ("inherited_resources", F.col("inherited").cast("string")), ("shared_form_xobject", F.when(F.col("invocations").isNotNull(), F.lit("true"))),
-            ("form_invocation_count", F.col("invocations").cast("string")), ("form_invoked_page_object_numbers", F.concat(F.lit("["), F.array_join("invoked_pages", " "), F.lit("]"))),
-        ).alias("meta"),
+        "doc_id", kind(TEXT), F.lit(2).alias("a"), F.col("place").alias("b"), F.col("seq").alias("d"), F.col("text").alias("value"), "num", text_meta().alias("meta"),
     )
     order = Window.partitionBy("doc_id").orderBy("a", "b", "d")
     every = top.unionByName(own).unionByName(texts)

@@ -171,8 +171,8 @@ def edit_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = customers.withColumn("chain", chain).withColumn("data", encoded(mint.show(F.col("c_mktsegment")).cast("binary"), F.col("chain")))
     names = F.concat(F.lit("/Filter ["), F.array_join(F.transform("chain", lambda c: F.concat(F.lit("/"), c)), " "), F.lit("]"))
     page = [mint.obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), mint.obj(3, "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>")]
-    minted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), mint.document(F.array(*page, mint.obj(4, mint.stream(F.col("data"), names)))).alias("content"))
-    got = edits.edit(minted, "BUILDING", "TOWER")
+    minted = stage(customers.select(F.col("c_custkey").cast("string").alias("doc_id"), mint.document(F.array(*page, mint.obj(4, mint.stream(F.col("data"), names)))).alias("content")))
+    got = stage(edits.edit(minted, "BUILDING", "TOWER"))
     text = text_rows(got.where("content is not null").select("doc_id", "content")).select("doc_id", "text")
     return got.select("doc_id", "status").join(text, "doc_id", "left").groupBy("status", "text").agg(F.count(F.lit(1)).alias("n"))
 
@@ -206,8 +206,7 @@ def annotation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         mint.obj(4, F.concat(F.lit("<< /Type /Page /Parent 2 0 R "), F.when(F.col("event_id") % 2 == 1, "/Annots [5 0 R] ").otherwise(""), F.lit(">>"))),
         mint.obj(5, note),
     )
-    objs = stage(objects(events.select(F.col("event_id").cast("string").alias("doc_id"), mint.document(objects_).alias("content"))))
-    rows = graph.annotations(objs, graph.pages(objs))
+    rows = graph.annotations(events.select(F.col("event_id").cast("string").alias("doc_id"), mint.document(objects_).alias("content")))
     kind = F.split_part("contents", F.lit(":"), F.lit(1))
     return rows.groupBy(kind.alias("event_type"), F.col("page_index").cast("long").alias("page_index")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.split_part("contents", F.lit(":"), F.lit(2)).cast("long")).alias("users"))
 

@@ -102,7 +102,7 @@ def choice_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = "".join(f"[({i}) ({p})]" for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     value = F.when(F.col("o_orderkey") % 4 == 0, F.lit("nothing")).otherwise(F.col("o_orderpriority"))
     body = F.array(mint.obj(1, "<< /Type /Catalog /AcroForm << /Fields [2 0 R] >> >>"), mint.obj(2, F.concat(F.lit(f"<< /FT /Ch /T (p) /Opt [{options}] /V "), mint.literal(value), F.lit(" >>"))))
-    rows = documents.choice_status(objects(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
+    rows = documents.choice_status(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), mint.document(body).alias("content")))
     return rows.groupBy("options", F.coalesce("selected", F.lit(-1)).alias("selected")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -141,8 +141,7 @@ def annotation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Annots ["), F.when(even, note).otherwise("5 0 R"), F.lit("] >>"))
     second = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Annots ["), F.when(even, "").otherwise("5 0 R"), F.lit("] >>"))
     minted = _docs(events, "event_id", "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [4 0 R 3 0 R] >>", first, second, F.when(even, "null").otherwise(note))
-    objs = stage(objects(minted))
-    rows = graph.annotations(objs, graph.pages(objs))
+    rows = graph.annotations(minted)
     return rows.groupBy("contents", "page_index", "appearance_status", F.col("num").isNull().alias("direct")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("flag_names")).alias("flags"))
 
 
@@ -218,8 +217,7 @@ def edit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     minted = stage(_docs(customers, "c_custkey", "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>", "<< /Type /Page /Parent 2 0 R /Annots [4 0 R] >>", note))
     wanted = customers.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("annotation_index"), F.col("c_mktsegment").alias("contents"))
     got = stage(changes.set_contents(minted, wanted))
-    again = stage(objects(got.where("content is not null").select("doc_id", "content")))
-    text = graph.annotations(again, graph.pages(again)).select("doc_id", "contents")
+    text = graph.annotations(got.where("content is not null").select("doc_id", "content")).select("doc_id", "contents")
     return got.select("doc_id", "status").join(text, "doc_id", "left").select(_long(), "status", "contents")
 
 
