@@ -10,7 +10,7 @@ from vellum.operators.facts import facts, relation
 from vellum.operators.graph import annotations, described
 from vellum.operators.nodes import cmap_of, text_rows
 from vellum.plans.staging import stage_documents as stage
-from vellum.sources.scan import MARKERS, detected, entry, markers, name, number, object_rows, objects, streams, xref_summary
+from vellum.sources.scan import MARKERS, detected, entry, markers, name, number, object_places, object_rows, objects, streams, xref_summary
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -49,13 +49,20 @@ def stream_counts(objs: DataFrame) -> DataFrame:
     return total.join(by("filter", "filter_counts"), "doc_id", "left").join(by("capability", "capability_counts"), "doc_id", "left")
 
 
-def structure(docs: DataFrame, objs: DataFrame) -> DataFrame:
-    """doc_id, total, normal, in_object_streams, xref_streams, writer: where objects stand, and which writer keeps them there."""
+def structure(docs: DataFrame, objs: DataFrame | None = None) -> DataFrame:
+    """doc_id, total, normal, in_object_streams, xref_streams, writer, needs_canonical: where objects stand, and which writer keeps them there.
+
+    Documents are parsed once, where they lie, and have what xref_summary() says too; of objects that were parsed before, they meet them by a
+    join. A document without objects has no row.
+    """
+    writer = F.when(F.col("has_hybrid"), "hybrid_xref_stream").when(F.col("has_stream"), "xref_stream").otherwise("canonical")
+    said = {"writer": writer, "needs_canonical": F.col("has_stream") | F.col("has_object_stream")}
+    if objs is None:
+        return object_places(docs).withColumns(said)
     kind = F.when(F.col("container").isNotNull(), "stream").when((name("Type") == "XRef") & F.col("raw").isNotNull(), "xref").otherwise("normal")
     of = lambda k: F.count(F.when(kind == k, 1))
     rows = objs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("normal").alias("normal"), of("stream").alias("in_object_streams"), of("xref").alias("xref_streams"))
-    writer = F.when(F.col("has_hybrid"), "hybrid_xref_stream").when(F.col("has_stream"), "xref_stream").otherwise("canonical")
-    return rows.join(xref_summary(docs), "doc_id").select("doc_id", "total", "normal", "in_object_streams", "xref_streams", writer.alias("writer"), (F.col("has_stream") | F.col("has_object_stream")).alias("needs_canonical"))
+    return rows.join(xref_summary(docs), "doc_id").select("doc_id", "total", "normal", "in_object_streams", "xref_streams", *(c.alias(k) for k, c in said.items()))
 
 
 def recommendation(valid: Column, signed: Column, blocked: Column) -> Column:

@@ -13,7 +13,7 @@ from vellum.plans.staging import dealt, table
 from vellum.plans.staging import stage_documents as stage
 from vellum.sources import mint
 from vellum.sources.ocr import from_alto, from_json
-from vellum.sources.scan import objects, streams, xref_summary
+from vellum.sources.scan import objects, streams
 
 
 def _docs(rows: DataFrame, key: str, *bodies: Column | str) -> DataFrame:
@@ -38,8 +38,7 @@ def packed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, every other one packed: where their objects stand."""
     docs = table(spark, sf_dir, "documents")
-    minted = stage(mint.one_page(docs, F.col("doc_id"), [mint.show(F.coalesce("text", F.lit("")))], pack=F.pmod("doc_id", F.lit(2)) == 1))
-    rows = reports.structure(minted, objects(minted)).join(xref_summary(minted).select("doc_id", "has_table", "has_object_stream"), "doc_id")
+    rows = reports.structure(mint.one_page(docs, F.col("doc_id"), [mint.show(F.coalesce("text", F.lit("")))], pack=F.pmod("doc_id", F.lit(2)) == 1))
     return rows.groupBy("writer", "has_table", "has_object_stream", "needs_canonical").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("total", "normal", "in_object_streams", "xref_streams")])
 
 

@@ -13,7 +13,7 @@ from vellum.operators.rewrite import CHANGES, rewrite
 from vellum.plans.staging import dealt, table
 from vellum.plans.staging import stage_documents as stage
 from vellum.sources import mint
-from vellum.sources.scan import entry, name, objects, text, xref_summary
+from vellum.sources.scan import entry, name, objects, text
 
 
 def _docs(df: DataFrame, key: str, *bodies: Column | str, extra: Column | str = "") -> DataFrame:
@@ -165,9 +165,8 @@ def hybrid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = dealt(spark, sf_dir, "part")
     named = F.when(F.col("p_partkey") % 3 == 0, " /XRefStm 9").when(F.col("p_partkey") % 3 == 1, " /XRefStm 10").otherwise("")
     refs = mint.stream(F.unhex(F.lit("00000000")), "/Type /XRef /W [1 2 1] /Size 1")
-    minted = stage(parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(2, refs), mint.obj(1, F.concat(F.lit("<< /Type /Catalog /Of "), mint.literal(F.col("p_name")), F.lit(" >>")))), extra=named).alias("content")))
-    rows = xref_summary(minted).join(reports.structure(minted, objects(minted)).select("doc_id", "writer"), "doc_id")
-    return rows.select(_long(), "has_hybrid", "writer", F.col("error").isNull().alias("fits"))
+    minted = parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(F.array(mint.obj(2, refs), mint.obj(1, F.concat(F.lit("<< /Type /Catalog /Of "), mint.literal(F.col("p_name")), F.lit(" >>")))), extra=named).alias("content"))
+    return reports.structure(minted).select(_long(), "has_hybrid", "writer", F.col("error").isNull().alias("fits"))
 
 
 def node_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
