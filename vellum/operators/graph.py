@@ -99,23 +99,27 @@ def walk_pages(nodes: Nodes) -> Iterator[tuple]:
         yield index, num, got.get("MediaBox"), got.get("CropBox"), got.get("Rotate"), int(got["resources_of"]) if "resources_of" in got else None, got
 
 
-def pages(objs: DataFrame) -> DataFrame:
+def pages(objs: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, page_index, num, media_box, crop_box, rotate, resources_of and all inherited: pages in the order of the tree.
 
     A node that comes again on its own path, or is not there, ends that path. resources_of is the object whose
-    /Resources hold for the page.
+    /Resources hold for the page. own: keys whose values a page itself has, which are there as entries then.
     """
 
     def part(objs: DataFrame) -> DataFrame:
         tree = objs.where(entry("Root!").isNotNull() | name("Type").isin("Catalog", "Pages", "Page"))
-        return tree.select("doc_id", "num", only("Root!", "Type", "Pages", "Kids", *INHERITED).alias("entries"))
+        return tree.select("doc_id", "num", only("Root!", "Type", "Pages", "Kids", *INHERITED, *own).alias("entries"))
 
-    return by_document(objs, part, walk_pages, PAGES)
+    def walk(nodes: Nodes) -> Iterator[tuple]:
+        for row in walk_pages(nodes):
+            yield *row, {k: nodes[row[1]][k] for k in own if k in nodes[row[1]]}
 
+    return by_document(objs, part, walk, f"{PAGES}, entries map<string,string>") if own else by_document(objs, part, walk_pages, PAGES)
 
-def names_in(nodes: Nodes, kind: str) -> Iterator[tuple[str, str, str | None]]:
-    """(name, kind of its value, value) of a name tree, in order; a node that comes again on its own path is an error."""
-    stack: list[tuple] = [(below(nodes, below(nodes, root(nodes), "Names"), kind), frozenset())]
+
+def names_in(nodes: Nodes, trees: dict[str, str], kind: str) -> Iterator[tuple[str, str, str | None]]:
+    """(name, kind of its value, value) of one of the catalog's name trees, in order; a node that comes again on its own path is an error."""
+    stack: list[tuple] = [(below(nodes, trees, kind), frozenset())]
     while stack:
         node, path = stack.pop()
         pairs, depth, key = [], 0, None
@@ -145,8 +149,9 @@ KINDS = ("Dests", "EmbeddedFiles", "JavaScript")
 
 
 def _names(nodes: Nodes) -> Iterator[tuple]:
+    trees = below(nodes, root(nodes), "Names")
     for kind in KINDS:
-        for i, (key, what, value) in enumerate(names_in(nodes, kind)):
+        for i, (key, what, value) in enumerate(names_in(nodes, trees, kind)):
             yield kind, i, key, int(value) if what == "ref" else None, value if what not in ("ref", "error") else None, value if what == "error" else None
 
 

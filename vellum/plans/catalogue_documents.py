@@ -58,9 +58,9 @@ def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = dealt(spark, sf_dir, "part")
     page = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Turn "), (F.col("p_size") * 30).cast("string"), F.lit(" /CropTo [0 0 "), (F.col("p_size") - 5).cast("string"), F.lit(" "), F.floor("p_retailprice").cast("string"), F.lit("] >>"))
     body = F.array(mint.obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), mint.obj(2, "<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>"), mint.obj(3, page))
-    objs = stage(objects(parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(body).alias("content"))))
-    asked = objs.select("doc_id", "num", number("Turn").alias("turn"), documents.numbers(entry("CropTo")).alias("crop"))
-    rows = documents.transformed(graph.pages(objs).join(asked, ["doc_id", "num"]), F.col("turn"), F.col("crop"), F.lit(2.0))
+    pages = graph.pages(parts.select(F.col("p_partkey").cast("string").alias("doc_id"), mint.document(body).alias("content")), own=("Turn", "CropTo"))
+    asked = pages.withColumns({"turn": number("Turn"), "crop": documents.numbers(entry("CropTo"))})
+    rows = documents.transformed(asked, F.col("turn"), F.col("crop"), F.lit(2.0))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("rotate", F.lit(-1)).alias("rotate"), F.get("box", F.lit(2)).alias("width"), F.get("box", F.lit(3)).alias("height"), "error")
 
 
