@@ -26,7 +26,8 @@ def xref_in_force(entries: DataFrame) -> DataFrame:
 
 def merged_names(entries: DataFrame, group: Column, part: Column) -> DataFrame:
     """Names of several documents in one tree of a kind: the first keeps its name, a later one gets its document's ordinal among the merged."""
-    rows = entries.select("*", group.alias("merged"), part.alias("part"))
+    # Names are read twice, so they are written first: else all documents would be parsed twice.
+    rows = stage(entries.select("*", group.alias("merged"), part.alias("part")))
     # Documents are numbered among themselves, names beside them: no task ranks all names of a merged document.
     parts = rows.select("merged", "part").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("merged").orderBy("part")))
     first = F.row_number().over(Window.partitionBy("merged", "kind", "name").orderBy("part", "ord")) == 1
