@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.sources.scan import array_items, document_objects, entry, name, number, ref_numbers, text
-from vellum.sources.syntax import items, reference, string_text
+from vellum.sources.syntax import KEPT, KEPT_BYTES, items, reference, string_text
 
 #: What a page takes from the nodes above it where it has none of its own.
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate", "ArtBox", "BleedBox", "TrimBox")
@@ -71,6 +72,18 @@ def below(nodes: Nodes, entries: dict[str, str], key: str) -> dict[str, str]:
     return {k[len(key) + 1 :]: v for k, v in entries.items() if k.startswith(f"{key}/")}
 
 
+def _numbers_in(raw: str | None) -> tuple[int, ...]:
+    return tuple(int(n) for kind, n in items(raw) if kind == "ref")
+
+
+_kept_numbers = lru_cache(maxsize=KEPT)(_numbers_in)
+
+
+def refs_in(raw: str | None) -> tuple[int, ...]:
+    """The numbers that an array's raw value refers to, at any depth."""
+    return _kept_numbers(raw) if raw is None or len(raw) <= KEPT_BYTES else _numbers_in(raw)
+
+
 def page_list(nodes: Nodes) -> Iterator[tuple[int, int, dict[str, str]]]:
     """(index, number, what it has or inherits) of the pages, in the order of the tree."""
     index = 0
@@ -80,15 +93,17 @@ def page_list(nodes: Nodes) -> Iterator[tuple[int, int, dict[str, str]]]:
         if num in path or num not in nodes:
             continue
         own = nodes[num]
-        got = above | {k: own[k] for k in INHERITED if k in own}
-        if "Resources" in own:
-            got["resources_of"] = str(num)
+        got = above
+        if not own.keys().isdisjoint(INHERITED):
+            got = above | {k: own[k] for k in INHERITED if k in own}
+            if "Resources" in own:
+                got["resources_of"] = str(num)
         if own.get("Type") == "/Page":
             yield index, num, got
             index += 1
             continue
-        kids = [int(n) for kind, n in items(own.get("Kids")) if kind == "ref"]
-        stack += [(kid, got, path | {num}) for kid in reversed(kids)]
+        path = path | {num}
+        stack += [(kid, got, path) for kid in reversed(refs_in(own.get("Kids")))]
 
 
 PAGES = "page_index int, num int, media_box string, crop_box string, rotate string, resources_of int, inherited map<string,string>"

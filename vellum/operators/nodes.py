@@ -6,6 +6,7 @@ nothing is shuffled for it. Everything after that is columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from vellum.functions.codecs import REVERSIBLE, chain_names, decode, parameters
 from vellum.functions.content import text_shows
 from vellum.functions.fonts import cmap, encoding, one_text, widths
-from vellum.operators.graph import below, page_list, target
-from vellum.sources.scan import document_objects, name, objects, sound, streams
-from vellum.sources.syntax import items
+from vellum.operators.graph import below, page_list, refs_in, target
+from vellum.sources.scan import FILTERS, document_objects, document_shape, found_objects, name, objects, references, revisions_and_objects, sound, streams
+from vellum.sources.syntax import KEPT, items
 
 DOCUMENT, STREAM, TEXT = "pdf.document", "pdf.stream", "pdf.content.text_show"
 #: Forms within forms that are followed.
@@ -44,14 +45,17 @@ class Texts:
         self.nodes = {n: r["entries"] for n, r in self.rows.items()}
         self.read: dict[int, bytes | None] = {}
         self.known: dict[int, dict] = {}
-        maps = [m for n, e in self.nodes.items() if (to := target(e.get("ToUnicode"))) is not None and (m := cmap(self.stream(to) or b""))]
+        self.pages = list(page_list(self.nodes))
+        maps = [m for e in self.nodes.values() if "ToUnicode" in e and (to := target(e.get("ToUnicode"))) is not None and (m := cmap(self.stream(to) or b""))]
         self.single = maps[0] if len(maps) == 1 else None
 
     def stream(self, num: int) -> bytes | None:
         """A stream's decoded bytes; None if it is none, or can't be read."""
         if num not in self.read:
             row, out = self.rows.get(num), None
-            if row is not None and row["raw"] is not None:
+            if row is not None and row["raw"] is not None and row["entries"].keys().isdisjoint(FILTERS):
+                out = row["raw"]
+            elif row is not None and row["raw"] is not None:
                 chain = chain_names(row["entries"].get("Filter"))
                 parms, wrong = parameters(row["entries"], chain)
                 try:
@@ -83,11 +87,11 @@ class Texts:
     def contexts(self) -> Iterator[tuple]:
         """(stream, page index, page, owner of the resources, form, depth, whether they are inherited): pages by number, forms where they are invoked, the other streams last."""
         shown = set()
-        for index, page, own in sorted(page_list(self.nodes), key=lambda p: p[1]):
+        for index, page, own in sorted(self.pages, key=lambda p: p[1]):
             if "resources_of" not in own:
                 continue
             owner = int(own["resources_of"])
-            for num in [int(n) for kind, n in items(self.nodes[page].get("Contents")) if kind == "ref"]:
+            for num in refs_in(self.nodes[page].get("Contents")):
                 if self.nodes.get(num, {}).get("Subtype") != "/Image" and self.stream(num) is not None:
                     shown.add(num)
                     yield num, index, page, owner, None, 0, owner != page
@@ -137,6 +141,81 @@ class Texts:
                 yield out
 
 
+#: What pages there are and which streams they show, by the shape of a document; documents of one origin have few shapes.
+_PLANS: dict[tuple, tuple] = {}
+
+
+class Pages:
+    """A document's pages, and the texts that they show.
+
+    count; content: whether each shows a stream that is there; resources: whether each has or inherits some; loose: references to
+    objects that are not there. Of documents of one shape the tree is walked once.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, found_objects(data)
+        key = document_shape(data, self.found)
+        if key is not None and any(b"Do" in r["raw"] for r in self.found if r["raw"] is not None):
+            key = None
+        plan = _PLANS.get(key)
+        self.every: list[dict] | None = None
+        if plan is None:
+            plan = self._plan()
+            if key is not None:
+                if len(_PLANS) >= KEPT:
+                    _PLANS.clear()
+                _PLANS[key] = plan
+        self.count, self.content, self.resources, self.loose, self.shown = plan
+
+    def _plan(self) -> tuple:
+        self.every = revisions_and_objects(self.data, self.found)[1]
+        texts = Texts(self.data, self.every)
+        place = {id(r): i for i, r in enumerate(self.found)}
+        there = {n for n, r in texts.rows.items() if r["raw"] is not None}
+        content = all(any(n in there for n in _numbers(texts.nodes[num].get("Contents", ""))) for _, num, _ in texts.pages)
+        resources = all("resources_of" in own for _, _, own in texts.pages)
+        loose = sum(dst not in texts.nodes for r in self.every for dst in references(r["head"]))
+        shown = [(place.get(id(texts.rows[num])), num, index, texts.fonts(owner) if owner is not None else {}) for num, index, _, owner, *_ in texts.contexts()]
+        self.read = texts.stream
+        return len(texts.pages), content, resources, loose, shown
+
+    def sound(self) -> bool:
+        return sound(self.data, list({(r["num"], r["gen"]): r for r in self.found}.values()) if self.every is None else self.every)
+
+    def texts(self) -> Iterator[tuple[int | None, str]]:
+        """(page index, text) of the text-shows in the order of text_rows()."""
+        for at, num, index, known in self.shown:
+            for operator, codes, kind, _, _, s in text_shows(self.found[at]["raw"] if self.every is None else self.read(num)):
+                if operator != "Do":
+                    map_, table, _, _ = known.get(s.font, (None, None, None, None))
+                    text, _ = one_text(codes, kind, map_, table)
+                    if text is not None:
+                        yield index, text
+
+
+def _numbers(raw: str) -> list[int]:
+    return [int(n) for n in re.findall(r"(\d+)\s+\d+\s+R\b", raw)]
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            own = Pages(data or b"")
+            shown = sorted(((i, t) for i, t in own.texts() if i is not None), key=lambda x: x[0]) if own.count and own.sound() else []
+            if shown:
+                out.append((doc_id, [t for _, t in shown]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.string()))], ["doc_id", "texts"])
+
+
+def page_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, texts: what the pages of docs(doc_id, content) show, page after page, of documents whose cross references lead to all objects.
+
+    Texts that no page shows are left out, and so are documents without any others.
+    """
+    return docs.select("doc_id", "content").mapInArrow(_page_texts, "doc_id string, texts array<string>")
+
+
 _TEXT = {
     "doc_id": pa.string(), "num": pa.int32(), "seq": pa.int32(), "place": pa.int32(), "text": pa.string(), "operator": pa.string(), "encoding": pa.string(), "start": pa.int64(), "end": pa.int64(), "font": pa.string(), "font_size": pa.float64(),
     "x": pa.float64(), "y": pa.float64(), "render_mode": pa.int32(), "page_index": pa.int32(), "page": pa.int32(), "form": pa.int32(), "depth": pa.int32(), "inherited": pa.bool_(), "font_num": pa.int32(), "invocations": pa.int32(), "invoked_pages": pa.list_(pa.int32()),

@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.graph import page_list
-from vellum.operators.nodes import Texts
+from vellum.operators.nodes import Pages
 from vellum.plans.staging import stage_documents as stage
-from vellum.sources.scan import document_objects, references
 
-_REF = re.compile(r"(\d+)\s+\d+\s+R\b")
-_FACTS = {"doc_id": pa.string(), "text": pa.string(), "page_count": pa.int64(), "content": pa.bool_(), "resources": pa.bool_(), "dangling": pa.int64()}
+_FACTS = {"doc_id": pa.string(), "texts": pa.list_(pa.string()), "page_count": pa.int64(), "content": pa.bool_(), "resources": pa.bool_(), "dangling": pa.int64()}
 
 
-def _facts(data: bytes) -> Iterator[tuple]:
-    """A row of what a document's pages are, without a text, and a row for each of its texts."""
-    every = document_objects(data)
-    nodes = {r["num"]: r["entries"] for r in every}
-    streams = {r["num"] for r in every if r["raw"] is not None}
-    listed = list(page_list(nodes))
-    content = all(any(int(n) in streams for n in _REF.findall(nodes[num].get("Contents", ""))) for _, num, _ in listed)
-    loose = sum(dst not in nodes for r in every for dst in references(r["head"]))
-    yield None, len(listed), content if listed else None, all("resources_of" in own for _, _, own in listed) if listed else None, loose
-    for text in {t["text"] for t in Texts(data, every).texts(False)}:
-        yield text, None, None, None, None
+def _facts(data: bytes) -> tuple:
+    """A document's texts, each once, and what its pages are."""
+    own = Pages(data)
+    return list({t for _, t in own.texts()}), own.count, own.content if own.count else None, own.resources if own.count else None, own.loose
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc_id, *row) for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) for row in _facts(data or b"")]
+        rows = [(doc_id, *_facts(data or b"")) for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_FACTS.values())], list(_FACTS))
 
 
@@ -46,22 +35,17 @@ def verify_pages(docs: DataFrame, wanted: DataFrame, need_content: bool = False,
     wanted doesn't name are only held against the rest; several rows of wanted for one document are asked together, of their
     counts the greatest. A document without objects has no pages. An empty table gives an empty result.
     """
-    # Each document is parsed once, where it lies; what is shuffled are a row of facts and its texts.
-    told = stage(docs.select("doc_id", "content").mapInArrow(_checked, "doc_id string, text string, page_count long, content boolean, resources boolean, dangling long"))
-    asked = wanted.groupBy("doc_id").agg(F.max("page_count").alias("asked_count"))
-    # Texts are compared as rows: neither a document's texts nor those asked for are gathered before they are known to be missing.
-    texts = wanted.select("doc_id", F.explode("texts").alias("text")).where("text <> ''").distinct()
-    found = told.where("text is not null").select("doc_id", "text").distinct()
-    missing = texts.join(found, ["doc_id", "text"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list("text")).alias("missing"))
-    rows = told.where("text is null").drop("text")
-    for part in (asked, missing):
-        rows = rows.join(part, "doc_id", "left")
+    # Each document is parsed once, where it lies; what is shuffled is a row of its facts and texts, and one of what is asked of it.
+    told = stage(docs.select("doc_id", "content").mapInArrow(_checked, "doc_id string, texts array<string>, page_count long, content boolean, resources boolean, dangling long"))
+    asked = wanted.groupBy("doc_id").agg(F.max("page_count").alias("asked_count"), F.flatten(F.collect_list("texts")).alias("asked")).hint("merge")
+    rows = told.join(asked, "doc_id", "left")
+    missing = F.array_sort(F.array_except(F.filter("asked", lambda t: t != ""), "texts"))
     count = F.coalesce("page_count", F.lit(0))
     checks = {
         "page_count_ok": F.coalesce((F.col("asked_count") < 1) | (F.col("asked_count") == count), F.lit(True)),
         "content_ok": F.lit(not need_content) | F.coalesce("content", F.lit(True)),
         "resources_ok": F.lit(not need_resources) | F.coalesce("resources", F.lit(True)),
-        "missing": F.coalesce("missing", F.array().cast("array<string>")),
+        "missing": F.coalesce(missing, F.array().cast("array<string>")),
         "dangling": F.coalesce("dangling", F.lit(0)),
     }
     rows = rows.select("doc_id", count.alias("page_count"), *(c.alias(n) for n, c in checks.items()))

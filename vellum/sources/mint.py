@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.sources.write import written
+from vellum.sources.write import canonical, packed, written
 
 
 def literal(text: Column) -> Column:
@@ -65,31 +66,32 @@ def paged(df: DataFrame, doc_id: str, order: str, contents: Column, page_entries
     """
     rows = df.select(
         F.col(doc_id).cast("string").alias("doc_id"),
-        F.struct(F.col(order).cast("long").alias("at"), contents.alias("text"), (F.lit(page_entries) if isinstance(page_entries, str) else page_entries).alias("entries")).alias("row"),
+        F.struct(F.col(order).cast("long").alias("at"), contents.cast("binary").alias("text"), (F.lit(page_entries) if isinstance(page_entries, str) else page_entries).cast("binary").alias("entries")).alias("row"),
     )
-    pages = F.array_sort(F.collect_list("row"))
-    grouped = rows.groupBy("doc_id").agg(pages.alias("rows"))
-    node = lambda k: F.lit(10) + k * (3 * fan)
-    page = lambda i: node(F.floor(i / fan).cast("int")) + 1 + (i % fan) * 2
-    nodes = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / fan).cast("int"))
-    ref = lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))
-    kids = F.array_join(F.transform(nodes, lambda k: ref(node(k))), " ")
-    root = F.concat(F.lit("<< /Type /Pages /MediaBox [0 0 612 792] /Resources << >> /Kids ["), kids, F.lit("] /Count "), F.size("rows").cast("string"), F.lit(" >>"))
-    inner = F.transform(
-        nodes,
-        lambda k: obj(
-            node(k),
-            F.concat(
-                F.lit("<< /Type /Pages /Parent 2 0 R /Kids ["),
-                F.array_join(F.transform(F.sequence(k * fan, F.least(k * fan + fan, F.size("rows")) - 1), lambda i: ref(page(i))), " "),
-                F.lit("] >>"),
-            ),
-        ),
-    )
-    leaves = F.transform(
-        "rows",
-        lambda r, i: obj(page(i), F.concat(F.lit("<< /Type /Page /Parent "), ref(node(F.floor(i / fan).cast("int"))), F.lit(" /Contents "), ref(page(i) + 1), F.lit(" "), r["entries"], F.lit(" >>"))),
-    )
-    bodies = F.transform("rows", lambda r, i: obj(page(i) + 1, stream(r["text"])))
-    objects = F.concat(F.array(obj(1, "<< /Type /Catalog /Pages 2 0 R >>"), obj(2, root)), inner, leaves, bodies)
-    return grouped.select("doc_id", document(objects, pack=pack).alias("content"))
+    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+    @F.arrow_udf("binary")
+    def files(rows: pa.Array) -> pa.Array:
+        _, texts, entries = (c.to_pylist() for c in rows.flatten().flatten())
+        out, at = [], 0
+        for n in rows.value_lengths().to_pylist():
+            out.append((packed if pack else canonical)(_pages(texts[at : at + n], entries[at : at + n], fan), "/Root 1 0 R "))
+            at += n
+        return pa.array(out, pa.binary())
+
+    return grouped.select("doc_id", files("rows").alias("content"))
+
+
+def _pages(texts: list[bytes], entries: list[bytes], fan: int) -> list[tuple[int, int, bytes]]:
+    """The objects of paged(), in file order."""
+    n = len(texts)
+    nodes = [10 + 3 * fan * k for k in range(-(-n // fan))]
+    pages = [nodes[i // fan] + 1 + i % fan * 2 for i in range(n)]
+    kids = lambda numbers: b" ".join([b"%d 0 R" % x for x in numbers])
+    return [
+        (1, 0, b"<< /Type /Catalog /Pages 2 0 R >>"),
+        (2, 0, b"<< /Type /Pages /MediaBox [0 0 612 792] /Resources << >> /Kids [%b] /Count %d >>" % (kids(nodes), n)),
+        *[(node, 0, b"<< /Type /Pages /Parent 2 0 R /Kids [%b] >>" % kids(pages[k * fan : k * fan + fan])) for k, node in enumerate(nodes)],
+        *[(page, 0, b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R %b >>" % (nodes[i // fan], page + 1, entries[i])) for i, page in enumerate(pages)],
+        *[(page + 1, 0, b"<< /Length %d  >>\nstream\n%b\nendstream" % (len(text), text)) for page, text in zip(pages, texts, strict=True)],
+    ]
