@@ -6,12 +6,13 @@ doc_id and content pass from the minting to the parser. `ORACLES` has the same r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import encoded
 from vellum.operators import documents, edits, graph, reports, xfa
 from vellum.operators.nodes import TEXT, Selector, nodes, text_rows
+from vellum.operators.nodes import page_texts as shown_texts
 from vellum.plans import catalogue_changes, catalogue_documents, catalogue_objects, catalogue_rows
 from vellum.plans.shared import page_texts
 from vellum.plans.staging import dealt, table
@@ -128,13 +129,11 @@ def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
     shown = mint.show(F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))
     docs = mint.paged(lines.withColumn("key", key), "key", "l_linenumber", shown)
-    rows = page_texts(docs, "text")
-    group, part = F.split_part("doc_id", F.lit("/"), F.lit(1)).cast("long"), F.split_part("doc_id", F.lit("/"), F.lit(2)).cast("long")
-    rows = rows.select(group.alias("custkey"), part.alias("orderkey"), "page_index", "text")
-    order = F.row_number().over(Window.partitionBy("custkey").orderBy("orderkey", "page_index")) - 1
-    rows = rows.withColumn("merged_index", order)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("merged_index", "text"))), lambda r: r["text"])
-    return rows.groupBy("custkey").agg(F.count(F.lit(1)).alias("pages"), F.md5(F.array_join(listed, "|")).alias("digest"))
+    part = lambda i: F.split_part("doc_id", F.lit("/"), F.lit(i)).cast("long")
+    # A document's texts are one row; those of a customer are put in order once they have met.
+    rows = shown_texts(docs).groupBy(part(1).alias("custkey")).agg(F.sort_array(F.collect_list(F.struct(part(2).alias("orderkey"), "texts"))).alias("orders"))
+    texts = F.flatten(F.transform("orders", lambda o: o["texts"]))
+    return rows.select("custkey", F.size(texts).cast("long").alias("pages"), F.md5(F.array_join(texts, "|")).alias("digest"))
 
 
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
