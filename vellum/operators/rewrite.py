@@ -65,11 +65,11 @@ def rewrite(objs: DataFrame, changes: DataFrame, every: bool = False, pack: bool
     return joined.select("doc_id", document(F.col("objects"), F.coalesce("t.num", F.lit(1)), F.coalesce("t.extra", F.lit("")), pack).alias("content"), "error")
 
 
-def _anew(data: bytes, wishes: list[dict], of: Callable[[bytes, dict], bytes | None] | None, pack: bool) -> tuple[bytes | None, str | None]:
+def anew(objs: list[dict], wishes: list[dict], of: Callable[[bytes, dict], bytes | None] | None = None, pack: bool = False) -> tuple[bytes | None, str | None]:
     """A document's bytes with its wishes met, and the greatest error; no bytes of what holds no objects."""
     by_number = {w["num"]: w for w in wishes}
     bodies, errors, tops = [], [], []
-    for r in document_objects(data):
+    for r in objs:
         kind = r["entries"].get("Type")
         if r["raw"] is not None and kind in ("/ObjStm", "/XRef"):
             continue
@@ -100,7 +100,7 @@ def rewritten(docs: DataFrame, changes: DataFrame, of: Callable[[bytes, dict], b
         for batch in batches:
             out: list[tuple] = []
             for doc_id, data, wishes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "wishes")), strict=True):
-                made, error = _anew(data or b"", wishes, of, pack)
+                made, error = anew(document_objects(data or b""), wishes, of, pack)
                 if made is not None:
                     again = document_objects(made)
                     here = {r["num"] for r in again}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import xml.parsers.expat
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.graph import Nodes, below, by_document, only, root
 from vellum.sources.scan import document_objects, entry, name, stream_bytes, streams
-from vellum.sources.syntax import items
+from vellum.sources.syntax import KEPT, KEPT_BYTES, items
 
 #: Fixed names of packets.
 KINDS = ("template", "datasets", "config", "localeSet", "connectionSet", "sourceSet", "xdc", "xfdf", "xdp")
@@ -95,47 +97,87 @@ def facts(data: bytes) -> dict:
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=KEPT)
+def _kept_facts(data: bytes) -> dict:
+    return facts(data)
+
+
+def packet_facts(data: bytes) -> dict:
+    """facts() of a packet that may have been read before; not to be changed."""
+    return _kept_facts(data) if len(data) <= KEPT_BYTES else facts(data)
+
+
+def kind_of(label: str | None, told: dict) -> str:
+    """As packets() says it, of one packet."""
+    label = re.sub(r"^[^:]*:|^/+|/+$", "", (label or "").strip(" "))
+    if label:
+        return label if label in KINDS else "unknown"
+    if told["error"] is not None or told["unsafe"] or told["root"] is None:
+        return "unknown"
+    return told["root"] if told["root"] in KINDS else "xml"
+
+
+def may_be_edited(held: list[tuple[str, str | None, dict]]) -> bool:
+    """As semantics() says it, of the packets of one document: (kind, decode error, facts) of each."""
+    kinds = [kind if kind in ("template", "datasets") else told["root"] or "" for kind, _, told in held]
+    good = all(wrong is None and told["error"] is None and not told["unsafe"] for _, wrong, told in held)
+    return good and "datasets" in kinds and set(kinds) <= {"template", "datasets"} and not any(told["markers"] for _, _, told in held)
+
+
+def _read(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     pairs = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
     kinds = {"root": pa.string(), "error": pa.string(), "unsafe": pa.bool_(), "fields": pairs("path", "value"), "template": pairs("field", "path"), "markers": pairs("path", "reason"), "presence": pairs("path", "reason")}
+    same = ("doc_id", "packet", "label", "num", "decode_error", "size")
     for batch in batches:
-        found = [facts(d or b"") for d in batch.column("data").to_pylist()]
+        found = [packet_facts(d or b"") for d in batch.column("data").to_pylist()]
         keys = {c: [f.name for f in t.value_type] for c, t in kinds.items() if pa.types.is_list(t)}
         columns = [pa.array([[dict(zip(keys[c], x, strict=True)) for x in f[c]] if c in keys else f[c] for f in found], t) for c, t in kinds.items()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "packet", "label", "num", "decode_error", "size")), *columns], ["doc_id", "packet", "label", "num", "decode_error", "size", *kinds])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), *columns, *(batch.column(c) for c in keep)], [*same, *kinds, *keep])
+
 
+def document_packets(objs: list[dict]) -> Iterator[tuple]:
+    """(packet, label, num, decode error, bytes) of the packets of one document's objects."""
+    rows = {r["num"]: r for r in objs}
+    for packet, label, num, text in _packets({n: r["entries"] for n, r in rows.items()}):
+        data, error = stream_bytes(rows[num]) if num in rows else (None, None)
+        yield packet, label, num, error, text.encode() if data is None and text is not None else data
 
-def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _of_documents(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """The packets of documents, with their bytes."""
     kinds = {"doc_id": pa.string(), "packet": pa.int32(), "label": pa.string(), "num": pa.int32(), "decode_error": pa.string(), "size": pa.int64(), "data": pa.binary()}
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows = {r["num"]: r for r in document_objects(content or b"")}
-            for packet, label, num, text in _packets({n: r["entries"] for n, r in rows.items()}):
-                data, error = stream_bytes(rows[num]) if num in rows else (None, None)
-                data = text.encode() if data is None and text is not None else data
+        of: list[int] = []
+        for i, (doc_id, content) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+            for packet, label, num, error, data in document_packets(document_objects(content or b"")):
                 out.append((doc_id, packet, label, num, error, None if data is None else len(data), data))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+                of.append(i)
+        yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())), *(batch.column(c).take(pa.array(of, pa.int64())) for c in keep)], [*kinds, *keep])
+
 
+def _with_kept(columns: str, docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join([columns, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
 
-def packet_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, packet, label, num, decode_error, size, data of the packets of docs(doc_id, content)."""
-    return docs.select("doc_id", "content").mapInArrow(_of_documents, "doc_id string, packet int, label string, num int, decode_error string, size long, data binary")
 
+def packet_bytes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, packet, label, num, decode_error, size, data of the packets of docs(doc_id, content), and what keep names of their document."""
+    columns = "doc_id string, packet int, label string, num int, decode_error string, size long, data binary"
+    return docs.select("doc_id", "content", *keep).mapInArrow(lambda b: _of_documents(b, keep), _with_kept(columns, docs, keep))
 
-def packets(objs: DataFrame) -> DataFrame:
+
+def packets(objs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, packet (its place), label, kind, num, size, decode_error and what is in it: root, error, unsafe, fields, template, markers.
 
     A label decides the kind, else the root element; what can't be decoded is listed with its error. Of documents(doc_id,
     content), packets are read where a document is parsed; of objects parsed before, they are joined with their streams; packets
-    stay what they are.
+    stay what they are. keep: columns of documents that their packets have too.
     """
     if "packet" in objs.columns:
         return objs
     columns = f"doc_id string, packet int, label string, num int, decode_error string, size long, {_FACTS}"
     if "content" in objs.columns:
-        read = objs.select("doc_id", "content").mapInArrow(lambda b: _read(_of_documents(b)), columns)
+        read = objs.select("doc_id", "content", *keep).mapInArrow(lambda b: _read(_of_documents(b, keep), keep), _with_kept(columns, objs, keep))
     else:
 
         def part(objs: DataFrame) -> DataFrame:
@@ -154,10 +196,14 @@ def packets(objs: DataFrame) -> DataFrame:
     return read.withColumn("kind", kind)
 
 
-def dataset_fields(objs: DataFrame) -> DataFrame:
-    """doc_id, packet, at, path, value of the leaves of the data packets, those without text left out."""
-    rows = packets(objs).where("kind in ('datasets', 'xdp', 'xml') and not unsafe and error is null")
-    return rows.select("doc_id", "packet", F.posexplode("fields").alias("at", "f")).select("doc_id", "packet", "at", "f.path", "f.value")
+#: Packets whose leaves are data.
+DATA = ("datasets", "xdp", "xml")
+
+
+def dataset_fields(objs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, packet, at, path, value of the leaves of the data packets, those without text left out, and what keep names of their document."""
+    rows = packets(objs, *keep).where(F.col("kind").isin(*DATA) & ~F.col("unsafe") & F.col("error").isNull())
+    return rows.select("doc_id", "packet", *keep, F.posexplode("fields").alias("at", "f")).select("doc_id", "packet", "at", "f.path", "f.value", *keep)
 
 
 def template_fields(objs: DataFrame) -> DataFrame:

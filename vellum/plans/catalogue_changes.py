@@ -70,9 +70,11 @@ def packet_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = dealt(spark, sf_dir, "orders")
     tags = lambda n, name: F.concat(F.lit(f"<{name}>"), F.repeat(F.lit("-x"), n.cast("int")), F.lit(f"</{name}>"))
     minted = _docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(tags(F.col("o_orderkey") % 3, "t")), mint.stream(tags(F.col("o_custkey") % 3, "d")))
-    got = stage(mutations.replace_in_packets(minted, "x", "y-&", at=1))
-    after = mutations.packet_bytes(_written(got)).select("doc_id", "packet", F.decode("data", "UTF-8").alias("text"))
-    return got.join(after, ["doc_id", "packet"], "left").select(_long(), "status", F.col("matches").cast("long").alias("matches"), F.coalesce(F.col("packet").cast("long"), F.lit(-1)).alias("packet"), "text")
+    got = stage(mutations.replace_in_packets(minted, "x", "y-&", at=1)).withColumnRenamed("packet", "hit")
+    # Packets are read back with what was said of their documents; the others have no text.
+    after = mutations.packet_bytes(got.where("content is not null"), "status", "matches", "hit").where("packet = hit").withColumn("text", F.decode("data", "UTF-8"))
+    rows = after.select("doc_id", "status", "matches", "hit", "text").unionByName(got.where("content is null").select("doc_id", "status", "matches", "hit", F.lit(None).cast("string").alias("text")))
+    return rows.select(_long(), "status", "matches", F.coalesce(F.col("hit").cast("long"), F.lit(-1)).alias("packet"), "text")
 
 
 def radio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
