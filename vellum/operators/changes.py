@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import xml.parsers.expat
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.documents import numbers, transformed
 from vellum.operators.graph import annotations, bit, form_fields, name, pages
-from vellum.operators.rewrite import change, reachable, rewrite, rewritten
-from vellum.operators.xfa import dataset_fields, packets, semantics
+from vellum.operators.rewrite import anew, change, reachable, rewrite, rewritten
+from vellum.operators.xfa import DATA, document_packets, kind_of, may_be_edited, packet_facts
 from vellum.plans.staging import stage_documents as stage
 from vellum.sources.mint import raw_literal
-from vellum.sources.scan import entry, objects, ref_numbers
+from vellum.sources.scan import document_objects, entry, objects, ref_numbers, sound
 
 
 def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -211,12 +213,48 @@ def _with_value(data: bytes, path: str, new: str) -> bytes | None:
 
 def set_data(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, path, status, content: a leaf of the XML data set: wanted(doc_id, path, value); only in forms that need no renderer."""
-    held = stage(packets(docs.select("doc_id", "content")))
-    rows = wanted.select("doc_id", "path", F.col("value").alias("expected")).join(semantics(held).select("doc_id", "editable"), "doc_id", "left")
-    there = dataset_fields(held).groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n"), F.first("packet").alias("packet"))
-    rows = rows.join(there, ["doc_id", "path"], "left").join(held.select("doc_id", "packet", "num"), ["doc_id", "packet"], "left")
-    status = F.when(~F.coalesce("editable", F.lit(False)), "not_editable").when(F.col("n").isNull(), "no_field").when(F.col("n") > 1, "ambiguous_field").when(F.col("num").isNull(), "not_a_stream").otherwise("ok")
-    plans = stage(rows.select("doc_id", "path", "expected", "num", status.alias("status")))
-    written = stage(rewritten(docs, plans.where("status = 'ok'").select("doc_id", "num", "path", "expected"), lambda old, w: _with_value(old, w["path"], w["expected"])))
-    after = dataset_fields(written).groupBy("doc_id", "path").agg(F.first("value").alias("found"))
-    return verified(plans.drop("num"), written, after, ["path"])
+    wishes = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("path", "value")).alias("wishes"))
+    held = docs.select("doc_id", "content").join(wishes.hint("merge"), "doc_id", "right")
+    return held.select("doc_id", "content", "wishes").mapInArrow(_data_set, "doc_id string, path string, status string, content binary")
+
+
+def _data_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"doc_id": pa.string(), "path": pa.string(), "status": pa.string(), "content": pa.binary()}
+    for batch in batches:
+        out = [(d, w["path"], *told) for d, c, wishes in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "content", "wishes")), strict=True) for w, told in zip(wishes, _with_data(c or b"", wishes), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def _leaves(held: list[tuple]) -> dict[str, list[tuple]]:
+    """(packet, value) of the leaves of data, by path, of packets as document_packets() gives them and what is in each."""
+    found: dict[str, list[tuple]] = {}
+    for (packet, label, *_), told in held:
+        if kind_of(label, told) in DATA and not told["unsafe"] and told["error"] is None:
+            for path, value in told["fields"]:
+                found.setdefault(path, []).append((packet, value))
+    return found
+
+
+def _with_data(content: bytes, wishes: list[dict]) -> list[tuple[str, bytes | None]]:
+    """Status and new bytes for each wish of set_data() of one document, which is planned, written and read back here."""
+    objs = document_objects(content)
+    held = [(p, packet_facts(p[4] or b"")) for p in document_packets(objs)]
+    there, parts = _leaves(held), {p[0]: p for p, _ in held}
+    editable = may_be_edited([(kind_of(p[1], told), p[3], told) for p, told in held])
+    states, changed = [], {}
+    for w in wishes:
+        at = there.get(w["path"], ())
+        num = parts[at[0][0]][2] if at else None
+        state = "not_editable" if not editable else "no_field" if not at else "ambiguous_field" if len(at) > 1 else "not_a_stream" if num is None else "ok"
+        states.append(state)
+        if state == "ok":
+            data = changed.get(num, parts[at[0][0]][4])
+            changed[num] = _with_value(data, w["path"], w["value"]) or data
+    if not changed:
+        return [(s, None) for s in states]
+    written, error = anew(objs, [{"num": n, "data": d} for n, d in changed.items()])
+    again = document_objects(written)
+    # The packets that were not changed say what they said.
+    found = _leaves([(p, packet_facts(p[4] or b"")) for p in document_packets(again) if p[2] in changed])
+    fine = error is None and sound(written, again)
+    return [(s, None) if s != "ok" else ("ok", written) if fine and found.get(w["path"], [(None, None)])[0][1] == w["value"] else ("verification_failed", None) for s, w in zip(states, wishes, strict=True)]

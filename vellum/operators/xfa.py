@@ -103,8 +103,8 @@ def _kept_facts(data: bytes) -> dict:
 
 
 def packet_facts(data: bytes) -> dict:
-    """facts() of a packet that may have been read before; not to be changed."""
-    return _kept_facts(data) if len(data) <= KEPT_BYTES else facts(data)
+    """facts() of a packet, not to be changed. Templates and the like may have been read before; data are a document's own."""
+    return _kept_facts(data) if len(data) <= KEPT_BYTES and b"datasets" not in data[:KEPT_BYTES // 5] else facts(data)
 
 
 def kind_of(label: str | None, told: dict) -> str:

@@ -226,11 +226,13 @@ def edit_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = F.when(F.col("o_orderkey") % 5 == 0, "flowed").otherwise("paginate")
     template = F.concat(F.lit("<template><subform name='o' layout='"), layout, F.lit("'/></template>"))
     data = F.concat(F.lit("<datasets><data><o><key>"), F.col("o_orderkey").cast("string"), F.lit("</key><status>"), F.col("o_orderstatus"), F.lit("</status></o></data></datasets>"))
-    minted = stage(_docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(template), mint.stream(data, "/Marker (keep)")))
+    minted = _docs(orders, "o_orderkey", "<< /Type /Catalog /AcroForm << /XFA [(template) 2 0 R (datasets) 3 0 R] >> >>", mint.stream(template), mint.stream(data, "/Marker (keep)"))
     wanted = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("o.status").alias("path"), F.col("o_orderpriority").alias("value"))
     got = stage(changes.set_data(minted, wanted))
-    value = xfa.dataset_fields(got.where("content is not null").select("doc_id", "content")).where("path = 'o.status'").select("doc_id", "value")
-    return got.select("doc_id", "status").join(value, "doc_id", "left").groupBy("status", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Values are read back with what was said of their documents; the others have none.
+    value = xfa.dataset_fields(got.where("content is not null"), "status").where("path = 'o.status'").select("status", "value")
+    rows = value.unionByName(got.where("content is null").select("status", F.lit(None).cast("string").alias("value")))
+    return rows.groupBy("status", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def edit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
