@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import re
 import xml.parsers.expat
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.documents import numbers, transformed
-from vellum.operators.graph import annotations, bit, form_fields, name, pages
-from vellum.operators.rewrite import anew, change, reachable, rewrite, rewritten
+from vellum.operators.graph import Nodes, annotations, has_bit, may_be_filled, name, option_list, pages, target, walk_fields
+from vellum.operators.rewrite import anew, reachable, rewritten
 from vellum.operators.xfa import DATA, document_packets, kind_of, may_be_edited, packet_facts
 from vellum.plans.staging import stage_documents as stage
 from vellum.sources.mint import raw_literal
-from vellum.sources.scan import document_objects, entry, objects, ref_numbers, sound
+from vellum.sources.scan import document_objects, entry, objects, sound
+from vellum.sources.syntax import items, literal_of
 
 
 def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,48 +31,23 @@ def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[
     return got.select("doc_id", *keys, status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
 
 
-def _fanned(plans: DataFrame, objs: DataFrame) -> DataFrame:
-    """wish, doc_id, num, sets, error: what accepted plans change in the kids of a field and in a parent that has it alone.
-
-    Text and choices are set in kids that are unnamed widgets or have the field's own name; of radio buttons the kid
-    with the state asked for is on and the others off.
-    """
-    own = objs.select("doc_id", F.col("num").alias("kid"), F.col("entries").alias("k"), F.lit(True).alias("here"))
-    kids = plans.where("status = 'ok'").select("wish", "doc_id", "num", "name", "local", "type", "asked", "raw", F.explode("kids").alias("kid")).join(own, ["doc_id", "kid"], "left")
-    on = F.array_distinct(F.transform(F.filter(F.map_keys("k"), lambda x: x.rlike(r"^AP/N/[^/=#!]+$")), lambda x: F.substring(x, F.lit(6), F.length(x))))
-    kids = kids.withColumn("on", F.array_remove(on, "Off"))
-    label = F.col("k")["T="]
-    button = F.col("type") == "Btn"
-    off = F.col("asked").isin("Off", "false")
-    error = (
-        F.when(F.col("here").isNull(), "unresolved_kid")
-        .when(button & (F.size("on") != 1), "ambiguous_button_states")
-        .when(button & F.col("asked").isin("", "true", "On"), "ambiguous_button_states")
-        .when(~button & F.col("k")["Kids"].isNotNull(), "kids_of_kids")
-        .when(~button & label.isNull() & ~(F.col("k")["Subtype"].eqNullSafe(F.lit("/Widget"))), "unnamed_kid_is_no_widget")
-        .when(~button & label.isNotNull() & ~label.isin(F.col("local"), F.col("name")), "other_kid_name")
-    )
-    hit = F.count(F.when(button & (F.get("on", F.lit(0)) == F.col("asked")), 1)).over(Window.partitionBy("wish"))
-    kids = kids.withColumn("hit", hit).withColumn("error", F.when(button & ~off & error.isNull() & (F.col("hit") != 1), F.when(F.col("hit") == 0, "no_such_state").otherwise("duplicate_button_state")).otherwise(error))
-    state = F.when(~off & (F.get("on", F.lit(0)) == F.col("asked")), F.concat(F.lit("/"), "asked")).otherwise("/Off")
-    sets = F.when(button, F.create_map(F.lit("AS"), state)).otherwise(F.create_map(F.lit("V"), F.col("raw")))
-    out = kids.select("wish", "doc_id", F.col("kid").alias("num"), sets.alias("sets"), "error")
-    above = plans.where("status = 'ok' and type != 'Btn' and size(kids) = 0 and parent is not null").select("wish", "doc_id", "num", "raw", F.col("parent").alias("kid")).join(own, ["doc_id", "kid"])
-    alone = above.where((F.size(ref_numbers(F.col("k")["Kids"])) == 1) & (ref_numbers(F.col("k")["Kids"])[0] == F.col("num")) & F.col("k")["FT"].isNotNull())
-    return out.unionByName(alone.select("wish", "doc_id", F.col("kid").alias("num"), F.create_map(F.lit("V"), F.col("raw")).alias("sets"), F.lit(None).cast("string").alias("error")))
-
-
 def _needed(objs: DataFrame) -> DataFrame:
     """doc_id, need: whether viewers are told to draw the fields anew."""
     return objs.groupBy("doc_id").agg(F.max(F.coalesce(entry("AcroForm/NeedAppearances"), entry("NeedAppearances")) == "true").alias("need"))
 
 
-def redrawn(objs: DataFrame, of: DataFrame) -> DataFrame:
-    """The changes that tell viewers of documents of(doc_id) to draw their fields anew."""
-    top = objs.where(entry("Root!").isNotNull() | (name("Type") == "Catalog")).join(of.select("doc_id").distinct(), "doc_id", "left_semi")
-    ref = F.nullif(F.regexp_extract(entry("AcroForm"), r"^(\d{1,9})\s+\d+\s+R$", 1), F.lit("")).cast("int")
-    direct = F.when(entry("AcroForm/NeedAppearances").isNull(), F.regexp_replace(entry("AcroForm"), r">>$", " /NeedAppearances true >>")).otherwise(F.regexp_replace(entry("AcroForm"), r"/NeedAppearances\s+\w+", "/NeedAppearances true"))
-    return top.select(*change(F.col("doc_id"), F.coalesce(ref, F.col("num")), F.when(ref.isNull(), F.create_map(F.lit("AcroForm"), direct)).otherwise(F.create_map(F.lit("NeedAppearances"), F.lit("true")))))
+def _redrawn(nodes: Nodes) -> dict[int, dict[str, str]]:
+    """What is set, by object, to tell viewers to draw a document's fields anew."""
+    sets: dict[int, dict[str, str]] = {}
+    for num, own in nodes.items():
+        if "Root!" in own or own.get("Type") == "/Catalog":
+            raw = own.get("AcroForm")
+            if (form := target(raw)) is not None:
+                sets.setdefault(form, {})["NeedAppearances"] = "true"
+            elif raw is not None:
+                there = "AcroForm/NeedAppearances" in own
+                sets.setdefault(num, {})["AcroForm"] = re.sub(r"/NeedAppearances\s+\w+", "/NeedAppearances true", raw) if there else re.sub(r">>$", " /NeedAppearances true >>", raw)
+    return sets
 
 
 def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -78,63 +55,144 @@ def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Text is set as it is. A choice takes an option's export or display text that is the only one of its kind, or any
     text where it can be edited; several, where it allows that, as a JSON array. A button takes the name of one of its
-    states, or Off. Kids, and a parent of one kid, follow (see _fanned()). Wishes that would change one object twice are
+    states, or Off. Kids, and a parent of one kid, follow (see _kids()). Wishes that would change one object twice are
     all refused before anything is written: conflicting_changes. Viewers are told to draw the fields anew; that, the
     values, and all exports and indexes of a multiple choice must be found in what was written.
     """
-    objs = stage(objects(docs))
-    fields = form_fields(objs)
-    fields = fields.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "name")))
-    fields = fields.join(objs.select("doc_id", "num", "entries"), ["doc_id", "num"]).withColumns({"kids": ref_numbers(entry("Kids")), "parent": F.get(ref_numbers(entry("Parent")), F.lit(0)), "local": F.col("entries")["T="]})
-    rows = wanted.select("doc_id", "name", F.col("value").alias("asked")).join(fields, ["doc_id", "name"], "left")
-    multi, editable = (F.col("type") == "Ch") & bit(F.col("flags"), 22), bit(F.col("flags"), 19)
-    listed = F.when(multi, F.from_json("asked", "array<string>")).otherwise(F.array("asked"))
-    rows = rows.withColumn("listed", listed)
-    matches = lambda v: F.filter(F.transform("options", lambda o, i: F.when((o["export"] == v) | (o["display"] == v), F.struct(i.alias("i"), o["export"].alias("export")))), lambda x: x.isNotNull())
-    found = F.transform("listed", matches)
-    rows = rows.withColumn("picked", F.when(F.col("type") == "Ch", F.array_sort(F.flatten(F.transform(found, lambda m: F.when(F.size(m) == 1, m).otherwise(F.array().cast("array<struct<i:int,export:string>>")))))))
-    whole = F.size("picked") == F.size("listed")
-    off = F.col("asked").isin("Off", "false")
-    status = (
-        F.when(F.col("num").isNull(), "no_field")
-        .when(F.col("same") > 1, "ambiguous_field")
-        .when(F.col("fill_status") != "supported", "not_fillable")
-        .when(multi & F.col("listed").isNull(), "not_a_list")
-        .when(multi & (F.size(F.array_distinct("listed")) < F.size("listed")), "value_twice")
-        .when((F.col("type") == "Ch") & ~whole & ~(editable & ~multi), "no_such_option")
-        .when((F.col("type") == "Btn") & (F.size("kids") == 0) & ~off & ~F.array_contains("button_states", F.col("asked")), "no_such_state")
-        .otherwise("ok")
-    )
-    export = F.when(whole, F.get("picked", F.lit(0))["export"]).otherwise(F.col("asked"))
-    state = F.when(off, F.lit("Off")).otherwise(F.col("asked"))
-    raw = (
-        F.when(multi, F.concat(F.lit("["), F.array_join(F.transform("picked", lambda p: raw_literal(p["export"])), " "), F.lit("]")))
-        .when(F.col("type") == "Ch", raw_literal(export))
-        .when(F.col("type") == "Btn", F.concat(F.lit("/"), state))
-        .otherwise(raw_literal(F.col("asked")))
-    )
-    several = F.to_json(F.struct(F.transform("picked", lambda p: p["export"]).alias("values"), F.transform("picked", lambda p: p["i"]).alias("indexes")))
-    expected = F.when(multi, several).when(F.col("type") == "Ch", export).when(F.col("type") == "Btn", state).otherwise(F.col("asked"))
-    columns = ("doc_id", "name", "num", "type", "asked", "kids", "parent", "local")
-    plans = stage(rows.select(F.monotonically_increasing_id().alias("wish"), *columns, multi.alias("multi"), raw.alias("raw"), F.transform("picked", lambda p: p["i"]).alias("indexes"), status.alias("status"), expected.alias("expected")))
-    sets = F.map_concat(
-        F.create_map(F.lit("V"), F.col("raw")),
-        F.when((F.col("type") == "Btn") & (F.size("kids") == 0), F.create_map(F.lit("AS"), F.col("raw"))).when(F.col("multi"), F.create_map(F.lit("I"), F.concat(F.lit("["), F.array_join(F.transform("indexes", lambda i: i.cast("string")), " "), F.lit("]")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
-    )
-    fanned = stage(_fanned(plans, objs))
-    broken = fanned.groupBy("wish").agg(F.min("error").alias("kid_error"))
-    plans = stage(plans.join(broken, "wish", "left").withColumn("status", F.when(F.col("status") == "ok", F.coalesce("kid_error", "status")).otherwise(F.col("status"))).drop("kid_error"))
-    good = plans.where("status = 'ok'")
-    every = good.select("wish", "doc_id", "num", sets.alias("sets")).unionByName(fanned.join(good.select("wish"), "wish", "left_semi").drop("error"))
-    every = stage(every.withColumn("wishes", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "num"))))
-    clash = every.where("wishes > 1").select("wish").distinct().withColumn("clash", F.lit(True))
-    plans = stage(plans.join(clash, "wish", "left").withColumn("status", F.when(F.col("clash"), "conflicting_changes").otherwise(F.col("status"))).drop("clash"))
-    good = plans.where("status = 'ok'")
-    own = every.join(good.select("wish"), "wish", "left_semi").select(*change(F.col("doc_id"), F.col("num"), F.col("sets")))
-    written = stage(rewrite(objs, own.unionByName(redrawn(objs, good))))
-    again = F.when(F.col("values").isNotNull(), F.to_json(F.struct("values", F.coalesce("indexes", F.array().cast("array<int>")).alias("indexes")))).otherwise(F.col("value"))
-    after = form_fields(written).select("doc_id", "name", again.alias("found")).join(_needed(objects(written)), "doc_id").select("doc_id", "name", F.when(F.col("need"), F.col("found")).alias("found"))
-    return verified(plans.select("doc_id", "name", "expected", "status"), written, after, ["name"])
+    several = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
+    wishes = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("name", "value", several.alias("several"))).alias("wishes"))
+    held = docs.select("doc_id", "content").join(wishes.hint("merge"), "doc_id", "right")
+    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: _met(b, "name", _with_fields), "doc_id string, name string, status string, content binary")
+
+
+def _met(batches: Iterator[pa.RecordBatch], key: str, meet: Callable[[bytes, list[dict]], list[tuple[str, bytes | None]]]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, status and new bytes for each of the wishes that documents come with."""
+    kinds = {"doc_id": pa.string(), key: pa.string(), "status": pa.string(), "content": pa.binary()}
+    for batch in batches:
+        out = [(d, w[key], *told) for d, c, wishes in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "content", "wishes")), strict=True) for w, told in zip(wishes, meet(c or b"", wishes), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def _numbers(raw: str | None) -> list[int]:
+    return [int(n) for n in re.findall(r"(\d+)\s+\d+\s+R\b", raw or "")]
+
+
+def _literal(text: str | None) -> str | None:
+    return None if text is None else literal_of(text.encode()).decode("latin-1")
+
+
+def _value(own: dict[str, str]) -> str | tuple | None:
+    """A field's value: a text or a name, or the texts of a list with their indexes."""
+    raw = own.get("V", "")
+    if raw.startswith("["):
+        return [x for kind, x in items(raw) if kind == "text"], [int(n) for n in re.findall(r"\d+", own.get("I", ""))]
+    return own.get("V=", raw[1:] or None if raw[:1] == "/" else None)
+
+
+def _wish(field: tuple, wish: dict) -> tuple:
+    """Status, raw value, what is expected, further entries of the field's own object: one wish for one field that is there."""
+    _, _, _, kind, own, flags, _, blockers, states, proof, _ = field
+    asked, choice, multi = wish["value"], kind == "Ch", kind == "Ch" and has_bit(flags, 22)
+    choices = option_list(own.get("Opt")) if choice else []
+    if not may_be_filled(own, kind, flags, blockers, choices, proof):
+        return "not_fillable", None, None, {}
+    listed = wish["several"] if multi else [asked]
+    if listed is None:
+        return "not_a_list", None, None, {}
+    if multi and len(set(listed)) < len(listed):
+        return "value_twice", None, None, {}
+    found = [[(i, export) for i, (export, display) in enumerate(choices) if v is not None and v in (export, display)] for v in listed]
+    picked = sorted(x for m in found if len(m) == 1 for x in m)
+    whole = choice and len(picked) == len(listed)
+    if choice and not whole and (multi or not has_bit(flags, 19)):
+        return "no_such_option", None, None, {}
+    exports, indexes = [e for _, e in picked], [i for i, _ in picked]
+    if multi:
+        return "ok", "[" + " ".join(map(_literal, exports)) + "]", (exports, indexes), {"I": "[" + " ".join(map(str, indexes)) + "]"}
+    if choice:
+        export = exports[0] if whole else asked
+        return "ok", _literal(export), export, {}
+    if kind != "Btn":
+        return "ok", _literal(asked), asked, {}
+    state, kids = "Off" if asked in OFF else asked, _numbers(own.get("Kids"))
+    if not kids and asked is not None and asked not in OFF and asked not in states:
+        return "no_such_state", None, None, {}
+    raw = None if state is None else f"/{state}"
+    return "ok", raw, state, {} if kids else {"AS": raw}
+
+
+#: What turns a button off.
+OFF = ("Off", "false")
+
+
+def _kids(nodes: Nodes, field: tuple, asked: str | None, raw: str | None) -> tuple[list[tuple[int, dict]], str | None]:
+    """What a wish changes in the kids of a field and in a parent that has it alone, and the first error.
+
+    Text and choices are set in kids that are unnamed widgets or have the field's own name; of radio buttons the kid
+    with the state asked for is on and the others off.
+    """
+    _, num, name, kind, own, *_ = field
+    kids, button, off = _numbers(own.get("Kids")), kind == "Btn", asked in OFF
+    on = {k: list(dict.fromkeys(x[5:] for x in nodes.get(k, {}) if re.fullmatch(r"AP/N/[^/=#!]+", x) and x != "AP/N/Off")) for k in kids} if button else {}
+    hit = sum(on[k][:1] == [asked] for k in kids) if button else 0
+    out, errors = [], []
+    for k in kids:
+        there, error = nodes.get(k), None
+        if there is None:
+            error = "unresolved_kid"
+        elif button:
+            if len(on[k]) != 1 or asked in ("", "true", "On"):
+                error = "ambiguous_button_states"
+            elif not off and hit != 1:
+                error = "duplicate_button_state" if hit else "no_such_state"
+        elif "Kids" in there:
+            error = "kids_of_kids"
+        elif "T=" not in there and there.get("Subtype") != "/Widget":
+            error = "unnamed_kid_is_no_widget"
+        elif "T=" in there and there["T="] not in (own.get("T="), name):
+            error = "other_kid_name"
+        errors += [error] if error else []
+        out.append((k, {"AS": f"/{asked}" if not off and on[k][:1] == [asked] else "/Off"} if button else {"V": raw}))
+    above = _numbers(own.get("Parent"))[:1]
+    if not button and not kids and above and above[0] in nodes and _numbers(nodes[above[0]].get("Kids")) == [num] and "FT" in nodes[above[0]]:
+        out.append((above[0], {"V": raw}))
+    return out, min(errors, default=None)
+
+
+def _with_fields(content: bytes, wishes: list[dict]) -> list[tuple[str, bytes | None]]:
+    """Status and new bytes for each wish of set_fields() of one document, which is planned, written and read back here."""
+    objs = document_objects(content)
+    nodes = {r["num"]: r["entries"] for r in objs}
+    fields: dict[str, list[tuple]] = {}
+    for field in walk_fields(nodes):
+        fields.setdefault(field[2], []).append(field)
+    states, expected, plans = [], [], []
+    for w in wishes:
+        own = fields.get(w["name"], ())
+        status, raw, want, more = _wish(own[0], w) if len(own) == 1 else ("ambiguous_field" if own else "no_field", None, None, {})
+        changed: list[tuple[int, dict]] = []
+        if status == "ok":
+            changed, error = _kids(nodes, own[0], w["value"], raw)
+            changed.append((own[0][1], {"V": raw} | more))
+            status = error or status
+        states.append(status)
+        expected.append(want)
+        plans.append(changed if status == "ok" else [])
+    often = Counter(num for plan in plans for num, _ in plan)
+    states = ["conflicting_changes" if any(often[num] > 1 for num, _ in plan) else s for s, plan in zip(states, plans, strict=True)]
+    if "ok" not in states:
+        return [(s, None) for s in states]
+    sets = _redrawn(nodes)
+    for status, plan in zip(states, plans, strict=True):
+        for num, own in plan if status == "ok" else ():
+            sets[num] = sets.get(num, {}) | own
+    written, error = anew(objs, [{"num": n, "sets": own} for n, own in sets.items()])
+    again = document_objects(written)
+    after = {r["num"]: r["entries"] for r in again}
+    drawn = any(e.get("AcroForm/NeedAppearances", e.get("NeedAppearances")) == "true" for e in after.values())
+    found = {f[2]: _value(f[4]) for f in walk_fields(after)}
+    fine = error is None and drawn and sound(written, again)
+    return [(s, None) if s != "ok" else ("ok", written) if fine and w["name"] in found and found[w["name"]] == want else ("verification_failed", None) for s, w, want in zip(states, wishes, expected, strict=True)]
 
 
 def set_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,14 +273,7 @@ def set_data(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, path, status, content: a leaf of the XML data set: wanted(doc_id, path, value); only in forms that need no renderer."""
     wishes = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("path", "value")).alias("wishes"))
     held = docs.select("doc_id", "content").join(wishes.hint("merge"), "doc_id", "right")
-    return held.select("doc_id", "content", "wishes").mapInArrow(_data_set, "doc_id string, path string, status string, content binary")
-
-
-def _data_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"doc_id": pa.string(), "path": pa.string(), "status": pa.string(), "content": pa.binary()}
-    for batch in batches:
-        out = [(d, w["path"], *told) for d, c, wishes in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "content", "wishes")), strict=True) for w, told in zip(wishes, _with_data(c or b"", wishes), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: _met(b, "path", _with_data), "doc_id string, path string, status string, content binary")
 
 
 def _leaves(held: list[tuple]) -> dict[str, list[tuple]]:

@@ -292,6 +292,10 @@ def bit(flags: Column, n: int) -> Column:
     return F.lit(1 << (n - 1)).bitwiseAND(F.coalesce(flags, F.lit(0))) != 0
 
 
+def has_bit(flags: int | None, n: int) -> bool:
+    return bool((flags or 0) & 1 << (n - 1))
+
+
 def flag_names(flags: Column, bits: dict[int, str]) -> Column:
     return F.array_compact(F.array(*[F.when(bit(flags, n), F.lit(x)) for n, x in bits.items()]))
 
@@ -301,23 +305,34 @@ def options(raw: Column) -> Column:
 
     @F.pandas_udf("array<struct<export:string,display:string>>")
     def apply(values):
-        def one(raw):
-            out, pair = [], None
-            for kind, x in items(raw)[1:-1]:
-                if kind == "open":
-                    pair = []
-                elif kind == "close" and pair:
-                    out.append({"export": pair[0], "display": pair[-1]})
-                    pair = None
-                elif kind == "text":
-                    out.append({"export": x, "display": x}) if pair is None else pair.append(x)
-            return out
-
-        return values.map(one)
+        return values.map(lambda raw: [{"export": e, "display": d} for e, d in option_list(raw)])
 
     return apply(F.coalesce(raw, F.lit("")))
 
 
+def option_list(raw: str | None) -> list[tuple[str, str]]:
+    """options() of one choice."""
+    out, pair = [], None
+    for kind, x in items(raw)[1:-1]:
+        if kind == "open":
+            pair = []
+        elif kind == "close" and pair:
+            out.append((pair[0], pair[-1]))
+            pair = None
+        elif kind == "text":
+            out.append((x, x)) if pair is None else pair.append(x)
+    return out
+
+
+def may_be_filled(own: dict[str, str], kind: str, flags: int | None, blockers: list[str], choices: list, proof: bool) -> bool:
+    """Whether described() says of a field that filling it is supported."""
+    if "RV" in own or has_bit(flags, 26) or blockers:
+        return False
+    if kind == "Ch" and has_bit(flags, 22) and not choices:
+        return False
+    return kind in ("Tx", "Ch") or (kind == "Btn" and proof)
+
+
 def form_fields(objs: DataFrame) -> DataFrame:
     """Every named field of the form, those above before those below: doc_id, ord, num, name and what there is to say of it.
 

@@ -86,9 +86,9 @@ def radio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id").cast("string").alias("doc_id")
     wanted = events.select(key, F.lit("kind").alias("name"), F.col("event_type").alias("value")).unionByName(events.where("event_id % 5 = 0").select(key, F.lit("kind").alias("name"), F.lit("Off").alias("value")))
     got = stage(changes.set_fields(minted, wanted))
-    written = stage(objects(_written(got).dropDuplicates(["doc_id"])))
-    on = written.where("num between 4 and 7").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", F.coalesce(F.col("entries")["AS"], F.col("entries")["V"]).alias("v")))), lambda x: x["v"]), " ").alias("states"))
-    rows = got.select("doc_id", "status").join(on, "doc_id", "left").withColumn("states", F.when(F.col("status") == "ok", F.col("states")))
+    # A document is set by one wish at most, so each written one is read back once, with its status.
+    on = graph.by_document(_written(got), lambda o: o, lambda nodes: [(" ".join(v for n in (4, 5, 6, 7) if (v := nodes[n].get("AS", nodes[n].get("V"))) is not None),)], "states string")
+    rows = on.select(F.lit("ok").alias("status"), "states").unionByName(got.where("content is null").select("status", F.lit(None).cast("string").alias("states")))
     return rows.groupBy("status", "states").agg(F.count(F.lit(1)).alias("n"))
 
 
