@@ -31,9 +31,9 @@ def verified(plans: DataFrame, written: DataFrame, after: DataFrame, keys: list[
     return got.select("doc_id", *keys, status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
 
 
-def _needed(objs: DataFrame) -> DataFrame:
-    """doc_id, need: whether viewers are told to draw the fields anew."""
-    return objs.groupBy("doc_id").agg(F.max(F.coalesce(entry("AcroForm/NeedAppearances"), entry("NeedAppearances")) == "true").alias("need"))
+def is_redrawn(nodes: Nodes) -> bool:
+    """Whether viewers are told to draw the fields anew."""
+    return any(e.get("AcroForm/NeedAppearances", e.get("NeedAppearances")) == "true" for e in nodes.values())
 
 
 def _redrawn(nodes: Nodes) -> dict[int, dict[str, str]]:
@@ -62,10 +62,10 @@ def set_fields(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     several = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
     wishes = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("name", "value", several.alias("several"))).alias("wishes"))
     held = docs.select("doc_id", "content").join(wishes.hint("merge"), "doc_id", "right")
-    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: _met(b, "name", _with_fields), "doc_id string, name string, status string, content binary")
+    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: met(b, "name", _with_fields), "doc_id string, name string, status string, content binary")
 
 
-def _met(batches: Iterator[pa.RecordBatch], key: str, meet: Callable[[bytes, list[dict]], list[tuple[str, bytes | None]]]) -> Iterator[pa.RecordBatch]:
+def met(batches: Iterator[pa.RecordBatch], key: str, meet: Callable[[bytes, list[dict]], list[tuple[str, bytes | None]]]) -> Iterator[pa.RecordBatch]:
     """doc_id, key, status and new bytes for each of the wishes that documents come with."""
     kinds = {"doc_id": pa.string(), key: pa.string(), "status": pa.string(), "content": pa.binary()}
     for batch in batches:
@@ -73,15 +73,15 @@ def _met(batches: Iterator[pa.RecordBatch], key: str, meet: Callable[[bytes, lis
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
-def _numbers(raw: str | None) -> list[int]:
+def numbers_of(raw: str | None) -> list[int]:
     return [int(n) for n in re.findall(r"(\d+)\s+\d+\s+R\b", raw or "")]
 
 
-def _literal(text: str | None) -> str | None:
+def raw_text(text: str | None) -> str | None:
     return None if text is None else literal_of(text.encode()).decode("latin-1")
 
 
-def _value(own: dict[str, str]) -> str | tuple | None:
+def field_value(own: dict[str, str]) -> str | tuple | None:
     """A field's value: a text or a name, or the texts of a list with their indexes."""
     raw = own.get("V", "")
     if raw.startswith("["):
@@ -108,13 +108,13 @@ def _wish(field: tuple, wish: dict) -> tuple:
         return "no_such_option", None, None, {}
     exports, indexes = [e for _, e in picked], [i for i, _ in picked]
     if multi:
-        return "ok", "[" + " ".join(map(_literal, exports)) + "]", (exports, indexes), {"I": "[" + " ".join(map(str, indexes)) + "]"}
+        return "ok", "[" + " ".join(map(raw_text, exports)) + "]", (exports, indexes), {"I": "[" + " ".join(map(str, indexes)) + "]"}
     if choice:
         export = exports[0] if whole else asked
-        return "ok", _literal(export), export, {}
+        return "ok", raw_text(export), export, {}
     if kind != "Btn":
-        return "ok", _literal(asked), asked, {}
-    state, kids = "Off" if asked in OFF else asked, _numbers(own.get("Kids"))
+        return "ok", raw_text(asked), asked, {}
+    state, kids = "Off" if asked in OFF else asked, numbers_of(own.get("Kids"))
     if not kids and asked is not None and asked not in OFF and asked not in states:
         return "no_such_state", None, None, {}
     raw = None if state is None else f"/{state}"
@@ -132,7 +132,7 @@ def _kids(nodes: Nodes, field: tuple, asked: str | None, raw: str | None) -> tup
     with the state asked for is on and the others off.
     """
     _, num, name, kind, own, *_ = field
-    kids, button, off = _numbers(own.get("Kids")), kind == "Btn", asked in OFF
+    kids, button, off = numbers_of(own.get("Kids")), kind == "Btn", asked in OFF
     on = {k: list(dict.fromkeys(x[5:] for x in nodes.get(k, {}) if re.fullmatch(r"AP/N/[^/=#!]+", x) and x != "AP/N/Off")) for k in kids} if button else {}
     hit = sum(on[k][:1] == [asked] for k in kids) if button else 0
     out, errors = [], []
@@ -153,8 +153,8 @@ def _kids(nodes: Nodes, field: tuple, asked: str | None, raw: str | None) -> tup
             error = "other_kid_name"
         errors += [error] if error else []
         out.append((k, {"AS": f"/{asked}" if not off and on[k][:1] == [asked] else "/Off"} if button else {"V": raw}))
-    above = _numbers(own.get("Parent"))[:1]
-    if not button and not kids and above and above[0] in nodes and _numbers(nodes[above[0]].get("Kids")) == [num] and "FT" in nodes[above[0]]:
+    above = numbers_of(own.get("Parent"))[:1]
+    if not button and not kids and above and above[0] in nodes and numbers_of(nodes[above[0]].get("Kids")) == [num] and "FT" in nodes[above[0]]:
         out.append((above[0], {"V": raw}))
     return out, min(errors, default=None)
 
@@ -189,9 +189,8 @@ def _with_fields(content: bytes, wishes: list[dict]) -> list[tuple[str, bytes |
     written, error = anew(objs, [{"num": n, "sets": own} for n, own in sets.items()])
     again = document_objects(written)
     after = {r["num"]: r["entries"] for r in again}
-    drawn = any(e.get("AcroForm/NeedAppearances", e.get("NeedAppearances")) == "true" for e in after.values())
-    found = {f[2]: _value(f[4]) for f in walk_fields(after)}
-    fine = error is None and drawn and sound(written, again)
+    found = {f[2]: field_value(f[4]) for f in walk_fields(after)}
+    fine = error is None and is_redrawn(after) and sound(written, again)
     return [(s, None) if s != "ok" else ("ok", written) if fine and w["name"] in found and found[w["name"]] == want else ("verification_failed", None) for s, w, want in zip(states, wishes, expected, strict=True)]
 
 
@@ -273,7 +272,7 @@ def set_data(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, path, status, content: a leaf of the XML data set: wanted(doc_id, path, value); only in forms that need no renderer."""
     wishes = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("path", "value")).alias("wishes"))
     held = docs.select("doc_id", "content").join(wishes.hint("merge"), "doc_id", "right")
-    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: _met(b, "path", _with_data), "doc_id string, path string, status string, content binary")
+    return held.select("doc_id", "content", "wishes").mapInArrow(lambda b: met(b, "path", _with_data), "doc_id string, path string, status string, content binary")
 
 
 def _leaves(held: list[tuple]) -> dict[str, list[tuple]]:
